@@ -62,7 +62,7 @@ def numbered(df: DataFrame, count: str, name: str) -> DataFrame:
     return spread.withColumn(name, F.explode(F.sequence(low, high))).drop("_step")
 
 
-def _case_key(*parts) -> Column:
+def case_key(*parts) -> Column:
     return F.concat_ws("|", *[F.col(p).cast("string") for p in parts])
 
 
@@ -163,23 +163,56 @@ def candidates_for(queries: DataFrame, pool: Pool) -> DataFrame:
     return first_per_group(knn_topk(vectors, pool.vectors, pool.top_k), pool.meta)
 
 
-def pad_with_negatives(
-    cases: DataFrame, pool: Pool, natural: str, max_gallery: int, other_group: str | None = None,
-) -> DataFrame:
-    """Negatives up to a size drawn from ``[natural, max(natural, max_gallery)]``."""
-    size = F.col(natural)
+def pad_with_negatives(cases: DataFrame, pool: Pool, max_gallery: int) -> DataFrame:
+    """Negatives up to a size drawn from ``[natural, max(natural, max_gallery)]``.
+
+    ``cases`` has ``CASE, natural, other_group``; the last names a second
+    excluded group or is null.
+    """
+    size = F.col("natural")
     target = hash_int(size, F.greatest(size, F.lit(max_gallery)), "target", "case_id")
-    extra = [F.col(other_group).alias("other_group")] if other_group else []
-    wanted = cases.select(*CASE, (target - size).alias("n_pad"), *extra)
+    wanted = cases.select(*CASE, (target - size).alias("n_pad"), "other_group")
     chosen = pick_hard_negatives(wanted, candidates_for(cases, pool), pool.sample_from)
     return chosen.join(wanted.select(*CASE), "case_id").select(
         *CASE, "item_id", F.lit("negative").alias("kind")
     )
 
 
+@dataclass(frozen=True)
+class Roles:
+    """Numbered gallery and query items of one corpus build."""
+
+    gallery: Layout
+    queries: Layout
+    merged: bool
+
+
+def roles(items: DataFrame, merged: bool = False) -> Roles:
+    """Number both roles once, for all builders that share the items."""
+    gallery = layout(items.filter(F.col("role") == "gallery"))
+    queries = gallery if merged else layout(items.filter(F.col("role") == "query"))
+    return Roles(gallery, queries, merged)
+
+
+def known_parts(
+    requests: DataFrame, numbering: Roles, whole_group: bool = True, diverse: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Cases awaiting negatives, and their member slots."""
+    if not whole_group:
+        requests = requests.withColumn("family_size", F.lit(1).cast("long"))
+    picked = cut(pick_queries(requests, numbering.queries, diverse))
+    members = pick_members(picked, numbering.gallery, numbering.merged, whole_group, diverse)
+    open_cases = picked.select(
+        *CASE, F.col("family_size").cast("long").alias("natural"),
+        F.lit(None).cast("long").alias("other_group"),
+    )
+    return open_cases, members
+
+
 def known_cases(
     requests: DataFrame, items: DataFrame, pool: Pool, max_gallery: int = MAX_GALLERY,
     merged: bool = False, whole_group: bool = True, diverse: bool = False,
+    numbering: Roles | None = None,
 ) -> DataFrame:
     """One case per request: an item per member plus hard negatives.
 
@@ -187,14 +220,9 @@ def known_cases(
     ``whole_group`` off the entity is its group's only member (the rest of the
     group still gives no negatives).
     """
-    gallery = layout(items.filter(F.col("role") == "gallery"))
-    queries = gallery if merged else layout(items.filter(F.col("role") == "query"))
-    if not whole_group:
-        requests = requests.withColumn("family_size", F.lit(1).cast("long"))
-    picked = cut(pick_queries(requests, queries, diverse))
-    members = pick_members(picked, gallery, merged, whole_group, diverse)
-    negatives = pad_with_negatives(picked, pool, "family_size", max_gallery)
-    return shuffle_gallery(members.unionByName(negatives))
+    numbering = numbering or roles(items, merged)
+    waiting, members = known_parts(requests, numbering, whole_group, diverse)
+    return shuffle_gallery(members.unionByName(pad_with_negatives(waiting, pool, max_gallery)))
 
 
 def scenario_name(corpus, group_kind, camera) -> Column:
@@ -211,7 +239,7 @@ def exhaustive_requests(items: DataFrame, min_cases: int = 150) -> DataFrame:
     )
     key = order_key("triple", "scenario", "entity_id", "source_id")
     ranked = group_rank(
-        triples.withColumn("_tie", _case_key("entity_id", "source_id")), ["scenario"], key, "_tie"
+        triples.withColumn("_tie", case_key("entity_id", "source_id")), ["scenario"], key, "_tie"
     ).drop("_tie")
     counts = triples.groupBy("scenario").agg(F.count("*").alias("n"))
     draws = numbered(
@@ -223,7 +251,7 @@ def exhaustive_requests(items: DataFrame, min_cases: int = 150) -> DataFrame:
     again = ranked.join(draws, ["scenario", "rank"])
     once = ranked.withColumn("draw", F.lit(0).cast("long"))
     return once.unionByName(again).drop("rank").withColumn(
-        "case_id", _case_key("scenario", "entity_id", "source_id", "draw")
+        "case_id", case_key("scenario", "entity_id", "source_id", "draw")
     )
 
 
@@ -251,7 +279,7 @@ def sampled_requests(items: DataFrame, n_entities: int = 50, n_cases: int = 150)
         triples, ["scenario", "entity_id"], order_key("source", "source_id"), "source_id"
     )
     return ranked.join(draws, ["scenario", "entity_id", "rank"]).drop("rank").withColumn(
-        "case_id", _case_key("scenario", "entity_id", "draw")
+        "case_id", case_key("scenario", "entity_id", "draw")
     )
 
 
@@ -276,14 +304,10 @@ def singleton_strangers(
     return shuffle_gallery(chosen.select(*CASE, "item_id", F.lit("resident").alias("kind")))
 
 
-def family_strangers(
-    requests: DataFrame, items: DataFrame, pool: Pool, max_gallery: int = MAX_GALLERY,
-) -> DataFrame:
-    """Stranger query; one item per member plus negatives from neither group.
-
-    ``requests`` has ``case_id, scenario, corpus, group_id``.
-    """
-    gallery = layout(items.filter(F.col("role") == "gallery"))
+def family_parts(
+    requests: DataFrame, items: DataFrame, gallery: Layout,
+) -> tuple[DataFrame, DataFrame]:
+    """Stranger cases awaiting negatives, and one slot per member."""
     members = gallery.entities
     sizes = members.groupBy("corpus", "group_id").agg(F.count("*").alias("natural"))
     drawn = cut(
@@ -296,8 +320,20 @@ def family_strangers(
         .join(gallery.items.select(*ENTITY, "pos_entity", "item_id"), [*ENTITY, "pos_entity"])
         .select(*CASE, "item_id", F.lit("member").alias("kind"))
     )
-    negatives = pad_with_negatives(drawn, pool, "natural", max_gallery, "group_id")
-    return shuffle_gallery(one_each.unionByName(negatives))
+    return drawn.select(*CASE, "natural", F.col("group_id").alias("other_group")), one_each
+
+
+def family_strangers(
+    requests: DataFrame, items: DataFrame, pool: Pool, max_gallery: int = MAX_GALLERY,
+    numbering: Roles | None = None,
+) -> DataFrame:
+    """Stranger query; one item per member plus negatives from neither group.
+
+    ``requests`` has ``case_id, scenario, corpus, group_id``.
+    """
+    gallery = numbering.gallery if numbering else layout(items.filter(F.col("role") == "gallery"))
+    waiting, members = family_parts(requests, items, gallery)
+    return shuffle_gallery(members.unionByName(pad_with_negatives(waiting, pool, max_gallery)))
 
 
 def _targets(items: DataFrame) -> DataFrame:
@@ -310,15 +346,23 @@ def _targets(items: DataFrame) -> DataFrame:
     return sizes.join(owners, ["corpus", "group_id"])
 
 
+def of_kind(targets: DataFrame, kind: str) -> DataFrame:
+    size = F.col("family_size")
+    return targets.filter(size == 1 if kind == "singleton" else size >= 2)
+
+
+def stranger_requests(items: DataFrame, kind: str) -> DataFrame:
+    """One request per (corpus, group) of the kind."""
+    return of_kind(_targets(items), kind).withColumn(
+        "scenario", F.lit(f"distractor_cropped_{kind}")
+    ).withColumn("case_id", case_key("scenario", "corpus", "group_id"))
+
+
 def exhaustive_strangers(items: DataFrame, pool: Pool, kind: str,
                          max_gallery: int = MAX_GALLERY) -> DataFrame:
     """One stranger case per (corpus, group) of the kind."""
-    wanted = F.col("family_size") == 1 if kind == "singleton" else F.col("family_size") >= 2
-    requests = _targets(items).filter(wanted).withColumn(
-        "scenario", F.lit(f"distractor_cropped_{kind}")
-    ).withColumn("case_id", _case_key("scenario", "corpus", "group_id"))
     build = singleton_strangers if kind == "singleton" else family_strangers
-    return build(requests, items, pool, max_gallery)
+    return build(stranger_requests(items, kind), items, pool, max_gallery)
 
 
 def stratified_requests(targets: DataFrame, scenario: str, total: Column) -> DataFrame:
@@ -340,22 +384,21 @@ def stratified_requests(targets: DataFrame, scenario: str, total: Column) -> Dat
                  "family_size", "draw").alias("rank"),
     )
     ranked = group_rank(
-        targets.withColumn("_tie", _case_key("corpus", "group_id")), ["family_size"],
+        targets.withColumn("_tie", case_key("corpus", "group_id")), ["family_size"],
         order_key("targets", "corpus", "group_id"), "_tie",
     ).drop("_tie")
     return ranked.join(draws, ["family_size", "rank"]).drop("rank").withColumn(
         "scenario", F.lit(scenario)
-    ).withColumn("case_id", _case_key("scenario", "family_size", "draw"))
+    ).withColumn("case_id", case_key("scenario", "family_size", "draw"))
 
 
 def stratified_strangers(
     items: DataFrame, pool: Pool, kind: str, n_cases: int = 200, max_gallery: int = MAX_GALLERY,
 ) -> DataFrame:
     """``n_cases`` stranger cases, even over family sizes."""
-    targets = _targets(items)
-    wanted = F.col("family_size") == 1 if kind == "singleton" else F.col("family_size") >= 2
     requests = stratified_requests(
-        targets.filter(wanted), f"distractor_cropped_{kind}", F.lit(n_cases).cast("long")
+        of_kind(_targets(items), kind), f"distractor_cropped_{kind}",
+        F.lit(n_cases).cast("long"),
     )
     build = singleton_strangers if kind == "singleton" else family_strangers
     return build(requests, items, pool, max_gallery)
@@ -363,11 +406,22 @@ def stratified_strangers(
 
 def scenario_suite(items: DataFrame, pool: Pool, max_gallery: int = MAX_GALLERY,
                    min_cases: int = 150) -> DataFrame:
-    """All ten scenarios; the scenario is a column."""
-    known = known_cases(exhaustive_requests(items, min_cases), items, pool, max_gallery)
-    single = exhaustive_strangers(items, pool, "singleton", max_gallery)
-    family = exhaustive_strangers(items, pool, "family", max_gallery)
-    return known.unionByName(single).unionByName(family)
+    """All ten scenarios in one table; the scenario is a column.
+
+    Items are numbered once and one neighbour search serves known and family
+    cases. The finished suite is stored, as every evaluation reads it.
+    """
+    numbering = roles(items)
+    known, known_members = known_parts(exhaustive_requests(items, min_cases), numbering)
+    family, family_members = family_parts(
+        stranger_requests(items, "family"), items, numbering.gallery
+    )
+    negatives = pad_with_negatives(known.unionByName(family), pool, max_gallery)
+    padded = shuffle_gallery(
+        known_members.unionByName(family_members).unionByName(negatives)
+    )
+    single = singleton_strangers(stranger_requests(items, "singleton"), items, pool, max_gallery)
+    return cut(padded.unionByName(single))
 
 
 # Training cases per entity by family size.
@@ -377,7 +431,7 @@ TRAINING_RATES = {1: 1, 2: 2, 3: 2, 4: 3, 5: 4, 6: 5, 7: 6, 8: 6, 9: 6}
 def training_requests(merged: DataFrame, rates: dict[int, int] = TRAINING_RATES) -> DataFrame:
     """Draws over the feasible (camera, source) pairs of each entity."""
     cell = merged.filter(F.col("role") == "gallery").groupBy(*CELL).agg(F.count("*").alias("n"))
-    pairs = feasible_pairs(cell).withColumn("_tie", _case_key("camera", "source_id"))
+    pairs = feasible_pairs(cell).withColumn("_tie", case_key("camera", "source_id"))
     ranked = group_rank(pairs, ENTITY, order_key("pair", "camera", "source_id"), "_tie").drop("_tie")
     per_entity = pairs.groupBy(*ENTITY).agg(
         F.count("*").alias("n_pairs"), F.max("family_size").alias("family_size")
@@ -388,7 +442,7 @@ def training_requests(merged: DataFrame, rates: dict[int, int] = TRAINING_RATES)
     )
     return ranked.join(draws, [*ENTITY, "rank"]).drop("rank").withColumn(
         "scenario", F.lit("train")
-    ).withColumn("case_id", _case_key("scenario", "corpus", "entity_id", "draw"))
+    ).withColumn("case_id", case_key("scenario", "corpus", "entity_id", "draw"))
 
 
 def synthetic_requests(merged: DataFrame) -> DataFrame:
@@ -401,19 +455,22 @@ def synthetic_requests(merged: DataFrame) -> DataFrame:
     return pairs.groupBy(*ENTITY).agg(first.alias("p")).select(
         *ENTITY, "p.*", F.lit(1).cast("long").alias("family_size"),
         F.lit("synthetic").alias("scenario"),
-    ).withColumn("case_id", _case_key("scenario", *ENTITY))
+    ).withColumn("case_id", case_key("scenario", *ENTITY))
 
 
-def synthetic_singletons(merged: DataFrame, pool: Pool, max_gallery: int = 6) -> DataFrame:
+def synthetic_singletons(
+    merged: DataFrame, pool: Pool, max_gallery: int = 6, numbering: Roles | None = None,
+) -> DataFrame:
     """A known and a stranger case for each family member taken as sole resident."""
     known = known_cases(
-        synthetic_requests(merged), merged, pool, max_gallery, merged=True, whole_group=False
+        synthetic_requests(merged), merged, pool, max_gallery, merged=True, whole_group=False,
+        numbering=numbering,
     )
     entities = merged.select("corpus", "group_id", "entity_id").distinct()
     alone = entities.join(
         family_sizes(merged).filter("family_size > 1"), ["corpus", "group_id"]
     ).withColumn("scenario", F.lit("synthetic_stranger")).withColumn(
-        "case_id", _case_key("scenario", *ENTITY)
+        "case_id", case_key("scenario", *ENTITY)
     )
     strangers = singleton_strangers(alone, merged, pool, max_gallery)
     return known.unionByName(strangers)
@@ -425,16 +482,23 @@ def training_set(
 ) -> DataFrame:
     """Known cases at the rates, strangers as a fraction of them by family size."""
     merged = merge_roles(items)
-    requests = training_requests(merged, rates)
-    known = known_cases(requests, merged, pool, max_gallery, merged=True, diverse=True)
+    numbering = roles(merged, merged=True)
+    requests = cut(training_requests(merged, rates))
+    known, known_members = known_parts(requests, numbering, diverse=True)
     total = requests.agg(
         F.floor(F.count("*") * F.lit(stranger_fraction)).cast("long").alias("total")
     ).scalar()
-    wanted = stratified_requests(_targets(merged), "train_stranger", total)
+    wanted = cut(stratified_requests(_targets(merged), "train_stranger", total))
+    family, family_members = family_parts(
+        wanted.filter("family_size > 1"), merged, numbering.gallery
+    )
+    negatives = pad_with_negatives(known.unionByName(family), pool, max_gallery)
+    padded = shuffle_gallery(known_members.unionByName(family_members).unionByName(negatives))
     single = singleton_strangers(wanted.filter("family_size = 1"), merged, pool, max_gallery)
-    family = family_strangers(wanted.filter("family_size > 1"), merged, pool, max_gallery)
-    cases = known.unionByName(single).unionByName(family)
-    return cases.unionByName(synthetic_singletons(merged, pool, max_gallery)) if synthetic else cases
+    cases = padded.unionByName(single)
+    if synthetic:
+        cases = cases.unionByName(synthetic_singletons(merged, pool, max_gallery, numbering))
+    return cases
 
 
 def _sampled_cases(positives: DataFrame, negatives: DataFrame, scenario: str) -> DataFrame:
@@ -446,7 +510,7 @@ def _sampled_cases(positives: DataFrame, negatives: DataFrame, scenario: str) ->
     )
     return shuffle_gallery(
         both.withColumn("scenario", F.lit(scenario)).withColumn(
-            "case_id", _case_key("scenario", "query_id")
+            "case_id", case_key("scenario", "query_id")
         )
     )
 
@@ -483,16 +547,18 @@ def product_cases(items: DataFrame, k: int = 5, threshold: float = 0.2, **option
     Products with a single item give no query.
     """
     ranked = group_rank(
-        items.select("item_id", "owner_id"), ["owner_id"], order_key("item", "item_id"), "item_id"
+        items.select("item_id", "owner_id"), ["owner_id"], order_key("item", "item_id"),
+        "item_id", total="n",
     )
-    sizes = items.groupBy("owner_id").agg(F.count("*").alias("n")).filter("n > 1")
-    asked = skew_join(ranked, sizes, ["owner_id"])
+    asked = ranked.filter("n > 1")
     index = hash_int(F.lit(0), F.col("n") - 2, "positive", "item_id")
     drawn = asked.select(
         F.col("item_id").alias("query_id"), "owner_id",
         skip(index, F.col("rank"), F.lit(1)).alias("rank"),
     )
-    positives = drawn.join(ranked, ["owner_id", "rank"]).select("query_id", "item_id")
+    positives = drawn.join(
+        ranked.select("owner_id", "rank", "item_id"), ["owner_id", "rank"]
+    ).select("query_id", "item_id")
     pool = product_pool(items, threshold, k - 1, **options)
     return _sampled_cases(positives, threshold_negatives(pool, k), "product")
 
@@ -508,27 +574,30 @@ def household_cases(items: DataFrame, draws: int = 1) -> DataFrame:
     positive and more than four negatives. The four negatives are an arithmetic
     progression of pool indexes, so they are distinct without listing the pool.
     """
-    gallery = layout(items.filter(F.col("role") == "gallery"))
-    sizes = family_sizes(items)
-    queries = skew_join(
-        items.filter(F.col("role") == "query").select(*CELL, F.col("item_id").alias("query_id")),
-        sizes, ["corpus", "group_id"],
-    ).withColumn("group_kind", F.when(F.col("family_size") == 1, "singleton").otherwise("family"))
+    gallery = layout(items.filter(F.col("role") == "gallery"), by_source=True)
+    queries = items.filter(F.col("role") == "query").select(
+        *CELL, F.col("item_id").alias("query_id")
+    )
     wanted = queries.select(*CELL).distinct()
-    sums = _cell_sums(wanted, gallery)
     rules = F.explode(F.array(F.lit("same"), F.lit("cross"))).alias("camera")
     same, single = F.col("camera") == "same", F.col("group_kind") == "singleton"
-    asked = skew_join(queries, sums, CELL).select("*", rules).withColumns({
-        "positives": F.when(same, F.col("n")).otherwise(F.col("n_entity") - F.col("n")),
-        "negatives": F.when(single, F.col("n_corpus") - F.col("n_group"))
-        .when(same, F.col("n_source") - F.col("n"))
-        .otherwise(F.col("n_group") - F.col("n_source") - F.col("n_entity") + F.col("n")),
-    }).filter((F.col("positives") > 1) & (F.col("negatives") > N_NEGATIVES))
+    kind = F.when(F.col("family_size") == 1, "singleton").otherwise("family")
+    sums = (
+        _cell_sums(wanted, gallery).join(family_sizes(items), ["corpus", "group_id"])
+        .withColumn("group_kind", kind).select("*", rules)
+        .withColumns({
+            "positives": F.when(same, F.col("n")).otherwise(F.col("n_entity") - F.col("n")),
+            "negatives": F.when(single, F.col("n_corpus") - F.col("n_group"))
+            .when(same, F.col("n_source") - F.col("n"))
+            .otherwise(F.col("n_group") - F.col("n_source") - F.col("n_entity") + F.col("n")),
+        }).filter((F.col("positives") > 1) & (F.col("negatives") > N_NEGATIVES))
+    )
+    asked = skew_join(queries, sums, CELL)
     cases = asked.withColumn(
         "draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))
     ).withColumn(
         "scenario", scenario_name(F.col("corpus"), F.col("group_kind"), F.col("camera"))
-    ).withColumn("case_id", _case_key("scenario", "query_id", "draw"))
+    ).withColumn("case_id", case_key("scenario", "query_id", "draw"))
 
     i = hash_int(F.lit(0), F.col("positives") - 1, "positive", "case_id")
     own = cases.withColumn(
@@ -600,16 +669,16 @@ def _family_negatives(indexed: DataFrame, gallery: Layout, wanted: DataFrame) ->
 
 def _outside_negatives(indexed: DataFrame, gallery: Layout) -> DataFrame:
     """Resolve an index among the corpus's other groups."""
-    sizes = gallery.cells.select("corpus", "group_id", "n_group").distinct()
+    sizes = gallery.cells.groupBy("corpus", "group_id").agg(F.sum("n").alias("n_group"))
     groups = prefix_sum(
         sizes, ["corpus"], order_key("groups", "group_id"), "group_id", "n_group", "off_group"
     )
     inside = group_rank(
         gallery.items.select("corpus", "group_id", "item_id"), ["corpus", "group_id"],
         order_key("item", "item_id"), "item_id", "_in",
+        attach=groups.select("corpus", "group_id", "off_group"),
     )
-    placed = skew_join(inside, groups.select("corpus", "group_id", "off_group"), ["corpus", "group_id"])
-    numbered_items = placed.select(
+    numbered_items = inside.select(
         "corpus", (F.col("off_group") + F.col("_in")).alias("pos_corpus"), "item_id"
     )
     own = groups.select("corpus", "group_id", "off_group")
@@ -647,7 +716,8 @@ def enrich(slots: DataFrame, meta: DataFrame, unknown: str = "unknown") -> DataF
     query = owner.withColumnsRenamed(
         {"item_id": "query_id", "group_id": "query_group_id", "entity_id": "query_entity_id"}
     )
-    joined = skew_join(skew_join(slots, owner, ["item_id"], "left"), query, ["query_id"], "left")
+    # Items are unique keys; a much-used item is split by the adaptive skew join.
+    joined = slots.join(owner, "item_id", "left").join(query, "query_id", "left")
     return joined.na.fill(
         unknown, ["group_id", "entity_id", "query_group_id", "query_entity_id"]
     )

@@ -165,9 +165,8 @@ def split_entities(items: DataFrame, n_train: int) -> DataFrame:
 
 def split_fraction(rows: DataFrame, key: str, fraction: float) -> DataFrame:
     """The first ``floor(n * fraction)`` rows in hash order are train."""
-    total = rows.agg(F.count("*")).scalar()
-    ranked = group_rank(rows.select(key), [], order_key("fraction", key), key)
-    is_train = F.col("rank") < F.floor(total * F.lit(fraction))
+    ranked = group_rank(rows.select(key), [], order_key("fraction", key), key, total="n")
+    is_train = F.col("rank") < F.floor(F.col("n") * F.lit(fraction))
     return ranked.select(key, F.when(is_train, "train").otherwise("eval").alias("split"))
 
 
@@ -179,8 +178,10 @@ def group_adjacent_order(rows: DataFrame, group: str, seq: str, width: int = 409
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
     starts = prefix_sum(sizes, [], order_key("adjacent", group), group, "n", "offset")
     bucket = F.floor(F.col(seq) / width)
-    inside = group_rank(rows, [group], seq, seq, "_in", bucket)
-    return skew_join(inside, starts.select(group, "offset"), [group]).select(
+    inside = group_rank(
+        rows, [group], seq, seq, "_in", bucket, attach=starts.select(group, "offset")
+    )
+    return inside.select(
         *rows.columns, (F.col("offset") + F.col("_in")).alias("pos")
     )
 
@@ -370,19 +371,18 @@ def spread_three(
     ``order`` is a non-negative integer key; ``width`` values form one bucket.
     """
     bucket = F.floor(F.col(order) / width)
-    ranked = group_rank(cases, by, order, order, "_pos", bucket)
-    sizes = cases.groupBy(*by).agg(F.count("*").alias("_n"))
+    ranked = group_rank(cases, by, order, order, "_pos", bucket, total="_n")
     n, pos = F.col("_n"), F.col("_pos")
     third = F.floor(n / 3)
     keep = (n <= 3) | pos.isin(0) | (pos == third) | (pos == F.floor(2 * n / 3))
-    return skew_join(ranked, sizes, by).filter(keep).drop("_n", "_pos")
+    return ranked.filter(keep).drop("_n", "_pos")
 
 
 def even_quota(keys: DataFrame, key: str, total: int, remainder: str = "first") -> DataFrame:
     """Share ``total`` over the keys; the remainder goes to the first or last."""
-    n = keys.agg(F.count("*")).scalar()
-    ranked = group_rank(keys.select(key), [], order_key("quota", key), key)
-    return ranked.select(key, quota(F.lit(total), n, F.col("rank"), remainder).alias("quota"))
+    ranked = group_rank(keys.select(key), [], order_key("quota", key), key, total="n")
+    share = quota(F.lit(total).cast("long"), F.col("n"), F.col("rank"), remainder)
+    return ranked.select(key, share.alias("quota"))
 
 
 def cap_dataset(rows: DataFrame, source: str, key: str, n: int) -> DataFrame:

@@ -245,13 +245,13 @@ def first_per_group(neighbors: DataFrame, meta: DataFrame) -> DataFrame:
     remaining groups by their best neighbour.
     """
     owner = meta.select("item_id", "group_id")
-    tagged = skew_join(
-        neighbors.filter(F.col("nbr_id") != F.col("query_id")),
-        owner.withColumnsRenamed({"item_id": "nbr_id", "group_id": "nbr_group"}), ["nbr_id"],
+    # Items are unique keys; a much-cited neighbour is split by the adaptive
+    # skew join, which reads the search result once.
+    tagged = neighbors.filter(F.col("nbr_id") != F.col("query_id")).join(
+        owner.withColumnsRenamed({"item_id": "nbr_id", "group_id": "nbr_group"}), "nbr_id"
     )
-    queries = skew_join(
-        tagged, owner.withColumnsRenamed({"item_id": "query_id", "group_id": "query_group"}),
-        ["query_id"],
+    queries = tagged.join(
+        owner.withColumnsRenamed({"item_id": "query_id", "group_id": "query_group"}), "query_id"
     ).filter(F.col("nbr_group") != F.col("query_group"))
     # At most top-k rows per query, so a query is a small group.
     best = queries.groupBy("query_id", "nbr_group").agg(
@@ -274,7 +274,8 @@ def pick_hard_negatives(
     """
     joined = wanted.filter(F.col("n_pad") > 0).join(candidates, "query_id")
     if "other_group" in wanted.columns:
-        joined = joined.filter(F.col("nbr_group") != F.col("other_group"))
+        other = F.col("other_group")
+        joined = joined.filter(other.isNull() | (F.col("nbr_group") != other))
     # A case has at most top-k candidates.
     by_rank = W.partitionBy("case_id").orderBy("group_rank")
     pooled = joined.withColumn("_place", F.row_number().over(by_rank)).filter(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int, order_key
+from ..session import cut
 from .corpus import CELL, cells
 from .ranking import contiguous_positions, group_rank, prefix_sum, skew_join
 
@@ -24,8 +25,8 @@ GROUP_SOURCE = ["corpus", "group_id", "source_id"]
 class Layout:
     """Numbered items and the extents of their cells.
 
-    items: ``CELL, item_id, pos_entity, pos_source``
-    cells: ``CELL, n, off_entity, n_entity, off_source, n_source, n_group``
+    items: ``CELL, item_id, pos_entity`` and, numbered by source, ``pos_source``
+    cells: ``CELL, n, off_entity, n_entity`` and ``off_source, n_source``
     """
 
     items: DataFrame
@@ -36,36 +37,34 @@ class Layout:
         return self.cells.select("corpus", "group_id", "entity_id", "n_entity").distinct()
 
 
-def layout(items: DataFrame) -> Layout:
-    """Number items by (source, item) in an entity and (entity, item) in a source."""
+def layout(items: DataFrame, by_source: bool = False) -> Layout:
+    """Number items by (source, item) in an entity.
+
+    ``by_source`` also numbers them by (entity, item) in a (group, source).
+    """
     cell = items.groupBy(*CELL).agg(F.count("*").alias("n"))
-    sums = [
-        cell.groupBy(*by).agg(F.sum("n").alias(name))
-        for by, name in (
-            (ENTITY, "n_entity"), (GROUP_SOURCE, "n_source"), (["corpus", "group_id"], "n_group"))
-    ]
-    in_entity = prefix_sum(
-        cell, ENTITY, order_key("source", "source_id"), "source_id", "n", "off_entity"
-    )
-    both = prefix_sum(
-        in_entity, GROUP_SOURCE, order_key("entity", "entity_id"), "entity_id", "n", "off_source"
-    )
-    extents = (
-        both.join(sums[0], ENTITY).join(sums[1], GROUP_SOURCE)
-        .join(sums[2], ["corpus", "group_id"])
+    extents = prefix_sum(
+        cell, ENTITY, order_key("source", "source_id"), "source_id", "n", "off_entity",
+        total="n_entity",
     )
-    ranked = group_rank(
-        items.select(*CELL, "item_id"), CELL, order_key("item", "item_id"), "item_id", "_in"
-    )
-    placed = skew_join(ranked, extents.select(*CELL, "off_entity", "off_source"), CELL)
-    return Layout(
-        placed.select(
-            *CELL, "item_id",
-            (F.col("off_entity") + F.col("_in")).alias("pos_entity"),
-            (F.col("off_source") + F.col("_in")).alias("pos_source"),
-        ),
-        extents,
+    offsets = ["off_entity"]
+    if by_source:
+        extents = prefix_sum(
+            extents, GROUP_SOURCE, order_key("entity", "entity_id"), "entity_id", "n",
+            "off_source", total="n_source",
+        )
+        offsets.append("off_source")
+    # Both tables are read several times by every builder.
+    extents = cut(extents)
+    placed = group_rank(
+        items.select(*CELL, "item_id"), CELL, order_key("item", "item_id"), "item_id", "_in",
+        attach=extents.select(*CELL, *offsets),
     )
+    numbered = cut(placed.select(
+        *CELL, "item_id",
+        *[(F.col(o) + F.col("_in")).alias(o.replace("off", "pos")) for o in offsets],
+    ))
+    return Layout(numbered, extents)
 
 
 def valid_triples(items: DataFrame) -> DataFrame:
@@ -168,7 +167,7 @@ def pool_sizes(items: DataFrame) -> DataFrame:
     other entities of the group; both on the query's source (``same``) or off it
     (``cross``). ``outside``: gallery items of other groups in the corpus.
     """
-    gallery = layout(items.filter(F.col("role") == "gallery"))
+    gallery = layout(items.filter(F.col("role") == "gallery"), by_source=True)
     queries = items.filter(F.col("role") == "query").select(*CELL, "item_id")
     wanted = queries.select(*CELL).distinct()
     sums = _cell_sums(wanted, gallery)
@@ -189,7 +188,7 @@ def _cell_sums(wanted: DataFrame, gallery: Layout) -> DataFrame:
     """Gallery counts around each wanted (corpus, group, entity, source)."""
     c = gallery.cells
     by_source = c.select(*GROUP_SOURCE, "n_source").distinct()
-    by_group = c.select("corpus", "group_id", "n_group").distinct()
+    by_group = c.groupBy("corpus", "group_id").agg(F.sum("n").alias("n_group"))
     by_corpus = by_group.groupBy("corpus").agg(F.sum("n_group").alias("n_corpus"))
     return (
         wanted.join(c.select(*CELL, "n", "off_entity", "off_source"), CELL, "left")

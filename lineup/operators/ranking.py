@@ -24,12 +24,15 @@ SALTS = 32
 
 def prefix_sum(
     df: DataFrame, by: Sequence[str], order: Column | str, tie: str, value: Column | str,
-    name: str, bucket: Column | None = None,
+    name: str, bucket: Column | None = None, total: str | None = None,
+    attach: DataFrame | None = None,
 ) -> DataFrame:
     """Sum of ``value`` over the rows before this one, within ``by``.
 
     ``order`` is a hex key; for another order pass a ``bucket`` that never
-    decreases along it.
+    decreases along it. ``total`` names a column for the group's whole sum.
+    ``attach`` is a table with one row per group; its columns reach the rows
+    through the bucket totals, so a hot group is not joined as one key.
     """
     by = list(by)
     digits = GROUP_DIGITS if by else GLOBAL_DIGITS
@@ -37,9 +40,12 @@ def prefix_sum(
     keyed = df.withColumns({"_order": _col(order), "_bucket": bucket, "_value": _col(value)})
     totals = keyed.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_total"))
     before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    whole = [F.sum("_total").over(W.partitionBy(*by)).alias(total)] if total else []
     starts = totals.select(
-        *by, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start")
+        *by, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"), *whole
     )
+    if attach is not None:
+        starts = starts.join(attach, by)
     inside = (
         W.partitionBy(*by, "_bucket").orderBy("_order", tie)
         .rowsBetween(W.unboundedPreceding, -1)
@@ -54,10 +60,10 @@ def prefix_sum(
 
 def group_rank(
     df: DataFrame, by: Sequence[str], order: Column | str, tie: str, name: str = "rank",
-    bucket: Column | None = None,
+    bucket: Column | None = None, total: str | None = None, attach: DataFrame | None = None,
 ) -> DataFrame:
-    """0-based rank by ``(order, tie)`` within ``by``."""
-    return prefix_sum(df, by, order, tie, F.lit(1), name, bucket)
+    """0-based rank by ``(order, tie)`` within ``by``; options as in ``prefix_sum``."""
+    return prefix_sum(df, by, order, tie, F.lit(1), name, bucket, total, attach)
 
 
 def top_n(
@@ -86,11 +92,12 @@ def contiguous_positions(
         .withColumn("_gkey", order_key(purpose, *group))
     )
     extents = prefix_sum(sizes, [], "_gkey", group[-1], "n", "offset").drop("_gkey")
-    ranked = group_rank(df, group, order_key(purpose, item), item, "_in_group")
-    positions = (
-        skew_join(ranked, extents.select(*group, "offset"), group)
-        .withColumn(name, F.col("offset") + F.col("_in_group"))
-        .drop("offset", "_in_group")
+    ranked = group_rank(
+        df, group, order_key(purpose, item), item, "_in_group",
+        attach=extents.select(*group, "offset"),
+    )
+    positions = ranked.withColumn(name, F.col("offset") + F.col("_in_group")).drop(
+        "offset", "_in_group"
     )
     return positions, extents
 
@@ -102,7 +109,8 @@ def skew_join(
 
     The ``HOT_KEYS`` most frequent keys of ``left`` are salted; any other key
     holds less than one row in ``HOT_KEYS``. The list of hot keys is a fixed
-    number of rows, so it may be broadcast.
+    number of rows, so it may be broadcast. ``left`` is read twice: give it a
+    stored table or a narrow scan.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"the right side is repeated, so {how!r} is not possible")

@@ -43,7 +43,7 @@ def query(final: str) -> str:
     if not needed:
         return final
     parts = ",\n".join(f"{n} AS MATERIALIZED ({TABLES[n]})" for n in needed)
-    return f"WITH {parts}\n{final}"
+    return f"WITH {parts}\nSELECT * FROM ({final})"
 
 
 TABLES["v_kind"] = """
