@@ -99,7 +99,10 @@ def build_prompt_legacy(system, query, gallery, label, caption=None) -> Column:
 
 
 def ranking_text(similarity, stranger_slot, title: str = "Expert similarity scores") -> Column:
-    """Similarities by option letter, highest first; ties keep gallery order."""
+    """Similarities by option letter, highest first; ties keep gallery order.
+
+    Four places, halves away from zero.
+    """
     scored = F.transform(
         _col(similarity),
         lambda s, i: F.struct(

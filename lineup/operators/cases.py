@@ -232,11 +232,16 @@ def scenario_name(corpus, group_kind, camera) -> Column:
     )
 
 
+def named_triples(items: DataFrame) -> DataFrame:
+    """Valid triples with their scenario, stored for the draws that follow."""
+    return cut(valid_triples(items).withColumn(
+        "scenario", scenario_name(F.col("corpus"), F.col("group_kind"), F.col("camera"))
+    ))
+
+
 def exhaustive_requests(items: DataFrame, min_cases: int = 150) -> DataFrame:
     """One request per valid triple; short scenarios are topped up by redrawing."""
-    triples = valid_triples(items).withColumn(
-        "scenario", scenario_name(F.col("corpus"), F.col("group_kind"), F.col("camera"))
-    )
+    triples = named_triples(items)
     key = order_key("triple", "scenario", "entity_id", "source_id")
     ranked = group_rank(
         triples.withColumn("_tie", case_key("entity_id", "source_id")), ["scenario"], key, "_tie"
@@ -257,9 +262,7 @@ def exhaustive_requests(items: DataFrame, min_cases: int = 150) -> DataFrame:
 
 def sampled_requests(items: DataFrame, n_entities: int = 50, n_cases: int = 150) -> DataFrame:
     """``n_cases`` requests per scenario, spread evenly over ``n_entities``."""
-    triples = valid_triples(items).withColumn(
-        "scenario", scenario_name(F.col("corpus"), F.col("group_kind"), F.col("camera"))
-    )
+    triples = named_triples(items)
     per_entity = triples.groupBy("scenario", "entity_id").agg(F.count("*").alias("n_triples"))
     chosen = top_n(
         per_entity, ["scenario"],
@@ -431,7 +434,7 @@ TRAINING_RATES = {1: 1, 2: 2, 3: 2, 4: 3, 5: 4, 6: 5, 7: 6, 8: 6, 9: 6}
 def training_requests(merged: DataFrame, rates: dict[int, int] = TRAINING_RATES) -> DataFrame:
     """Draws over the feasible (camera, source) pairs of each entity."""
     cell = merged.filter(F.col("role") == "gallery").groupBy(*CELL).agg(F.count("*").alias("n"))
-    pairs = feasible_pairs(cell).withColumn("_tie", case_key("camera", "source_id"))
+    pairs = cut(feasible_pairs(cell)).withColumn("_tie", case_key("camera", "source_id"))
     ranked = group_rank(pairs, ENTITY, order_key("pair", "camera", "source_id"), "_tie").drop("_tie")
     per_entity = pairs.groupBy(*ENTITY).agg(
         F.count("*").alias("n_pairs"), F.max("family_size").alias("family_size")

@@ -6,6 +6,7 @@ from ..operators import cases as K
 from ..operators import corpus as C
 from ..operators import reports as R
 from ..operators.ranking import top_n
+from ..session import cut
 from . import views
 from .oracle import (
     SLOT, TABLES, family, hint, known, okey, shuffled, singleton, stratified,
@@ -293,9 +294,9 @@ SELECT scenario, entity_id, query_id FROM (
 def household_test_selection(spark, folder):
     """The test split keeps at most 50 entities and three cases of each."""
     items = views.items(spark, folder)
-    heads = K.heads(K.household_cases(items)).join(
+    heads = cut(K.heads(K.household_cases(items)).join(
         items.select(F.col("item_id").alias("query_id"), "entity_id"), "query_id"
-    ).select("scenario", "entity_id", "query_id")
+    ).select("scenario", "entity_id", "query_id"))
     counts = heads.groupBy("scenario", "entity_id").agg(F.count("*").alias("n"))
     best = top_n(counts, ["scenario"], [F.desc("n"), F.col("entity_id")], 50)
     kept = heads.join(best.select("scenario", "entity_id"), ["scenario", "entity_id"], "left_semi")

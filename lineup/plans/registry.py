@@ -11,7 +11,7 @@ from . import oracle
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+_RAW_SQL: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -22,12 +22,17 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name!r} is registered twice")
         QUERIES[name] = function
         if sql is not None:
-            SQL[name] = oracle.query(sql)
+            _RAW_SQL[name] = sql
         return function
 
     return add
 
 
+def sql() -> dict[str, str]:
+    """Check statements with their fragments in front."""
+    return {name: oracle.query(text) for name, text in _RAW_SQL.items()}
+
+
 def load() -> None:
     """Import every module that registers queries."""
     from . import (  # noqa: F401
