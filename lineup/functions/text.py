@@ -16,7 +16,14 @@ NOUNS = ("man", "woman", "child", "boy", "girl", "lady", "male", "female", "pers
 
 def _bracket(text: Column, opener: str, adjective: str, noun: str) -> Column:
     pattern = rf"(?U)\b{opener} ((?:{adjective}\s+)*?){noun}\b"
-    return F.regexp_replace(text, pattern, f"[{opener} $1{noun}]")
+
+    def rewrite(x: Column) -> Column:
+        # Two plain searches spare most captions the pattern.
+        possible = x.contains(f"{opener} ") & x.contains(noun)
+        return F.when(possible, F.regexp_replace(x, pattern, f"[{opener} $1{noun}]")).otherwise(x)
+
+    # A one-element transform names the text, so nesting does not repeat it.
+    return F.get(F.transform(F.array(text), rewrite), F.lit(0))
 
 
 def tag_caption(text) -> Column:
@@ -33,8 +40,12 @@ def tag_caption(text) -> Column:
     for opener in DEMONSTRATIVES:
         for noun in NOUNS:
             out = _bracket(out, opener, r"\w+(?:-\w+)?", noun)
-    opened = F.length(out) - F.length(F.replace(out, F.lit("["), F.lit("")))
-    return F.when(opened == 1, out).otherwise(F.concat(F.lit("[Person]. "), out))
+
+    def introduce(x: Column) -> Column:
+        opened = F.length(x) - F.length(F.replace(x, F.lit("["), F.lit("")))
+        return F.when(opened == 1, x).otherwise(F.concat(F.lit("[Person]. "), x))
+
+    return F.get(F.transform(F.array(out), introduce), F.lit(0))
 
 
 def retag_caption(text, word, number) -> Column:

@@ -157,7 +157,7 @@ def padded_boxes(spark, folder):
 
 
 _VIDEO = """SELECT c_custkey AS video, CASE WHEN c_nationkey % 5 = 0 THEN 0 ELSE c_nationkey * 1.5 END::DOUBLE AS fps,
-   greatest(0, round(c_acctbal))::BIGINT AS n_frames FROM customer"""
+   greatest(0, round(c_acctbal)::BIGINT // 10)::BIGINT AS n_frames FROM customer"""
 
 
 @register("frame_schedule", f"""
@@ -169,7 +169,7 @@ def frame_schedule(spark, folder):
     videos = views.table(spark, folder, "customer").select(
         F.col("c_custkey").alias("video"),
         F.when(F.col("c_nationkey") % 5 == 0, 0.0).otherwise(F.col("c_nationkey") * 1.5).alias("fps"),
-        F.greatest(F.lit(0.0), F.round("c_acctbal")).cast("long").alias("n_frames"),
+        F.greatest(F.lit(0), F.expr("cast(round(c_acctbal) as bigint) div 10")).cast("long").alias("n_frames"),
     )
     return frames.frame_schedule(videos, 2.0)
 

@@ -7,6 +7,7 @@ from ..operators import frames
 from ..operators import reports as R
 from ..streaming import assign
 from . import views
+from .oracle import TABLES, okey
 from .registry import register
 
 THRESHOLD = 0.25
@@ -41,35 +42,60 @@ def detection_intake(spark, folder):
     ])
 
 
-@register("assign_entities")
+# The fold row by row: each step meets the list of representatives so far.
+TABLES["v_fold"] = f"""
+WITH RECURSIVE ordered AS (
+  SELECT group_id, item_id, ts, vec, row_number() OVER (PARTITION BY group_id ORDER BY ts, item_id) AS n
+  FROM v_items JOIN (SELECT vec_id, embedding::DOUBLE[] AS vec FROM embeddings) USING (vec_id)),
+fold AS (
+  SELECT group_id, n, item_id, ts, 0 AS size_before, 'new (gallery_empty)' AS verdict, 1::BIGINT AS number, [vec] AS reps FROM ordered WHERE n = 1
+  UNION ALL
+  SELECT group_id, n, item_id, ts, len(reps)::INT, CASE WHEN best >= {THRESHOLD} THEN 'matched' ELSE 'new (stranger)' END,
+         CASE WHEN best >= {THRESHOLD} THEN list_position(sims, best) ELSE len(reps) + 1 END,
+         CASE WHEN best >= {THRESHOLD} THEN reps ELSE list_append(reps, vec) END
+  FROM (SELECT *, list_max(sims) AS best FROM (
+    SELECT o.*, f.reps, [round(list_dot_product(r, o.vec), 6) for r in f.reps] AS sims
+    FROM fold f JOIN ordered o ON o.group_id = f.group_id AND o.n = f.n + 1)))
+SELECT group_id, item_id, ts, size_before AS gallery_size_before, verdict, printf('person_%03d', number) AS assigned_to FROM fold"""
+
+
+@register("assign_entities", "SELECT group_id, item_id, gallery_size_before, verdict, assigned_to FROM v_fold")
 def assign_entities(spark, folder):
-    """Ordered fold with growing state: no plain SQL form."""
     return decisions(spark, folder).select(
         "group_id", "item_id", "gallery_size_before", "verdict", "assigned_to"
     )
 
 
-@register("decision_summary")
+_COUNTS = "count(*) AS n_items, count(*) FILTER (verdict LIKE 'new%') AS n_new, count(*) FILTER (verdict = 'matched') AS n_matched"
+
+
+@register("decision_summary", f"SELECT {_COUNTS} FROM v_fold")
 def decision_summary(spark, folder):
     return R.decision_summary(decisions(spark, folder))
 
 
-@register("decision_summary_by_group")
+@register("decision_summary_by_group", f"SELECT group_id, {_COUNTS} FROM v_fold GROUP BY 1")
 def decision_summary_by_group(spark, folder):
-    return R.summary_by_key(decisions(spark, folder))
+    return assign.live_summary(decisions(spark, folder))
 
 
-@register("items_per_entity")
+@register("items_per_entity", f"""
+SELECT group_id, assigned_to, chunk, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items, count(*)::INT AS n_items FROM (
+  SELECT *, ((row_number() OVER (PARTITION BY group_id, assigned_to ORDER BY {okey('assigned', 'item_id')}, item_id) - 1) // 3)::INT AS chunk FROM v_fold)
+GROUP BY ALL""")
 def items_per_entity(spark, folder):
-    return R.items_per_entity(decisions(spark, folder))
+    lists = R.items_per_entity(decisions(spark, folder), chunk=3)
+    return lists.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
 
 
-@register("representatives")
+@register("representatives", """
+SELECT group_id, assigned_to, arg_min(item_id, (ts, item_id)) AS representative, count(*) AS n_items FROM v_fold GROUP BY ALL""")
 def representatives(spark, folder):
     return R.representative(decisions(spark, folder))
 
 
-@register("gallery_state")
+@register("gallery_state", """
+SELECT group_id, assigned_to, min(item_id) FILTER (verdict LIKE 'new%') AS representative, count(*) AS n_items FROM v_fold GROUP BY ALL""")
 def gallery_state(spark, folder):
     return assign.gallery_state(decisions(spark, folder))
 

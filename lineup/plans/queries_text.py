@@ -26,13 +26,32 @@ SELECT doc_id, lang, unnest(range(0, len(t))) AS line_no, unnest(t) AS caption
 FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS t FROM documents)"""
 
 
-@register("tag_captions")
+def _tagged_sql() -> str:
+    """One replacement per (opening word, noun), nested in order."""
+    word = r"[\p{L}\p{N}_]+"
+    out = "caption"
+    for openers, adjective in ((X.ARTICLES, word), (X.DEMONSTRATIVES, rf"{word}(?:-{word})?")):
+        for opener in openers:
+            for noun in X.NOUNS:
+                out = (
+                    rf"regexp_replace({out}, '\b{opener} ((?:{adjective}\s+)*?){noun}\b', "
+                    rf"'[{opener} \1{noun}]', 'g')"
+                )
+    return out
+
+
+@register("tag_captions", f"""
+SELECT doc_id, line_no, CASE WHEN length(t) - length(replace(t, '[', '')) = 1 THEN t ELSE concat('[Person]. ', t) END AS tagged
+FROM (SELECT doc_id, line_no, {_tagged_sql()} AS t FROM (
+  SELECT doc_id, line_no, concat(caption, CASE WHEN doc_id % 3 = 0 THEN ' A tall man waits.' WHEN doc_id % 3 = 1 THEN ' The boy and this long-haired woman.' ELSE '' END) AS caption FROM v_captions))""")
 def tag_captions(spark, folder):
-    """Every document line with its person phrases bracketed. The patterns follow
-    Unicode words, which the check engine's patterns do not; tests compare them
-    with a plain implementation."""
+    """Every document line, most with a phrase added, with person phrases bracketed."""
+    added = (
+        F.when(F.col("doc_id") % 3 == 0, " A tall man waits.")
+        .when(F.col("doc_id") % 3 == 1, " The boy and this long-haired woman.").otherwise("")
+    )
     return views.captions(spark, folder).select(
-        "doc_id", "line_no", X.tag_caption("caption").alias("tagged")
+        "doc_id", "line_no", X.tag_caption(F.concat("caption", added)).alias("tagged")
     )
 
 

@@ -42,7 +42,7 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
         F.when(event % 5 == 0, "query").otherwise("gallery").alias("role"),
         F.when(even, "same").otherwise("cross").alias("corpus"),
         (event % n_vectors).cast("long").alias("vec_id"),
-        F.col("ts"),
+        F.col("ts").cast("timestamp").alias("ts"),
         F.col("value"),
     )
 
