@@ -24,18 +24,15 @@ def order_key(purpose: str, *keys, seed: int = SEED) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def _leading(purpose, keys, digits, seed) -> Column:
-    key = order_key(purpose, *keys, seed=seed)
-    return F.conv(F.substring(key, 1, digits), 16, 10).cast("long")
-
-
 def hash_int(lo, hi, purpose: str, *keys, seed: int = SEED) -> Column:
     """Integer in ``[lo, hi]``, both ends included."""
     lo = lo if isinstance(lo, Column) else F.lit(lo)
     hi = hi if isinstance(hi, Column) else F.lit(hi)
-    return lo + F.pmod(_leading(purpose, keys, 8, seed), hi - lo + 1)
+    return lo + F.pmod(hash_bits(purpose, *keys, seed=seed), hi - lo + 1)
 
 
 def hash_bits(purpose: str, *keys, seed: int = SEED) -> Column:
-    """60-bit integer per row. XOR of two rows' bits orders pairs."""
-    return _leading(purpose, keys, 15, seed)
+    """60-bit integer per row, wide enough to index any table. XOR of two rows'
+    bits orders pairs."""
+    key = order_key(purpose, *keys, seed=seed)
+    return F.conv(F.substring(key, 1, 15), 16, 10).cast("long")

@@ -27,7 +27,7 @@ from .pools import (
     ENTITY, GROUP_SOURCE, Layout, _cell_sums, draw_strangers, feasible_pairs, layout, skip,
     valid_triples,
 )
-from .ranking import group_rank, prefix_sum, quota, skew_join, top_n
+from .ranking import fine_buckets, group_rank, prefix_sum, quota, skew_join, top_n
 
 MAX_GALLERY = 5
 CASE = ["case_id", "scenario", "query_id"]
@@ -116,7 +116,8 @@ def pick_members(
     members = gallery.entities.withColumnRenamed("entity_id", "member_id")
     base = queries.select(*CASE, *CELL, "camera", "q_index")
     if whole_group:
-        pairs = base.join(members, ["corpus", "group_id"])
+        # One row per member by definition; a large group's cases are spread out.
+        pairs = skew_join(base, members, ["corpus", "group_id"])
     else:
         pairs = base.withColumn("member_id", F.col("entity_id")).join(
             members, ["corpus", "group_id", "member_id"]
@@ -244,7 +245,8 @@ def exhaustive_requests(items: DataFrame, min_cases: int = 150) -> DataFrame:
     triples = named_triples(items)
     key = order_key("triple", "scenario", "entity_id", "source_id")
     ranked = group_rank(
-        triples.withColumn("_tie", case_key("entity_id", "source_id")), ["scenario"], key, "_tie"
+        triples.withColumn("_tie", case_key("entity_id", "source_id")), ["scenario"], key, "_tie",
+        bucket=fine_buckets(key),
     ).drop("_tie")
     counts = triples.groupBy("scenario").agg(F.count("*").alias("n"))
     draws = numbered(
@@ -386,9 +388,10 @@ def stratified_requests(targets: DataFrame, scenario: str, total: Column) -> Dat
         hash_int(F.lit(0), F.col("n_groups") - 1, "target_group", F.lit(scenario),
                  "family_size", "draw").alias("rank"),
     )
+    key = order_key("targets", "corpus", "group_id")
     ranked = group_rank(
-        targets.withColumn("_tie", case_key("corpus", "group_id")), ["family_size"],
-        order_key("targets", "corpus", "group_id"), "_tie",
+        targets.withColumn("_tie", case_key("corpus", "group_id")), ["family_size"], key, "_tie",
+        bucket=fine_buckets(key),
     ).drop("_tie")
     return ranked.join(draws, ["family_size", "rank"]).drop("rank").withColumn(
         "scenario", F.lit(scenario)
@@ -596,11 +599,11 @@ def household_cases(items: DataFrame, draws: int = 1) -> DataFrame:
         }).filter((F.col("positives") > 1) & (F.col("negatives") > N_NEGATIVES))
     )
     asked = skew_join(queries, sums, CELL)
-    cases = asked.withColumn(
+    cases = cut(asked.withColumn(
         "draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))
     ).withColumn(
         "scenario", scenario_name(F.col("corpus"), F.col("group_kind"), F.col("camera"))
-    ).withColumn("case_id", case_key("scenario", "query_id", "draw"))
+    ).withColumn("case_id", case_key("scenario", "query_id", "draw")))
 
     i = hash_int(F.lit(0), F.col("positives") - 1, "positive", "case_id")
     own = cases.withColumn(
@@ -656,7 +659,8 @@ def _family_negatives(indexed: DataFrame, gallery: Layout, wanted: DataFrame) ->
     order = W.partitionBy(*CELL, "camera").orderBy(order_key("source", "pool_source"), "pool_source")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     segments = segments.withColumn("low", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    hits = indexed.join(
+    hits = skew_join(
+        indexed,
         segments.select(*CELL, "camera", "pool_source", "own_n", "own_off", "low", "length"),
         [*CELL, "camera"],
     ).filter((F.col("i") >= F.col("low")) & (F.col("i") < F.col("low") + F.col("length")))
@@ -673,8 +677,9 @@ def _family_negatives(indexed: DataFrame, gallery: Layout, wanted: DataFrame) ->
 def _outside_negatives(indexed: DataFrame, gallery: Layout) -> DataFrame:
     """Resolve an index among the corpus's other groups."""
     sizes = gallery.cells.groupBy("corpus", "group_id").agg(F.sum("n").alias("n_group"))
+    key = order_key("groups", "group_id")
     groups = prefix_sum(
-        sizes, ["corpus"], order_key("groups", "group_id"), "group_id", "n_group", "off_group"
+        sizes, ["corpus"], key, "group_id", "n_group", "off_group", fine_buckets(key)
     )
     inside = group_rank(
         gallery.items.select("corpus", "group_id", "item_id"), ["corpus", "group_id"],

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranking import chunked_lists, group_rank, prefix_sum, quota, skew_join, top_n
+from .ranking import chunked_lists, fine_buckets, group_rank, prefix_sum, quota, skew_join, top_n
 from ..functions.hashing import order_key
 
 CELL = ["corpus", "group_id", "entity_id", "source_id"]
@@ -294,14 +294,12 @@ def leakage_by_scenario(train: DataFrame, evaluation: DataFrame, scenarios: list
 
 def entity_index(items: DataFrame, chunk: int = 10_000) -> DataFrame:
     """Positions of each entity's items in the query and gallery lists."""
-    ranked = group_rank(
-        items, ["role"], order_key("listing", "item_id"), "item_id", "position"
-    )
-    listed = chunked_lists(
+    key = order_key("listing", "item_id")
+    ranked = group_rank(items, ["role"], key, "item_id", "position", fine_buckets(key))
+    return chunked_lists(
         ranked.select("entity_id", "role", "position"), ["entity_id", "role"],
         "position", "entity_index", "positions", chunk,
     )
-    return listed
 
 
 def orphan_queries(items: DataFrame) -> DataFrame:

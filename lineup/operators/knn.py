@@ -18,7 +18,7 @@ from ..functions.hashing import hash_bits, order_key
 from ..functions.vectors import dot
 from .ranking import skew_join, top_n
 
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 128 << 20
 DIGITS = 6
 
 
@@ -50,6 +50,31 @@ def _spread(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other:
     )
 
 
+def _spread_within(
+    queries: DataFrame, corpus: DataFrame, within: str, budget: int,
+    layout: tuple[int, int] | None,
+) -> tuple[DataFrame, DataFrame]:
+    """Blocks inside each group: only a group larger than a block is copied."""
+    if layout:
+        parts = F.lit(layout[1]).cast("long")
+    else:
+        dim = corpus.agg(F.max(F.size("vec"))).first()[0] or 1
+        parts = F.ceil(F.col("_n") / max(1, budget // (8 * dim))).cast("long")
+    sizes = corpus.groupBy(within).agg(F.count("*").alias("_n")).select(
+        within, parts.alias("_parts")
+    )
+
+    def spread(df: DataFrame, own: str, other: str) -> DataFrame:
+        fresh = df.select(*[F.col(c).alias(c) for c in df.columns])
+        placed = skew_join(fresh, sizes, [within])
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
+        return placed.withColumn(own, F.pmod(F.xxhash64("item_id"), F.col("_parts"))).withColumn(
+            other, copies
+        ).select(*[F.col(c).alias(c) for c in (*df.columns, own, other)])
+
+    return spread(queries, "_q", "_c"), spread(corpus, "_c", "_q")
+
+
 def _matrix(table: pa.Table, name: str = "vec") -> np.ndarray:
     column = table.column(name).combine_chunks()
     flat = np.asarray(column.flatten(), dtype=np.float64)
@@ -87,11 +112,15 @@ def knn_topk(
     ``query_id, nbr_id, rank, sim`` with ``sim`` rounded to 6 places before
     ranking.
     """
-    n_query, n_corpus = layout or _layout(queries, corpus, budget)
     by = [within] if within else []
     keep = ["item_id", *by, "vec"]
-    left = _spread(queries.select(*keep), "item_id", "_q", n_query, "_c", n_corpus)
-    right = _spread(corpus.select(*keep), "item_id", "_c", n_corpus, "_q", n_query)
+    if within:
+        left, right = _spread_within(queries.select(*keep), corpus.select(*keep), within, budget, layout)
+        n_corpus = None
+    else:
+        n_query, n_corpus = layout or _layout(queries, corpus, budget)
+        left = _spread(queries.select(*keep), "item_id", "_q", n_query, "_c", n_corpus)
+        right = _spread(corpus.select(*keep), "item_id", "_c", n_corpus, "_q", n_query)
     id_type = corpus.schema["item_id"].dataType.simpleString()
     schema = f"query_id {id_type}, best array<struct<neg:double,nbr:{id_type}>>"
 
@@ -129,7 +158,7 @@ def knn_topk(
         .applyInArrow(best, schema)
     )
     merged = partial
-    if n_corpus > 1:
+    if n_corpus != 1:
         merged = partial.groupBy("query_id").agg(
             F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best")
         )

@@ -22,6 +22,11 @@ HOT_KEYS = 1000
 SALTS = 32
 
 
+def fine_buckets(order: Column | str) -> Column:
+    """Buckets for a table with few but large groups."""
+    return F.substring(_col(order), 1, GLOBAL_DIGITS)
+
+
 def prefix_sum(
     df: DataFrame, by: Sequence[str], order: Column | str, tie: str, value: Column | str,
     name: str, bucket: Column | None = None, total: str | None = None,

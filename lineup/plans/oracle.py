@@ -20,8 +20,7 @@ def okey(purpose: str, *cols: str) -> str:
 
 
 def hint(lo: str, hi: str, purpose: str, *cols: str) -> str:
-    key = okey(purpose, *cols)
-    return f"({lo} + ('0x' || substr({key}, 1, 8))::BIGINT % (({hi}) - ({lo}) + 1))"
+    return f"({lo} + {hbits(purpose, *cols)} % (({hi}) - ({lo}) + 1))"
 
 
 def hbits(purpose: str, *cols: str) -> str:

@@ -201,11 +201,11 @@ def entity_index(spark, folder):
 
 
 @register("orphan_queries", """
-SELECT DISTINCT corpus, entity_id FROM v_items WHERE role = 'query' AND (corpus, entity_id) NOT IN (SELECT (corpus, entity_id) FROM v_items WHERE role = 'gallery' AND vec_id % 2 = 1 AND entity_id % 3 > 0)""")
+SELECT DISTINCT corpus, entity_id FROM v_items WHERE role = 'query'
+  AND (corpus, entity_id) NOT IN (SELECT (corpus, entity_id) FROM v_items WHERE role = 'gallery' AND source_id = 0)""")
 def orphan_queries(spark, folder):
-    """Audit of a gallery that lost every third entity and half its items."""
-    items = views.items(spark, folder)
-    kept = items.filter("role = 'query' OR (vec_id % 2 = 1 AND entity_id % 3 > 0)")
+    """Audit of a corpus whose gallery kept one source only."""
+    kept = views.items(spark, folder).filter("role = 'query' OR source_id = 0")
     return C.orphan_queries(kept)
 
 
@@ -236,23 +236,20 @@ def removal_report(spark, folder):
 
 
 @register("emptied_entities", """
-SELECT corpus, group_id, entity_id FROM v_items WHERE role = 'gallery' GROUP BY ALL HAVING count(*) FILTER (source_id <> 0) = 0
-UNION ALL SELECT corpus, group_id, entity_id FROM v_items WHERE role = 'gallery' AND entity_id % 10 = 3
-GROUP BY ALL HAVING count(*) FILTER (source_id <> 0) > 0""")
+SELECT corpus, group_id, entity_id FROM v_items WHERE role = 'gallery' GROUP BY ALL HAVING count(*) FILTER (source_id = 0) = 0""")
 def emptied_entities(spark, folder):
-    """Drop source 0 and every item of each tenth entity, then look for losses."""
+    """Cleaning that kept one source empties the entities never seen there."""
     items = views.items(spark, folder)
-    kept = items.filter("role = 'query' OR (source_id <> 0 AND entity_id % 10 <> 3)")
-    return C.emptied_entities(items, kept)
+    return C.emptied_entities(items, items.filter("role = 'query' OR source_id = 0"))
 
 
 @register("verdict_filter", """
-SELECT item_id, role, NOT (role = 'gallery' AND contains(path, '_EV' || item_id) AND item_id % 10 = 7) AS keep FROM v_paths""")
+SELECT item_id, role, NOT (role = 'gallery' AND contains(path, '_CAM3_')) AS keep FROM v_paths""")
 def verdict_filter(spark, folder):
-    """A rule stands in for the model: it answers NO for events ending in 7."""
+    """A rule stands in for the model: it answers NO for one camera."""
 
     def rule(paths):
-        return "\n".join("no" if p.split("_")[-3].endswith("7") else "YES" for p in paths)
+        return "\n".join("no" if "_CAM3_" in p else "YES" for p in paths)
 
     rows = views.paths(spark, folder).join(
         views.items(spark, folder).select("item_id", "group_id", "entity_id", "source_id"), "item_id"
