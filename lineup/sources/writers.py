@@ -86,8 +86,8 @@ def write_decisions(decisions: DataFrame, folder: str, checkpoint: str):
 def resumable_write(rows: DataFrame, key: str, folder: str) -> None:
     """Append only the keys the folder does not hold yet.
 
-    Rows are laid out by key range, and the job commits as a whole: a job that
-    was interrupted leaves nothing behind and is simply started again.
+    Spark makes a job's files visible when the job commits, so an interrupted
+    run is started again and skips the keys of the runs that finished.
     """
     spark = rows.sparkSession
     done = read_or_empty(spark, folder, rows.schema).select(key).distinct()
