@@ -164,7 +164,7 @@ def knn_topk(
         )
     return merged.select("query_id", F.posexplode("best").alias("pos", "b")).select(
         "query_id", F.col("b.nbr").alias("nbr_id"),
-        (F.col("pos") + 1).alias("rank"), (-F.col("b.neg")).alias("sim"),
+        (F.col("pos") + 1).alias("rank"), (F.lit(0.0) - F.col("b.neg")).alias("sim"),
     )
 
 

@@ -115,7 +115,8 @@ def skew_join(
     The ``HOT_KEYS`` most frequent keys of ``left`` are salted; any other key
     holds less than one row in ``HOT_KEYS``. The list of hot keys is a fixed
     number of rows, so it may be broadcast. ``left`` is read twice: give it a
-    stored table or a narrow scan.
+    stored table or a narrow scan. Rows spread by their ``item_id``, or by all
+    columns without one; a salt from the row survives task retries.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"the right side is repeated, so {how!r} is not possible")
@@ -125,7 +126,8 @@ def skew_join(
         .orderBy(F.desc("_n"), *on).limit(HOT_KEYS)
         .select(*on, F.lit(True).alias("_hot"))
     )
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(SALTS))
+    spread_by = ["item_id"] if "item_id" in left.columns and "item_id" not in on else left.columns
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(SALTS))
     salted = left.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0).cast("long"))
     ).drop("_hot")

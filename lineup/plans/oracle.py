@@ -136,7 +136,7 @@ SELECT i.item_id, i.group_id, i.vec_id, e.embedding::DOUBLE[] AS vec
 FROM v_items i JOIN embeddings e ON e.vec_id = i.vec_id"""
 
 TABLES["v_sims"] = """
-SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0 AS sim
 FROM embeddings a CROSS JOIN embeddings b"""
 
 

@@ -127,7 +127,7 @@ def enrich_cases(spark, folder):
 
 
 @register("score_cases", """
-SELECT case_id, pos, s.item_id, round(v.sim, 4) AS sim FROM v_suite s JOIN v_items g USING (item_id)
+SELECT case_id, pos, s.item_id, round(v.sim, 4) + 0.0 AS sim FROM v_suite s JOIN v_items g USING (item_id)
 JOIN v_items q ON q.item_id = s.query_id
 JOIN (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS sim FROM embeddings x, embeddings y) v
   ON v.a = q.vec_id AND v.b = g.vec_id""")

@@ -189,7 +189,7 @@ def prompt_legacy(spark, folder):
 
 TABLES["v_ranking"] = """
 SELECT case_id, concat('Expert similarity scores (cosine, higher = more similar to query):', chr(10),
-       string_agg(concat('  ', chr((65 + CASE WHEN pos - 1 < stranger_slot THEN pos - 1 ELSE pos END)::INT), ': ', printf('%.4f', round(sim::DECIMAL(18, 6), 4)::DOUBLE),
+       string_agg(concat('  ', chr((65 + CASE WHEN pos - 1 < stranger_slot THEN pos - 1 ELSE pos END)::INT), ': ', CASE WHEN sim < 0 THEN '-' ELSE '' END, printf('%.4f', abs(round(sim::DECIMAL(18, 6), 4)::DOUBLE)),
                          '  ← rank ', r, CASE WHEN r = 1 THEN ', highest similarity' ELSE '' END), chr(10) ORDER BY r)) AS ranking
 FROM (SELECT s.case_id, s.pos, v.sim, l.stranger_slot, row_number() OVER (PARTITION BY s.case_id ORDER BY v.sim DESC, s.pos) AS r
       FROM v_suite s JOIN v_lettered l USING (case_id) JOIN v_items g ON g.item_id = s.item_id JOIN v_items q ON q.item_id = s.query_id
