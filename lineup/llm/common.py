@@ -48,18 +48,21 @@ def one_row_per_id(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     the greatest text stays. Without repeats the texts are not shuffled."""
     docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
     docs = docs.where(F.col(key).isNotNull())
-    repeated = docs.groupBy(key).count().where("count > 1").limit(1).count()
-    return docs.groupBy(key).agg(F.max(text).alias(text)) if repeated else docs
+    return docs.groupBy(key).agg(F.max(text).alias(text)) if repeats(docs, key) else docs
+
+
+def repeats(docs: DataFrame, key: str = "doc_id") -> bool:
+    """Whether any key other than null stands in several rows."""
+    return bool(docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count())
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 
 
-def buckets_for(spark: SparkSession, entries: float, most: int = 3_000_000) -> int:
-    """Number of hash buckets: several a task, none above ``most`` entries on average."""
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(6 * tasks, math.ceil(entries / most))
+def buckets_for(entries: float, most: int = 3_000_000, least: int = 256) -> int:
+    """Number of hash buckets, none above ``most`` entries on average."""
+    return max(least, math.ceil(entries / most))
 
 
 def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +193,3 @@ def gram_hash(words: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
         out += term
         factor = factor * 0x2545F4914F6CDD1D % (1 << 64)
     return mix(out)
-
-
-def digests(values: list[np.ndarray]) -> list[bytes]:
-    return [v.tobytes() for v in values]

@@ -303,9 +303,8 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie between 50 and 100")
-    spark = docs.sparkSession
     docs = common.one_row_per_id(docs)
-    n_buckets = common.buckets_for(spark, common.text_bytes(docs) / 12)
+    n_buckets = common.buckets_for(common.text_bytes(docs) / 12)
     facts = store(
         docs.mapInArrow(_seen(size, n_buckets), _SEEN).groupBy("bucket").applyInPandas(_shared, _FACTS)
         .groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("shared", "n", "half", "h1", "h2")]), "facts")
