@@ -8,8 +8,8 @@ bytes starts in exactly one phrase and lies inside it.
 1. The dictionary holds each distinct phrase once, with its smallest document.
    Every other document drops all strings that start in such a phrase.
 2. Left are the suffixes of dictionary phrases, each in one document. Those
-   whose first ``length`` bytes hold a minimizer that occurs once are unlike any
-   other. The rest are dealt into buckets by their first bytes, and each bucket
+   whose first ``length`` bytes hold a minimizer that no other phrases hold are
+   unlike any other. The rest are dealt into buckets by their first bytes, and each bucket
    sorts its share of the dictionary's suffixes: equal neighbours are one string.
 3. The parse, phrase by phrase, puts both answers back at their places in the
    corpus order of documents and bytes.
@@ -34,10 +34,11 @@ from . import common
 from .common import store
 
 TRIGGER = 12  # bytes that a trigger looks at
-SPACING = 160  # bytes between triggers, on average
+SPACING = 128  # bytes between triggers, on average
 CHUNK = 1 << 20  # bytes of text in a row that tasks exchange, or one longer text
 
 _CHUNK = "chunk long, ids binary, offsets binary, data binary"
+_ZSTD = "zstd"
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -50,10 +51,19 @@ def _cut(batches):
         new = np.concatenate([[0], np.cumsum(size)])
         at = np.repeat(offsets[:-1][order] - new[:-1], size) + np.arange(new[-1])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([int(ids[order[0]])]), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[order], new, data[at]))],
+            [pa.array([int(ids[order[0]])]), *(pa.array([x], pa.binary()) for x in (
+                ids[order].tobytes(), new.tobytes(), _shrink(data[at])))],
             ["chunk", "ids", "offsets", "data"])
 
 
+def _shrink(data: np.ndarray) -> bytes:
+    return pa.compress(data.tobytes(), _ZSTD, asbytes=True) if data.nbytes else b""
+
+
+def _grow(data, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, size, _ZSTD, asbytes=True) if size else b"", np.uint8)
+
+
 class _Parse:
     """Phrases, minimizers and strings of the documents of one chunk."""
 
@@ -81,8 +91,13 @@ class _Parse:
         self.phrase = [common.mix(common.span_hash(p, begin, reach, k) + size) for k, p in enumerate(self.prefix)]
         self.phrase_doc = self.doc[begin]
 
-    def minimizers(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct minimizers of the strings, and for every place which of them its string has."""
+    def minimizers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct minimizers of the strings, the phrases that each belongs to, and
+        for every place which minimizer its string has.
+
+        The phrases are named by five bytes of a hash over those in which strings
+        with the minimizer start, for a run of such strings; 0 stands for several names.
+        """
         gram = min(24, self.length)
         width = self.length - gram + 1
         hashed = common.window_hash(self.prefix[0], gram)
@@ -94,21 +109,21 @@ class _Parse:
         places = np.flatnonzero(self.valid)
         value = low[places]
         new = np.ones(len(value), bool)
-        new[1:] = value[1:] != value[:-1]
+        new[1:] = (value[1:] != value[:-1]) | (places[1:] != places[:-1] + 1)
         kinds, index = np.unique(value[new], return_inverse=True)
         which = np.full(len(self.data), -1, np.int64)
         which[places] = index[np.cumsum(new) - 1]
-        return kinds, which
-
-    def lone(self, kinds: np.ndarray, which: np.ndarray) -> np.ndarray:
-        """Number of documents of the chunk in which each minimizer occurs: 1, or 2 for more."""
-        places = np.flatnonzero(which >= 0)
-        low = np.full(len(kinds), len(self.ids), np.int64)
-        high = np.full(len(kinds), -1, np.int64)
-        # Documents ascend with the places, so the last write is the greatest.
-        high[which[places]] = self.doc[places]
-        low[which[places[::-1]]] = self.doc[places[::-1]]
-        return np.where(low == high, 1, 2).astype(np.uint8)
+        runs = np.flatnonzero(new)
+        ends = np.append(runs[1:], len(value)) - 1 if len(runs) else runs
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.phrase[0])])
+        a = np.searchsorted(self.begin, places[runs], side="right") - 1
+        b = np.searchsorted(self.begin, places[ends], side="right")
+        name = (common.mix(total[b] - total[a]) >> np.uint64(24)) | np.uint64(1)
+        one = np.zeros(len(kinds), np.uint64)
+        one[index] = name
+        several = np.zeros(len(kinds), bool)
+        several[index[one[index] != name]] = True
+        return kinds, np.where(several, np.uint64(0), one), which
 
     def starts_in(self, chosen: np.ndarray) -> np.ndarray:
         """Which strings start in the chosen phrases."""
@@ -125,9 +140,17 @@ def _by_bucket(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _phrase_kinds(parse: _Parse):
-    """First occurrence of each distinct phrase of the chunk, and which one each phrase is."""
+    """First occurrence of each distinct phrase of the chunk, in order, and which one each phrase is."""
     _, first, index = np.unique(parse.phrase[0] ^ common.mix(parse.phrase[1]), return_index=True, return_inverse=True)
-    return first, index
+    return _in_order(first, index)
+
+
+def _in_order(first: np.ndarray, index: np.ndarray):
+    """Number kinds by their first occurrence, so that the documents beside them ascend."""
+    order = np.argsort(first)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return first[order], back[index]
 
 
 def _ask(n_buckets: int, length: int):
@@ -139,16 +162,16 @@ def _ask(n_buckets: int, length: int):
                 first, _ = _phrase_kinds(parse)
                 h1, h2, doc = parse.phrase[0][first], parse.phrase[1][first], parse.ids[parse.phrase_doc[first]]
                 o, e = _by_bucket(h1, n_buckets)
-                kinds, which = parse.minimizers()
-                lone = parse.lone(kinds, which)
+                kinds, names, _ = parse.minimizers()
                 mo, me = _by_bucket(kinds, n_buckets)
-                h1, h2, doc, prints, lone = h1[o], h2[o], doc[o], kinds[mo].astype(np.uint32), lone[mo]
+                h1, h2, doc, prints = h1[o], h2[o], doc[o], kinds[mo].astype(np.uint32)
+                names = names[mo].view(np.uint8).reshape(-1, 8)[:, :5].copy()
                 full = np.flatnonzero((np.diff(e) > 0) | (np.diff(me) > 0))
                 part = lambda x, ends: pa.array([x[ends[j] : ends[j + 1]].tobytes() for j in full], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk)), part(h1, e), part(h2, e),
-                     part(doc, e), part(prints, me), part(lone, me)],
-                    ["bucket", "chunk", "h1", "h2", "doc", "prints", "lone"])
+                     part(doc, e), part(prints, me), part(names, me)],
+                    ["bucket", "chunk", "h1", "h2", "doc", "prints", "names"])
 
     return rows
 
@@ -157,7 +180,8 @@ def _parses(batch, length: int):
     fields = {k: common.buffers(batch.column(batch.schema.get_field_index(k))) for k in ("ids", "offsets", "data")}
     for i, chunk in enumerate(common.column(batch, "chunk", 0, len(batch))):
         ids, offsets, data = (fields[k][0][fields[k][1][i] : fields[k][1][i + 1]].copy() for k in ("ids", "offsets", "data"))
-        yield int(chunk), _Parse(ids.view(np.int64), offsets.view(np.int64), data, length)
+        offsets = offsets.view(np.int64)
+        yield int(chunk), _Parse(ids.view(np.int64), offsets, _grow(data, int(offsets[-1])), length)
 
 
 def _joined(rows: pd.Series, kind) -> np.ndarray:
@@ -176,16 +200,23 @@ def _smallest(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
-    """The smallest document of each phrase, and whether a minimizer is in several documents."""
+    """The smallest document of each phrase, and whether a minimizer belongs to several phrases."""
     least = _smallest(_joined(rows["h1"], np.uint64), _joined(rows["h2"], np.uint64), _joined(rows["doc"], np.int64))
-    _, index = np.unique(_joined(rows["prints"], np.uint32), return_inverse=True)
-    shared = (np.bincount(index, weights=_joined(rows["lone"], np.uint8)) > 1)[index]
+    kinds, index = np.unique(_joined(rows["prints"], np.uint32), return_inverse=True)
+    name = np.zeros((len(index), 8), np.uint8)
+    name[:, :5] = _joined(rows["names"], np.uint8).reshape(-1, 5)
+    name = name.view(np.uint64)[:, 0]
+    one = np.zeros(len(kinds), np.uint64)
+    one[index] = name
+    several = np.zeros(len(kinds), bool)
+    several[index[(one[index] != name) | (name == 0)]] = True
+    shared = several[index]
     at = np.cumsum([len(x) // 8 for x in rows["h1"]])[:-1]
     mt = np.cumsum([len(x) // 4 for x in rows["prints"]])[:-1]
     return pd.DataFrame({
         "chunk": rows["chunk"], "bucket": rows["bucket"],
         "least": [x.tobytes() for x in np.split(least, at)],
-        "shared": [x.tobytes() for x in np.split(shared.astype(np.uint8), mt)]})
+        "shared": [np.packbits(x).tobytes() for x in np.split(shared, mt)], "n": [len(x) // 4 for x in rows["prints"]]})
 
 
 def _digest(ids, offsets, data, starts, length: int, keep_bytes: bool) -> pd.DataFrame:
@@ -218,23 +249,21 @@ def _resolve(n_buckets: int, length: int, keep_bytes: bool):
         answers = answers.sort_values("bucket")
         out = []
         for r in chunks.itertuples():
-            parse = _Parse(np.frombuffer(r.ids, np.int64), np.frombuffer(r.offsets, np.int64),
-                           np.frombuffer(r.data, np.uint8), length)
+            offsets = np.frombuffer(r.offsets, np.int64)
+            parse = _Parse(np.frombuffer(r.ids, np.int64), offsets, _grow(r.data, int(offsets[-1])), length)
             first, index = _phrase_kinds(parse)
             o, _ = _by_bucket(parse.phrase[0][first], n_buckets)
             least = np.empty(len(first), np.int64)
             least[o] = _joined(answers["least"], np.int64)
-            kinds, which = parse.minimizers()
+            kinds, _, which = parse.minimizers()
             mo, _ = _by_bucket(kinds, n_buckets)
             shared = np.empty(len(kinds), bool)
-            shared[mo] = _joined(answers["shared"], np.uint8).astype(bool)
+            shared[mo] = np.concatenate([np.zeros(0, np.uint8), *(
+                np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(answers["shared"], answers["n"]))]).astype(bool)
 
             own = parse.ids[parse.phrase_doc]
             gone = parse.starts_in(least[index] < own)
-            # A phrase repeated inside its own first document is asked about once.
-            once = np.zeros(len(index), bool)
-            once[first] = True
-            open_ = parse.starts_in((least[index] == own)) & ~gone
+            open_ = parse.starts_in(least[index] == own) & ~gone
             places = np.flatnonzero(open_)
             places = places[shared[which[places]]] if len(places) else places
             waiting = np.zeros(len(parse.ids), bool)
@@ -253,19 +282,24 @@ def _resolve(n_buckets: int, length: int, keep_bytes: bool):
             h2 = (h2 >> np.uint64(32)).astype(np.uint32)
             # Places ascend with the documents, so the first of a key has the smallest.
             _, one, slot = np.unique(h1, return_index=True, return_inverse=True)
+            one, slot = _in_order(one, slot)
             order, ends = _by_bucket(h1[one], n_buckets)
             back = np.empty(len(order), np.int64)
             back[order] = np.arange(len(order))
             one = one[order]
-            doc = parse.ids[parse.doc[places[one]]]
+            holder = parse.doc[places]
+            doc = parse.ids[holder[one]]
+            later = holder != holder[_first_of(slot)]
+            new_places = places + move[holder]
             for j in np.flatnonzero(np.diff(ends)):
                 s = slice(ends[j], ends[j + 1])
                 out.append(pd.DataFrame([{"chunk": r.chunk, "bucket": j, "h1": h1[one][s].tobytes(),
                                           "h2": h2[one][s].tobytes(), "doc": doc[s].tobytes()}]))
             out.append(pd.DataFrame([{
                 "chunk": r.chunk, "ids": parse.ids[todo].tobytes(), "offsets": new.tobytes(),
-                "data": parse.data[at].tobytes(), "starts": np.packbits(gone[at]).tobytes(),
-                "places": (places + move[parse.doc[places]]).tobytes(), "slots": back[slot].astype(np.uint32).tobytes()}]))
+                "data": _shrink(parse.data[at]), "starts": np.packbits(_with(gone[at], new_places[later])).tobytes(),
+                "places": np.diff(new_places[~later], prepend=0).astype(np.uint32).tobytes(),
+                "slots": back[slot[~later]].astype(np.uint32).tobytes()}]))
         frame = pd.concat(out) if out else pd.DataFrame(columns=names)
         frame = frame.reindex(columns=names)
         for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "chunk", "bucket"):
@@ -275,6 +309,19 @@ def _resolve(n_buckets: int, length: int, keep_bytes: bool):
     return rows
 
 
+def _first_of(slot: np.ndarray) -> np.ndarray:
+    """Where each entry's kind stands first."""
+    first = np.full(slot.max() + 1, len(slot), np.int64)
+    first[slot[::-1]] = np.arange(len(slot))[::-1]
+    return first[slot]
+
+
+def _with(mask: np.ndarray, places: np.ndarray) -> np.ndarray:
+    mask = mask.copy()
+    mask[places] = True
+    return mask
+
+
 def _part(parse: _Parse, docs: np.ndarray, starts: np.ndarray, length: int, keep_bytes: bool) -> pd.DataFrame:
     size = np.diff(parse.offsets)[docs]
     new = np.concatenate([[0], np.cumsum(size)])
@@ -283,24 +330,26 @@ def _part(parse: _Parse, docs: np.ndarray, starts: np.ndarray, length: int, keep
 
 
 def _sorted_suffixes(rows: pd.DataFrame) -> pd.DataFrame:
-    """The smallest document of each string of a bucket."""
-    least = _smallest(_joined(rows["h1"], np.uint64), _joined(rows["h2"], np.uint32), _joined(rows["doc"], np.int64))
-    at = np.cumsum([len(x) // 8 for x in rows["h1"]])[:-1]
-    return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"],
-                         "least": [x.tobytes() for x in np.split(least, at)]})
+    """Whether each string of a bucket also starts in a smaller document than the asking one."""
+    doc = _joined(rows["doc"], np.int64)
+    seen = _smallest(_joined(rows["h1"], np.uint64), _joined(rows["h2"], np.uint32), doc) < doc
+    sizes = [len(x) // 8 for x in rows["h1"]]
+    return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "n": sizes,
+                         "seen": [np.packbits(x).tobytes() for x in np.split(seen, np.cumsum(sizes)[:-1])]})
 
 
 def _finish(length: int, keep_bytes: bool):
     def rows(key, chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        least = _joined(answers.sort_values("bucket")["least"], np.int64)
+        answers = answers.sort_values("bucket")
+        seen = np.concatenate([np.zeros(0, np.uint8), *(
+            np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(answers["seen"], answers["n"]))]).astype(bool)
         out = []
         for r in chunks.itertuples():
             ids, offsets = np.frombuffer(r.ids, np.int64), np.frombuffer(r.offsets, np.int64)
-            data = np.frombuffer(r.data, np.uint8)
+            data = _grow(r.data, int(offsets[-1]))
             starts = np.unpackbits(np.frombuffer(r.starts, np.uint8), count=len(data)).astype(bool)
-            places = np.frombuffer(r.places, np.int64)
-            doc = np.searchsorted(offsets, places, side="right") - 1
-            starts[places] |= least[np.frombuffer(r.slots, np.uint32)] < ids[doc]
+            places = np.cumsum(np.frombuffer(r.places, np.uint32).astype(np.int64))
+            starts[places] |= seen[np.frombuffer(r.slots, np.uint32)]
             out.append(_digest(ids, offsets, data, starts, length, keep_bytes))
         return pd.concat(out)
 
@@ -326,13 +375,13 @@ def suffix_dedup(docs: DataFrame, length: int = 50, keep_bytes: bool = False) ->
     n_buckets = common.buckets_for(common.text_bytes(docs) / 12)
     chunks = store(docs.mapInArrow(_cut, _CHUNK), "chunks")
     answers = chunks.mapInArrow(_ask(n_buckets, length), (
-        "bucket int, chunk long, h1 binary, h2 binary, doc binary, prints binary, lone binary")).groupBy(
-        "bucket").applyInPandas(_answer, "chunk long, bucket int, least binary, shared binary")
+        "bucket int, chunk long, h1 binary, h2 binary, doc binary, prints binary, names binary")).groupBy(
+        "bucket").applyInPandas(_answer, "chunk long, bucket int, least binary, shared binary, n long")
     state = store(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
         _resolve(n_buckets, length, keep_bytes), _STATE), "strings")
     result = [c.split()[0] for c in _RESULT.split(", ")]
     strings = state.where("h1 is not null").select("chunk", "bucket", "h1", "h2", "doc").groupBy("bucket").applyInPandas(
-        _sorted_suffixes, "chunk long, bucket int, least binary")
+        _sorted_suffixes, "chunk long, bucket int, n long, seen binary")
     waiting = state.where("data is not null").select("chunk", "ids", "offsets", "data", "starts", "places", "slots")
     late = waiting.groupBy("chunk").cogroup(strings.groupBy("chunk")).applyInPandas(_finish(length, keep_bytes), _RESULT)
     return state.where(F.col("doc_id").isNotNull()).select(*result).union(late.select(*result))
