@@ -48,7 +48,9 @@ def one_row_per_id(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     the greatest text stays. Without repeats the texts are not shuffled."""
     docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
     docs = docs.where(F.col(key).isNotNull())
-    return docs.groupBy(key).agg(F.max(text).alias(text)) if repeats(docs, key) else docs
+    if not repeats(docs, key):
+        return docs
+    return store(docs.groupBy(key).agg(F.max(text).alias(text)), "single")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id") -> bool:

@@ -15,9 +15,11 @@ bytes starts in exactly one phrase and lies inside it.
    corpus order of documents and bytes.
 
 Only equality of the first ``length`` bytes matters, so suffixes are sorted by
-96-bit keys of those bytes and not by the bytes; phrases by 128-bit keys. Tasks
+80-bit keys of those bytes and not by the bytes; phrases by 96-bit keys. Tasks
 exchange one entry per key and chunk of documents, so a passage that a third of
-all documents hold weighs no more than others.
+all documents hold weighs no more than others. The texts are shuffled once, as
+compressed chunks; three steps of one plan read that exchange, and parse anew
+rather than store what they found.
 """
 
 from __future__ import annotations
@@ -31,11 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import store
 
 TRIGGER = 12  # bytes that a trigger looks at
 SPACING = 128  # bytes between triggers, on average
-CHUNK = 1 << 20  # bytes of text in a row that tasks exchange, or one longer text
+CHUNK = 2 << 20  # bytes of text in a row that tasks exchange, or one longer text
 
 _CHUNK = "chunk long, ids binary, offsets binary, data binary"
 _ZSTD = "zstd"
@@ -156,32 +157,40 @@ def _in_order(first: np.ndarray, index: np.ndarray):
 def _ask(n_buckets: int, length: int):
     """A chunk's phrases with their smallest document, and its minimizers, by bucket."""
 
-    def rows(batches):
-        for batch in batches:
-            for chunk, parse in _parses(batch, length):
-                first, _ = _phrase_kinds(parse)
-                h1, h2, doc = parse.phrase[0][first], parse.phrase[1][first], parse.ids[parse.phrase_doc[first]]
-                o, e = _by_bucket(h1, n_buckets)
-                kinds, names, _ = parse.minimizers()
-                mo, me = _by_bucket(kinds, n_buckets)
-                h1, h2, doc, prints = h1[o], h2[o], doc[o], kinds[mo].astype(np.uint32)
-                names = names[mo].view(np.uint8).reshape(-1, 8)[:, :5].copy()
-                full = np.flatnonzero((np.diff(e) > 0) | (np.diff(me) > 0))
-                part = lambda x, ends: pa.array([x[ends[j] : ends[j + 1]].tobytes() for j in full], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk)), part(h1, e), part(h2, e),
-                     part(doc, e), part(prints, me), part(names, me)],
-                    ["bucket", "chunk", "h1", "h2", "doc", "prints", "names"])
+    def rows(chunks: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for chunk, parse in _parses(chunks, length):
+            first, _ = _phrase_kinds(parse)
+            h1, h2, doc = parse.phrase[0][first], _short(parse.phrase[1][first], 4), parse.ids[parse.phrase_doc[first]]
+            o, e = _by_bucket(h1, n_buckets)
+            kinds, names, _ = parse.minimizers()
+            mo, me = _by_bucket(kinds, n_buckets)
+            h1, h2, doc, prints, names = h1[o], h2[o], doc[o], kinds[mo].astype(np.uint32), _short(names[mo], 5)
+            full = np.flatnonzero((np.diff(e) > 0) | (np.diff(me) > 0))
+            part = lambda x, ends: [x[ends[j] : ends[j + 1]].tobytes() for j in full]
+            out.append(pd.DataFrame({
+                "bucket": full, "chunk": chunk, "h1": part(h1, e), "h2": part(h2, e), "doc": part(doc, e),
+                "prints": part(prints, me), "names": part(names, me)}))
+        return pd.concat(out)
 
     return rows
 
 
-def _parses(batch, length: int):
-    fields = {k: common.buffers(batch.column(batch.schema.get_field_index(k))) for k in ("ids", "offsets", "data")}
-    for i, chunk in enumerate(common.column(batch, "chunk", 0, len(batch))):
-        ids, offsets, data = (fields[k][0][fields[k][1][i] : fields[k][1][i + 1]].copy() for k in ("ids", "offsets", "data"))
-        offsets = offsets.view(np.int64)
-        yield int(chunk), _Parse(ids.view(np.int64), offsets, _grow(data, int(offsets[-1])), length)
+def _short(keys: np.ndarray, size: int) -> np.ndarray:
+    """The low bytes of each key."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, :size].copy()
+
+
+def _wide(keys, size: int) -> np.ndarray:
+    out = np.zeros((len(keys) // size, 8), np.uint8)
+    out[:, :size] = keys.reshape(-1, size)
+    return out.view(np.uint64)[:, 0]
+
+
+def _parses(chunks: pd.DataFrame, length: int):
+    for r in chunks.itertuples():
+        offsets = np.frombuffer(r.offsets, np.int64)
+        yield int(r.chunk), _Parse(np.frombuffer(r.ids, np.int64), offsets, _grow(r.data, int(offsets[-1])), length)
 
 
 def _joined(rows: pd.Series, kind) -> np.ndarray:
@@ -199,13 +208,14 @@ def _smallest(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+_ANSWER = "chunk long, bucket int, least binary, shared binary, n long, seen binary"
+
+
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """The smallest document of each phrase, and whether a minimizer belongs to several phrases."""
-    least = _smallest(_joined(rows["h1"], np.uint64), _joined(rows["h2"], np.uint64), _joined(rows["doc"], np.int64))
+    least = _smallest(_joined(rows["h1"], np.uint64), _joined(rows["h2"], np.uint32), _joined(rows["doc"], np.int64))
     kinds, index = np.unique(_joined(rows["prints"], np.uint32), return_inverse=True)
-    name = np.zeros((len(index), 8), np.uint8)
-    name[:, :5] = _joined(rows["names"], np.uint8).reshape(-1, 5)
-    name = name.view(np.uint64)[:, 0]
+    name = _wide(_joined(rows["names"], np.uint8), 5)
     one = np.zeros(len(kinds), np.uint64)
     one[index] = name
     several = np.zeros(len(kinds), bool)
@@ -216,7 +226,13 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({
         "chunk": rows["chunk"], "bucket": rows["bucket"],
         "least": [x.tobytes() for x in np.split(least, at)],
-        "shared": [np.packbits(x).tobytes() for x in np.split(shared, mt)], "n": [len(x) // 4 for x in rows["prints"]]})
+        "shared": [np.packbits(x).tobytes() for x in np.split(shared, mt)], "n": [len(x) // 4 for x in rows["prints"]],
+        "seen": None})
+
+
+def _bits(packed, sizes) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint8), *(
+        np.unpackbits(np.frombuffer(x, np.uint8), count=int(n)) for x, n in zip(packed, sizes))]).astype(bool)
 
 
 def _digest(ids, offsets, data, starts, length: int, keep_bytes: bool) -> pd.DataFrame:
@@ -237,120 +253,81 @@ def _digest(ids, offsets, data, starts, length: int, keep_bytes: bool) -> pd.Dat
         "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept], "kept": kept if keep_bytes else None})
 
 
-_STATE = (_RESULT + ", chunk long, bucket int, h1 binary, h2 binary, doc binary, "
-          "ids binary, offsets binary, data binary, starts binary, places binary, slots binary")
+class _Open:
+    """What the first answers leave open in a chunk."""
 
-
-def _resolve(n_buckets: int, length: int, keep_bytes: bool):
-    """Finish the documents without open strings; ask about the open strings of the others."""
-    names = [x.split()[0] for x in _STATE.split(", ")]
+    def __init__(self, parse: _Parse, answers: pd.DataFrame, n_buckets: int):
+        answers = answers.sort_values("bucket")
+        first, index = _phrase_kinds(parse)
+        o, _ = _by_bucket(parse.phrase[0][first], n_buckets)
+        least = np.empty(len(first), np.int64)
+        least[o] = _joined(answers["least"], np.int64)
+        kinds, _, which = parse.minimizers()
+        mo, _ = _by_bucket(kinds, n_buckets)
+        shared = np.empty(len(kinds), bool)
+        shared[mo] = _bits(answers["shared"], answers["n"])
+        own = parse.ids[parse.phrase_doc]
+        # Strings known to start in a smaller document.
+        self.gone = parse.starts_in(least[index] < own)
+        places = np.flatnonzero(parse.starts_in(least[index] == own) & ~self.gone)
+        places = places[shared[which[places]]]
+        h1, h2 = (common.span_hash(p, places, places + parse.length, k) for k, p in enumerate(parse.prefix))
+        # Places ascend with the documents, so the first of a key has the smallest.
+        _, one, slot = np.unique(h1, return_index=True, return_inverse=True)
+        one, slot = _in_order(one, slot)
+        order, self.ends = _by_bucket(h1[one], n_buckets)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        one = one[order]
+        holder = parse.doc[places]
+        self.h1, self.h2, self.doc = h1[one], h2[one], parse.ids[holder[one]]
+        # Those of a later document of the chunk are known, the first one's are asked about.
+        later = holder != holder[_first_of(slot)]
+        self.gone[places[later]] = True
+        self.places, self.slots = places[~later], back[slot[~later]]
+
+
+def _ask_strings(n_buckets: int, length: int):
+    """The open strings of a chunk with their smallest document, by bucket."""
 
     def rows(key, chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        answers = answers.sort_values("bucket")
         out = []
-        for r in chunks.itertuples():
-            offsets = np.frombuffer(r.offsets, np.int64)
-            parse = _Parse(np.frombuffer(r.ids, np.int64), offsets, _grow(r.data, int(offsets[-1])), length)
-            first, index = _phrase_kinds(parse)
-            o, _ = _by_bucket(parse.phrase[0][first], n_buckets)
-            least = np.empty(len(first), np.int64)
-            least[o] = _joined(answers["least"], np.int64)
-            kinds, _, which = parse.minimizers()
-            mo, _ = _by_bucket(kinds, n_buckets)
-            shared = np.empty(len(kinds), bool)
-            shared[mo] = np.concatenate([np.zeros(0, np.uint8), *(
-                np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(answers["shared"], answers["n"]))]).astype(bool)
-
-            own = parse.ids[parse.phrase_doc]
-            gone = parse.starts_in(least[index] < own)
-            open_ = parse.starts_in(least[index] == own) & ~gone
-            places = np.flatnonzero(open_)
-            places = places[shared[which[places]]] if len(places) else places
-            waiting = np.zeros(len(parse.ids), bool)
-            waiting[parse.doc[places]] = True
-            done = np.flatnonzero(~waiting)
-            out.append(_part(parse, done, gone, length, keep_bytes))
-            if not len(places):
-                continue
-            todo = np.flatnonzero(waiting)
-            size = np.diff(parse.offsets)[todo]
-            new = np.concatenate([[0], np.cumsum(size)])
-            move = np.zeros(len(parse.ids), np.int64)
-            move[todo] = new[:-1] - parse.offsets[:-1][todo]
-            at = np.repeat(parse.offsets[:-1][todo] - new[:-1], size) + np.arange(new[-1])
-            h1, h2 = (common.span_hash(p, places, places + length, k) for k, p in enumerate(parse.prefix))
-            h2 = (h2 >> np.uint64(32)).astype(np.uint32)
-            # Places ascend with the documents, so the first of a key has the smallest.
-            _, one, slot = np.unique(h1, return_index=True, return_inverse=True)
-            one, slot = _in_order(one, slot)
-            order, ends = _by_bucket(h1[one], n_buckets)
-            back = np.empty(len(order), np.int64)
-            back[order] = np.arange(len(order))
-            one = one[order]
-            holder = parse.doc[places]
-            doc = parse.ids[holder[one]]
-            later = holder != holder[_first_of(slot)]
-            new_places = places + move[holder]
-            for j in np.flatnonzero(np.diff(ends)):
-                s = slice(ends[j], ends[j + 1])
-                out.append(pd.DataFrame([{"chunk": r.chunk, "bucket": j, "h1": h1[one][s].tobytes(),
-                                          "h2": h2[one][s].tobytes(), "doc": doc[s].tobytes()}]))
-            out.append(pd.DataFrame([{
-                "chunk": r.chunk, "ids": parse.ids[todo].tobytes(), "offsets": new.tobytes(),
-                "data": _shrink(parse.data[at]), "starts": np.packbits(_with(gone[at], new_places[later])).tobytes(),
-                "places": np.diff(new_places[~later], prepend=0).astype(np.uint32).tobytes(),
-                "slots": back[slot[~later]].astype(np.uint32).tobytes()}]))
-        frame = pd.concat(out) if out else pd.DataFrame(columns=names)
-        frame = frame.reindex(columns=names)
-        for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "chunk", "bucket"):
-            frame[c] = frame[c].astype("Int64")
-        return frame.astype(object).where(frame.notna(), None)
+        for chunk, parse in _parses(chunks, length):
+            left = _Open(parse, answers, n_buckets)
+            full, h2 = np.flatnonzero(np.diff(left.ends)), _short(left.h2, 2)
+            part = lambda x: [x[left.ends[j] : left.ends[j + 1]].tobytes() for j in full]
+            out.append(pd.DataFrame({"chunk": chunk, "bucket": full, "h1": part(left.h1), "h2": part(h2), "doc": part(left.doc)}))
+        return pd.concat(out)
 
     return rows
 
 
 def _first_of(slot: np.ndarray) -> np.ndarray:
     """Where each entry's kind stands first."""
-    first = np.full(slot.max() + 1, len(slot), np.int64)
+    first = np.full(slot.max(initial=-1) + 1, len(slot), np.int64)
     first[slot[::-1]] = np.arange(len(slot))[::-1]
     return first[slot]
 
 
-def _with(mask: np.ndarray, places: np.ndarray) -> np.ndarray:
-    mask = mask.copy()
-    mask[places] = True
-    return mask
-
-
-def _part(parse: _Parse, docs: np.ndarray, starts: np.ndarray, length: int, keep_bytes: bool) -> pd.DataFrame:
-    size = np.diff(parse.offsets)[docs]
-    new = np.concatenate([[0], np.cumsum(size)])
-    at = np.repeat(parse.offsets[:-1][docs] - new[:-1], size) + np.arange(new[-1])
-    return _digest(parse.ids[docs], new, parse.data[at], starts[at], length, keep_bytes)
-
-
 def _sorted_suffixes(rows: pd.DataFrame) -> pd.DataFrame:
     """Whether each string of a bucket also starts in a smaller document than the asking one."""
     doc = _joined(rows["doc"], np.int64)
-    seen = _smallest(_joined(rows["h1"], np.uint64), _joined(rows["h2"], np.uint32), doc) < doc
+    seen = _smallest(_joined(rows["h1"], np.uint64), _joined(rows["h2"], np.uint16), doc) < doc
     sizes = [len(x) // 8 for x in rows["h1"]]
-    return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "n": sizes,
+    return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "least": None, "shared": None, "n": sizes,
                          "seen": [np.packbits(x).tobytes() for x in np.split(seen, np.cumsum(sizes)[:-1])]})
 
 
-def _finish(length: int, keep_bytes: bool):
+def _finish(n_buckets: int, length: int, keep_bytes: bool):
     def rows(key, chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        answers = answers.sort_values("bucket")
-        seen = np.concatenate([np.zeros(0, np.uint8), *(
-            np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(answers["seen"], answers["n"]))]).astype(bool)
+        late = answers["seen"].notna()
+        strings = answers[late].sort_values("bucket")
+        seen = _bits(strings["seen"], strings["n"])
         out = []
-        for r in chunks.itertuples():
-            ids, offsets = np.frombuffer(r.ids, np.int64), np.frombuffer(r.offsets, np.int64)
-            data = _grow(r.data, int(offsets[-1]))
-            starts = np.unpackbits(np.frombuffer(r.starts, np.uint8), count=len(data)).astype(bool)
-            places = np.cumsum(np.frombuffer(r.places, np.uint32).astype(np.int64))
-            starts[places] |= seen[np.frombuffer(r.slots, np.uint32)]
-            out.append(_digest(ids, offsets, data, starts, length, keep_bytes))
+        for _, parse in _parses(chunks, length):
+            left = _Open(parse, answers[~late], n_buckets)
+            left.gone[left.places] |= seen[left.slots]
+            out.append(_digest(parse.ids, parse.offsets, parse.data, left.gone, length, keep_bytes))
         return pd.concat(out)
 
     return rows
@@ -373,15 +350,12 @@ def suffix_dedup(docs: DataFrame, length: int = 50, keep_bytes: bool = False) ->
         raise ValueError("length must be at least 16")
     docs = common.one_row_per_id(docs)
     n_buckets = common.buckets_for(common.text_bytes(docs) / 12)
-    chunks = store(docs.mapInArrow(_cut, _CHUNK), "chunks")
-    answers = chunks.mapInArrow(_ask(n_buckets, length), (
-        "bucket int, chunk long, h1 binary, h2 binary, doc binary, prints binary, names binary")).groupBy(
-        "bucket").applyInPandas(_answer, "chunk long, bucket int, least binary, shared binary, n long")
-    state = store(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
-        _resolve(n_buckets, length, keep_bytes), _STATE), "strings")
-    result = [c.split()[0] for c in _RESULT.split(", ")]
-    strings = state.where("h1 is not null").select("chunk", "bucket", "h1", "h2", "doc").groupBy("bucket").applyInPandas(
-        _sorted_suffixes, "chunk long, bucket int, n long, seen binary")
-    waiting = state.where("data is not null").select("chunk", "ids", "offsets", "data", "starts", "places", "slots")
-    late = waiting.groupBy("chunk").cogroup(strings.groupBy("chunk")).applyInPandas(_finish(length, keep_bytes), _RESULT)
-    return state.where(F.col("doc_id").isNotNull()).select(*result).union(late.select(*result))
+    chunks = docs.mapInArrow(_cut, _CHUNK)
+    asked = chunks.groupBy("chunk").applyInPandas(_ask(n_buckets, length), (
+        "bucket int, chunk long, h1 binary, h2 binary, doc binary, prints binary, names binary"))
+    answers = asked.groupBy("bucket").applyInPandas(_answer, _ANSWER)
+    strings = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
+        _ask_strings(n_buckets, length), "chunk long, bucket int, h1 binary, h2 binary, doc binary").groupBy(
+        "bucket").applyInPandas(_sorted_suffixes, _ANSWER)
+    return chunks.groupBy("chunk").cogroup(answers.union(strings).groupBy("chunk")).applyInPandas(
+        _finish(n_buckets, length, keep_bytes), _RESULT)
