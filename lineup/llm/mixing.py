@@ -14,7 +14,6 @@ features of a text, from one combining aggregation.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -32,17 +31,28 @@ _SIGNS = "0123456789#*$%&|<>!@/\\=_"
 _SPACES = " \n\t\r"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` over ``value``, which is evaluated once however often the body names it.
+
+    The optimiser may move expressions below filters, where repeats are not shared.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens`` (blanks and one more, 0 for a blank text) and the features ``f``."""
+    """``docs`` with the features ``f``; the last is the number of tokens (blanks and one more, 0 for a blank text)."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    taken = lambda signs: F.length(body) - F.length(F.translate(body, signs, ""))
-    counts = docs.withColumns({
-        "_n": F.length(body), "_spaces": taken(_SPACES), "_upper": taken(_UPPER), "_signs": taken(_SIGNS)})
-    share = lambda c, base: F.sqrt(F.col(c) / F.greatest(base, F.lit(1)))
-    solid = F.col("_n") - F.col("_spaces")
-    return counts.withColumn("n_tokens", F.when(solid > 0, F.col("_spaces") + 1).otherwise(0).cast("long")).withColumn(
-        "f", F.array(F.log1p(F.col("_n")), share("_upper", solid), share("_signs", solid), share("_spaces", F.col("_n")))
-    ).drop("_n", "_spaces", "_upper", "_signs")
+    left = lambda signs: F.length(F.translate(body, signs, "")).cast("double")
+    counts = F.array(F.length(body).cast("double"), left(_SPACES), left(_UPPER), left(_SIGNS))
+
+    def shapes(c: Column) -> Column:
+        n, solid = F.get(c, F.lit(0)), F.get(c, F.lit(1))
+        share = lambda taken, base: F.sqrt(taken / F.greatest(base, F.lit(1.0)))
+        return F.array(
+            F.log1p(n), share(n - F.get(c, F.lit(2)), solid), share(n - F.get(c, F.lit(3)), solid), share(n - solid, n),
+            F.when(solid > 0, n - solid + 1).otherwise(F.lit(0.0)))
+
+    return docs.withColumn("f", let(counts, shapes))
 
 
 def fit_domains(shapes: DataFrame, labels: DataFrame) -> tuple[Column, list[str]]:
@@ -61,46 +71,57 @@ def fit_domains(shapes: DataFrame, labels: DataFrame) -> tuple[Column, list[str]
     if not learned:
         return F.array(F.lit(1.0)), ["all"]
     total = sum(r["n"] for r in learned)
-    scores = []
-    for r in learned:
-        value = F.lit(math.log(r["n"] / total))
-        for i in range(size):
-            var = max(r[f"v{i}"], 1e-4)
-            value = value - F.lit(0.5 * math.log(var)) - (x[i] - F.lit(r[f"m{i}"])) ** 2 / F.lit(2 * var)
-        scores.append(value)
+
+    def log_odds(f: Column) -> Column:
+        scores = []
+        for r in learned:
+            value = F.lit(math.log(r["n"] / total))
+            for i in range(size):
+                var = max(r[f"v{i}"], 1e-4)
+                away = F.get(f, F.lit(i)) - F.lit(r[f"m{i}"])
+                value = value - F.lit(0.5 * math.log(var)) - away * away / F.lit(2 * var)
+            scores.append(value)
+        return F.array(*scores)
+
     # Probability of each: one over the sum of all odds against it.
-    p = [1 / reduce(Column.__add__, [F.exp(F.least(other - own, F.lit(700.0))) for other in scores]) for own in scores]
-    return F.array(*p), [r["domain"] for r in learned]
+    against = lambda s: F.transform(s, lambda own: 1 / F.aggregate(
+        s, F.lit(0.0), lambda total, other: total + F.exp(F.least(other - own, F.lit(700.0)))))
+    return let(let(F.col("f"), log_odds), against), [r["domain"] for r in learned]
+
+
+def rate_column(steps: list[list[float]], cap: float | None) -> Column:
+    """Rate of a document after the steps, over its ``p``; each is projected on rates from 0 to ``cap``."""
+    if not steps:
+        return F.lit(1.0)
+    top = F.lit(float(cap) if cap is not None else float("inf"))
+    moves = F.array(*[F.array(*[F.lit(float(v)) for v in step]) for step in steps])
+    along = lambda p, move: F.aggregate(F.zip_with(p, move, lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
+    return let(F.col("p"), lambda p: F.aggregate(
+        moves, F.lit(1.0), lambda r, move: F.least(F.greatest(r - along(p, move), F.lit(0.0)), top)))
 
 
-def fit_rates(docs: DataFrame, targets: list[float], cap: float | None = None, steps: int = STEPS) -> tuple[Column, list[float]]:
-    """Rate of a document as a column over ``p`` and ``n_tokens``, and the totals it reaches.
+def fit_rates(docs: DataFrame, targets: list[float], cap: float | None = None, most: int = STEPS) -> tuple[list[list[float]], list[float]]:
+    """Steps of ``rate_column``, and the totals that the rates reach.
 
-    Each step follows the gradient of the squared errors, scaled by the Gram
-    matrix of the documents not held at a bound, and is projected on rates from
-    0 to ``cap``.
+    ``docs`` has ``p`` and ``n_tokens``. Each step follows the gradient of the
+    squared errors, scaled by the Gram matrix of the documents not held at a bound.
     """
     k = len(targets)
     p = [F.get("p", F.lit(i)) for i in range(k)]
     wish = np.array(targets)
-    rate, reached = F.lit(1.0), [0.0] * k
-    for step in range(steps + 1):
-        inside = (F.col("r") > 0) & (F.col("r") < cap) if cap is not None else F.col("r") > 0
-        if step == 0:
-            inside = F.lit(True)
-        row = docs.select("p", "n_tokens", rate.alias("r")).agg(
+    steps: list[list[float]] = []
+    while True:
+        inside = (F.col("r") > 0) & (F.col("r") < cap) if cap is not None and steps else F.col("r") > 0
+        row = docs.select("p", "n_tokens", rate_column(steps, cap).alias("r")).agg(
             *[F.coalesce(F.sum(F.col("r") * F.col("n_tokens") * p[i]), F.lit(0.0)).alias(f"s{i}") for i in range(k)],
             *[F.coalesce(F.sum(F.when(inside, F.col("n_tokens") * p[i] * p[j])), F.lit(0.0)).alias(f"g{i}_{j}")
               for i in range(k) for j in range(i, k)]).first()
         reached = [row[f"s{i}"] for i in range(k)]
         error = np.array(reached) - wish
-        if step == steps or np.abs(error).max() <= 1e-6 * max(1.0, wish.sum()):
-            break
+        if len(steps) == most or np.abs(error).max() <= 1e-6 * max(1.0, wish.sum()):
+            return steps, reached
         gram = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        move = np.linalg.solve(gram + 1e-4 * np.diag(np.maximum(wish, 1.0)), error)
-        moved = rate - reduce(Column.__add__, [p[i] * F.lit(float(move[i])) for i in range(k)])
-        rate = F.greatest(moved, F.lit(0.0)) if cap is None else F.least(F.greatest(moved, F.lit(0.0)), F.lit(float(cap)))
-    return rate, reached
+        steps.append(np.linalg.solve(gram + 1e-4 * np.diag(np.maximum(wish, 1.0)), error).tolist())
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, keep: dict[str, float] | None = None,
@@ -118,9 +139,10 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     """
     spare = [c for c in ("n_tokens", "f", "p", "domains", "rate", "copies") if c in docs.columns]
     docs = docs.drop(*spare)
-    shapes = store(features(docs.select("doc_id", "text")).select("doc_id", "n_tokens", "f"), "shapes")
+    shapes = store(features(docs.select("doc_id", "text")).select("doc_id", "f"), "shapes")
     p, domains = fit_domains(shapes, labels)
-    soft = shapes.select("n_tokens", p.alias("p"))
+    n_tokens = F.get("f", F.lit(4)).cast("long")
+    soft = store(shapes.select(n_tokens.alias("n_tokens"), p.alias("p")), "soft")
     present = soft.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.get("p", F.lit(i))), F.lit(0.0)).alias(f"s{i}")
                          for i in range(len(domains))]).first()
     if keep is not None:
@@ -130,8 +152,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
         named = {d: weights.get(d, 0.0) for d in domains} if domains != ["all"] else {"all": 1.0}
         scale = sum(present) / (sum(named.values()) or 1.0)
         targets = [named[d] * scale for d in domains]
-    rate, _ = fit_rates(soft, targets, cap)
+    steps, _ = fit_rates(soft, targets, cap)
     chance = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # The rows themselves are read again, so that no text is shuffled.
-    return features(docs).withColumn("p", p).drop("f").withColumn("domains", F.lit(",".join(domains))).withColumn(
-        "rate", rate).withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
+    named = features(docs).withColumns({"n_tokens": n_tokens, "p": p}).drop("f")
+    return named.withColumns({"domains": F.lit(",".join(domains)), "rate": rate_column(steps, cap)}).withColumn(
+        "copies", F.floor(F.col("rate") + chance).cast("long"))

@@ -97,7 +97,7 @@ def derived_entries(pages: DataFrame) -> DataFrame:
     is removed some time later, and a part of them is added again.
     """
     parsed = pages.select("page_id", *[c.alias(k) for k, c in url_parts().items()]).where("host <> ''")
-    code = lambda c: F.crc32(F.col(c).cast("binary"))
+    code = lambda c: F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
     hosts = parsed.select(F.col("host").alias("pattern")).distinct().where(code("pattern") % 7 == 0).withColumn(
         "category", F.when(code("pattern") % 2 == 0, "adult").otherwise("gambling"))
     paths = parsed.where("page_id % 40 = 0 and path <> ''").select(
