@@ -11,7 +11,14 @@ from .hashing import _col
 def index_to_letter(index, stranger_slot) -> Column:
     """0-based gallery index -> option letter, leaving room for the stranger."""
     g, s = _col(index), _col(stranger_slot)
-    return F.char(F.lit(65) + g + F.when(g >= s, 1).otherwise(0))
+    return _letter(g + F.when(g >= s, 1).otherwise(0))
+
+
+def _letter(place: Column) -> Column:
+    """A to Z. There is no further letter, and a second A would count wrong answers as right."""
+    return F.when(
+        place >= 26, F.raise_error(F.lit("a gallery of more than 25 items has no option letters"))
+    ).otherwise(F.char(F.lit(65) + place))
 
 
 def letter_to_index(letter, stranger_slot) -> Column:
@@ -22,7 +29,7 @@ def letter_to_index(letter, stranger_slot) -> Column:
 
 def answer_letter(label, stranger_slot) -> Column:
     label, s = _col(label), _col(stranger_slot)
-    return F.when(label == -1, F.char(F.lit(65) + s)).otherwise(
+    return F.when(label == -1, _letter(s)).otherwise(
         index_to_letter(label - 1, s)
     )
 

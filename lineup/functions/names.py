@@ -100,14 +100,7 @@ def parent_dir(path) -> Column:
     return F.try_element_at(F.split(_col(path), "/"), F.lit(-2))
 
 
-# The folders whose content is a person.
-PERSON_DIRS = (
-    "ciin", "denisdang", "khanhvy", "oong", "phuc-map", "thao", "thuytien",
-    "viruss", "willinvietnam", "yuheng",
-)
-
-
-def is_person_path(path, person_dirs=PERSON_DIRS) -> Column:
+def is_person_path(path, person_dirs) -> Column:
     return F.coalesce(parent_dir(path).isin(*person_dirs), F.lit(False))
 
 

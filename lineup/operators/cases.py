@@ -106,15 +106,20 @@ def pick_queries(requests: DataFrame, queries: Layout, diverse: bool = False) ->
 
 
 def pick_members(
-    queries: DataFrame, gallery: Layout, merged: bool, whole_group: bool = True,
-    diverse: bool = False,
+    queries: DataFrame, gallery: Layout, whole_group: bool = True, diverse: bool = False,
 ) -> DataFrame:
     """One gallery item per member, on the query's source or off it.
 
-    With merged roles the query item itself is skipped.
+    The query item is skipped wherever it is a gallery item too. A case of which
+    any member has no item left is dropped as a whole.
     """
     members = gallery.entities.withColumnRenamed("entity_id", "member_id")
-    base = queries.select(*CASE, *CELL, "camera", "q_index")
+    listed = gallery.items.select(
+        *ENTITY, F.col("item_id").alias("query_id"), F.col("pos_entity").alias("q_gallery")
+    )
+    base = queries.select(*CASE, *CELL, "camera", "family_size").join(
+        listed, [*ENTITY, "query_id"], "left"
+    )
     if whole_group:
         # One row per member by definition; a large group's cases are spread out.
         pairs = skew_join(base, members, ["corpus", "group_id"])
@@ -130,7 +135,7 @@ def pick_members(
     )
     same = F.col("camera") == "same"
     own = F.col("member_id") == F.col("entity_id")
-    hole = own & same & F.lit(merged)
+    hole = own & same & F.col("q_gallery").isNotNull()
     free = F.when(same, F.col("n") - F.when(hole, 1).otherwise(0)).otherwise(
         F.col("n_entity") - F.col("n")
     )
@@ -141,9 +146,13 @@ def pick_members(
         index = F.pmod(F.row_number().over(turns) - 1, F.col("free"))
     else:
         index = hash_int(F.lit(0), F.col("free") - 1, "member", "case_id", "member_id")
-    drawn = pairs.withColumn("free", free).filter("free > 0").withColumn("i", index.cast("long"))
+    # A case has one row per member, so this window is as large as one gallery.
+    least = F.min("free").over(W.partitionBy("case_id"))
+    drawn = pairs.withColumn("free", free).withColumn("_least", least).filter(
+        "_least > 0"
+    ).withColumn("i", index.cast("long"))
     on_source = F.col("off_entity") + skip(
-        F.col("i"), F.when(hole, F.col("q_index")).otherwise(F.col("n")),
+        F.col("i"), F.when(hole, F.col("q_gallery") - F.col("off_entity")).otherwise(F.col("n")),
         F.when(hole, 1).otherwise(0),
     )
     off_source = skip(F.col("i"), F.col("off_entity"), F.col("n"))
@@ -153,7 +162,7 @@ def pick_members(
     )
     kind = F.when(own, "own").otherwise("member")
     return placed.join(found, ["corpus", "member_id", "pos_entity"]).select(
-        *CASE, "item_id", kind.alias("kind")
+        *CASE, "group_id", "family_size", "item_id", kind.alias("kind")
     )
 
 
@@ -201,28 +210,31 @@ def known_parts(
     """Cases awaiting negatives, and their member slots."""
     if not whole_group:
         requests = requests.withColumn("family_size", F.lit(1).cast("long"))
-    picked = cut(pick_queries(requests, numbering.queries, diverse))
-    members = pick_members(picked, numbering.gallery, numbering.merged, whole_group, diverse)
-    open_cases = picked.select(
+    picked = pick_queries(requests, numbering.queries, diverse)
+    members = cut(pick_members(picked, numbering.gallery, whole_group, diverse))
+    # A whole case has its answer once; its second excluded group is null.
+    open_cases = members.filter("kind = 'own'").select(
         *CASE, F.col("family_size").cast("long").alias("natural"),
-        F.lit(None).cast("long").alias("other_group"),
+        F.nullif("group_id", "group_id").alias("other_group"),
     )
-    return open_cases, members
+    return open_cases, members.select(*CASE, "item_id", "kind")
 
 
 def known_cases(
     requests: DataFrame, items: DataFrame, pool: Pool, max_gallery: int = MAX_GALLERY,
     merged: bool = False, whole_group: bool = True, diverse: bool = False,
-    numbering: Roles | None = None,
+    numbering: Roles | None = None, padded: bool = True,
 ) -> DataFrame:
     """One case per request: an item per member plus hard negatives.
 
     ``requests`` has ``case_id, scenario, CELL, camera, family_size``. With
     ``whole_group`` off the entity is its group's only member (the rest of the
-    group still gives no negatives).
+    group still gives no negatives). ``padded`` off leaves negatives out.
     """
     numbering = numbering or roles(items, merged)
     waiting, members = known_parts(requests, numbering, whole_group, diverse)
+    if not padded:
+        return shuffle_gallery(members)
     return shuffle_gallery(members.unionByName(pad_with_negatives(waiting, pool, max_gallery)))
 
 
@@ -411,23 +423,57 @@ def stratified_strangers(
 
 
 def scenario_suite(items: DataFrame, pool: Pool, max_gallery: int = MAX_GALLERY,
-                   min_cases: int = 150) -> DataFrame:
+                   min_cases: int = 150, padded: bool = True) -> DataFrame:
     """All ten scenarios in one table; the scenario is a column.
 
     Items are numbered once and one neighbour search serves known and family
-    cases. The finished suite is stored, as every evaluation reads it.
+    cases. ``padded`` off searches no neighbours, and galleries are the members
+    alone. The finished suite is stored, as every evaluation reads it.
     """
     numbering = roles(items)
     known, known_members = known_parts(exhaustive_requests(items, min_cases), numbering)
     family, family_members = family_parts(
         stranger_requests(items, "family"), items, numbering.gallery
     )
-    negatives = pad_with_negatives(known.unionByName(family), pool, max_gallery)
-    padded = shuffle_gallery(
-        known_members.unionByName(family_members).unionByName(negatives)
+    slots = known_members.unionByName(family_members)
+    if padded:
+        slots = slots.unionByName(
+            pad_with_negatives(known.unionByName(family), pool, max_gallery)
+        )
+    single = singleton_strangers(
+        stranger_requests(items, "singleton"), items, pool, max_gallery if padded else 1
     )
-    single = singleton_strangers(stranger_requests(items, "singleton"), items, pool, max_gallery)
-    return cut(padded.unionByName(single))
+    return cut(shuffle_gallery(slots).unionByName(single))
+
+
+def suite_by_split(
+    items: DataFrame, splits: DataFrame, pool: Pool, split: str, max_gallery: int = MAX_GALLERY,
+    min_cases: int = 150, padded: bool = True,
+) -> DataFrame:
+    """The suite of one split: queries, galleries, strangers and negatives from its groups only.
+
+    ``splits`` has ``group_id, split``.
+    """
+    mine, near = _of_split(items, splits, pool, split)
+    return scenario_suite(mine, near, max_gallery, min_cases, padded)
+
+
+def training_by_split(
+    items: DataFrame, splits: DataFrame, pool: Pool, split: str = "train", **options,
+) -> DataFrame:
+    """The training set of one split, from its groups only."""
+    mine, near = _of_split(items, splits, pool, split)
+    return training_set(mine, near, **options)
+
+
+def _of_split(
+    items: DataFrame, splits: DataFrame, pool: Pool, split: str,
+) -> tuple[DataFrame, Pool]:
+    groups = splits.filter(F.col("split") == split).select("group_id").distinct()
+    mine = items.join(groups, "group_id", "left_semi")
+    meta = pool.meta.join(groups, "group_id", "left_semi")
+    vectors = pool.vectors.join(meta.select("item_id").distinct(), "item_id", "left_semi")
+    return mine, Pool(meta, vectors, pool.top_k, pool.sample_from)
 
 
 # Training cases per entity by family size.

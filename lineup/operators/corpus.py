@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .ranking import chunked_lists, fine_buckets, group_rank, prefix_sum, quota, skew_join, top_n
 from ..functions.hashing import order_key
+from ..functions.names import entity_of_path, group_of_entity, source_of_path
 
 CELL = ["corpus", "group_id", "entity_id", "source_id"]
 
@@ -205,6 +206,21 @@ def filter_group_kind(items: DataFrame, kind: str) -> DataFrame:
     return skew_join(items, chosen, ["corpus", "group_id"], "left_semi")
 
 
+def items_from_paths(paths: DataFrame, path: str = "path") -> DataFrame:
+    """Items with the group, entity and source that their paths name, as text.
+
+    ``paths`` has ``item_id, role, corpus`` and the path. A path that names no
+    entity gives no item.
+    """
+    parsed = paths.select(
+        "item_id", "role", "corpus",
+        entity_of_path(path).alias("entity_id"), source_of_path(path).alias("source_id"),
+    )
+    return parsed.filter("entity_id is not null").withColumn(
+        "group_id", group_of_entity("entity_id")
+    ).filter("group_id is not null")
+
+
 def merge_roles(items: DataFrame) -> DataFrame:
     """Each distinct item, once as query and once as gallery."""
     rest = [c for c in items.columns if c != "role"]

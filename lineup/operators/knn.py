@@ -78,7 +78,18 @@ def _spread_within(
 def _matrix(table: pa.Table, name: str = "vec") -> np.ndarray:
     column = table.column(name).combine_chunks()
     flat = np.asarray(column.flatten(), dtype=np.float64)
-    return flat.reshape(table.num_rows, -1)
+    sound = column.null_count == 0 and flat.size % max(1, table.num_rows) == 0
+    matrix = flat.reshape(table.num_rows, -1) if sound else None
+    if matrix is None or not np.isfinite(matrix).all():
+        bad = [
+            key for key, vec in zip(table.column("item_id").to_pylist(), column.to_pylist())
+            if vec is None or not all(x is not None and np.isfinite(x) for x in vec)
+        ]
+        raise ValueError(
+            f"vectors that are null or not finite: items {bad[:5]}" if bad
+            else "vectors differ in length"
+        )
+    return matrix
 
 
 def _row_chunks(rows: int, columns: int, budget: int):
@@ -157,14 +168,15 @@ def knn_topk(
         left.groupBy("_q", "_c", *by).cogroup(right.groupBy("_q", "_c", *by))
         .applyInArrow(best, schema)
     )
-    merged = partial
-    if n_corpus != 1:
-        merged = partial.groupBy("query_id").agg(
-            F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best")
-        )
-    return merged.select("query_id", F.posexplode("best").alias("pos", "b")).select(
-        "query_id", F.col("b.nbr").alias("nbr_id"),
-        (F.col("pos") + 1).alias("rank"), (F.lit(0.0) - F.col("b.neg")).alias("sim"),
+    if n_corpus == 1:
+        placed = partial.select("query_id", F.posexplode("best").alias("pos", "b"))
+        best_of = placed.select("query_id", "b.*", (F.col("pos") + 1).alias("rank"))
+    else:
+        # Rows, not lists: a query has k of them from every block, cut before the shuffle.
+        listed = partial.select("query_id", F.inline("best"))
+        best_of = top_n(listed, ["query_id"], [F.col("neg"), F.col("nbr")], k)
+    return best_of.select(
+        "query_id", F.col("nbr").alias("nbr_id"), "rank", (F.lit(0.0) - F.col("neg")).alias("sim")
     )
 
 

@@ -107,16 +107,22 @@ def filter_by_verdict(
             yield frame
 
     id_type = items.schema["item_id"].dataType.simpleString()
-    replied = packed.select("rows").mapInPandas(
-        run, f"rows array<struct<item_id:{id_type},path:string>>, reply string"
+    kinds = "".join(f", {c} {packed.schema[c].dataType.simpleString()}" for c in cell)
+    replied = packed.select("rows", *cell).mapInPandas(
+        run, f"rows array<struct<item_id:{id_type},path:string>>{kinds}, reply string"
     )
     flags = replied.select(
-        F.inline(F.arrays_zip(
+        *cell, F.inline(F.arrays_zip(
             F.col("rows.item_id").alias("item_id"),
             parse_verdict_lines("reply", F.size("rows")).alias("keep"),
         ))
     )
-    named = flags.toDF("item_id", "keep").withColumn("role", F.lit("gallery"))
-    return items.join(named, ["item_id", "role"], "left").withColumn(
-        "keep", F.coalesce("keep", F.lit(True))
+    # An item may stand in several cells; each has its own verdict.
+    named = flags.toDF(*cell, "item_id", "keep").withColumn("role", F.lit("gallery")).distinct()
+    same = [items[c].eqNullSafe(named[c]) for c in (*cell, "item_id", "role")]
+    condition = same[0]
+    for one in same[1:]:
+        condition &= one
+    return items.join(named, condition, "left").select(
+        *[items[c] for c in items.columns], F.coalesce(named["keep"], F.lit(True)).alias("keep")
     )

@@ -73,9 +73,10 @@ def valid_triples(items: DataFrame) -> DataFrame:
     The entity has a query item on the source, and every member has a gallery
     item on that source (``same``) or on some other source (``cross``). A member
     fails ``cross`` only when it has no gallery item off the source, so counting
-    members replaces the comparison of every member with every triple.
+    members replaces the comparison of every member with every triple. Where an
+    item has both roles, ``same`` needs a gallery item besides the query.
     """
-    cell = cells(items)
+    cell = cells(items).join(_twofold(items), CELL, "left").na.fill(0, ["n_both"])
     key = ["corpus", "group_id"]
     members = cell.groupBy(*key, "entity_id").agg(F.sum("n_gallery").alias("g"))
     sizes = members.groupBy(*key).agg(
@@ -93,8 +94,9 @@ def valid_triples(items: DataFrame) -> DataFrame:
         cell.filter("n_query > 0").join(sizes, key)
         .join(on_source, [*key, "source_id"], "left").na.fill(0)
     ).select("*", rules)
+    lone = (F.col("n_gallery") == 1) & (F.col("n_both") == F.col("n_query"))
     complete = F.when(
-        F.col("camera") == "same", F.col("here") == F.col("family_size")
+        F.col("camera") == "same", (F.col("here") == F.col("family_size")) & ~lone
     ).otherwise(
         (F.col("with_gallery") == F.col("family_size")) & (F.col("only_here") == 0)
     )
@@ -104,6 +106,12 @@ def valid_triples(items: DataFrame) -> DataFrame:
     )
 
 
+def _twofold(items: DataFrame) -> DataFrame:
+    """Number of items per cell that are both query and gallery item."""
+    sides = items.groupBy(*CELL, "item_id").agg(F.count_distinct("role").alias("_roles"))
+    return sides.filter("_roles > 1").groupBy(*CELL).agg(F.count("*").alias("n_both"))
+
+
 def feasible_pairs(cell: DataFrame, whole_group: bool = True) -> DataFrame:
     """(entity, camera rule, source) that yields a case when roles are merged.
 

@@ -45,6 +45,23 @@ def query(final: str) -> str:
     return f"WITH {parts}\nSELECT * FROM ({final})"
 
 
+def variant(suffix: str, items: str) -> None:
+    """Add every fragment over ``v_items`` once more, as ``name__suffix`` over other items."""
+    over = {"v_items"}
+    grown = True
+    while grown:
+        found = {
+            name for name, body in TABLES.items()
+            if "__" not in name and any(re.search(rf"\b{n}\b", body) for n in over)
+        }
+        grown = not found <= over
+        over |= found
+    pattern = re.compile(r"\b(" + "|".join(sorted(over, key=len, reverse=True)) + r")\b")
+    for name in sorted(over - {"v_items"}):
+        TABLES[f"{name}__{suffix}"] = pattern.sub(rf"\1__{suffix}", TABLES[name])
+    TABLES[f"v_items__{suffix}"] = items
+
+
 TABLES["v_kind"] = """
 SELECT *, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2
                WHEN 'signup' THEN 3 ELSE 4 END AS kind_no FROM events"""
@@ -69,6 +86,12 @@ FROM v_items"""
 TABLES["v_sizes"] = """
 SELECT corpus, group_id, count(DISTINCT entity_id) AS family_size FROM v_items GROUP BY ALL"""
 
+TABLES["v_owners"] = "SELECT DISTINCT item_id, group_id, vec_id FROM v_items"
+
+TABLES["v_both"] = """
+SELECT corpus, group_id, entity_id, source_id, count(*) AS n_both FROM (
+  SELECT corpus, group_id, entity_id, source_id, item_id FROM v_items GROUP BY ALL HAVING count(DISTINCT role) > 1) GROUP BY ALL"""
+
 TABLES["v_cells"] = """
 SELECT corpus, group_id, entity_id, source_id, count(*) FILTER (role = 'query') AS n_query,
        count(*) FILTER (role = 'gallery') AS n_gallery
@@ -93,12 +116,13 @@ FROM v_tiers"""
 TABLES["v_triples"] = """
 SELECT t.corpus, t.group_id, t.entity_id, t.source_id, c.camera, s.family_size,
        CASE WHEN s.family_size = 1 THEN 'singleton' ELSE 'family' END AS group_kind
-FROM (SELECT * FROM v_cells WHERE n_query > 0) t
+FROM (SELECT * FROM v_cells LEFT JOIN v_both USING (corpus, group_id, entity_id, source_id) WHERE n_query > 0) t
 CROSS JOIN (VALUES ('same'), ('cross')) c(camera)
 JOIN v_sizes s USING (corpus, group_id)
 JOIN (SELECT * FROM v_cells WHERE n_gallery > 0) m
   ON m.corpus = t.corpus AND m.group_id = t.group_id
  AND ((c.camera = 'same' AND m.source_id = t.source_id) OR (c.camera = 'cross' AND m.source_id <> t.source_id))
+WHERE c.camera = 'cross' OR t.n_gallery <> 1 OR coalesce(t.n_both, 0) <> t.n_query
 GROUP BY ALL HAVING count(DISTINCT m.entity_id) = s.family_size"""
 
 TABLES["v_named"] = """
@@ -154,7 +178,7 @@ def known(requests: str, merged: bool = False, whole: bool = True, diverse: bool
     )
     size = "family_size" if whole else "1"
     return {
-        f"{r}_q": f"""
+        f"{r}_p": f"""
 SELECT r.case_id, r.scenario, r.corpus, r.group_id, r.entity_id, r.source_id, r.camera, {size} AS natural_size, q.item_id AS query_id
 FROM (SELECT r.*, q.n, {pick} AS idx FROM {r} r
       JOIN (SELECT corpus, entity_id, source_id, count(*) AS n FROM {source} WHERE role = '{query_role}' GROUP BY ALL) q
@@ -162,12 +186,17 @@ FROM (SELECT r.*, q.n, {pick} AS idx FROM {r} r
 JOIN (SELECT *, row_number() OVER (PARTITION BY corpus, entity_id, source_id ORDER BY {okey('item', 'item_id')}, item_id) - 1 AS idx
       FROM {source} WHERE role = '{query_role}') q
   ON q.corpus = r.corpus AND q.entity_id = r.entity_id AND q.source_id = r.source_id AND q.idx = r.idx""",
-        f"{r}_m": f"""
-WITH options AS (
+        # A case of which a member has no item left is no case.
+        f"{r}_q": f"""
+SELECT p.* FROM {r}_p p JOIN (
+  SELECT case_id FROM {r}_o JOIN {r}_p USING (case_id) GROUP BY case_id HAVING count(DISTINCT member_id) = any_value(natural_size)) USING (case_id)""",
+        f"{r}_o": f"""
   SELECT q.case_id, q.camera, q.source_id AS asked, q.entity_id, g.corpus, g.entity_id AS member_id, g.item_id, g.source_id
-  FROM {r}_q q JOIN {source} g ON g.corpus = q.corpus AND g.group_id = q.group_id AND g.role = 'gallery'
+  FROM {r}_p q JOIN {source} g ON g.corpus = q.corpus AND g.group_id = q.group_id AND g.role = 'gallery'
    AND ((q.camera = 'same' AND g.source_id = q.source_id) OR (q.camera = 'cross' AND g.source_id <> q.source_id))
-   AND g.item_id <> q.query_id {'' if whole else 'AND g.entity_id = q.entity_id'}),
+   AND g.item_id <> q.query_id {'' if whole else 'AND g.entity_id = q.entity_id'}""",
+        f"{r}_m": f"""
+WITH options AS (SELECT o.* FROM {r}_o o JOIN {r}_q USING (case_id)),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY case_id, member_id ORDER BY {okey('source', 'source_id')}, source_id, {okey('item', 'item_id')}, item_id) - 1 AS idx,
          count(*) OVER (PARTITION BY case_id, member_id) AS n FROM options),
@@ -190,11 +219,11 @@ near AS (
   SELECT * FROM (
     SELECT i.query_id, c.item_id, c.group_id, s.sim,
            row_number() OVER (PARTITION BY i.query_id ORDER BY s.sim DESC, c.item_id) AS rank
-    FROM ids i JOIN v_items a ON a.item_id = i.query_id JOIN v_sims s ON s.a = a.vec_id JOIN v_items c ON c.vec_id = s.b)
+    FROM ids i JOIN v_owners a ON a.item_id = i.query_id JOIN v_sims s ON s.a = a.vec_id JOIN v_owners c ON c.vec_id = s.b)
   WHERE rank <= 200),
 firsts AS (
   SELECT n.query_id, n.group_id, arg_min(n.item_id, n.rank) AS item_id, min(n.rank) AS rank
-  FROM near n JOIN v_items a ON a.item_id = n.query_id
+  FROM near n JOIN v_owners a ON a.item_id = n.query_id
   WHERE n.item_id <> n.query_id AND n.group_id <> a.group_id GROUP BY ALL),
 wanted AS (
   SELECT *, {hint(size, f'greatest({size}, {max_gallery})', 'target', 'case_id')} - {size} AS n_pad FROM {r}_q),
@@ -243,7 +272,7 @@ def singleton(requests: str, max_gallery: int = 5, source: str = "v_items") -> d
 SELECT case_id, item_id, 'resident' AS kind FROM (
   SELECT q.case_id, g.item_id, row_number() OVER (PARTITION BY q.case_id ORDER BY s.sim DESC, g.item_id) AS rank,
          {hint('1', str(max_gallery), 'target', 'q.case_id')} AS target
-  FROM {r}_q q JOIN v_items a ON a.item_id = q.query_id
+  FROM {r}_q q JOIN v_owners a ON a.item_id = q.query_id
   JOIN {source} g ON g.corpus = q.corpus AND g.entity_id = q.entity_id AND g.role = 'gallery'
   JOIN v_sims s ON s.a = a.vec_id AND s.b = g.vec_id) WHERE rank <= target""", f"{r}_q"),
     }

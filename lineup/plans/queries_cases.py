@@ -9,7 +9,7 @@ from ..operators.ranking import top_n
 from ..session import cut
 from . import views
 from .oracle import (
-    SLOT, TABLES, family, hint, known, okey, shuffled, singleton, stratified,
+    SLOT, TABLES, family, hint, known, okey, shuffled, singleton, stratified, variant,
 )
 from .queries_neighbors import pool
 from .registry import register
@@ -21,18 +21,8 @@ SELECT *, chr((65 + CASE WHEN label = -1 THEN stranger_slot WHEN label - 1 < str
 FROM (SELECT *, {hint('0', 'n_gallery', 'slot', 'case_id')} AS stranger_slot FROM v_heads)"""
 
 
-_SUITES: dict = {}
-
-
 def suite(spark, folder):
-    """The stored benchmark suite; one build serves a session's evaluations."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _SUITES:
-        _SUITES[key] = build_suite(spark, folder)
-    return _SUITES[key]
-
-
-def build_suite(spark, folder):
+    """The ten scenarios, built anew for each query that reads them."""
     return K.scenario_suite(views.items(spark, folder), pool(spark, folder))
 
 
@@ -70,7 +60,7 @@ def stranger_cases_even_family(spark, folder):
 
 @register("scenario_suite", f"SELECT {SLOT} FROM v_suite")
 def scenario_suite(spark, folder):
-    return build_suite(spark, folder)
+    return suite(spark, folder)
 
 
 @register("resampled_requests", "SELECT scenario, case_id, group_id, source_id, camera FROM v_requests")
@@ -301,3 +291,59 @@ def household_test_selection(spark, folder):
     best = top_n(counts, ["scenario"], [F.desc("n"), F.col("entity_id")], 50)
     kept = heads.join(best.select("scenario", "entity_id"), ["scenario", "entity_id"], "left_semi")
     return C.spread_three(kept, ["scenario", "entity_id"], "query_id")
+
+
+# The builders on the inputs that real corpora have: text ids out of paths, items
+# that are query and gallery item at once, splits, and galleries without padding.
+TABLES["v_one_singleton"] = "SELECT * FROM v_all_singleton"
+TABLES.update(singleton("v_one_singleton", 1))
+TABLES["v_requests_u"] = shuffled("SELECT * FROM v_requests_m", "v_requests_q")
+TABLES["v_all_family_u"] = shuffled("SELECT * FROM v_all_family_m", "v_all_family_q")
+_TRAINING = f"""
+SELECT {SLOT} FROM v_training_s UNION ALL SELECT {SLOT} FROM v_wanted_single_s UNION ALL SELECT {SLOT} FROM v_wanted_family_s"""
+TABLES["v_training_set"] = _TRAINING
+
+variant("names", """
+SELECT item_id, concat('10', group_id, '_20') AS group_id, concat('10', group_id, '_20_', entity_id) AS entity_id,
+       concat('CAM', source_id) AS source_id, role, corpus, vec_id, ts, value FROM v_items""")
+variant("flat", """
+SELECT i.* EXCLUDE (role), r.role FROM (SELECT DISTINCT ON (corpus, group_id, entity_id, source_id, item_id) * FROM v_items) i
+CROSS JOIN (VALUES ('query'), ('gallery')) r(role)""")
+variant("test", "SELECT i.* FROM v_items i JOIN v_split s USING (group_id) WHERE s.split = 'test'")
+variant("train", "SELECT i.* FROM v_items i JOIN v_split s USING (group_id) WHERE s.split = 'train'")
+
+
+@register("suite_from_names", f"SELECT {SLOT} FROM v_suite__names")
+def suite_from_names(spark, folder):
+    """Group, entity and source ids are the text that the item paths hold."""
+    named = C.items_from_paths(views.paths(spark, folder))
+    meta = named.select("item_id", "group_id", "entity_id")
+    return K.scenario_suite(named, K.Pool(meta, pool(spark, folder).vectors))
+
+
+@register("suite_flat", f"SELECT {SLOT} FROM v_suite__flat")
+def suite_flat(spark, folder):
+    """Every item is a query and a gallery item; no case lists its own query."""
+    return K.scenario_suite(C.merge_roles(views.items(spark, folder)), pool(spark, folder))
+
+
+@register("suite_unpadded", f"""
+SELECT {SLOT} FROM v_requests_u UNION ALL SELECT {SLOT} FROM v_one_singleton_s UNION ALL SELECT {SLOT} FROM v_all_family_u""")
+def suite_unpadded(spark, folder):
+    return K.scenario_suite(views.items(spark, folder), pool(spark, folder), padded=False)
+
+
+def _splits(spark, folder):
+    return C.split_by_tier(C.group_tiers(views.items(spark, folder)))
+
+
+@register("suite_by_split", f"SELECT {SLOT} FROM v_suite__test")
+def suite_by_split(spark, folder):
+    items = views.items(spark, folder)
+    return K.suite_by_split(items, _splits(spark, folder), pool(spark, folder), "test")
+
+
+@register("training_by_split", f"SELECT {SLOT} FROM v_training_set__train")
+def training_by_split(spark, folder):
+    items = views.items(spark, folder)
+    return K.training_by_split(items, _splits(spark, folder), pool(spark, folder), "train")

@@ -221,13 +221,14 @@ def append_results(spark, folder):
 
 
 @register("answer_pivot", """
-SELECT conv_id AS question, min(text) FILTER (role = 'user') AS "user", min(text) FILTER (role = 'assistant') AS assistant
+SELECT conv_id AS question, min(text) FILTER (role = 'system') AS "system", min(text) FILTER (role = 'user') AS "user",
+       min(text) FILTER (role = 'assistant') AS assistant
 FROM conversations GROUP BY 1""")
 def answer_pivot(spark, folder):
     answers = views.table(spark, folder, "conversations").select(
         F.col("conv_id").alias("question"), F.col("role").alias("model"), F.col("text").alias("answer")
     )
-    return R.answer_pivot(answers, ["user", "assistant"])
+    return R.answer_pivot(answers, ["system", "user", "assistant"])
 
 
 @register("caption_similarity", """

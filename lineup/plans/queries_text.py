@@ -122,14 +122,15 @@ def verdict_lines(spark, folder):
 
 
 @register("caption_lookup", """
-SELECT item_id, array_to_string(string_split(path, '/')[-2:], '/') AS caption_key, coalesce(c.caption, 'none') AS caption
-FROM v_paths LEFT JOIN v_captions c ON c.doc_id = item_id AND c.line_no = 0""")
+SELECT item_id, concat(array_to_string(string_split(path, '/')[-2:], '/'), '#', coalesce(c.line_no, -1)) AS caption_key, coalesce(c.caption, 'none') AS caption
+FROM v_paths LEFT JOIN v_captions c ON c.doc_id = item_id""")
 def caption_lookup(spark, folder):
-    """The first line of a document captions the item of the same number."""
-    paths = views.paths(spark, folder)
-    first = views.captions(spark, folder).filter("line_no = 0").select(F.col("doc_id").alias("item_id"), "caption")
-    captions = paths.join(first, "item_id").select(N.path_suffix_key("path", 2).alias("caption_key"), "caption")
-    found = S.attach_captions(paths, captions, N.path_suffix_key("path", 2))
+    """Every line of a document captions the item of the same number, by line."""
+    lines = views.captions(spark, folder).select(F.col("doc_id").alias("item_id"), "line_no", "caption")
+    wanted = views.paths(spark, folder).join(lines, "item_id", "left")
+    key = F.concat_ws("#", N.path_suffix_key("path", 2), F.coalesce("line_no", F.lit(-1)).cast("string"))
+    captions = wanted.where("line_no is not null").select(key.alias("caption_key"), "caption")
+    found = S.attach_captions(wanted.drop("caption"), captions, key)
     return found.select("item_id", "caption_key", F.coalesce("caption", F.lit("none")).alias("caption"))
 
 

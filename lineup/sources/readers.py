@@ -11,9 +11,13 @@ from ..functions.names import base_name, scenario_parts
 from . import schema
 
 
+#: A document that cannot be read fails the job instead of vanishing.
+STRICT = {"mode": "FAILFAST"}
+
+
 def parse_manifest(rows: DataFrame, text: str) -> DataFrame:
     """Manifest JSON -> one row per listed item with its role and position."""
-    m = rows.select(F.from_json(F.col(text), schema.MANIFEST).alias("m"))
+    m = rows.select(F.from_json(F.col(text), schema.MANIFEST, STRICT).alias("m"))
     gallery = m.select(F.posexplode("m.gallery").alias("pos", "path")).select(
         "path", F.lit("gallery").alias("role"), "pos"
     )
@@ -41,7 +45,9 @@ def parse_group_index(rows: DataFrame, text: str, flat: bool = False) -> DataFra
     The flat form lists paths without roles; each then serves both roles.
     """
     leaf = schema.INDEX_FLAT if flat else schema.INDEX_SPLIT
-    index = rows.select(F.explode(F.from_json(F.col(text), leaf)).alias("group_id", "entities"))
+    index = rows.select(
+        F.explode(F.from_json(F.col(text), leaf, STRICT)).alias("group_id", "entities")
+    )
     entities = index.select("group_id", F.explode("entities").alias("entity_id", "sources"))
     sources = entities.select(
         "group_id", "entity_id", F.explode("sources").alias("source_id", "held")
@@ -56,9 +62,15 @@ def parse_group_index(rows: DataFrame, text: str, flat: bool = False) -> DataFra
     return by_role.select("group_id", "entity_id", "source_id", "role", F.explode("paths").alias("path"))
 
 
-def read_group_index(spark: SparkSession, path: str, flat: bool = False) -> DataFrame:
-    """Index files, one JSON document per line or per file."""
-    return parse_group_index(spark.read.text(path), "value", flat)
+def read_group_index(
+    spark: SparkSession, path: str, flat: bool = False, shape: str = "document",
+) -> DataFrame:
+    """Index files: one JSON document per file, indented or not, or with
+    ``shape="lines"`` one per line, which reads large indexes in parallel."""
+    if shape not in ("document", "lines"):
+        raise ValueError(f"unknown index shape {shape!r}: expected document or lines")
+    rows = spark.read.text(path, wholetext=shape == "document")
+    return parse_group_index(rows.filter(F.trim("value") != ""), "value", flat)
 
 
 def read_cases(spark: SparkSession, path: str, shape: str = "lines") -> DataFrame:
@@ -85,7 +97,7 @@ def read_tuples(
     The query is a path or an object with ``img_path``; both become ``path``.
     """
     lines = spark.read.text(paths)
-    raw = F.from_json("value", "query string, gallery array<string>, answer int")
+    raw = F.from_json("value", "query string, gallery array<string>, answer int", STRICT)
     plain = lines.select(raw.alias("t")).select("t.*")
 
     def item(column: Column) -> Column:
@@ -162,15 +174,25 @@ def read_event_mapping(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_file_lists(spark: SparkSession, files: list[str]) -> DataFrame:
-    """Union of the CSV files that have a ``FILE_PATH`` column."""
-    frames = [spark.read.csv(f, header=True) for f in files]
-    listed = [f.select("FILE_PATH") for f in frames if "FILE_PATH" in f.columns]
-    if not listed:
-        return spark.createDataFrame([], "FILE_PATH string")
-    whole = listed[0]
-    for other in listed[1:]:
-        whole = whole.union(other)
-    return whole
+    """The ``FILE_PATH`` column of the CSV files that have one, in one scan.
+
+    Each file's first line, its header, places the column, so files may differ.
+    Fields are plain or quoted without a comma or line break inside.
+    """
+    lines = spark.read.text(files).select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("_at"),
+        F.col("_metadata.file_block_start").alias("_block"),
+    )
+    cells = F.transform(F.split("value", ","), lambda x: F.trim(F.regexp_replace(x, r'^\s*"|"\s*$|\r$', "")))
+    rows = lines.withColumn("cells", cells)
+    # The first line of a file is the first of its first block.
+    heads = rows.filter("_block = 0").groupBy("file").agg(
+        F.min_by("cells", "_at").alias("head"), F.min("_at").alias("_first")
+    )
+    placed = rows.join(heads, "file").filter("_at <> _first and value <> ''")
+    return placed.withColumn("at", F.array_position("head", "FILE_PATH")).filter("at > 0").select(
+        F.try_element_at("cells", F.col("at").cast("int")).alias("FILE_PATH")
+    )
 
 
 def parse_caption_line(line) -> list[Column]:

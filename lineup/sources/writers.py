@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import order_key
+from ..functions.hashing import SEED, order_key
 from ..operators.ranking import group_rank
 
 
@@ -47,8 +47,28 @@ def group_index_json(items: DataFrame, path: str = "path", chunk: int = 10_000)
     return by_group.select("group_id", "part", F.to_json(nested).alias("document"))
 
 
-def write_group_index(items: DataFrame, folder: str, path: str = "path", chunk: int = 10_000) -> None:
-    group_index_json(items, path, chunk).select("document").write.mode("overwrite").text(folder)
+def flat_index_json(items: DataFrame, path: str = "path", chunk: int = 10_000) -> DataFrame:
+    """Nested index JSON without roles: group, entity, source, then each path once."""
+    once = items.dropDuplicates(["group_id", "entity_id", "source_id", path])
+    ranked = group_rank(once, ["group_id"], order_key("document", path), path, "_rank")
+    key = ["group_id", "part"]
+    by_source = ranked.withColumn("part", F.floor(F.col("_rank") / chunk).cast("int")).groupBy(
+        *key, "entity_id", "source_id"
+    ).agg(F.sort_array(F.collect_list(path)).alias("held"))
+    by_entity = by_source.groupBy(*key, "entity_id").agg(F.map_from_entries(F.collect_list(
+        F.struct(F.col("source_id").cast("string"), "held"))).alias("sources"))
+    by_group = by_entity.groupBy(*key).agg(F.map_from_entries(F.collect_list(
+        F.struct(F.col("entity_id").cast("string"), "sources"))).alias("entities"))
+    nested = F.map_from_arrays(F.array(F.col("group_id").cast("string")), F.array("entities"))
+    return by_group.select("group_id", "part", F.to_json(nested).alias("document"))
+
+
+def write_group_index(
+    items: DataFrame, folder: str, path: str = "path", chunk: int = 10_000, flat: bool = False,
+) -> None:
+    """Index documents, one per line; ``flat`` leaves the roles out."""
+    documents = (flat_index_json if flat else group_index_json)(items, path, chunk)
+    documents.select("document").write.mode("overwrite").text(folder)
 
 
 def write_benchmark(cases: DataFrame, summary: DataFrame, folder: str) -> None:
@@ -71,8 +91,16 @@ def write_sidecar(run: DataFrame, cases: DataFrame, folder: str) -> None:
     cases.write.mode("overwrite").parquet(f"{folder}/cases")
 
 
-def write_split_manifest(split: DataFrame, folder: str) -> None:
-    split.write.mode("overwrite").partitionBy("split").parquet(folder)
+def write_split_manifest(split: DataFrame, folder: str, seed: int = SEED) -> None:
+    """The groups by split under ``groups``, and one row of seed and counts under ``summary``."""
+    split.write.mode("overwrite").partitionBy("split").parquet(f"{folder}/groups")
+    counts = split.agg(
+        F.count_if(F.col("split") == "test").alias("n_test"),
+        F.count_if(F.col("split") == "train").alias("n_train"),
+    )
+    counts.select(F.lit(seed).alias("seed"), "n_test", "n_train").write.mode("overwrite").json(
+        f"{folder}/summary"
+    )
 
 
 def write_decisions(decisions: DataFrame, folder: str, checkpoint: str):
@@ -94,6 +122,14 @@ def resumable_write(rows: DataFrame, key: str, folder: str) -> None:
     rows.join(done, key, "left_anti").write.mode("append").parquet(folder)
 
 
-def append_results(results: DataFrame, folder: str) -> None:
-    """One accuracy line per (model, scenario), all scenarios in one job."""
-    results.write.mode("append").parquet(folder)
+def append_results(results: DataFrame, folder: str, key: tuple[str, ...] = ("model", "scenario")) -> None:
+    """One accuracy line per (model, scenario), all scenarios in one job.
+
+    A key that the folder holds already is not written again, so a repeated run
+    leaves one line.
+    """
+    missing = [c for c in key if c not in results.columns]
+    if missing:
+        raise ValueError(f"results lack {missing}")
+    held = read_or_empty(results.sparkSession, folder, results.schema).select(*key).distinct()
+    results.join(held, list(key), "left_anti").select(results.columns).write.mode("append").parquet(folder)

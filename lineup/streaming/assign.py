@@ -20,13 +20,16 @@ from pyspark.sql import functions as F
 
 from ..operators.models import Matcher
 
-DECISION = (
-    "group_id long, item_id long, ts timestamp, gallery_size_before int, answer int, "
-    "verdict string, assigned_to string, late boolean"
-)
+_VERDICT = "gallery_size_before int, answer int, verdict string, assigned_to string, late boolean"
 STATE = "reps array<double>, size int, last_ts timestamp"
 
 
+def decision_schema(detections: DataFrame) -> str:
+    """Keys and time as the detections have them, then the decision."""
+    kinds = {c: detections.schema[c].dataType.simpleString() for c in ("group_id", "item_id", "ts")}
+    return ", ".join([*(f"{c} {kind}" for c, kind in kinds.items()), _VERDICT])
+
+
 def cosine_matcher(threshold: float = 0.5) -> Matcher:
     """Most similar representative, or the stranger below the threshold."""
 
@@ -82,7 +85,7 @@ def assign_entities(detections: DataFrame, matcher: Matcher | None = None) -> Da
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, gallery = None, Gallery()
+        key, gallery = object(), Gallery()
         for batch in batches:
             vecs = [np.asarray(v.values, dtype=np.float64) for v in batch.column("vec")]
             groups = batch.column("group_id").to_pylist()
@@ -101,7 +104,7 @@ def assign_entities(detections: DataFrame, matcher: Matcher | None = None) -> Da
                        "verdict", "assigned_to", "late"],
             )
 
-    return ordered.mapInArrow(run, DECISION)
+    return ordered.mapInArrow(run, decision_schema(detections))
 
 
 def assign_stream(detections: DataFrame, matcher: Matcher | None = None) -> DataFrame:
@@ -135,7 +138,7 @@ def assign_stream(detections: DataFrame, matcher: Matcher | None = None) -> Data
 
     return detections.select("group_id", "item_id", "ts", "vec").groupBy(
         "group_id"
-    ).applyInPandasWithState(run, DECISION, STATE, "append", "NoTimeout")
+    ).applyInPandasWithState(run, decision_schema(detections), STATE, "append", "NoTimeout")
 
 
 def gallery_state(decisions: DataFrame) -> DataFrame:

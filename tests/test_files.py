@@ -57,7 +57,7 @@ def test_group_index_files(spark, tmp_path):
     )
     folder = str(tmp_path / "index")
     writers.write_group_index(rows, folder, chunk=2)
-    back = readers.read_group_index(spark, folder)
+    back = readers.read_group_index(spark, folder, shape="lines")
     want = rows.select(*[F.col(c).cast("string") for c in rows.columns])
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, want.collect()))
 
@@ -154,5 +154,48 @@ def test_benchmark_and_split_files(spark, tmp_path):
     writers.write_benchmark(cases, cases.groupBy("scenario").count(), str(tmp_path / "b"))
     assert spark.read.json(str(tmp_path / "b/cases")).filter("scenario = 's1'").count() == 1
     split = spark.createDataFrame([(1, "test"), (2, "train")], "group_id long, split string")
-    writers.write_split_manifest(split, str(tmp_path / "split"))
-    assert spark.read.parquet(str(tmp_path / "split")).filter("split = 'test'").count() == 1
+    writers.write_split_manifest(split, str(tmp_path / "split"), seed=7)
+    assert spark.read.parquet(str(tmp_path / "split/groups")).filter("split = 'test'").count() == 1
+    assert spark.read.json(str(tmp_path / "split/summary")).first().asDict() == {"seed": 7, "n_test": 1, "n_train": 1}
+
+
+def test_indented_index_is_read_whole(spark, tmp_path):
+    index = {"g1": {"g1_a": {"cam1": {"query": ["q1"], "gallery": ["x", "y"]}}}, "g2": {"g2_b": {"cam1": {"query": ["q2"], "gallery": []}}}}
+    path = put(tmp_path / "i.json", json.dumps(index, indent=4))
+    assert sorted(r.path for r in readers.read_group_index(spark, path).collect()) == ["q1", "q2", "x", "y"]
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        readers.read_group_index(spark, put(tmp_path / "bad.json", '{"g1": [')).collect()
+
+
+def test_flat_index_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("g", "g_1", "c1", "query", "p1"), ("g", "g_1", "c1", "gallery", "p1"), ("g", "g_1", "c2", "gallery", "p2"),
+         ("h", "h_1", "c1", "gallery", "p3")],
+        "group_id string, entity_id string, source_id string, role string, path string")
+    folder = str(tmp_path / "flat")
+    writers.write_group_index(rows, folder, chunk=1, flat=True)
+    back = readers.read_group_index(spark, folder, flat=True, shape="lines")
+    once = rows.drop("role").distinct()
+    want = [(*r, role) for r in once.collect() for role in ("query", "gallery")]
+    got = [(r.group_id, r.entity_id, r.source_id, r.path, r.role) for r in back.collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_results_are_appended_once(spark, tmp_path):
+    folder = str(tmp_path / "results")
+    rows = spark.createDataFrame([("m", "s1", 0.5), ("m", "s2", 0.6)], "model string, scenario string, accuracy double")
+    writers.append_results(rows.limit(1), folder)
+    writers.append_results(rows, folder)
+    writers.append_results(rows, folder)
+    assert spark.read.parquet(folder).count() == 2
+    with pytest.raises(ValueError):
+        writers.append_results(rows.drop("model"), folder)
+
+
+def test_plain_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
+    writers.write_jsonl(rows, str(tmp_path / "l"))
+    assert spark.read.json(str(tmp_path / "l")).count() == 2
+    writers.write_sidecar(rows.limit(1), rows, str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s/run")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "s/cases")).count() == 2
