@@ -244,7 +244,7 @@ def held_out() -> "F.Column":
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
-def language_id(docs: DataFrame, most: int = 400) -> DataFrame:
+def language_id(docs: DataFrame, most: int = 150) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every document.
 
     ``docs`` has ``doc_id``, ``text`` and ``lang``; further columns are ignored.
