@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from .common import table
 from .importance import resample
 from .language_id import language_id
@@ -20,7 +21,14 @@ from .toxicity import toxicity
 from .url_filters import derived_captures, derived_entries, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+#: Learned operators and the packing have no SQL; tests hold them against brute force or held-out labels.
+SQL: dict[str, str] = {
+    "op1_quality_rules": sql.QUALITY_RULES,
+    "op4_topk_search": sql.TOPK_SEARCH,
+    "op5_url_filters": sql.URL_FILTERS,
+    "op9_suffix_dedup": sql.SUFFIX_DEDUP,
+    "op10_ngram_jaccard_join": sql.NGRAM_JOIN,
+}
 
 
 def register(function):
