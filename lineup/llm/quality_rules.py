@@ -31,6 +31,9 @@ RULES = {
 }
 
 
+LEAST = 2.0  # documents that the prior counts for, at least
+
+
 def _per_doc(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(mask) + 1, np.int64)
     np.cumsum(mask, out=total[1:])
@@ -100,8 +103,9 @@ def host_rates(facts: DataFrame) -> DataFrame:
     """Per host and rule ``n, failed, rate``, the rate shrunk by the beta prior of all hosts.
 
     The prior has the mean and variance of the hosts' plain rates. Hosts with
-    equal rates give a prior that outweighs any host; one whose variance is
-    that of a coin gives none. Rows without a host take no part.
+    equal rates give a prior that outweighs any host; it counts as much as
+    ``LEAST`` documents at least, so that none is judged by one of its own. Rows
+    without a host take no part.
     """
     counts = facts.where(F.col("host").isNotNull()).groupBy("host").agg(
         F.count("*").alias("n"), *[F.sum(F.expr(v).cast("long")).alias(k) for k, v in RULES.items()])
@@ -109,7 +113,7 @@ def host_rates(facts: DataFrame) -> DataFrame:
         F.struct(F.lit(k).alias("rule"), F.col(k).alias("failed")) for k in RULES])).alias("r")).select("host", "n", "r.*")
     plain = long.withColumn("plain", F.col("failed") / F.col("n"))
     prior = plain.groupBy("rule").agg(F.avg("plain").alias("mean"), F.var_pop("plain").alias("var"))
-    strength = F.least(F.greatest(F.col("mean") * (1 - F.col("mean")) / F.greatest("var", F.lit(1e-9)) - 1, F.lit(0.0)), F.lit(1e6))
+    strength = F.least(F.greatest(F.col("mean") * (1 - F.col("mean")) / F.greatest("var", F.lit(1e-9)) - 1, F.lit(LEAST)), F.lit(1e6))
     # One row a rule, and there are four rules.
     fitted = plain.join(F.broadcast(prior), "rule").withColumn("strength", strength)
     return fitted.select("host", "rule", "n", "failed", (

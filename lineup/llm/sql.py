@@ -30,7 +30,7 @@ rates AS ({_RATES}),
 prior AS (SELECT rule, avg(failed / n) AS mean, var_pop(failed / n) AS var FROM rates GROUP BY 1),
 shrunk AS (
   SELECT host, (failed + s * mean) / (n + s) AS rate FROM (
-    SELECT *, least(greatest(mean * (1 - mean) / greatest(var, 1e-9) - 1, 0), 1e6) AS s FROM rates JOIN prior USING (rule))),
+    SELECT *, least(greatest(mean * (1 - mean) / greatest(var, 1e-9) - 1, 2), 1e6) AS s FROM rates JOIN prior USING (rule))),
 bad AS (SELECT host FROM shrunk GROUP BY 1 HAVING max(rate) > 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND bad.host IS NULL AS kept, f.host
