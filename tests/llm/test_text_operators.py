@@ -269,7 +269,7 @@ def test_rates_meet_the_targets(documents, spark, folder):
     got = mixing.mix(documents, labels, weights={"good": 0.7, "low": 0.25, "toxic": 0.05}).toPandas()
     p, t = np.stack(got.p), got.n_tokens.to_numpy(float)
     assert np.allclose(p.sum(1), 1) and (got.rate >= 0).all()
-    share = (p * (t * got.rate)[:, None]).sum(0) / t.sum()
+    share = (p * (t * got.rate.to_numpy())[:, None]).sum(0) / t.sum()
     names = got.domains.iloc[0].split(",")
     want = np.array([{"good": 0.7, "low": 0.25, "toxic": 0.05}.get(n, 0) for n in names])
     assert np.abs(share - want / want.sum()).max() < 0.02
