@@ -16,14 +16,7 @@ NOUNS = ("man", "woman", "child", "boy", "girl", "lady", "male", "female", "pers
 
 def _bracket(text: Column, opener: str, adjective: str, noun: str) -> Column:
     pattern = rf"(?U)\b{opener} ((?:{adjective}\s+)*?){noun}\b"
-
-    def rewrite(x: Column) -> Column:
-        # Two plain searches spare most captions the pattern.
-        possible = x.contains(f"{opener} ") & x.contains(noun)
-        return F.when(possible, F.regexp_replace(x, pattern, f"[{opener} $1{noun}]")).otherwise(x)
-
-    # A one-element transform names the text, so nesting does not repeat it.
-    return F.get(F.transform(F.array(text), rewrite), F.lit(0))
+    return F.regexp_replace(text, pattern, f"[{opener} $1{noun}]")
 
 
 def tag_caption(text) -> Column:
@@ -33,18 +26,25 @@ def tag_caption(text) -> Column:
     demonstratives accept hyphenated adjectives. A caption that ends up with
     anything but one bracket is introduced by ``[Person]. ``.
     """
-    out = _col(text)
+    source = _col(text)
+    out = source
     for opener in ARTICLES:
         for noun in NOUNS:
             out = _bracket(out, opener, r"\w+", noun)
     for opener in DEMONSTRATIVES:
         for noun in NOUNS:
             out = _bracket(out, opener, r"\w+(?:-\w+)?", noun)
+    # No rewrite applies without an opening word and, behind white space, a noun.
+    possible = source.rlike(rf"(?U)\b(?:{'|'.join(ARTICLES + DEMONSTRATIVES)}) ") & source.rlike(
+        rf"(?U)\s(?:{'|'.join(NOUNS)})\b"
+    )
+    out = F.when(possible, out).otherwise(source)
 
     def introduce(x: Column) -> Column:
         opened = F.length(x) - F.length(F.replace(x, F.lit("["), F.lit("")))
         return F.when(opened == 1, x).otherwise(F.concat(F.lit("[Person]. "), x))
 
+    # A one-element transform names the text, so it is not worked out twice.
     return F.get(F.transform(F.array(out), introduce), F.lit(0))
 
 

@@ -195,7 +195,7 @@ def filter_split(items: DataFrame, split: DataFrame, name: str) -> DataFrame:
 
 def filter_membership(items: DataFrame, names: DataFrame, on: str) -> DataFrame:
     """Items listed in ``names`` (one column ``on``)."""
-    return skew_join(items, names.select(on).distinct(), [on], "left_semi")
+    return items.join(names.select(on).distinct(), on, "left_semi").select(items.columns)
 
 
 def filter_group_kind(items: DataFrame, kind: str) -> DataFrame:
@@ -276,7 +276,7 @@ def filter_train_leakage(slots: DataFrame, meta: DataFrame, test: DataFrame) ->
     named = slots.select("case_id", F.col("query_id").alias("item_id")).union(
         slots.select("case_id", "item_id")
     )
-    leaking = skew_join(named, owners, ["item_id"], "left_semi").select("case_id").distinct()
+    leaking = named.join(owners, "item_id", "left_semi").select("case_id").distinct()
     return slots.join(leaking, "case_id", "left_anti")
 
 

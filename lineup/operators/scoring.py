@@ -9,7 +9,6 @@ from ..functions.answers import answer_kind, extract_answer, index_to_letter, is
 from ..functions.text import fill_product, product_name
 from ..functions.vectors import cosine
 from .cases import CASE, letter_cases, score
-from .ranking import skew_join
 
 STRANGER_THRESHOLD = 0.5
 
@@ -213,9 +212,13 @@ def fill_products(rows: DataFrame, texts: list[str], path: str) -> DataFrame:
 def attach_captions(rows: DataFrame, captions: DataFrame, key: Column) -> DataFrame:
     """Look captions up by path suffix; rows without one get null."""
     keyed = rows.withColumn("caption_key", key)
-    return skew_join(keyed, captions.select("caption_key", "caption"), ["caption_key"], "left")
+    return keyed.join(captions.select("caption_key", "caption"), "caption_key", "left").select(
+        *keyed.columns, "caption"
+    )
 
 
 def filter_captioned(rows: DataFrame, captions: DataFrame, key: Column) -> DataFrame:
     keyed = rows.withColumn("caption_key", key)
-    return skew_join(keyed, captions.select("caption_key"), ["caption_key"], "left_semi")
+    return keyed.join(captions.select("caption_key"), "caption_key", "left_semi").select(
+        keyed.columns
+    )
