@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranking import chunked_lists, fine_buckets, group_rank, prefix_sum, quota, skew_join, top_n
+from .ranking import (
+    chunked_lists, fine_buckets, group_rank, prefix_sum, quota, range_buckets, skew_join, top_n,
+)
 from ..functions.hashing import order_key
 from ..functions.names import entity_of_path, group_of_entity, source_of_path
 
@@ -171,14 +173,12 @@ def split_fraction(rows: DataFrame, key: str, fraction: float) -> DataFrame:
     return ranked.select(key, F.when(is_train, "train").otherwise("eval").alias("split"))
 
 
-def group_adjacent_order(rows: DataFrame, group: str, seq: str, width: int = 4096) -> DataFrame:
-    """Shuffle groups but keep each group's rows adjacent, in ``seq`` order.
-
-    ``seq`` is a non-negative integer; ``width`` values of it form one bucket.
-    """
+def group_adjacent_order(rows: DataFrame, group: str, seq: str) -> DataFrame:
+    """Shuffle groups but keep each group's rows adjacent, in ``seq`` order, a
+    number or text that no two rows of a group share."""
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
     starts = prefix_sum(sizes, [], order_key("adjacent", group), group, "n", "offset")
-    bucket = F.floor(F.col(seq) / width)
+    bucket = range_buckets(rows, seq)
     inside = group_rank(
         rows, [group], seq, seq, "_in", bucket, attach=starts.select(group, "offset")
     )
@@ -377,14 +377,10 @@ def top_entities(cases: DataFrame, n: int = 50) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order))
 
 
-def spread_three(
-    cases: DataFrame, by: list[str], order: str, width: int = 4096,
-) -> DataFrame:
-    """Up to three cases per group at positions 0, n/3 and 2n/3 of the order.
-
-    ``order`` is a non-negative integer key; ``width`` values form one bucket.
-    """
-    bucket = F.floor(F.col(order) / width)
+def spread_three(cases: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Up to three cases per group at positions 0, n/3 and 2n/3 of the order, a
+    number or text such as a path."""
+    bucket = range_buckets(cases, order)
     ranked = group_rank(cases, by, order, order, "_pos", bucket, total="_n")
     n, pos = F.col("_n"), F.col("_pos")
     third = F.floor(n / 3)

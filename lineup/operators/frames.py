@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import pad_clip_box
 from .cases import numbered
-from .ranking import group_rank, skew_join
+from .ranking import group_rank, range_buckets, skew_join
 
 
 def frame_step(fps, target_fps: float) -> Column:
@@ -32,9 +32,9 @@ def frame_schedule(videos: DataFrame, target_fps: float = 1.0) -> DataFrame:
     )
 
 
-def group_frames(requests: DataFrame, chunk: int = 10_000, width: int = 4096) -> DataFrame:
+def group_frames(requests: DataFrame, chunk: int = 10_000) -> DataFrame:
     """Requested frames per event in ascending order, at most ``chunk`` per row."""
-    bucket = F.floor(F.col("frame_no") / width)
+    bucket = range_buckets(requests, "frame_no")
     ranked = group_rank(requests, ["event_id"], "frame_no", "item_id", "_rank", bucket)
     return (
         ranked.withColumn("chunk", F.floor(F.col("_rank") / chunk).cast("int"))

@@ -27,6 +27,28 @@ def fine_buckets(order: Column | str) -> Column:
     return F.substring(_col(order), 1, GLOBAL_DIGITS)
 
 
+def range_buckets(df: DataFrame, order: str, parts: int = 256) -> Column:
+    """Buckets along ``order``, numbers or text, bounded by a sample of its distinct values.
+
+    The sample is the ``parts`` values of smallest hash, so its size is fixed
+    and it is the same in every run. Nulls, which sort first, fall in bucket 0.
+    """
+    values = df.select(order).filter(F.col(order).isNotNull()).distinct()
+    sample = values.orderBy(F.xxhash64(order), order).limit(parts).collect()
+    bounds = sorted(r[0] for r in sample)
+
+    def search(low: int, high: int) -> Column:
+        """Number of bounds up to the value, which lies between ``low`` and ``high``."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(order) < F.lit(bounds[middle]), search(low, middle)).otherwise(
+            search(middle + 1, high)
+        )
+
+    return F.when(F.col(order).isNull(), 0).otherwise(search(0, len(bounds)))
+
+
 def prefix_sum(
     df: DataFrame, by: Sequence[str], order: Column | str, tie: str, value: Column | str,
     name: str, bucket: Column | None = None, total: str | None = None,

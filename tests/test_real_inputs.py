@@ -113,3 +113,22 @@ def test_online_assignment_on_text_ids(spark, folder):
     plain = {r.item_id: r.assigned_to for r in assign.assign_entities(rows, assign.cosine_matcher(0.25)).collect()}
     got = {int(r.item_id[1:]): r.assigned_to for r in assign.assign_entities(text, assign.cosine_matcher(0.25)).collect()}
     assert got == plain
+
+
+def test_orders_may_be_text_or_sparse(spark):
+    rows = [(g, f"/img/{g}/{i:04d}.jpg", i * 10**12 - 5) for g in range(3) for i in range(700 if g == 0 else 9)]
+    table = spark.createDataFrame(rows, "g long, path string, at long")
+    for order in ("path", "at"):
+        got = sorted((r.g, r[order]) for r in C.spread_three(table, ["g"], order).collect())
+        want = []
+        for g in range(3):
+            mine = sorted(r[1] if order == "path" else r[2] for r in rows if r[0] == g)
+            want += [(g, mine[i]) for i in (0, len(mine) // 3, 2 * len(mine) // 3)]
+        assert got == sorted(want)
+        placed = C.group_adjacent_order(table, "g", order).orderBy("pos").collect()
+        assert [r.pos for r in placed] == list(range(len(rows)))
+        runs = [r.g for i, r in enumerate(placed) if i == 0 or placed[i - 1].g != r.g]
+        assert len(runs) == 3
+        for g in range(3):
+            mine = [r[order] for r in placed if r.g == g]
+            assert mine == sorted(mine)
