@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE = 2 << 20  # bytes of text that one vectorised step takes, or one longer text
+SLICE = 1 << 20  # bytes of text that one vectorised step takes, or one longer text
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ from . import common
 from .common import store
 from .components import components
 
-FLUSH = 4_000_000  # shingles that a task holds before it writes its buckets
+FLUSH = 2_000_000  # shingles that a task holds before it writes its buckets
 TIES = 4  # rounds that tie units to hubs before all remaining pairs are tried
 
 _SEEN = ("bucket int, docs binary, counts binary, prints binary, n binary, half binary, "

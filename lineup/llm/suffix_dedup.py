@@ -73,13 +73,15 @@ class _Parse:
         n = len(data)
         self.data = data
         self.prefix = [common.prefix_hash(data, 0), common.prefix_hash(data, 1)]
-        self.doc = np.repeat(np.arange(len(ids)), np.diff(offsets))
-        end = offsets[1:][self.doc] if n else np.zeros(0, np.int64)
+        self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(offsets))
         # Strings start at these places.
-        self.valid = np.arange(n) + length <= end
+        self.valid = np.ones(n, bool)
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            self.valid[max(a, b - length + 1) : b] = False
         cut = np.zeros(n + 1, bool)
         hashed = common.window_hash(self.prefix[0], TRIGGER)
         cut[: len(hashed)] = hashed % np.uint64(SPACING) == 0
+        del hashed
         cut[offsets] = True
         begin = np.flatnonzero(cut[:n] & self.valid)
         self.begin = begin
@@ -87,7 +89,7 @@ class _Parse:
         starts = np.flatnonzero(cut)
         core_end = starts[np.searchsorted(starts, begin, side="right")]
         self.core_end = core_end
-        reach = np.minimum(core_end + length - 1, end[begin])
+        reach = np.minimum(core_end + length - 1, offsets[1:][self.doc[begin]])
         size = (reach - begin).astype(np.uint64)
         self.phrase = [common.mix(common.span_hash(p, begin, reach, k) + size) for k, p in enumerate(self.prefix)]
         self.phrase_doc = self.doc[begin]
@@ -112,7 +114,7 @@ class _Parse:
         new = np.ones(len(value), bool)
         new[1:] = (value[1:] != value[:-1]) | (places[1:] != places[:-1] + 1)
         kinds, index = np.unique(value[new], return_inverse=True)
-        which = np.full(len(self.data), -1, np.int64)
+        which = np.full(len(self.data), -1, np.int32)
         which[places] = index[np.cumsum(new) - 1]
         runs = np.flatnonzero(new)
         ends = np.append(runs[1:], len(value)) - 1 if len(runs) else runs
@@ -128,7 +130,7 @@ class _Parse:
 
     def starts_in(self, chosen: np.ndarray) -> np.ndarray:
         """Which strings start in the chosen phrases."""
-        edge = np.zeros(len(self.data) + 1, np.int64)
+        edge = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(edge, self.begin[chosen], 1)
         np.add.at(edge, self.core_end[chosen], -1)
         return (np.cumsum(edge[:-1]) > 0) & self.valid
