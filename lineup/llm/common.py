@@ -43,11 +43,22 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to workers at most ``rows`` at a time.
+
+    The session keeps the setting, as its plans run later.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def one_row_per_id(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``text`` only, without null keys; of rows that repeat a key
     the greatest text stays. Without repeats the texts are not shuffled."""
     docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
     docs = docs.where(F.col(key).isNotNull())
+    small_batches(docs.sparkSession)
     if not repeats(docs, key):
         return docs
     return store(docs.groupBy(key).agg(F.max(text).alias(text)), "single")

@@ -138,6 +138,7 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, ranks: str | None
     """
     import public_tokenizers
 
+    common.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = store(docs.mapInArrow(
         _tokenise(ranks or default_ranks(), public_tokenizers.PATTERN, window, end_id), _PIECES), "pieces")

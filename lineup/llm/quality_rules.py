@@ -93,6 +93,7 @@ def _scan(batches):
 
 def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     """Every row's ``doc_id``, ``host`` and facts, and whether it fails the base rule."""
+    common.small_batches(docs.sparkSession)
     facts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"),
                         F.col("text").cast("string").alias("text")).mapInArrow(
         _scan, "doc_id long, host string, " + ", ".join(f"{k} long" for k in FACTS))

@@ -399,6 +399,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, cut: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose text scores below ``cut``, in one pass without a shuffle."""
+    common.small_batches(docs.sparkSession)
     a, b, c = (float(v) for v in model.curve)
     measure = _strengths(model.characters, model.weights, keyed=False)
 
