@@ -45,17 +45,30 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 def _cut(batches):
     """Whole documents, gathered to rows of about ``CHUNK`` bytes named by their smallest id."""
-    for batch, a, b, data, offsets in common.text_slices(batches, size=CHUNK):
-        ids = common.column(batch, "doc_id", a, b)
+
+    def row(parts):
+        ids = np.concatenate([x[0] for x in parts])
+        size = np.concatenate([x[1] for x in parts])
+        data = np.concatenate([x[2] for x in parts])
+        start = np.cumsum(size) - size
         order = np.argsort(ids)  # so that an earlier place means a smaller id
-        size = np.diff(offsets)[order]
-        new = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(offsets[:-1][order] - new[:-1], size) + np.arange(new[-1])
-        yield pa.RecordBatch.from_arrays(
+        new = np.concatenate([[0], np.cumsum(size[order])])
+        at = np.repeat(start[order] - new[:-1], size[order]) + np.arange(new[-1])
+        return pa.RecordBatch.from_arrays(
             [pa.array([int(ids[order[0]])]), *(pa.array([x], pa.binary()) for x in (
                 ids[order].tobytes(), new.tobytes(), _shrink(data[at])))],
             ["chunk", "ids", "offsets", "data"])
 
+    parts, held = [], 0
+    for batch, a, b, data, offsets in common.text_slices(batches, size=CHUNK // 4):
+        if parts and held + len(data) > CHUNK:
+            yield row(parts)
+            parts, held = [], 0
+        parts.append((common.column(batch, "doc_id", a, b), np.diff(offsets), data.copy()))
+        held += len(data)
+    if parts:
+        yield row(parts)
+
 
 def _shrink(data: np.ndarray) -> bytes:
     return pa.compress(data.tobytes(), _ZSTD, asbytes=True) if data.nbytes else b""
