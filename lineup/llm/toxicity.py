@@ -1,10 +1,11 @@
 """Toxicity of documents, read through leetspeak, spacing and repetition.
 
 1. Character 4-grams of every text make a language model of characters.
-2. Words that look written to hide, with digits or signs among letters, runs of
-   a letter, letters set apart, are lattices: each character stands for
-   itself or for what it imitates, runs may be one or two letters, separators may be
-   nothing. Viterbi finds the likeliest reading under the model and a channel.
+2. Words with a digit, sign or separator, or a letter twice in a row, and characters
+   set apart, are lattices: each character stands for itself or for what it
+   imitates, repeats and separators may be nothing. Viterbi finds the likeliest
+   reading under the model and a channel. Signs at a word's edge may be punctuation,
+   so the word is read with and without them.
 3. Words and word beginnings of restored texts are weighed by labelled documents
    as log odds, and a logistic curve over a document's strongest weights gives its score.
 """
@@ -108,93 +109,186 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
 # -- decoding --------------------------------------------------------------------
 
-def _readings(text: str) -> list[list[tuple[str, float]]]:
-    """For each sign of a hidden word the letters it may stand for; '' for none."""
-    out, previous = [], ""
-    for ch in text:
-        low = ch.lower()
-        options = []
-        if low.isalpha():
-            options.append((low, 0.0))
-            if low == previous:
-                options.append(("", REPEAT))
+def _readings(chars: np.ndarray):
+    """For each distinct sign: its letters, up to two that it may stand for (-1 for none)
+    with their cost, and whether it may stand for nothing. Then each place's sign."""
+    kinds, place = np.unique(chars, return_inverse=True)
+    letters: dict[str, int] = {}
+    same, stands = np.zeros(len(kinds), np.int64), np.full((len(kinds), 2), -1)
+    cost, gap = np.zeros(len(kinds)), np.zeros(len(kinds), bool)
+    for k, ch in enumerate(map(chr, kinds)):
+        same[k] = letters.setdefault(ch.lower(), len(letters))
+        if ch.lower().isalpha():
+            stands[k, 0] = same[k]
         else:
-            for letter in LOOKS_LIKE.get(ch, ""):
-                options.append((letter, HIDE))
-            if ch in SEPARATORS or ch == " ":
-                options.append(("", SPLIT))
-            if low == previous and options:
-                options.append(("", REPEAT))
-        out.append(options)
-        previous = low
-    return out
+            for j, letter in enumerate(LOOKS_LIKE.get(ch, "")):
+                stands[k, j] = letters.setdefault(letter, len(letters))
+            cost[k], gap[k] = HIDE, ch in SEPARATORS or ch == " "
+    return list(letters), same, stands, cost, gap, place
 
 
 def _symbol(letter: str) -> int:
     return ord(letter) - 96 if "a" <= letter <= "z" else 27
 
 
-def restore(word: str, model: np.ndarray) -> str:
-    """The likeliest letters behind a hidden word, or the word where a sign has no reading."""
-    lattice = _readings(word)
-    if not all(lattice):
-        return word
+def restore_all(words: list[str], model: np.ndarray) -> list[str]:
+    """The likeliest letters behind each hidden word, or the word where a sign has no reading.
+
+    Viterbi over all words at once, a character of each a step.
+    """
+    size = np.array([len(x) for x in words], np.int64)
+    begin = np.cumsum(size) - size
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32)
+    if not len(chars):
+        return list(words)
+    letters, same, stands, cost, gap, place = _readings(chars)
+    symbol = np.array([_symbol(x) for x in letters])
+    of_word = np.repeat(np.arange(len(words)), size)
+    none = np.bincount(of_word, weights=((stands[place, 0] < 0) & ~gap[place]), minlength=len(words)) > 0
+    again = np.zeros(len(chars), bool)
+    again[1:] = (same[place[1:]] == same[place[:-1]]) & (of_word[1:] == of_word[:-1])
+    left = np.where(none, 0, size)
     mask = KINDS**3 - 1
-    states = {0: (0.0, "")}
-    for options in lattice:
-        best: dict[int, tuple[float, str]] = {}
-        for state, (score, said) in states.items():
-            for letter, cost in options:
-                if letter:
-                    gram = state * KINDS + _symbol(letter)
-                    new, value, text = gram & mask, score + cost + float(model[gram]), said + letter
-                else:
-                    new, value, text = state, score + cost, said
-                if new not in best or best[new][0] < value:
-                    best[new] = (value, text)
-        states = best
-    return max((score + float(model[state * KINDS]), said) for state, (score, said) in states.items())[1]
+    word = np.flatnonzero(left)
+    state, score, node = np.zeros(len(word), np.int64), np.zeros(len(word)), np.full(len(word), -1)
+    parents, said, n_nodes = [], [], 0  # readings as chains of letters
+    ended = []
+    for t in range(int(left.max()) + 1):
+        end = left[word] == t
+        if end.any():
+            value = score[end] + model[state[end] * KINDS]
+            order = np.lexsort((-value, word[end]))
+            w, tail = word[end][order], node[end][order]
+            top = np.ones(len(w), bool)
+            top[1:] = w[1:] != w[:-1]
+            ended.append((w[top], tail[top]))
+            word, state, score, node = word[~end], state[~end], score[~end], node[~end]
+        if not len(word):
+            break
+        at = begin[word] + t
+        sign = place[at]
+        nothing = np.flatnonzero(gap[sign] | again[at])
+        source, letter = [nothing], [np.full(len(nothing), -1)]
+        to, value = [state[nothing]], [score[nothing] + np.where(gap[sign[nothing]], SPLIT, REPEAT)]
+        for j in (0, 1):
+            some = np.flatnonzero(stands[sign, j] >= 0)
+            kind = stands[sign[some], j]
+            gram = state[some] * KINDS + symbol[kind]
+            source.append(some)
+            letter.append(kind)
+            to.append(gram & mask)
+            value.append(score[some] + cost[sign[some]] + model[gram])
+        source, letter, to, value = (np.concatenate(x) for x in (source, letter, to, value))
+        key = word[source] * (mask + 1) + to
+        order = np.lexsort((-value, key))
+        top = np.ones(len(order), bool)
+        top[1:] = key[order[1:]] != key[order[:-1]]
+        keep = order[top]
+        source, letter, state, score = source[keep], letter[keep], to[keep], value[keep]
+        word, node = word[source], node[source]
+        new = np.flatnonzero(letter >= 0)
+        parents.append(node[new])
+        said.append(letter[new])
+        node[new] = n_nodes + np.arange(len(new))
+        n_nodes += len(new)
+    out = list(words)
+    parent = np.concatenate(parents) if parents else np.zeros(0, np.int64)
+    spoken = np.concatenate(said) if said else np.zeros(0, np.int64)
+    for w, tail in ended:
+        rows, row = [], np.arange(len(w))
+        texts = [[] for _ in w]
+        while len(row := row[tail >= 0]):
+            tail = tail[tail >= 0]
+            rows.append((row, spoken[tail]))
+            tail = parent[tail]
+        for row, letter in reversed(rows):
+            for r, x in zip(row.tolist(), letter.tolist()):
+                texts[r].append(letters[x])
+        for r, x in enumerate(w.tolist()):
+            out[x] = "".join(texts[r])
+    return out
 
 
-_EDGE = "\"'`.,;:?!()[]{}<>&%#*~-_=/\\|$"
+def restore(word: str, model: np.ndarray) -> str:
+    """The likeliest letters behind one hidden word."""
+    return restore_all([word], model)[0]
 
 
-_SPACED = re.compile(r"(?<!\S)(?:[A-Za-z] ){3,}[A-Za-z](?!\S)")
-_MARK = re.compile(r"[A-Za-z][0-9@$!|+€£(.*_~-]+[A-Za-z]|^[0-9@$€£]+[A-Za-z]{2}|([A-Za-z])\1\1")
+_EDGE = "\"'`.,;:?!()[]{}<>&%#*~-_=/\\|$"
+_SIGNS = re.escape("".join(LOOKS_LIKE))
+_GAPS = re.escape(SEPARATORS)
+_READABLE = re.compile(rf"(?:[^\W\d_]|[{_SIGNS}{_GAPS}])+")
+_LETTERS = re.compile(r"(?<!\S)(?:[^\W\d_] ){2,}[^\W\d_](?!\S)")
+_ODD = re.compile(rf"[{_SIGNS}{_GAPS}]|([^\W\d_])\1", re.IGNORECASE)
+
+
+def _forms(text: str) -> list[str]:
+    """What is decoded of a word or of a run of single characters: all of it, and for
+    signs that may be punctuation as well, what stays without them."""
+    if len(parts := text.split()) > 1:
+        run = " ".join(parts)
+        return list(dict.fromkeys([run, *_LETTERS.findall(run)]))
+    found = []
+    for part in _READABLE.findall(text):
+        core = part.strip(SEPARATORS)
+        found += [core, core.lstrip(_EDGE), core.rstrip(_EDGE), core.strip(_EDGE)]
+        found += [x for x in re.split(f"[{_GAPS}]+", core) if x != core]
+    return [x for x in dict.fromkeys(found) if len(x) > 2 and _ODD.search(x)]
+
+
+def _odd_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of what may hide a word: words with a sign that has a
+    reading, a separator inside or a letter twice in a row, and three or more single
+    characters set apart by white space."""
+    start, end, doc = common.word_spans(data, offsets)
+    if not len(start):
+        return start, end, doc
+    n = len(data)
+    sign, gap, low = _SIGN[data], _GAP[data], common.LOWER[data]
+    solid = ~gap & ~common.SPACE[data]
+    letter = (_CODE[data] > 0) & (_CODE[data] < 28)
+    pair = np.zeros(n, bool)  # with the byte before
+    pair[1:] = (low[1:] == low[:-1]) & letter[1:] & (data[1:] < 128)
+    pair[1:-1] |= gap[1:-1] & solid[2:]
+    for width, first, last in ((2, 0xC0, 0xDF), (3, 0xE0, 0xEF), (4, 0xF0, 0xF7)):
+        if n >= 2 * width:
+            same = (data[: n - 2 * width + 1] >= first) & (data[: n - 2 * width + 1] <= last)
+            for j in range(width):
+                same &= data[j : n - 2 * width + 1 + j] == data[j + width : n - width + 1 + j]
+            pair[width : n - width + 1] |= same
+    signs, pairs = np.concatenate([[0], np.cumsum(sign)]), np.concatenate([[0], np.cumsum(pair)])
+    odd = (end - start > 2) & ((signs[end] > signs[start]) | (pairs[end] > pairs[start + 1]))
+    # Runs of single characters.
+    inner = np.concatenate([[0], np.cumsum((data & 0xC0) == 0x80)])
+    single = (end - start - (inner[end] - inner[start]) == 1) & (sign | gap | letter)[start]
+    new = np.ones(len(start), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | ~single[1:] | ~single[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(start)) - 1
+    run = single[first] & (last - first >= 2)
+    first, last = first[run], last[run]
+    odd &= ~single
+    return (np.concatenate([start[odd], start[first]]), np.concatenate([end[odd], end[last]]), np.concatenate([doc[odd], doc[first]]))
 
 
 def hidden_words(text: str) -> list[str]:
-    """Parts of a text that look written to hide a word: signs between letters,
-    a letter three times in a row, single letters between blanks."""
-    found = [m.group() for m in _SPACED.finditer(text)]
-    for word in text.split():
-        word = word.strip(_EDGE)
-        if len(word) > 2 and _MARK.search(word):
-            found.append(word)
-    return found
+    """Parts of a text that may hide a word: every word with a sign, a separator inside or
+    a doubled letter, and single characters between blanks. Whether they do, the model decides."""
+    raw = text.encode()
+    start, end, _ = _odd_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    return [x for a, b in zip(start, end) for x in _forms(raw[a:b].decode())]
 
 
 def _may_hide(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Texts in which ``hidden_words`` can find anything, from their bytes."""
-    code = _CODE[data]
-    letter = (code > 0) & (code < 28)
-    hit = np.zeros(len(data), bool)
-    if len(data) > 2:
-        odd = _SIGN[data]
-        hit[1:-1] = (odd | letter | common.SPACE[data])[:-2] & odd[1:-1] & letter[2:]
-        hit[0] = odd[0] & letter[1]
-        low = common.LOWER[data]
-        hit[2:] |= (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & letter[2:]
-        if len(data) > 6:
-            space = data == 0x20
-            hit[6:] |= space[1:-5] & space[3:-3] & space[5:-1]
-    total = np.concatenate([[0], np.cumsum(hit)])
-    return total[offsets[1:]] > total[offsets[:-1]]
+    return np.bincount(_odd_spans(data, offsets)[2], minlength=len(offsets) - 1) > 0
 
 
 _SIGN = np.zeros(256, bool)
-_SIGN[list(b"0123456789@$!|+(.*_~-")] = True
+_SIGN[[ord(x) for x in LOOKS_LIKE if x.isascii()]] = True
 _SIGN[[0xE2, 0xC2]] = True  # first bytes of the two money signs
+_GAP = np.zeros(256, bool)
+_GAP[[ord(x) for x in SEPARATORS]] = True
 
 
 # -- features ----------------------------------------------------------------------
@@ -214,30 +308,53 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return (np.concatenate(feats) >> np.uint64(44)).astype(np.int64), np.concatenate(docs)
 
 
-def _with_restored(texts: pa.Array, data, offsets, model, memo):
+def _said(words: list[bytes], model: np.ndarray) -> list[np.ndarray]:
+    """Features of the readings of each word or run that may hide a word."""
+    forms = [_forms(x.decode("utf-8", "replace")) for x in words]
+    owner = np.repeat(np.arange(len(words)), [len(x) for x in forms])
+    flat = [x for some in forms for x in some]
+    said = [b"" if r == x.lower() else r.encode() for x, r in zip(flat, restore_all(flat, model))]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in said])]).astype(np.int64)
+    feats, which = _features(np.frombuffer(b"".join(said), np.uint8), ends)
+    held = np.unique(owner[which] * TABLE + feats)
+    return np.split(held % TABLE, np.searchsorted(held, np.arange(1, len(words)) * TABLE))
+
+
+def _with_restored(data, offsets, model, memo):
     """The texts' features and those of what hides in them."""
     feats, doc = _features(data, offsets)
-    extra, owner = [], []
-    for i in np.flatnonzero(_may_hide(data, offsets)):
-        for word in hidden_words(texts[int(i)].as_py()):
-            said = memo.get(word)
-            if said is None:
-                if len(memo) > 200_000:
-                    memo.clear()
-                said = memo[word] = restore(word, model)
-            if said != word:
-                extra.append(said.encode())
-                owner.append(int(i))
-    if extra:
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in extra])])
-        more, which = _features(np.frombuffer(b"".join(extra), np.uint8), ends)
-        feats, doc = np.concatenate([feats, more]), np.concatenate([doc, np.array(owner)[which]])
+    start, end, owner = _odd_spans(data, offsets)
+    if len(start):
+        # Each distinct word is read once, and a document counts it once.
+        _, first, kind = np.unique(common.span_hash(common.prefix_hash(data), start, end), return_index=True, return_inverse=True)
+        words = [data[a:b].tobytes() for a, b in zip(start[first], end[first])]
+        fresh = [x for x in words if x not in memo]
+        if len(memo) + len(fresh) > 100_000:
+            memo.clear()
+            fresh = words
+        memo.update(zip(fresh, _said(fresh, model) if fresh else ()))
+        more = [memo[x] for x in words]
+        size = np.array([len(x) for x in more])
+        begin = np.cumsum(size) - size
+        held = np.unique(owner * len(first) + kind)
+        owner, kind = held // len(first), held % len(first)
+        n = size[kind]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[kind], n)
+        feats, doc = np.concatenate([feats, np.concatenate(more)[at]]), np.concatenate([doc, np.repeat(owner, n)])
     return feats, doc
 
 
-def _slices_with_text(batches, keyed: bool = True):
+def _slices(batches, keyed: bool = True):
     for batch, a, b, data, offsets in common.text_slices(batches):
-        yield common.column(batch, "doc_id", a, b) if keyed else np.zeros(b - a, np.int64), batch.column(batch.schema.get_field_index("text")).slice(a, b - a), data, offsets
+        yield common.column(batch, "doc_id", a, b) if keyed else np.zeros(b - a, np.int64), data, offsets
+
+
+def _known(doc_id, ids: np.ndarray, data, offsets):
+    """Which texts are among the sorted ``ids``, and their bytes and offsets."""
+    pick = np.flatnonzero(ids[np.minimum(np.searchsorted(ids, doc_id), len(ids) - 1)] == doc_id)
+    size = np.diff(offsets)[pick]
+    new = np.concatenate([[0], np.cumsum(size)])
+    return pick, data[np.repeat(offsets[:-1][pick] - new[:-1], size) + np.arange(new[-1])], new
 
 
 def _tally(model, ids: np.ndarray, toxic: np.ndarray):
@@ -245,20 +362,16 @@ def _tally(model, ids: np.ndarray, toxic: np.ndarray):
 
     def rows(batches):
         counts, memo = np.zeros((2, TABLE), np.int32), {}
-        for doc_id, texts, data, offsets in _slices_with_text(batches):
-            at = np.minimum(np.searchsorted(ids, doc_id), len(ids) - 1)
-            known = ids[at] == doc_id
-            if not known.any():
+        for doc_id, data, offsets in _slices(batches):
+            pick, data, offsets = _known(doc_id, ids, data, offsets)
+            if not len(pick):
                 continue
-            pick = np.flatnonzero(known)
-            size = np.diff(offsets)[pick]
-            new = np.concatenate([[0], np.cumsum(size)])
-            move = np.repeat(offsets[:-1][pick] - new[:-1], size) + np.arange(new[-1])
-            feats, doc = _with_restored(texts.take(pa.array(pick)), data[move], new, model, memo)
+            at = np.searchsorted(ids, doc_id[pick])
+            feats, doc = _with_restored(data, offsets, model, memo)
             pairs = np.unique(doc * TABLE + feats)
             for kind in (0, 1):
                 counts[kind] += np.bincount(
-                    pairs[toxic[at[pick]][pairs // TABLE] == kind] % TABLE, minlength=TABLE).astype(np.int32)
+                    pairs[toxic[at][pairs // TABLE] == kind] % TABLE, minlength=TABLE).astype(np.int32)
         at = np.flatnonzero(counts.any(0))
         if len(at):
             part = at >> 14
@@ -284,13 +397,16 @@ def _add_tally(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": rows["part"].iloc[:1], "grams": [kinds.astype(np.int32).tobytes()], "clean": [sums[0]], "toxic": [sums[1]]})
 
 
-def _strengths(model, weights: np.ndarray, keyed: bool = True):
-    """The two strongest weights of distinct features in each text."""
+def _strengths(model, weights: np.ndarray, keyed: bool = True, ids: np.ndarray | None = None):
+    """The two strongest weights of distinct features in each text, or in those of ``ids`` alone."""
 
     def rows(batches):
-        memo: dict[str, str] = {}
-        for doc_id, texts, data, offsets in _slices_with_text(batches, keyed):
-            feats, doc = _with_restored(texts, data, offsets, model, memo)
+        memo: dict[bytes, np.ndarray] = {}
+        for doc_id, data, offsets in _slices(batches, keyed):
+            if ids is not None:
+                pick, data, offsets = _known(doc_id, ids, data, offsets)
+                doc_id = doc_id[pick]
+            feats, doc = _with_restored(data, offsets, model, memo)
             value = weights[feats]
             hit = value > 0
             feats, doc, value = feats[hit], doc[hit], value[hit]
@@ -381,7 +497,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, least: int = 5)
         weights[at] = np.where(bad >= least, np.maximum(odds - 1.0, 0), 0)
     spark = docs.sparkSession
     picked = spark.createDataFrame(known[["doc_id", "y", "weight"]])
-    got = picked.join(docs.mapInArrow(_strengths(characters, weights), "doc_id long, first double, second double"), "doc_id").toPandas()
+    got = picked.join(docs.mapInArrow(_strengths(characters, weights, ids=ids), "doc_id long, first double, second double"), "doc_id").toPandas()
     if got["y"].nunique() < 2:
         return ToxicityModel(characters, weights, flat)
     curve = _logistic(got[["first", "second"]].to_numpy(), got["y"].to_numpy(float), got["weight"].to_numpy() / got["weight"].mean())

@@ -234,6 +234,30 @@ def test_bytes_and_pattern_agree():
     assert all(m or not tx.hidden_words(t) for t, m in zip(texts, may))
 
 
+HIDDEN = {
+    "$tupid": "stupid", "$cum": "scum", "(lown": "clown", "tr4$": "tras", "idi07": "idiot", "1d107": "idiot", "1053r": "loser",
+    "scu3": "scue", "i d 1 o t": "idiot", "m o r 0 n": "moron", "i  d  i  o  t": "idiot", "i/d/i/o/t": "idiot", "i,d,i,o,t": "idiot",
+    "stuupid": "stupid", "iidiioott": "idiot", "$tup1d": "stupid", "3 m o r o n": "moron", "\"1d107!\"": "idiot"}
+
+
+def test_every_form_is_decoded_and_found(spark):
+    rng = random.Random(8)
+    filler = "the river runs past old stone houses where people trade bread and wool in spring".split()
+    abuse = sorted(set(HIDDEN.values()))
+    docs = [(i, " ".join([*rng.choices(filler, k=20), *([abuse[i // 2 % len(abuse)]] if i % 2 else []), *rng.choices(filler, k=20)]))
+            for i in range(1200)]
+    docs += [(5000 + i, " ".join([*filler[:8], form, *filler[8:]])) for i, form in enumerate(HIDDEN)]
+    docs += [(6000, " ".join(filler)), (6001, "bread, (wool) and stone! In 2023: $5.")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1200)], "doc_id long, quality int, toxic int")
+    model = tx.fit(frame, labels)
+    for form, word in HIDDEN.items():
+        assert word in [tx.restore(x, model.characters) for x in tx.hidden_words(f"past {form} old")], form
+    score = {r.doc_id: r.score for r in tx.score(frame, model).collect()}
+    assert [f for i, f in enumerate(HIDDEN) if score[5000 + i] < 0.3] == []
+    assert score[6000] < 0.3 and score[6001] < 0.3
+
+
 # -- importance ---------------------------------------------------------------------
 
 def test_kth_greatest(spark):
