@@ -117,6 +117,9 @@ class _Parse:
         gram = min(24, self.length)
         width = self.length - gram + 1
         hashed = common.window_hash(self.prefix[0], gram)
+        if len(hashed) < width:  # fewer bytes than one string
+            nothing = np.zeros(0, np.uint64)
+            return nothing, nothing, np.full(len(self.data), -1, np.int32)
         low, reach = hashed, 1
         while 2 * reach <= width:
             low, reach = np.minimum(low[: len(low) - reach], low[reach:]), 2 * reach

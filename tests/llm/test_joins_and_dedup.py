@@ -5,9 +5,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
-from lineup.llm import common, ngram_join as nj
+from lineup.llm import common, ngram_join as nj, suffix_dedup as suffix
 from lineup.llm.components import components
 from lineup.llm.ngram_join import ngram_join
 from lineup.llm.suffix_dedup import suffix_dedup
@@ -168,3 +169,20 @@ def test_hashes_do_not_depend_on_the_place():
     h = common.span_hash(p, np.array([0, 8, 16]), np.array([7, 15, 23]))
     assert len(set(h.tolist())) == 1
     assert collections.Counter(common.window_hash(p, 7).tolist()).most_common(1)[0][1] == 3
+
+
+def test_cut_of_small_chunks(spark):
+    """Chunks of 0 to 60 bytes: every total in the parse, and one document a partition in the query."""
+    for n in range(61):
+        kinds, names, which = suffix._Parse(
+            np.array([1]), np.array([0, n]), np.full(n, 97, np.uint8), 50).minimizers()
+        assert len(kinds) == len(names) and (which >= 0).sum() == max(0, n - 49)
+    text = "".join(chr(97 + i * i % 23) for i in range(60))
+    sizes = [0, 1, 23, 24, 28, 29, 30, 35, 36, 37, 44, 45, 48, 49, 50, 51, 59, 60]
+    rows = [(i, text[:n]) for i, n in enumerate(sizes)]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    want = brute_cut(rows)
+    got = {r.doc_id: r for r in suffix_dedup(frame, keep_bytes=True).collect()}
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == {i: w[:4] for i, w in want.items()}
+    short = spark.createDataFrame([(1, text[:29])], "doc_id long, text string")
+    assert [r.n_removed for r in suffix_dedup(short).collect()] == [0]
