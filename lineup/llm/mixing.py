@@ -7,8 +7,10 @@ or more, so that the expected tokens of every domain match their targets. A
 step's gradient needs only the domains' totals, so a pass sends a few numbers to
 the driver; the rate of a document follows from its probabilities and the steps.
 
-DataFrame operations only. The classifier is a Gaussian naive Bayes over shape
-features of a text, from one combining aggregation.
+DataFrame operations only. The classifier is a naive Bayes over a text's distinct
+words, hashed to a table of fixed size, and Gaussian shape features. Both are
+learned by combining aggregations of the labelled texts; a document's sum is taken
+where its row is read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import store
 DOMAIN = "case when toxic = 1 then 'toxic' when quality = 1 then 'good' when quality = 0 then 'low' end"
 WEIGHTS = {"good": 0.80, "low": 0.15, "toxic": 0.05}
 STEPS = 12
+SLOTS = 1 << 15  # hashed words
+SURE = 2.0  # standard errors that the log odds of a word are drawn back by
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SIGNS = "0123456789#*$%&|<>!@/\\=_"
@@ -40,23 +44,43 @@ def let(value: Column, body) -> Column:
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the features ``f``; the last is the number of tokens (blanks and one more, 0 for a blank text)."""
+    """``docs`` with the features ``f``, the last being the number of tokens (runs of
+    other than blanks), and ``words``, the slots of the distinct lower-cased runs of letters."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     left = lambda signs: F.length(F.translate(body, signs, "")).cast("double")
-    counts = F.array(F.length(body).cast("double"), left(_SPACES), left(_UPPER), left(_SIGNS))
+    runs = F.regexp_count(body, F.lit(f"[^{_SPACES}]+")).cast("double")
+    counts = F.array(F.length(body).cast("double"), left(_SPACES), left(_UPPER), left(_SIGNS), runs)
 
     def shapes(c: Column) -> Column:
         n, solid = F.get(c, F.lit(0)), F.get(c, F.lit(1))
         share = lambda taken, base: F.sqrt(taken / F.greatest(base, F.lit(1.0)))
         return F.array(
             F.log1p(n), share(n - F.get(c, F.lit(2)), solid), share(n - F.get(c, F.lit(3)), solid), share(n - solid, n),
-            F.when(solid > 0, n - solid + 1).otherwise(F.lit(0.0)))
+            F.get(c, F.lit(4)))
 
-    return docs.withColumn("f", let(counts, shapes))
+    words = F.array_distinct(F.transform(F.filter(F.split(F.lower(body), "[^\\p{L}]+"), lambda w: w != ""), lambda w: F.pmod(
+        F.xxhash64(w), F.lit(SLOTS)).cast("int")))
+    return docs.withColumns({"f": let(counts, shapes), "words": words})
+
+
+def fit_words(learned: DataFrame, totals: dict[str, int]) -> dict[str, list[float]]:
+    """Log odds of each slot in each domain's texts against all, drawn towards 0 by their standard error."""
+    names = list(totals)
+    # At most SLOTS rows, whatever the number of texts.
+    rows = learned.select("domain", F.explode("words").alias("slot")).groupBy("slot").agg(
+        *[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(names)]).collect()
+    counts = np.zeros((len(names), SLOTS))
+    for r in rows:
+        counts[:, r["slot"]] = [r[f"n{i}"] for i in range(len(names))]
+    size = np.array([totals[d] for d in names], float)
+    expected = counts.sum(0) * (size / size.sum())[:, None]
+    odds = np.log((counts + 0.5) / (expected + 0.5))
+    odds = np.sign(odds) * np.maximum(np.abs(odds) - SURE / np.sqrt(counts + 0.5), 0)
+    return {d: odds[i].tolist() for i, d in enumerate(names)}
 
 
 def fit_domains(shapes: DataFrame, labels: DataFrame) -> tuple[Column, list[str]]:
-    """Probabilities of the labelled domains, in name order, as a column over ``f``.
+    """Probabilities of the labelled domains, in name order, as a column over ``f`` and ``words``.
 
     Of rows that repeat a label's id, and of contradicting ones, the greatest
     counts. Without labels there is one domain, ``all``, of probability 1.
@@ -65,17 +89,26 @@ def fit_domains(shapes: DataFrame, labels: DataFrame) -> tuple[Column, list[str]
         "doc_id is not null and domain is not null").groupBy("doc_id").agg(F.max("domain").alias("domain"))
     size = 4
     x = [F.get("f", F.lit(i)) for i in range(size)]
-    learned = shapes.select("doc_id", "f").join(known, "doc_id").groupBy("domain").agg(
+    labelled = store(shapes.select("doc_id", "f", "words").join(known, "doc_id"), "labelled")
+    learned = labelled.groupBy("domain").agg(
         F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)],
         *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(x)]).orderBy("domain").collect()
     if not learned:
         return F.array(F.lit(1.0)), ["all"]
     total = sum(r["n"] for r in learned)
+    odds = fit_words(labelled, {r["domain"]: r["n"] for r in learned})
+
+    # Literals in one piece, which the optimiser folds to arrays.
+    literal = lambda values: F.split(F.lit(",".join(f"{v:.3g}" for v in values)), ",").cast("array<float>")
+    says = literal(np.any(list(odds.values()), 0).astype(float))  # whether a slot's odds of any domain are other than 0
+
+    def added(table: Column):
+        return lambda so_far, slot: so_far + F.get(table, slot)
 
-    def log_odds(f: Column) -> Column:
+    def log_odds(f: Column, telling: Column) -> Column:
         scores = []
         for r in learned:
-            value = F.lit(math.log(r["n"] / total))
+            value = F.lit(math.log(r["n"] / total)) + F.aggregate(telling, F.lit(0.0), added(literal(odds[r["domain"]])))
             for i in range(size):
                 var = max(r[f"v{i}"], 1e-4)
                 away = F.get(f, F.lit(i)) - F.lit(r[f"m{i}"])
@@ -86,7 +119,8 @@ def fit_domains(shapes: DataFrame, labels: DataFrame) -> tuple[Column, list[str]
     # Probability of each: one over the sum of all odds against it.
     against = lambda s: F.transform(s, lambda own: 1 / F.aggregate(
         s, F.lit(0.0), lambda total, other: total + F.exp(F.least(other - own, F.lit(700.0)))))
-    return let(let(F.col("f"), log_odds), against), [r["domain"] for r in learned]
+    telling = F.filter("words", lambda slot: F.get(says, slot) > 0)
+    return let(let(telling, lambda t: log_odds(F.col("f"), t)), against), [r["domain"] for r in learned]
 
 
 def rate_column(steps: list[list[float]], cap: float | None) -> Column:
@@ -137,9 +171,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     A null text has no tokens; like an empty one it gets a rate from its
     probabilities, as do rows with a null id. An empty table gives no rows.
     """
-    spare = [c for c in ("n_tokens", "f", "p", "domains", "rate", "copies") if c in docs.columns]
+    spare = [c for c in ("n_tokens", "f", "words", "p", "domains", "rate", "copies") if c in docs.columns]
     docs = docs.drop(*spare)
-    shapes = store(features(docs.select("doc_id", "text")).select("doc_id", "f"), "shapes")
+    shapes = store(features(docs.select("doc_id", "text")).select("doc_id", "f", "words"), "shapes")
     p, domains = fit_domains(shapes, labels)
     n_tokens = F.get("f", F.lit(4)).cast("long")
     soft = store(shapes.select(n_tokens.alias("n_tokens"), p.alias("p")), "soft")
@@ -155,6 +189,6 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     steps, _ = fit_rates(soft, targets, cap)
     chance = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # The rows themselves are read again, so that no text is shuffled.
-    named = features(docs).withColumns({"n_tokens": n_tokens, "p": p}).drop("f")
+    named = features(docs).withColumns({"n_tokens": n_tokens, "p": p}).drop("f", "words")
     return named.withColumns({"domains": F.lit(",".join(domains)), "rate": rate_column(steps, cap)}).withColumn(
         "copies", F.floor(F.col("rate") + chance).cast("long"))

@@ -318,6 +318,21 @@ def test_mixing_odd_rows(make, none, no_labels):
     assert mixing.mix(none, no_labels).count() == 0
 
 
+def test_words_tell_domains_on_held_out_labels(toxic_corpus):
+    docs, labels = toxic_corpus
+    held = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"
+    got = mixing.mix(docs, labels.where(f"not {held}"), keep={"good": 1.0, "toxic": 0.5}, cap=1.0).join(
+        labels, "doc_id").where(held).collect()
+    good, toxic = ([r.rate for r in got if r.toxic == y] for y in (0, 1))
+    assert good and min(good) > 0 and np.mean(good) > 0.95
+    assert toxic and np.mean(toxic) < 0.7
+
+
+def test_tokens_are_runs_of_non_blanks(make, no_labels):
+    got = {r.doc_id: r.n_tokens for r in mixing.mix(make(ODD), no_labels).collect()}
+    assert got == {i: len(re.findall("[^ \n\t\r]+", t or "")) for i, t in ODD}
+
+
 def test_mixing_plan_is_native(documents, spark, folder):
     plan = mixing.mix(documents, spark.read.parquet(f"{folder}/labels.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
