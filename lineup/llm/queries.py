@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .collocations import collocations
 from .common import table
 from .importance import resample
 from .language_id import language_id
@@ -28,6 +29,7 @@ SQL: dict[str, str] = {
     "op5_url_filters": sql.URL_FILTERS,
     "op9_suffix_dedup": sql.SUFFIX_DEDUP,
     "op10_ngram_jaccard_join": sql.NGRAM_JOIN,
+    "op13_collocations": sql.COLLOCATIONS,
 }
 
 
@@ -88,3 +90,8 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(table(spark, folder, "documents"))
+
+
+@register
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))

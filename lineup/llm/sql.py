@@ -112,3 +112,30 @@ both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
 reach AS (SELECT doc_id, doc_id AS r FROM base UNION SELECT reach.doc_id, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.r)
 SELECT b.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id FROM base b LEFT JOIN sizes s USING (doc_id)
 JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) c USING (doc_id)"""
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT lang, piece, row_number() OVER () AS pid FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+words AS (SELECT lang, pid, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces),
+places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM words),
+f AS (
+  SELECT lang, len, array_to_string(words[i:i + len - 1], ' ') AS phrase, count(*) AS f
+  FROM places, (SELECT unnest(range(1, 5)) AS len) WHERE i + len - 1 <= len(words) GROUP BY ALL),
+candidates AS (SELECT lang, phrase, len, f AS a, string_split(phrase, ' ') AS w FROM f WHERE len > 1 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * a) // (l.f::HUGEINT + r.f) AS score
+  FROM (SELECT *, unnest(range(1, len)) AS k FROM candidates) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT c.lang, array_to_string(c.w[i:i + s - 1], ' ') AS phrase, max(a) AS longer
+  FROM candidates c, (SELECT unnest(range(2, 4)) AS s), (SELECT unnest(range(1, 4)) AS i) WHERE s < len AND i + s - 1 <= len GROUP BY ALL),
+kept AS (
+  SELECT p.* FROM lowest p LEFT JOIN longer g ON g.lang = p.lang AND g.phrase = p.phrase
+  WHERE g.longer IS NULL OR NOT 100 * g.longer::HUGEINT >= 80 * a::HUGEINT),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len = 1 GROUP BY 1)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept) JOIN totals USING (lang)
+WHERE rank <= 2000"""
