@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from . import sql
 from .collocations import collocations
 from .common import table
+from .graph_search import graph_search, sound
 from .importance import resample
 from .language_id import language_id
+from .lexical_search import lexical_search
 from .mixing import mix
 from .ngram_join import ngram_join
 from .packing import pack
@@ -29,6 +31,7 @@ SQL: dict[str, str] = {
     "op5_url_filters": sql.URL_FILTERS,
     "op9_suffix_dedup": sql.SUFFIX_DEDUP,
     "op10_ngram_jaccard_join": sql.NGRAM_JOIN,
+    "op11_lexical_search": sql.LEXICAL_SEARCH,
     "op13_collocations": sql.COLLOCATIONS,
 }
 
@@ -92,6 +95,17 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(table(spark, folder, "documents"))
 
 
+@register
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@register
+def op12_graph_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = sound(table(spark, folder, "embeddings"))
+    return graph_search(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 @register
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(table(spark, folder, "documents"))

@@ -139,3 +139,17 @@ totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len = 1 GROUP BY 1)
 SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept) JOIN totals USING (lang)
 WHERE rank <= 2000"""
+
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+
+LEXICAL_SEARCH = f"""
+WITH asked AS (SELECT item_id, {_TERMS} AS t FROM benchmark),
+held AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, {_TERMS} AS t FROM documents) GROUP BY 1, 2),
+lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM held GROUP BY 1),
+totals AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM lengths),
+weights AS (SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM held GROUP BY 1), totals),
+scores AS (
+  SELECT item_id, h.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score
+  FROM asked JOIN held h USING (t) JOIN lengths USING (doc_id) JOIN weights USING (t), totals GROUP BY 1, 2)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 20"""
