@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEED = 42
+#: Odd factors that mix the bits of a pair, below 2**62 so that SQL's wide integers hold the products.
+PAIR_FACTORS = (0x1E3779B97F4A7C15, 0x2545F4914F6CDD1D)
 
 
 def _col(value) -> Column:
@@ -32,7 +34,6 @@ def hash_int(lo, hi, purpose: str, *keys, seed: int = SEED) -> Column:
 
 
 def hash_bits(purpose: str, *keys, seed: int = SEED) -> Column:
-    """60-bit integer per row, wide enough to index any table. XOR of two rows'
-    bits orders pairs."""
+    """60-bit integer per row, wide enough to index any table."""
     key = order_key(purpose, *keys, seed=seed)
     return F.conv(F.substring(key, 1, 15), 16, 10).cast("long")

@@ -20,8 +20,8 @@ from ..functions.vectors import dot
 from ..session import cut
 from .corpus import CELL, family_sizes, merge_roles, sample_rates, stranger_pool
 from .knn import (
-    first_per_group, knn_topk, most_similar_of_resident, pick_hard_negatives, product_pool,
-    sampled_pool, threshold_negatives,
+    most_similar_of_resident, nearest_groups, pick_hard_negatives, product_pool, sampled_pool,
+    threshold_negatives,
 )
 from .pools import (
     ENTITY, GROUP_SOURCE, Layout, _cell_sums, draw_strangers, feasible_pairs, layout, skip,
@@ -39,12 +39,12 @@ STEP = 10_000
 class Pool:
     """Where hard negatives come from.
 
-    meta: ``item_id, group_id, entity_id``; vectors: ``item_id, vec``.
+    meta: ``item_id, group_id, entity_id``; vectors: ``item_id, vec``. Negatives
+    are sampled from the ``sample_from`` nearest other groups.
     """
 
     meta: DataFrame
     vectors: DataFrame
-    top_k: int = 200
     sample_from: int = 10
 
 
@@ -166,11 +166,15 @@ def pick_members(
     )
 
 
-def candidates_for(queries: DataFrame, pool: Pool) -> DataFrame:
-    """Hard-negative candidates of each distinct query item."""
+def candidates_for(queries: DataFrame, pool: Pool, n_groups: int) -> DataFrame:
+    """The ``n_groups`` nearest other groups of each distinct query item, with their best items.
+
+    Groups are counted, not items: a group of any size is one candidate, and the
+    query's own costs none.
+    """
     wanted = queries.select(F.col("query_id").alias("item_id")).distinct()
-    vectors = pool.vectors.join(wanted, "item_id", "left_semi")
-    return first_per_group(knn_topk(vectors, pool.vectors, pool.top_k), pool.meta)
+    owned = cut(pool.vectors.join(pool.meta.select("item_id", "group_id").distinct(), "item_id"))
+    return nearest_groups(owned.join(wanted, "item_id", "left_semi"), owned, n_groups)
 
 
 def pad_with_negatives(cases: DataFrame, pool: Pool, max_gallery: int) -> DataFrame:
@@ -182,7 +186,9 @@ def pad_with_negatives(cases: DataFrame, pool: Pool, max_gallery: int) -> DataFr
     size = F.col("natural")
     target = hash_int(size, F.greatest(size, F.lit(max_gallery)), "target", "case_id")
     wanted = cases.select(*CASE, (target - size).alias("n_pad"), "other_group")
-    chosen = pick_hard_negatives(wanted, candidates_for(cases, pool), pool.sample_from)
+    # One candidate more than a case may use, as it may exclude a second group.
+    n_groups = max(max_gallery, pool.sample_from) + 1
+    chosen = pick_hard_negatives(wanted, candidates_for(cases, pool, n_groups), pool.sample_from)
     return chosen.join(wanted.select(*CASE), "case_id").select(
         *CASE, "item_id", F.lit("negative").alias("kind")
     )
@@ -473,7 +479,7 @@ def _of_split(
     mine = items.join(groups, "group_id", "left_semi")
     meta = pool.meta.join(groups, "group_id", "left_semi")
     vectors = pool.vectors.join(meta.select("item_id").distinct(), "item_id", "left_semi")
-    return mine, Pool(meta, vectors, pool.top_k, pool.sample_from)
+    return mine, Pool(meta, vectors, pool.sample_from)
 
 
 # Training cases per entity by family size.

@@ -1,25 +1,37 @@
 """Exact nearest neighbours and similarity pools by blocks.
 
-Both sides are hashed into blocks sized by a memory budget. Each pair of blocks
-is one group whose task does one matrix product and keeps only what the operator
-needs: the best ``k`` per query, or a sample of ``m`` per query with its pool
-size. Pairs never leave the task, and no side is broadcast.
+The corpus is cut into blocks of a memory budget. A task holds one block and a part
+of the queries, does one matrix product, and keeps only what the operator needs: the
+best ``k`` items or groups per query, or a sample of ``m`` with the pool's size.
+Pairs never leave the task, and no side is broadcast.
+
+With several blocks, a block holds items near one pivot, and each has a centroid and
+a radius. A query is searched in the block nearest to it first; what it found there
+is a floor, and of the other blocks only those are visited whose best possible
+product, ``q . centroid + |q| radius``, reaches it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_bits, order_key
+from ..functions.hashing import PAIR_FACTORS, hash_bits, hash_int, order_key
 from ..functions.vectors import dot
-from .ranking import skew_join, top_n
+from ..session import cut
+from .ranking import group_rank, skew_join, top_n
 
 BLOCK_BYTES = 128 << 20
 DIGITS = 6
+STEP = 10.0**-DIGITS
+CHUNK = 32  # columns whose maximum stands for them in a first look
+PAIRS = 1 << 17  # pairs whose product is computed exactly at once
 
 
 def _blocks(rows: int, dim: int, budget: int) -> int:
@@ -34,7 +46,7 @@ def _layout(queries: DataFrame, corpus: DataFrame, budget: int) -> tuple[int, in
     n_queries = queries.count()
     dim = size["d"] or 1
     corpus_blocks = _blocks(size["n"], dim, budget)
-    wanted = 2 * queries.sparkSession.sparkContext.defaultParallelism
+    wanted = queries.sparkSession.sparkContext.defaultParallelism
     query_blocks = max(
         _blocks(n_queries, dim, budget), -(-wanted // corpus_blocks) if n_queries else 1
     )
@@ -97,19 +109,286 @@ def _row_chunks(rows: int, columns: int, budget: int):
     return ((start, min(start + step, rows)) for start in range(0, rows, step))
 
 
-def _lists(counts: np.ndarray, fields: dict[str, pa.Array]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    rows = pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
-    return pa.ListArray.from_arrays(pa.array(offsets), rows)
+def _best_per_row(values: np.ndarray, rows: np.ndarray, ties: np.ndarray, k: int):
+    """Places of the best k entries per row, by ascending value and then tie."""
+    order = np.lexsort((ties, values, rows))
+    rows = rows[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    return order[rank < k], rank[rank < k]
+
+
+class _Products:
+    """Inner products of queries with a block: a quick look in single precision
+    with a bound of its error, and exact values of chosen pairs."""
+
+    def __init__(self, queries: np.ndarray, block: np.ndarray):
+        if queries.shape[1] != block.shape[1]:
+            raise ValueError("vectors differ in length")
+        self.queries, self.block = queries, block
+        self._q, self._c = queries.astype(np.float32), block.astype(np.float32).T
+        largest = np.sqrt((block**2).sum(1)).max(initial=0.0)
+        # Rounding of the inputs and of each step; rounding a result lifts it by half a step.
+        error = (block.shape[1] + 4) * 2.0**-23 * np.sqrt((queries**2).sum(1)) * largest
+        self.margin = 2 * error + STEP
+
+    def look(self, start: int, end: int) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore"):
+            quick = self._q[start:end] @ self._c
+        # Beyond single precision nothing is excluded.
+        return quick if np.isfinite(quick).all() else self.queries[start:end] @ self.block.T
+
+    def rounded(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        parts = [
+            np.einsum("ij,ij->i", self.queries[rows[a : a + PAIRS]], self.block[columns[a : a + PAIRS]])
+            for a in range(0, len(rows), PAIRS)
+        ]
+        return np.round(np.concatenate(parts), DIGITS) + 0.0 if parts else np.zeros(0)
+
+
+def _at_least(values: np.ndarray, k: int, margin: np.ndarray, floor: np.ndarray):
+    """Rows and columns of the entries that may be among a row's ``k`` greatest.
+
+    The k-th greatest of the chunks' maxima is no greater than the k-th entry, and
+    chunks below it are not looked into.
+    """
+    n = values.shape[1]
+    whole = n // CHUNK
+    tops = values[:, : whole * CHUNK].reshape(len(values), whole, CHUNK).max(2) if whole else values[:, :0]
+    tops = np.concatenate([tops, values[:, whole * CHUNK :]], 1)
+    if tops.shape[1] >= k:
+        low = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k]
+    elif n > k:
+        low = np.partition(values, n - k, axis=1)[:, n - k]
+    else:
+        low = np.full(len(values), -np.inf)
+    # A floor is a rounded value; an entry of half a step less may round to it.
+    low = np.maximum(low.astype(np.float64), floor) - margin
+    rows, chunks = np.nonzero(tops >= low[:, None])
+    inner = chunks < whole
+    r, c = np.repeat(rows[inner], CHUNK), (chunks[inner][:, None] * CHUNK + np.arange(CHUNK)).reshape(-1)
+    good = values[r, c] >= low[r]
+    rows = np.concatenate([r[good], rows[~inner]])
+    return rows, np.concatenate([c[good], chunks[~inner] - whole + whole * CHUNK])
+
+
+def _floor(q: pa.Table) -> np.ndarray:
+    if "floor" not in q.column_names:
+        return np.full(q.num_rows, -np.inf)
+    return q.column("floor").to_numpy()
+
+
+def _best_items(k: int, budget: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def best(q: pa.Table, c: pa.Table) -> pa.Table:
+        id_type = q.schema.field("item_id").type
+        target = pa.schema([("query_id", id_type), ("nbr", id_type), ("neg", pa.float64()), ("rank", pa.int32())])
+        if q.num_rows == 0 or c.num_rows == 0:
+            return target.empty_table()
+        c = c.sort_by("item_id")
+        ids, names, floor = c.column("item_id").combine_chunks(), q.column("item_id").combine_chunks(), _floor(q)
+        products = _Products(_matrix(q), _matrix(c))
+        parts = []
+        for start, end in _row_chunks(q.num_rows, c.num_rows, budget):
+            quick = products.look(start, end)
+            rows, cols = _at_least(quick, k, products.margin[start:end], floor[start:end])
+            rows = rows + start
+            sims = products.rounded(rows, cols)
+            good = sims >= floor[rows]
+            rows, cols, sims = rows[good], cols[good], sims[good]
+            kept, rank = _best_per_row(-sims, rows, cols, k)
+            parts.append(pa.table(
+                [names.take(pa.array(rows[kept])), ids.take(pa.array(cols[kept])), pa.array(-sims[kept] + 0.0),
+                 pa.array(rank + 1, pa.int32())], schema=target))
+        return pa.concat_tables(parts)
+
+    return best
+
 
+def _codes(*columns: pa.ChunkedArray) -> list[np.ndarray]:
+    """Whole numbers that are equal where the values of all columns are."""
+    every = pa.concat_arrays([c.combine_chunks() for c in columns])
+    codes = every.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    ends = np.cumsum([len(c) for c in columns])
+    return np.split(codes, ends[:-1])
 
-def _best_per_row(values: np.ndarray, rows: np.ndarray, cols: np.ndarray, k: int):
-    """Keep k candidates per row, by ascending value and then column."""
-    order = np.lexsort((cols, values, rows))
-    rows, cols, values = rows[order], cols[order], values[order]
-    first = np.searchsorted(rows, rows, side="left")
-    keep = np.arange(len(rows)) - first < k
-    return rows[keep], cols[keep], values[keep]
+
+def _best_groups(k: int, budget: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The best item of each of the ``k`` best groups other than the query's."""
+
+    def best(q: pa.Table, c: pa.Table) -> pa.Table:
+        id_type, group_type = q.schema.field("item_id").type, q.schema.field("group_id").type
+        target = pa.schema([("query_id", id_type), ("nbr_group", group_type), ("nbr", id_type), ("neg", pa.float64()),
+                            ("rank", pa.int32())])
+        if q.num_rows == 0 or c.num_rows == 0:
+            return target.empty_table()
+        c = c.sort_by([("group_id", "ascending"), ("item_id", "ascending")])
+        ids, groups, names, floor = c.column("item_id").combine_chunks(), c.column("group_id").combine_chunks(), q.column(
+            "item_id").combine_chunks(), _floor(q)
+        by_id = np.empty(len(ids), np.int64)
+        by_id[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        q_code, c_code = _codes(q.column("group_id"), c.column("group_id"))
+        starts = np.flatnonzero(np.concatenate([[True], c_code[1:] != c_code[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(ids)]]))
+        place = np.full(max(q_code.max(), c_code.max()) + 1, -1)
+        place[c_code[starts]] = np.arange(len(starts))
+        own = place[q_code]
+        products = _Products(_matrix(q), _matrix(c))
+        parts = []
+        for start, end in _row_chunks(q.num_rows, c.num_rows, budget):
+            quick = products.look(start, end)
+            tops = np.maximum.reduceat(quick, starts, axis=1)
+            mine = np.flatnonzero(own[start:end] >= 0)
+            tops[mine, own[start:end][mine]] = -np.inf
+            margin = products.margin[start:end]
+            rows, cells = _at_least(tops, k, margin, floor[start:end])
+            other = own[start:end][rows] != cells
+            rows, cells = rows[other], cells[other]
+            found = []
+            # The members of each chosen group that may be its best, a bounded number at a time.
+            ends = np.cumsum(sizes[cells])
+            a = 0
+            while a < len(rows):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 22), side="right")))
+                each = np.repeat(np.arange(a, b), sizes[cells[a:b]])
+                first = np.repeat(np.cumsum(sizes[cells[a:b]]) - sizes[cells[a:b]], sizes[cells[a:b]])
+                cols = starts[cells[each]] + np.arange(len(each)) - first
+                may = quick[rows[each], cols] >= tops[rows[each], cells[each]] - margin[rows[each]]
+                found.append((rows[each][may], cells[each][may], cols[may]))
+                a = b
+            if not found:
+                continue
+            rows, cells, cols = (np.concatenate(x) for x in zip(*found))
+            rows = rows + start
+            sims = products.rounded(rows, cols)
+            one, _ = _best_per_row(-sims, rows * len(starts) + cells, cols, 1)
+            rows, cols, sims = rows[one], cols[one], sims[one]
+            good = sims >= floor[rows]
+            rows, cols, sims = rows[good], cols[good], sims[good]
+            kept, rank = _best_per_row(-sims, rows, by_id[cols], k)
+            at = pa.array(cols[kept])
+            parts.append(pa.table(
+                [names.take(pa.array(rows[kept])), groups.take(at), ids.take(at), pa.array(-sims[kept] + 0.0),
+                 pa.array(rank + 1, pa.int32())], schema=target))
+        return pa.concat_tables(parts) if parts else target.empty_table()
+
+    return best
+
+
+# -- blocks near pivots -----------------------------------------------------------
+
+
+def _placed(corpus: DataFrame, n_blocks: int, budget: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The corpus with its block ``_c``, and each block's centroid and radius.
+
+    Pivots are the vectors of ``n_blocks`` items; cells that exceed a block's share
+    are cut further by hash. The driver holds one vector a block.
+    """
+    total = corpus.count()
+    share = -(-total // n_blocks)
+    pivots = _matrix(corpus.orderBy(F.xxhash64("item_id"), "item_id").limit(n_blocks).select("item_id", "vec").toArrow())
+    half = (pivots**2).sum(1) / 2
+
+    def nearest(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            vectors = _matrix(table)
+            if vectors.shape[1] != pivots.shape[1]:
+                raise ValueError("vectors differ in length")
+            cell = (vectors @ pivots.T - half).argmax(1).astype(np.int32)
+            yield from table.append_column("_cell", pa.array(cell)).to_batches()
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in corpus.schema)
+    celled = cut(corpus.mapInArrow(nearest, f"{kinds}, _cell int"))
+    first, at = [], 0
+    for r in celled.groupBy("_cell").count().orderBy("_cell").collect():
+        parts = -(-r["count"] // share)
+        first.append((r["_cell"], at, parts))
+        at += parts
+    numbers = corpus.sparkSession.createDataFrame(first, "_cell int, _first int, _parts int")
+    placed = celled.join(F.broadcast(numbers), "_cell").withColumn(
+        "_c", (F.col("_first") + F.pmod(F.xxhash64("item_id"), F.col("_parts"))).cast("int")
+    ).drop("_cell", "_first", "_parts")
+
+    def extent(block: pa.Table) -> pa.Table:
+        vectors = _matrix(block)
+        middle = vectors.mean(0)
+        radius = np.sqrt(((vectors - middle) ** 2).sum(1)).max()
+        return pa.table({"_c": block.column("_c").slice(0, 1), "middle": pa.array([middle.tolist()]), "radius": pa.array([radius])})
+
+    extents = placed.select("_c", "item_id", "vec").groupBy("_c").applyInArrow(
+        extent, "_c int, middle array<double>, radius double").orderBy("_c").collect()
+    middles, radii = np.zeros((at, pivots.shape[1])), np.full(at, -np.inf)
+    for r in extents:
+        middles[r["_c"]], radii[r["_c"]] = r["middle"], r["radius"]
+    return placed, middles, radii
+
+
+def _visits(queries: DataFrame, middles: np.ndarray, radii: np.ndarray, first: bool) -> DataFrame:
+    """Queries with the block ``_c`` to visit: the nearest, or with a ``floor`` all others that reach it."""
+
+    def rows(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            vectors = _matrix(table)
+            if vectors.shape[1] != middles.shape[1]:
+                raise ValueError("vectors differ in length")
+            toward = vectors @ middles.T
+            toward[:, ~np.isfinite(radii)] = -np.inf
+            near = toward.argmax(1)
+            row, block = np.arange(len(near)), near
+            if not first:
+                length = np.sqrt((vectors**2).sum(1))
+                bound = toward + length[:, None] * np.where(np.isfinite(radii), radii, 0.0)
+                slack = STEP + 1e-9 * (1 + length * (np.abs(middles).max() + radii.max(initial=0.0)))
+                reach = bound >= (_floor(table) - slack)[:, None]
+                reach[row, near] = False
+                row, block = np.nonzero(reach & np.isfinite(toward))
+            yield from table.take(pa.array(row)).append_column("_c", pa.array(block.astype(np.int32))).to_batches()
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema)
+    return queries.mapInArrow(rows, f"{kinds}, _c int")
+
+
+def _search(
+    queries: DataFrame, corpus: DataFrame, kernel: Callable, schema: str, k: int, by: list[str],
+    budget: int, layout: tuple[int, int] | None,
+) -> DataFrame:
+    """Kernel results of all queries with all blocks that matter, ranked 1..k by ``neg, nbr``.
+
+    ``by`` names what a query's results are told apart by, as the best of one group.
+    """
+    n_query, n_corpus = layout or _layout(queries, corpus, budget)
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
+    part = F.pmod(F.xxhash64("item_id"), F.lit(n_query)).cast("int")
+    if n_corpus == 1:
+        left = fresh(queries).withColumn("_q", part)
+        right = fresh(corpus).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
+        return left.groupBy("_q").cogroup(right.groupBy("_q")).applyInArrow(kernel, schema)
+    placed, middles, radii = _placed(corpus, n_corpus, budget)
+
+    def visit(asked: DataFrame) -> DataFrame:
+        left = asked.withColumn("_q", part)
+        # A block is copied for the parts of the queries that visit it.
+        copies = left.select("_c", "_q").distinct()
+        right = fresh(placed.join(copies, "_c"))
+        return left.groupBy("_c", "_q").cogroup(right.groupBy("_c", "_q")).applyInArrow(kernel, schema)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        if by:
+            best = found.groupBy("query_id", *by).agg(F.min(F.struct("neg", "nbr")).alias("b"))
+            found = best.select("query_id", *by, "b.*")
+        # Rows, not lists: cut to k for each query before the shuffle.
+        return top_n(found.drop("rank"), ["query_id"], [F.col("neg"), F.col("nbr")], k)
+
+    near = cut(ranked(visit(_visits(fresh(queries), middles, radii, True))))
+    floors = near.filter(F.col("rank") == k).select(F.col("query_id").alias("item_id"), (-F.col("neg")).alias("floor"))
+    bounded = queries.join(floors, "item_id", "left").na.fill(float("-inf"), ["floor"])
+    more = visit(_visits(bounded, middles, radii, False))
+    columns = ["query_id", *by, "nbr", "neg"]
+    return ranked(near.select(*columns).union(more.select(*columns)))
 
 
 def knn_topk(
@@ -123,75 +402,68 @@ def knn_topk(
     ``query_id, nbr_id, rank, sim`` with ``sim`` rounded to 6 places before
     ranking.
     """
-    by = [within] if within else []
-    keep = ["item_id", *by, "vec"]
+    id_type = corpus.schema["item_id"].dataType.simpleString()
+    schema = f"query_id {id_type}, nbr {id_type}, neg double, rank int"
+    kernel = _best_items(k, budget)
     if within:
+        keep = ["item_id", within, "vec"]
         left, right = _spread_within(queries.select(*keep), corpus.select(*keep), within, budget, layout)
-        n_corpus = None
+        found = left.groupBy("_q", "_c", within).cogroup(right.groupBy("_q", "_c", within)).applyInArrow(kernel, schema)
+        best = top_n(found.drop("rank"), ["query_id"], [F.col("neg"), F.col("nbr")], k)
     else:
-        n_query, n_corpus = layout or _layout(queries, corpus, budget)
-        left = _spread(queries.select(*keep), "item_id", "_q", n_query, "_c", n_corpus)
-        right = _spread(corpus.select(*keep), "item_id", "_c", n_corpus, "_q", n_query)
-    id_type = corpus.schema["item_id"].dataType.simpleString()
-    schema = f"query_id {id_type}, best array<struct<neg:double,nbr:{id_type}>>"
+        best = _search(queries.select("item_id", "vec"), corpus.select("item_id", "vec"), kernel, schema, k, [], budget, layout)
+    return best.select(
+        "query_id", F.col("nbr").alias("nbr_id"), "rank", (F.lit(0.0) - F.col("neg")).alias("sim")
+    )
 
-    def best(q: pa.Table, c: pa.Table) -> pa.Table:
-        target = pa.schema([
-            ("query_id", q.schema.field("item_id").type),
-            ("best", pa.list_(pa.struct([
-                ("neg", pa.float64()), ("nbr", q.schema.field("item_id").type)]))),
-        ])
-        if q.num_rows == 0 or c.num_rows == 0:
-            return target.empty_table()
-        c = c.sort_by("item_id")
-        ids = c.column("item_id").combine_chunks()
-        mq, mc = _matrix(q), _matrix(c).T
-        take = min(k, mc.shape[1])
-        parts = []
-        for start, end in _row_chunks(len(mq), mc.shape[1], budget):
-            sims = mq[start:end] @ mc
-            floor = np.partition(sims, -take, axis=1)[:, -take]
-            # Rounding may lift a value by half a step: keep that margin.
-            rows, cols = np.nonzero(sims >= (floor - 10.0**-DIGITS)[:, None])
-            neg = -np.round(sims[rows, cols], DIGITS)
-            rows, cols, neg = _best_per_row(neg, rows, cols, take)
-            lists = _lists(
-                np.bincount(rows, minlength=end - start),
-                {"neg": pa.array(neg + 0.0), "nbr": ids.take(pa.array(cols))},
-            )
-            parts.append(pa.table(
-                [q.column("item_id").slice(start, end - start), lists], schema=target
-            ))
-        return pa.concat_tables(parts)
 
-    partial = (
-        left.groupBy("_q", "_c", *by).cogroup(right.groupBy("_q", "_c", *by))
-        .applyInArrow(best, schema)
-    )
-    if n_corpus == 1:
-        placed = partial.select("query_id", F.posexplode("best").alias("pos", "b"))
-        best_of = placed.select("query_id", "b.*", (F.col("pos") + 1).alias("rank"))
-    else:
-        # Rows, not lists: a query has k of them from every block, cut before the shuffle.
-        listed = partial.select("query_id", F.inline("best"))
-        best_of = top_n(listed, ["query_id"], [F.col("neg"), F.col("nbr")], k)
-    return best_of.select(
-        "query_id", F.col("nbr").alias("nbr_id"), "rank", (F.lit(0.0) - F.col("neg")).alias("sim")
+def nearest_groups(
+    queries: DataFrame, corpus: DataFrame, k: int, budget: int = BLOCK_BYTES,
+    layout: tuple[int, int] | None = None,
+) -> DataFrame:
+    """The ``k`` nearest other groups of each query, each with its best item.
+
+    Inputs have ``item_id, group_id, vec``, and an item is in one group. A group is
+    as near as its most similar item, ties by that item's id; the query's own group
+    takes no part, however many of its items are near. Result: ``query_id,
+    nbr_group, nbr_id, sim, group_rank`` with ``sim`` rounded to 6 places first.
+    """
+    kinds = {c: corpus.schema[c].dataType.simpleString() for c in ("item_id", "group_id")}
+    schema = f"query_id {kinds['item_id']}, nbr_group {kinds['group_id']}, nbr {kinds['item_id']}, neg double, rank int"
+    keep = ["item_id", "group_id", "vec"]
+    best = _search(queries.select(*keep), corpus.select(*keep), _best_groups(k, budget), schema, k, ["nbr_group"], budget, layout)
+    return best.select(
+        "query_id", "nbr_group", F.col("nbr").alias("nbr_id"), (F.lit(0.0) - F.col("neg")).alias("sim"),
+        F.col("rank").alias("group_rank"),
     )
 
 
+# -- pools --------------------------------------------------------------------------
+
+
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """60-bit keys of pairs from both sides' bits, independent from one ``a`` to the next."""
+    x = (a.astype(np.uint64) + b.astype(np.uint64)) * np.uint64(PAIR_FACTORS[0])
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(PAIR_FACTORS[1])
+    return (x >> np.uint64(4)).astype(np.int64)
+
+
 def sampled_pool(
     queries: DataFrame, corpus: DataFrame, threshold: float, m: int, strict: bool = False,
     budget: int = BLOCK_BYTES, layout: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Per query, the size of its pool of similar items and a sample of ``m``.
+    """Per query, the size of its pool of similar items and a uniform sample of ``m``.
 
     Inputs have ``item_id, owner_id, vec``. The pool holds the corpus items of
     another owner whose similarity reaches ``threshold`` (passes it when
-    ``strict``). The sample is the ``m`` smallest by ``query bits XOR item
-    bits``. Result: ``query_id, pool_size, sample`` where ``sample`` is an array
-    of ``(key, item_id, sim)``; a query with an empty pool has no row.
+    ``strict``). The sample is the ``m`` smallest by a key mixed from both items'
+    bits, so samples of different queries are independent. Result: ``query_id,
+    pool_size, rank, item_id, sim``, one row per sampled item; a query with an
+    empty pool has no row.
     """
+    if m < 1:
+        raise ValueError("a sample holds at least one item")
     n_query, n_corpus = layout or _layout(queries, corpus, budget)
     left = _spread(
         queries.select("item_id", "owner_id", "vec", hash_bits("pool_query", "item_id").alias("bits")),
@@ -202,106 +474,191 @@ def sampled_pool(
         "item_id", "_c", n_corpus, "_q", n_query,
     )
     id_type = corpus.schema["item_id"].dataType.simpleString()
-    schema = (
-        f"query_id {id_type}, n long, "
-        f"sample array<struct<key:long,item_id:{id_type},sim:double>>"
-    )
+    schema = f"query_id {id_type}, n long, rank int, key long, item_id {id_type}, sim double"
 
     def sample(q: pa.Table, c: pa.Table) -> pa.Table:
         id_field = q.schema.field("item_id").type
         target = pa.schema([
-            ("query_id", id_field), ("n", pa.int64()),
-            ("sample", pa.list_(pa.struct([
-                ("key", pa.int64()), ("item_id", id_field), ("sim", pa.float64())]))),
-        ])
+            ("query_id", id_field), ("n", pa.int64()), ("rank", pa.int32()), ("key", pa.int64()),
+            ("item_id", id_field), ("sim", pa.float64())])
         if q.num_rows == 0 or c.num_rows == 0:
             return target.empty_table()
         c = c.sort_by("item_id")
-        ids = c.column("item_id").combine_chunks()
-        owners = pa.concat_arrays([
-            q.column("owner_id").combine_chunks(), c.column("owner_id").combine_chunks()
-        ]).dictionary_encode().indices.to_numpy()
-        q_owner, c_owner = owners[: q.num_rows], owners[q.num_rows:]
+        ids, names = c.column("item_id").combine_chunks(), q.column("item_id").combine_chunks()
+        q_owner, c_owner = _codes(q.column("owner_id"), c.column("owner_id"))
         q_bits, c_bits = (t.column("bits").to_numpy() for t in (q, c))
-        mq, mc = _matrix(q), _matrix(c).T
+        products = _Products(_matrix(q), _matrix(c))
         parts = []
-        for start, end in _row_chunks(len(mq), mc.shape[1], budget):
-            sims = np.round(mq[start:end] @ mc, DIGITS)
-            near = sims > threshold if strict else sims >= threshold
+        for start, end in _row_chunks(q.num_rows, c.num_rows, budget):
+            quick = products.look(start, end)
+            margin = products.margin[start:end, None]
+            near = quick >= threshold - margin
             near &= q_owner[start:end, None] != c_owner[None, :]
+            # Those too close to the threshold for single precision are computed exactly.
+            rows, cols = np.nonzero(near & (quick <= threshold + margin))
+            sims = products.rounded(rows + start, cols)
+            near[rows, cols] = sims > threshold if strict else sims >= threshold
             sizes = near.sum(axis=1)
-            keys = q_bits[start:end, None] ^ c_bits[None, :]
+            keys = pair_keys(q_bits[start:end, None], c_bits[None, :])
             keys[~near] = np.iinfo(np.int64).max
             take = min(m, keys.shape[1])
             limit = np.partition(keys, take - 1, axis=1)[:, take - 1]
             rows, cols = np.nonzero(near & (keys <= limit[:, None]))
-            rows, cols, kept = _best_per_row(keys[rows, cols], rows, cols, take)
-            counts = np.bincount(rows, minlength=end - start)
-            lists = _lists(counts, {
-                "key": pa.array(kept), "item_id": ids.take(pa.array(cols)),
-                "sim": pa.array(sims[rows, cols]),
-            })
-            block = pa.table(
-                [q.column("item_id").slice(start, end - start), pa.array(sizes, pa.int64()), lists],
-                schema=target,
-            )
-            parts.append(block.filter(pa.array(sizes > 0)))
+            kept, rank = _best_per_row(keys[rows, cols], rows, cols, take)
+            rows, cols = rows[kept], cols[kept]
+            parts.append(pa.table(
+                [names.take(pa.array(rows + start)), pa.array(sizes[rows], pa.int64()), pa.array(rank + 1, pa.int32()),
+                 pa.array(keys[rows, cols]), ids.take(pa.array(cols)), pa.array(products.rounded(rows + start, cols))],
+                schema=target))
         return pa.concat_tables(parts)
 
-    partial = (
-        left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c"))
-        .applyInArrow(sample, schema)
-    )
-    merged = F.slice(F.sort_array(F.flatten(F.collect_list("sample"))), 1, m)
-    return partial.groupBy("query_id").agg(
-        F.sum("n").alias("pool_size"), merged.alias("sample")
-    )
+    partial = left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(sample, schema)
+    if n_corpus == 1:
+        return partial.select("query_id", F.col("n").alias("pool_size"), "rank", "item_id", "sim")
+    # At most m rows of a query from every block; sizes stand on each block's first.
+    stored = cut(partial)
+    sizes = stored.filter("rank = 1").groupBy("query_id").agg(F.sum("n").alias("pool_size"))
+    best = top_n(stored.select("query_id", "key", "item_id", "sim"), ["query_id"], [F.col("key"), F.col("item_id")], m)
+    return best.join(sizes, "query_id").select("query_id", "pool_size", "rank", "item_id", "sim")
 
 
 def threshold_negatives(pool: DataFrame, k: int) -> DataFrame:
     """``k - 1`` sampled negatives; a query whose pool is too small is skipped."""
-    return pool.filter(F.col("pool_size") >= k - 1).select(
-        "query_id", F.inline(F.slice("sample", 1, k - 1))
-    ).select("query_id", "item_id", "sim")
+    return pool.filter((F.col("pool_size") >= k - 1) & (F.col("rank") <= k - 1)).select("query_id", "item_id", "sim")
 
+def distinct_draws(total: Column, m: int, purpose: str, key: str) -> Column:
+    """``min(m, total)`` different whole numbers below ``total``, in the order drawn.
 
-def representatives(items: DataFrame, owner: str = "owner_id") -> DataFrame:
-    """First item of each owner."""
-    return items.groupBy(owner).agg(F.min_by("vec", "item_id").alias("vec"))
+    Draw ``j`` is one of the ``total - j`` numbers not drawn yet: a uniform index,
+    moved past the earlier draws in ascending order.
+    """
+    def draw(drawn: Column, j: Column) -> Column:
+        index = hash_int(F.lit(0).cast("long"), total - j - 1, purpose, key, j.cast("string"))
+        moved = F.aggregate(F.array_sort(drawn), index, lambda x, taken: x + F.when(x >= taken, 1).otherwise(0).cast("long"))
+        return F.concat(drawn, F.array(moved))
 
+    turns = F.sequence(F.lit(0).cast("long"), F.least(total, F.lit(m).cast("long")) - 1)
+    return F.when(total > 0, F.aggregate(turns, F.array().cast("array<long>"), draw)).otherwise(F.array().cast("array<long>"))
 
-def product_pool(items: DataFrame, threshold: float, m: int, **options) -> DataFrame:
-    """Pool of a query: all items of other products whose first item is similar
-    to the first item of the query's product."""
-    first = representatives(items)
-    with_first = skew_join(items.select("item_id", "owner_id"), first, ["owner_id"])
-    return sampled_pool(with_first, with_first, threshold, m, strict=True, **options)
 
+def _similar(products: _Products, start: int, end: int, threshold: float, q_code, c_code) -> np.ndarray:
+    """Which of the block's products pass the threshold for each query product, its own apart."""
+    quick = products.look(start, end)
+    margin = products.margin[start:end, None]
+    near = quick > threshold - margin
+    near &= q_code[start:end, None] != c_code[None, :]
+    rows, cols = np.nonzero(near & (quick <= threshold + margin))
+    near[rows, cols] = products.rounded(rows + start, cols) > threshold
+    return near
 
-def first_per_group(neighbors: DataFrame, meta: DataFrame) -> DataFrame:
-    """Hard-negative candidates: the first neighbour of each other group.
 
-    ``neighbors`` comes from ``knn_topk``; ``meta`` has ``item_id, group_id``.
-    The query itself and its own group are dropped. ``group_rank`` orders the
-    remaining groups by their best neighbour.
+def product_pool(
+    items: DataFrame, threshold: float, m: int, budget: int = BLOCK_BYTES,
+    layout: tuple[int, int] | None = None, draws_per_part: int = 2_000_000,
+) -> DataFrame:
+    """Pool of a query: all items of other products whose first item is similar
+    to the first item of the query's product. A uniform sample of ``m`` of it.
+
+    Only products are compared. Products stand in hash order, so a product's pool is a
+    sequence of item ranges. One pass over pairs of product blocks adds up each
+    product's ranges by block; every query draws ``m`` positions of its pool; a second
+    pass finds the product and the place in it that each position names. The
+    work is linear in the items. Result as in ``sampled_pool``.
     """
-    owner = meta.select("item_id", "group_id")
-    # Items are unique keys; a much-cited neighbour is split by the adaptive
-    # skew join, which reads the search result once.
-    tagged = neighbors.filter(F.col("nbr_id") != F.col("query_id")).join(
-        owner.withColumnsRenamed({"item_id": "nbr_id", "group_id": "nbr_group"}), "nbr_id"
-    )
-    queries = tagged.join(
-        owner.withColumnsRenamed({"item_id": "query_id", "group_id": "query_group"}), "query_id"
-    ).filter(F.col("nbr_group") != F.col("query_group"))
-    # At most top-k rows per query, so a query is a small group.
-    best = queries.groupBy("query_id", "nbr_group").agg(
-        F.min(F.struct("rank", "nbr_id", "sim")).alias("b")
-    )
-    order = W.partitionBy("query_id").orderBy("rank")
-    return best.select("query_id", "nbr_group", "b.rank", "b.nbr_id", "b.sim").withColumn(
-        "group_rank", F.row_number().over(order)
-    )
+    products = cut(items.groupBy("owner_id").agg(
+        F.min_by("vec", "item_id").alias("vec"), F.min("item_id").alias("item_id"), F.count("*").alias("n")
+    ).withColumn("bits", hash_bits("product", "owner_id")))
+    n_query, n_corpus = layout or _layout(products, products, budget)
+    kind = items.schema["owner_id"].dataType.simpleString()
+    item_kind = items.schema["item_id"].dataType.simpleString()
+    # Blocks are ranges of the hash order, so positions do not depend on their number.
+    block = ((F.shiftright("bits", 30) * F.lit(n_corpus)) / F.lit(1 << 30)).cast("int")
+    part = F.pmod(F.xxhash64("owner_id"), F.lit(n_query)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
+
+    def blocks(c: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        c = c.sort_by([("bits", "ascending"), ("owner_id", "ascending")])
+        return c, c.column("n").to_numpy()
+
+    def weigh(q: pa.Table, c: pa.Table) -> pa.Table:
+        target = pa.schema([("owner_id", q.schema.field("owner_id").type), ("_c", pa.int32()), ("w", pa.int64())])
+        if q.num_rows == 0 or c.num_rows == 0:
+            return target.empty_table()
+        c, n = blocks(c)
+        q_code, c_code = _codes(q.column("owner_id"), c.column("owner_id"))
+        products = _Products(_matrix(q), _matrix(c))
+        weights = np.zeros(q.num_rows, np.int64)
+        for start, end in _row_chunks(q.num_rows, c.num_rows, budget):
+            near = _similar(products, start, end, threshold, q_code, c_code)
+            weights[start:end] = np.where(near, n, 0).sum(1)
+        full = pa.array(weights > 0)
+        return pa.table([q.column("owner_id"), q.column("_c"), pa.array(weights)], schema=target).filter(full)
+
+    left = fresh(products).withColumn("_q", part).withColumn("_c", every(n_corpus))
+    right = fresh(products).withColumn("_c", block).withColumn("_q", every(n_query))
+    weights = left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(weigh, f"owner_id {kind}, _c int, w long")
+    # One entry a block: where the block's part of the pool begins.
+    before = W.partitionBy("owner_id").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
+    ranges = weights.withColumn("start", F.coalesce(F.sum("w").over(before), F.lit(0))).groupBy("owner_id").agg(
+        F.sum("w").alias("pool_size"), F.array_sort(F.collect_list(F.struct("start", "_c"))).alias("ranges"))
+    asked = skew_join(items.select("item_id", "owner_id"), ranges, ["owner_id"])
+    drawn = asked.select(
+        F.col("item_id").alias("query_id"), "owner_id", "pool_size", "ranges",
+        F.posexplode(distinct_draws(F.col("pool_size"), m, "product_pool", "item_id")).alias("rank", "at"),
+    ).withColumn("range", F.element_at(F.filter("ranges", lambda r: r["start"] <= F.col("at")), -1))
+    draws = cut(drawn.select(
+        "query_id", "owner_id", "pool_size", (F.col("rank") + 1).alias("rank"), F.col("range._c").alias("_c"),
+        (F.col("at") - F.col("range.start")).alias("at")))
+
+    def locate(q: pa.Table, c: pa.Table) -> pa.Table:
+        kinds = {f: q.schema.field(f).type for f in ("query_id", "owner_id")}
+        target = pa.schema([("query_id", kinds["query_id"]), ("pool_size", pa.int64()), ("rank", pa.int32()),
+                            ("owner_id", kinds["owner_id"]), ("place", pa.int64()), ("sim", pa.float64())])
+        asked = q.filter(pc.is_null(q.column("vec")))
+        if asked.num_rows == 0 or c.num_rows == 0:
+            return target.empty_table()
+        c, n = blocks(c)
+        q = q.filter(pc.is_in(q.column("owner_id"), value_set=asked.column("owner_id").combine_chunks()))
+        first = q.filter(pc.is_valid(q.column("vec")))
+        q_code, c_code, a_code = _codes(first.column("owner_id"), c.column("owner_id"), asked.column("owner_id"))
+        place = np.full(max(q_code.max(), a_code.max()) + 1, -1)
+        place[q_code] = np.arange(len(q_code))
+        row = place[a_code]
+        order = np.argsort(row, kind="stable")
+        at, row = asked.column("at").to_numpy()[order], row[order]
+        products = _Products(_matrix(first), _matrix(c))
+        found, left = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for start, end in _row_chunks(first.num_rows, c.num_rows, budget):
+            near = _similar(products, start, end, threshold, q_code, c_code)
+            ends = np.cumsum(np.where(near, n, 0), axis=1)
+            cuts = np.searchsorted(row, np.arange(start, end + 1))
+            for i in range(end - start):
+                a, b = cuts[i], cuts[i + 1]
+                if a < b:
+                    j = np.searchsorted(ends[i], at[a:b], side="right")
+                    found[a:b], left[a:b] = j, at[a:b] - (ends[i, j] - n[j])
+        asked = asked.take(pa.array(order))
+        return pa.table(
+            [asked.column("query_id"), asked.column("pool_size"), asked.column("rank"), c.column("owner_id").take(pa.array(found)),
+             pa.array(left), pa.array(products.rounded(row, found))], schema=target)
+
+    # Draws of one product may be many: they are spread over parts that each get its vector.
+    parts = max(1, -(-draws.count() // (draws_per_part * n_query * n_corpus)))
+    whole = products.select(
+        F.lit(None).cast(item_kind).alias("query_id"), "owner_id", F.lit(None).cast("long").alias("pool_size"),
+        F.lit(None).cast("int").alias("rank"), every(n_corpus).alias("_c"), F.lit(None).cast("long").alias("at"),
+        "vec", "item_id").withColumn("_s", every(parts))
+    spread = F.pmod(F.xxhash64("query_id", "rank"), F.lit(parts)).cast("int")
+    empty = {c: F.lit(None).cast(products.schema[c].dataType) for c in ("vec", "item_id")}
+    questions = fresh(draws).withColumns(empty).withColumn("_s", spread).select(*whole.columns)
+    left = whole.unionAll(questions).withColumn("_q", part)
+    right = fresh(products).withColumn("_c", block).withColumn("_q", every(n_query)).withColumn("_s", every(parts))
+    keys = ["_q", "_c", "_s"]
+    places = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+        locate, f"query_id {item_kind}, pool_size long, rank int, owner_id {kind}, place long, sim double")
+    numbered = group_rank(items.select("item_id", "owner_id"), ["owner_id"], order_key("item", "item_id"), "item_id", "place")
+    return places.join(numbered, ["owner_id", "place"]).select("query_id", "pool_size", "rank", "item_id", "sim")
 
 
 def pick_hard_negatives(

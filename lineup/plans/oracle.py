@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from ..functions import names, text
+from ..functions.hashing import PAIR_FACTORS
 from .views import REPLIES
 
 TABLES: dict[str, str] = {}
@@ -27,6 +28,13 @@ def hbits(purpose: str, *cols: str) -> str:
     return f"('0x' || substr({okey(purpose, *cols)}, 1, 15))::BIGINT"
 
 
+def pair_key(a: str, b: str) -> str:
+    """Key of a pair of 60-bit values, by wide arithmetic reduced to 64 bits."""
+    first = f"((({a})::HUGEINT + ({b})) * {PAIR_FACTORS[0]} % 18446744073709551616)::UBIGINT"
+    mixed = f"xor({first}, {first} >> 32)"
+    return f"(({mixed}::HUGEINT * {PAIR_FACTORS[1]} % 18446744073709551616)::UBIGINT >> 4)::BIGINT"
+
+
 def query(final: str) -> str:
     """``final`` preceded by every fragment it needs."""
     needed: list[str] = []
@@ -215,16 +223,10 @@ def padding(r: str, size: str, max_gallery: int, exclude: str) -> dict[str, str]
     return {
         f"{r}_n": f"""
 WITH ids AS (SELECT DISTINCT query_id FROM {r}_q),
-near AS (
-  SELECT * FROM (
-    SELECT i.query_id, c.item_id, c.group_id, s.sim,
-           row_number() OVER (PARTITION BY i.query_id ORDER BY s.sim DESC, c.item_id) AS rank
-    FROM ids i JOIN v_owners a ON a.item_id = i.query_id JOIN v_sims s ON s.a = a.vec_id JOIN v_owners c ON c.vec_id = s.b)
-  WHERE rank <= 200),
 firsts AS (
-  SELECT n.query_id, n.group_id, arg_min(n.item_id, n.rank) AS item_id, min(n.rank) AS rank
-  FROM near n JOIN v_owners a ON a.item_id = n.query_id
-  WHERE n.item_id <> n.query_id AND n.group_id <> a.group_id GROUP BY ALL),
+  SELECT i.query_id, c.group_id, arg_min(c.item_id, (-s.sim, c.item_id)) AS item_id, min((-s.sim, c.item_id)) AS rank
+  FROM ids i JOIN v_owners a ON a.item_id = i.query_id JOIN v_sims s ON s.a = a.vec_id JOIN v_owners c ON c.vec_id = s.b
+  WHERE c.group_id <> a.group_id GROUP BY ALL),
 wanted AS (
   SELECT *, {hint(size, f'greatest({size}, {max_gallery})', 'target', 'case_id')} - {size} AS n_pad FROM {r}_q),
 pooled AS (

@@ -6,7 +6,7 @@ from ..operators import cases as K
 from ..operators import knn
 from ..session import cut
 from . import views
-from .oracle import TABLES, hbits, hint, okey, shuffled
+from .oracle import TABLES, hbits, hint, okey, pair_key, shuffled
 from .registry import register
 
 THRESHOLD = 0.15
@@ -63,7 +63,7 @@ def intra_group_similarity(spark, folder):
 
 
 TABLES["v_pool"] = f"""
-SELECT a.item_id AS query_id, b.item_id, s.sim, xor({hbits('pool_query', 'a.item_id')}, {hbits('pool_item', 'b.item_id')}) AS key
+SELECT a.item_id AS query_id, b.item_id, s.sim, {pair_key(hbits('pool_query', 'a.item_id'), hbits('pool_item', 'b.item_id'))} AS key
 FROM v_owned a JOIN v_sims s ON s.a = a.item_id JOIN v_owned b ON b.item_id = s.b
 WHERE b.owner_id <> a.owner_id AND s.sim >= {THRESHOLD}"""
 
@@ -72,7 +72,7 @@ WHERE b.owner_id <> a.owner_id AND s.sim >= {THRESHOLD}"""
 SELECT query_id, count(*) AS pool_size FROM v_pool GROUP BY 1""")
 def threshold_pool(spark, folder):
     vectors = owned(spark, folder)
-    return knn.sampled_pool(vectors, vectors, THRESHOLD, 4).select("query_id", "pool_size")
+    return knn.sampled_pool(vectors, vectors, THRESHOLD, 4).filter("rank = 1").select("query_id", "pool_size")
 
 
 TABLES["v_threshold_negatives"] = """
@@ -124,12 +124,21 @@ def products(spark, folder):
 
 
 TABLES["v_products"] = "SELECT vec_id AS item_id, vec_id // 12 AS owner_id FROM embeddings"
-TABLES["v_product_negatives"] = f"""
-SELECT query_id, item_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY key, item_id) AS r, count(*) OVER (PARTITION BY query_id) AS n FROM (
-    SELECT q.item_id AS query_id, g.item_id, xor({hbits('pool_query', 'q.item_id')}, {hbits('pool_item', 'g.item_id')}) AS key
-    FROM v_products q JOIN v_sims s ON s.a = q.owner_id * 12 AND s.sim > {THRESHOLD}
-    JOIN v_products g ON g.owner_id * 12 = s.b AND g.owner_id <> q.owner_id)) WHERE r <= 4 AND n >= 4"""
+TABLES["v_product_pool"] = f"""
+SELECT q.item_id AS query_id, g.item_id, s.sim,
+       row_number() OVER (PARTITION BY q.item_id ORDER BY {hbits('product', 'g.owner_id')}, g.owner_id, {okey('item', 'g.item_id')}, g.item_id) - 1 AS spot,
+       count(*) OVER (PARTITION BY q.item_id) AS n
+FROM v_products q JOIN v_sims s ON s.a = q.owner_id * 12 AND s.sim > {THRESHOLD}
+JOIN v_products g ON g.owner_id * 12 = s.b AND g.owner_id <> q.owner_id"""
+# Four different positions: each draw is moved past the earlier ones in ascending order.
+_DRAWS = ", ".join(f"{hint('0', f'n - 1 - {j}', 'product_pool', 'query_id', str(j))} AS d{j}" for j in range(4))
+TABLES["v_product_draws"] = f"""
+WITH d AS (SELECT query_id, {_DRAWS} FROM (SELECT DISTINCT query_id, n FROM v_product_pool WHERE n >= 4)),
+two AS (SELECT *, d0 AS x0, d1 + (d1 >= d0)::BIGINT AS x1 FROM d),
+three AS (SELECT *, list_reduce(list_sort([x0, x1]), lambda x, t: x + (x >= t)::BIGINT, d2) AS x2 FROM two),
+four AS (SELECT *, list_reduce(list_sort([x0, x1, x2]), lambda x, t: x + (x >= t)::BIGINT, d3) AS x3 FROM three)
+SELECT query_id, unnest([x0, x1, x2, x3]) AS spot FROM four"""
+TABLES["v_product_negatives"] = "SELECT query_id, item_id, sim FROM v_product_pool JOIN v_product_draws USING (query_id, spot)"
 
 TABLES["v_product_order"] = TABLES["v_own_order"].replace("v_owned", "v_products")
 TABLES["v_product_positive"] = TABLES["v_positive"].replace("v_own_order", "v_product_order")
@@ -142,7 +151,12 @@ for _name in ("v_product_q", "v_product_s"):
 SELECT q.item_id AS query_id, count(*) AS pool_size FROM v_products q JOIN v_sims s ON s.a = q.owner_id * 12 AND s.sim > {THRESHOLD}
 JOIN v_products g ON g.owner_id * 12 = s.b AND g.owner_id <> q.owner_id GROUP BY 1""")
 def product_pool(spark, folder):
-    return knn.product_pool(products(spark, folder), THRESHOLD, 4).select("query_id", "pool_size")
+    return knn.product_pool(products(spark, folder), THRESHOLD, 4).filter("rank = 1").select("query_id", "pool_size")
+
+
+@register("product_negatives", "SELECT * FROM v_product_negatives")
+def product_negatives(spark, folder):
+    return knn.threshold_negatives(knn.product_pool(products(spark, folder), THRESHOLD, 4), 5)
 
 
 @register("product_cases", "SELECT case_id, scenario, query_id, pos, item_id, kind, label, n_gallery FROM v_product_s")
@@ -151,15 +165,13 @@ def product_cases(spark, folder):
 
 
 @register("hard_negatives", """
-WITH near AS (
-  SELECT * FROM (
-    SELECT q.item_id AS query_id, q.group_id AS query_group, c.item_id, c.group_id, s.sim,
-           row_number() OVER (PARTITION BY q.item_id ORDER BY s.sim DESC, c.item_id) AS rank
-    FROM v_items q JOIN v_sims s ON s.a = q.vec_id JOIN v_items c ON c.vec_id = s.b WHERE q.role = 'query') WHERE rank <= 200),
-firsts AS (SELECT query_id, group_id AS nbr_group, arg_min(item_id, rank) AS nbr_id, min(rank) AS rank, arg_min(sim, rank) AS sim
-           FROM near WHERE group_id <> query_group AND item_id <> query_id GROUP BY ALL)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS group_rank FROM firsts) WHERE group_rank <= 10""")
+WITH firsts AS (
+  SELECT q.item_id AS query_id, c.group_id AS nbr_group, arg_min(c.item_id, (-s.sim, c.item_id)) AS nbr_id, max(s.sim) AS sim
+  FROM v_items q JOIN v_sims s ON s.a = q.vec_id JOIN v_items c ON c.vec_id = s.b
+  WHERE q.role = 'query' AND c.group_id <> q.group_id GROUP BY ALL)
+SELECT query_id, nbr_group, nbr_id, sim, group_rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, nbr_id) AS group_rank FROM firsts) WHERE group_rank <= 10""")
 def hard_negatives(spark, folder):
     p = pool(spark, folder)
     queries = views.items(spark, folder).filter("role = 'query'").select(F.col("item_id").alias("query_id"))
-    return K.candidates_for(queries, p).filter("group_rank <= 10")
+    return K.candidates_for(queries, p, 10)

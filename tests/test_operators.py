@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lineup.functions.hashing import order_key
+from lineup.functions.hashing import PAIR_FACTORS, hash_int, order_key
 from lineup.operators import cases as K
 from lineup.operators import corpus as C
 from lineup.operators import knn, models, ranking, scoring
@@ -71,6 +71,12 @@ def test_knn_equals_brute_force_with_ties(spark, layout):
         assert [got[q][i + 1][0] for i in range(5)] == best
 
 
+def _pair_key(a, b):
+    x = (a + b) * PAIR_FACTORS[0] % 2**64
+    x ^= x >> 32
+    return (x * PAIR_FACTORS[1] % 2**64) >> 4
+
+
 @pytest.mark.parametrize("layout", [(1, 1), (4, 3)])
 def test_sampled_pool_equals_brute_force(spark, layout):
     m, frame = _vectors(spark, copies=1)
@@ -79,15 +85,127 @@ def test_sampled_pool_equals_brute_force(spark, layout):
     ).collect()
     q, g = ({r.item_id: r[c] for r in bits} for c in ("q", "g"))
     sims = np.round(m @ m.T, 6)
-    got = {r.query_id: r for r in knn.sampled_pool(frame, frame, 0.3, 3, budget=4096, layout=layout).collect()}
+    got = {}
+    for r in knn.sampled_pool(frame, frame, 0.3, 3, budget=4096, layout=layout).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.item_id, r.sim, r.pool_size))
     for i in range(len(m)):
         pool = [j for j in range(len(m)) if sims[i, j] >= 0.3 and i % 7 != j % 7]
-        want = sorted((q[i] ^ g[j], j) for j in pool)[:3]
-        if pool:
-            assert got[i].pool_size == len(pool)
-            assert [(s.key, s.item_id) for s in got[i].sample] == want
-        else:
-            assert i not in got
+        want = sorted(pool, key=lambda j: (_pair_key(q[i], g[j]), j))[:3]
+        assert sorted(got.get(i, [])) == [(n, j, pytest.approx(sims[i, j]), len(pool)) for n, j in enumerate(want, 1)]
+
+
+def test_sampled_pools_of_queries_are_independent(spark):
+    """Items that share a sample once do not share the next more often than chance."""
+    vectors = spark.range(400).select(F.col("id").alias("item_id"), F.col("id").alias("owner_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vec"))
+    sample = knn.sampled_pool(vectors, vectors, 0.5, 4)
+    assert "collect_list" not in sample._jdf.queryExecution().toString()
+    together, uses = {}, {}
+    of = {}
+    for r in sample.collect():
+        of.setdefault(r.query_id, []).append(r.item_id)
+        uses[r.item_id] = uses.get(r.item_id, 0) + 1
+        assert r.pool_size == 399
+    for items in of.values():
+        for a in items:
+            for b in items:
+                if a < b:
+                    together[a, b] = together.get((a, b), 0) + 1
+    assert all(len(set(x)) == 4 for x in of.values())
+    # 2,400 of 79,800 pairs: the expected counts are 0.03 a pair and 4 an item.
+    assert max(together.values()) <= 3 and max(uses.values()) <= 16
+    assert sum(n > 1 for n in together.values()) <= 90
+
+
+def test_blocks_near_pivots_are_pruned(spark):
+    """Clusters apart from each other: a query visits few blocks, with the same neighbours."""
+    rng = np.random.default_rng(8)
+    centers = 10 * rng.normal(size=(12, 6))
+    points = np.concatenate([c + 0.1 * rng.normal(size=(40, 6)) for c in centers])
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, i % 90, [float(x) for x in v]) for i, v in enumerate(points)], "item_id long, group_id int, vec array<double>")
+    placed, middles, radii = knn._placed(frame.select("item_id", "vec"), 12, 1 << 20)
+    assert placed.count() == 480 and placed.groupBy("_c").count().agg(F.max("count")).first()[0] <= 40 * 3
+    floors = frame.withColumn("floor", F.lit(0.99))
+    visits = knn._visits(floors, middles, radii, False).count() + 480
+    assert visits < 480 * len(radii) / 2
+    for layout in ((1, 1), (3, 12)):
+        near = {(r.query_id, r["rank"]): (r.nbr_id, r.sim) for r in knn.knn_topk(frame, frame, 7, layout=layout).collect()}
+        sims = np.round(points @ points.T, 6)
+        for i in range(480):
+            best = sorted(range(480), key=lambda j: (-sims[i, j], j))[:7]
+            assert [near[i, n + 1][0] for n in range(7)] == best
+
+
+@pytest.mark.parametrize("layout", [(1, 1), (2, 5)])
+def test_nearest_groups_equal_brute_force(spark, layout):
+    """A third of all rows in one group, ties, and text ids."""
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(300, 5))
+    m[:60] = m[0]
+    group = ["big" if i % 3 == 0 else f"g{i % 23}" for i in range(300)]
+    frame = spark.createDataFrame([(f"i{i:03d}", group[i], [float(x) for x in v]) for i, v in enumerate(m)], "item_id string, group_id string, vec array<double>")
+    got = {}
+    for r in knn.nearest_groups(frame, frame, 6, layout=layout).collect():
+        got.setdefault(r.query_id, []).append((r.group_rank, r.nbr_group, r.nbr_id, r.sim))
+    sims = np.round(m @ m.T, 6)
+    for i in range(300):
+        best = {}
+        for j in sorted(range(300), key=lambda j: (-sims[i, j], j)):
+            if group[j] != group[i]:
+                best.setdefault(group[j], j)
+        want = [(n, g, f"i{j:03d}", pytest.approx(sims[i, j])) for n, (g, j) in enumerate(list(best.items())[:6], 1)]
+        assert sorted(got[f"i{i:03d}"]) == want
+
+
+def test_a_large_own_group_takes_no_candidates(spark):
+    """300 items of the query's group are nearer than any other; the case pads in full."""
+    near = [(i, 1, [1.0, i * 1e-6]) for i in range(300)]
+    others = [(1000 + i, 2 + i % 8, [0.5, 0.5 + i * 1e-3]) for i in range(40)]
+    rows = near + others
+    meta = spark.createDataFrame([(i, g, g) for i, g, _ in rows], "item_id long, group_id long, entity_id long")
+    pool = K.Pool(meta, spark.createDataFrame([(i, v) for i, _, v in rows], "item_id long, vec array<double>"))
+    cases = spark.createDataFrame([(f"c{i}", "s", i, 1, None) for i in range(20)], "case_id string, scenario string, query_id long, natural long, other_group long")
+    sizes = {r.case_id: r.n for r in cases.select("case_id", hash_int(F.lit(1), F.lit(5), "target", "case_id").alias("n")).collect()}
+    got = K.pad_with_negatives(cases, pool, 5).groupBy("case_id").count().collect()
+    assert {r["case_id"]: r["count"] + 1 for r in got} == {c: n for c, n in sizes.items() if n > 1}
+
+
+@pytest.mark.parametrize("layout", [(1, 1), (3, 4)])
+def test_product_pool_equals_brute_force(spark, layout):
+    """Products of very different sizes; draws are positions in the listed pool."""
+    rng = np.random.default_rng(10)
+    owners = [0] * 120 + [int(x) for x in rng.integers(1, 40, 240)]
+    m = rng.normal(size=(360, 4))
+    frame = spark.createDataFrame([(i, owners[i], [float(x) for x in v]) for i, v in enumerate(m)], "item_id long, owner_id int, vec array<double>")
+    keys = {r.item_id: r for r in frame.select(
+        "item_id", knn.order_key("item", "item_id").alias("k"), knn.hash_bits("product", "owner_id").alias("b"),
+        *[knn.hash_bits("product_pool", "item_id", F.lit(str(j))).alias(f"d{j}") for j in range(3)]).collect()}
+    first = {o: min(i for i in range(360) if owners[i] == o) for o in set(owners)}
+    sims = np.round(m @ m.T, 6)
+    got = {}
+    for r in knn.product_pool(frame, 0.5, 3, layout=layout, draws_per_part=50).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.item_id, r.pool_size, r.sim))
+    for i in range(360):
+        mine = first[owners[i]]
+        similar = [o for o in first if o != owners[i] and sims[mine, first[o]] > 0.5]
+        pool = sorted((keys[j].b, owners[j], keys[j].k, j) for j in range(360) if owners[j] in similar)
+        drawn = []
+        for j in range(min(3, len(pool))):
+            x = keys[i][f"d{j}"] % (len(pool) - j)
+            for taken in sorted(drawn):
+                x += x >= taken
+            drawn.append(x)
+        want = [(n, pool[x][3], len(pool), pytest.approx(sims[mine, first[owners[pool[x][3]]]])) for n, x in enumerate(drawn, 1)]
+        assert sorted(got.get(i, [])) == want
+
+
+def test_product_pool_compares_products_only(spark):
+    frame = spark.range(3000).select(F.col("id").alias("item_id"), (F.col("id") % 10).cast("int").alias("owner_id"), F.array(F.lit(1.0)).alias("vec"))
+    got = knn.product_pool(frame, 0.5, 4)
+    assert got.groupBy("query_id").count().filter("count = 4").count() == 3000
+    assert got.filter("pool_size = 2700").count() == 12_000
+    spread = got.groupBy("item_id").count().agg(F.max("count")).first()[0]
+    assert spread < 20  # four draws an item on average
 
 
 @pytest.mark.parametrize("layout", [None, (2, 3)])
