@@ -14,11 +14,6 @@ DEMONSTRATIVES = ("this", "that", "This", "That")
 NOUNS = ("man", "woman", "child", "boy", "girl", "lady", "male", "female", "person")
 
 
-def _bracket(text: Column, opener: str, adjective: str, noun: str) -> Column:
-    pattern = rf"(?U)\b{opener} ((?:{adjective}\s+)*?){noun}\b"
-    return F.regexp_replace(text, pattern, f"[{opener} $1{noun}]")
-
-
 def tag_caption(text) -> Column:
     """Bracket phrases such as ``a tall man``.
 
@@ -27,18 +22,19 @@ def tag_caption(text) -> Column:
     anything but one bracket is introduced by ``[Person]. ``.
     """
     source = _col(text)
-    out = source
-    for opener in ARTICLES:
-        for noun in NOUNS:
-            out = _bracket(out, opener, r"\w+", noun)
-    for opener in DEMONSTRATIVES:
-        for noun in NOUNS:
-            out = _bracket(out, opener, r"\w+(?:-\w+)?", noun)
-    # No rewrite applies without an opening word and, behind white space, a noun.
-    possible = source.rlike(rf"(?U)\b(?:{'|'.join(ARTICLES + DEMONSTRATIVES)}) ") & source.rlike(
-        rf"(?U)\s(?:{'|'.join(NOUNS)})\b"
-    )
-    out = F.when(possible, out).otherwise(source)
+    # Rewrites only add brackets, so a word that the source lacks never comes up.
+    openers = F.array(*[
+        F.struct(F.lit(word).alias("word"), F.lit(adjective).alias("adjective"))
+        for words, adjective in ((ARTICLES, r"\w+"), (DEMONSTRATIVES, r"\w+(?:-\w+)?")) for word in words
+    ])
+    opening = F.filter(openers, lambda o: F.contains(source, F.concat(o["word"], F.lit(" "))))
+    nouns = F.filter(F.array(*[F.lit(n) for n in NOUNS]), lambda n: F.contains(source, n))
+
+    def bracket(x: Column, o: Column, noun: Column) -> Column:
+        phrase = F.concat(F.lit(r"(?U)\b"), o["word"], F.lit(" ((?:"), o["adjective"], F.lit(r"\s+)*?)"), noun, F.lit(r"\b"))
+        return F.regexp_replace(x, phrase, F.concat(F.lit("["), o["word"], F.lit(" $1"), noun, F.lit("]")))
+
+    out = F.aggregate(opening, source, lambda x, o: F.aggregate(nouns, x, lambda y, n: bracket(y, o, n)))
 
     def introduce(x: Column) -> Column:
         opened = F.length(x) - F.length(F.replace(x, F.lit("["), F.lit("")))
