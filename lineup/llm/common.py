@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 SLICE = 1 << 20  # bytes of text that one vectorised step takes, or one longer text
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -28,10 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if context.applicationId not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        folder = _LOCAL_FOLDERS[context.applicationId]
     return folder.rstrip("/")
 
 
@@ -116,49 +121,76 @@ def column(batch: pa.RecordBatch, name: str, a: int, b: int, kind=np.int64) -> n
 
 # -- hashing -------------------------------------------------------------------
 
+# Strings are polynomials over the prime field of P at two random points at once. In a
+# field, two strings of n bytes agree at n of the P points at most; modulo a power of
+# two, some strings agree at all of them.
+
+P = np.uint64((1 << 31) - 1)
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-BYTE_CODES = _RNG.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) | np.uint64(1)
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+BYTE_CODES = _RNG.integers(1, int(P), size=(2, 2, 256), dtype=np.uint64)
+BASES = _RNG.integers(1 << 20, int(P), size=(2, 2), dtype=np.uint64)
+_POWERS: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo P, for ``x`` below 2**62."""
+    x = (x & P) + (x >> np.uint64(31))
+    x = (x & P) + (x >> np.uint64(31))
+    return np.where(x >= P, x - P, x)
+
+
+def _series(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint32)
+    have = 1
+    while have < n:
+        step = np.uint64(pow(base, have, int(P)))
+        more = min(have, n - have)
+        out[have : have + more] = _fold(out[:more].astype(np.uint64) * step)
+        have += more
+    return out
 
 
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
+def _powers(which: int, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of both points and of their inverses modulo P."""
     have = _POWERS.get(which)
-    if have is None or len(have[0]) < n:
+    if have is None or len(have[0][0]) < n:
         size = max(n, SLICE + 1024)
-        base = int(BASES[which])
-        inverse = pow(base, -1, 1 << 64)
-        made = []
-        for b in (base, inverse):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        have = _POWERS[which] = (made[0], made[1])
+        have = _POWERS[which] = [
+            (_series(int(b), size), _series(pow(int(b), -1, int(P)), size)) for b in BASES[which]]
     return have
 
 
 def prefix_hash(data: np.ndarray, which: int = 0) -> np.ndarray:
-    """Running polynomial hash, one entry more than there are bytes."""
-    up, _ = _powers(which, len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[which][data] * up[: len(data)], out=out[1:])
+    """Running polynomial hashes, one entry more than there are bytes; for ``span_hash`` and ``window_hash``."""
+    n = len(data)
+    out = np.zeros((2, n + 1), np.uint32)
+    for lane, (up, _) in enumerate(_powers(which, n + 1)):
+        terms = BYTE_CODES[which][lane][data] * up[:n]
+        # The sum of fewer than 2**30 terms below 2**32.
+        terms = (terms & P) + (terms >> np.uint64(31))
+        out[lane, 1:] = _fold(np.cumsum(terms, out=terms))
     return out
 
 
+def _between(prefix: np.ndarray, start, end, which: int) -> np.ndarray:
+    parts = []
+    for lane, (_, down) in enumerate(_powers(which, prefix.shape[1])):
+        gap = prefix[lane][end].astype(np.uint64) + P - prefix[lane][start]
+        parts.append(_fold(_fold(gap) * down[start]))
+    return mix((parts[0] << np.uint64(31)) | parts[1])
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """Hash of the bytes from ``start`` to ``end``, wherever they stand."""
-    _, down = _powers(which, len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start])
+    return _between(prefix, start, end, which)
 
 
 def window_hash(prefix: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     """Hash of every window of ``size`` bytes, by its start."""
-    n = len(prefix) - size
+    n = prefix.shape[1] - size
     if n <= 0:
         return np.zeros(0, np.uint64)
-    _, down = _powers(which, len(prefix))
-    return mix((prefix[size:] - prefix[:n]) * down[:n])
+    return _between(prefix, slice(0, n), slice(size, size + n), which)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

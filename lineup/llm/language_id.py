@@ -10,6 +10,8 @@ step. A document's score of a language is the mean marginal of its words.
 from __future__ import annotations
 
 import math
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,15 +24,37 @@ from . import common
 CHAIN = 64  # words in a chain; longer texts are several chains
 TABLE = 1 << 18  # hashed features
 SWITCH = 0.03  # chance of a switch between training words
-_LETTER = np.zeros(256, bool)
-_LETTER[list(range(ord("a"), ord("z") + 1))] = True
-_LETTER[128:] = True
-#: Unicode punctuation and signs in two and three bytes are no letters: their first bytes.
-_LETTER[[0xC2, 0xE2]] = False
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
+
+
+def letter_bytes(data: np.ndarray) -> np.ndarray:
+    """Whether each byte of UTF-8 texts belongs to a letter."""
+    letters = _letters()
+    keep = letters[:256] & (np.arange(256) < 128)
+    keep = keep[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return keep
+    first = data[lead].astype(np.int64)
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    code = first & (0x7F >> size)
+    more = np.concatenate([data, np.zeros(3, np.uint8)])
+    for k in (1, 2, 3):
+        code = np.where(size > k, (code << 6) | (more[lead + k] & 0x3F), code)
+    lead, size = (x[letters[np.minimum(code, 0x10FFFF)]] for x in (lead, size))
+    for k in range(4):
+        keep[np.minimum(lead[size > k] + k, len(keep) - 1)] = True
+    return keep
 
 
 def letter_words(data: np.ndarray, offsets: np.ndarray):
     """Lower-cased bytes with blanks for all but letters, and the words' spans and texts."""
+    keep = letter_bytes(data)
     low = common.LOWER[data]
     # The second bytes of capitals from U+00C0 to U+00DE, behind 0xC3, are lowered too.
     if len(low) > 1:
@@ -38,13 +62,6 @@ def letter_words(data: np.ndarray, offsets: np.ndarray):
         after[1:] = low[:-1] == 0xC3
         capital = after & (low >= 0x80) & (low <= 0x9E) & (low != 0x97)
         low = np.where(capital, low + 32, low).astype(np.uint8)
-    keep = _LETTER[low]
-    if len(low) > 2:
-        # What follows a dropped first byte goes with it.
-        drop = (low == 0xC2) | (low == 0xE2)
-        keep[1:] &= ~(drop[:-1] & (low[1:] >= 0x80))
-        wide = low == 0xE2
-        keep[2:] &= ~(wide[:-2] & (low[2:] >= 0x80))
     soft = np.where(keep, low, 0x20).astype(np.uint8)
     return soft, *common.word_spans(soft, offsets)
 

@@ -34,22 +34,33 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def default_specials() -> dict[str, int]:
+    """The added tokens of ``byte_bpe_50k.json``, which stand for whole strings of a text."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
 @lru_cache(maxsize=2)
-def encoding(path: str, pattern: str):
+def encoding(path: str, pattern: str, specials: tuple[tuple[str, int], ...]):
     import base64
 
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(specials))
 
 
-def _tokenise(path: str, pattern: str, window: int, end_id: int):
+def _tokenise(path: str, pattern: str, specials: dict[str, int], window: int, end_id: int):
     """The pieces of each text: full windows and a rest."""
 
     def rows(batches):
-        encode = encoding(path, pattern).encode_ordinary
+        tool = encoding(path, pattern, tuple(sorted(specials.items())))
+        encode = lambda text: tool.encode(text, allowed_special="all")
         for batch in batches:
             out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
             ids = batch.column(batch.schema.get_field_index("doc_id"))
@@ -126,12 +137,13 @@ def _pack(window: int, blocks: int):
     return rows
 
 
-def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, ranks: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, ranks: str | None = None,
+         specials: dict[str, int] | None = None) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` per piece.
 
     ``docs`` has ``doc_id`` and ``text``; further columns are ignored. A text's
-    ids are those of its bytes, special strings taken as ordinary text, and then
-    ``end_id``; a null text has ``end_id`` only. The end of a sequence's last
+    ids are those of its bytes, with one id for each string of ``specials`` (the
+    vocabulary's added tokens), and then ``end_id``; a null text has ``end_id`` only. The end of a sequence's last
     piece is its length, the rest up to ``window`` is padding. Every row is
     packed by itself, so repeated rows, ids and null ids keep their own pieces.
     An empty table gives no rows.
@@ -141,7 +153,8 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, ranks: str | None
     common.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = store(docs.mapInArrow(
-        _tokenise(ranks or default_ranks(), public_tokenizers.PATTERN, window, end_id), _PIECES), "pieces")
+        _tokenise(ranks or default_ranks(), public_tokenizers.PATTERN, default_specials() if specials is None else specials,
+                  window, end_id), _PIECES), "pieces")
     blocks = max(1, math.ceil(pieces.count() / BLOCK))
     dealt = pieces.withColumn("row", F.monotonically_increasing_id()).withColumn(
         "block", F.pmod(F.xxhash64("row"), F.lit(blocks)))

@@ -65,20 +65,21 @@ def url_filters(captures: DataFrame, entries: DataFrame, key: str = "page_id") -
 
     ``captures`` has ``page_id``, ``url`` and ``fetched`` (a date); further columns
     are ignored. ``categories`` are the sorted categories of the entries active at
-    the fetch, none of them twice. A capture is judged by its key, so rows that repeat a key
-    with other URLs or dates share what any of them meets. A null url or date, or
-    a null key, meets nothing. Empty tables give no rows, or nothing blocked.
+    the fetch, none of them twice. Every row is judged by its own URL and date, whatever
+    its key, which may be null or stand in several rows. A null url or date meets
+    nothing. Empty tables give no rows, or nothing blocked.
     """
     # Host and path become plain columns here, so that the keys do not parse the URL again.
     parsed = captures.select(F.col(key).alias("page_id"), F.col("fetched").cast("date").alias("fetched"),
                              *[c.alias(k) for k, c in url_parts().items()])
-    asked = parsed.where("page_id is not null and host <> '' and fetched is not null").select(
-        "page_id", "fetched", F.explode(url_keys()).alias("pattern")).withColumn(
-        "salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    # What a capture meets follows from host, path and date; copies of one are judged once.
+    own = ["host", "path", "fetched"]
+    asked = parsed.where("host <> '' and fetched is not null").select(*own, F.explode(url_keys()).alias("pattern")).withColumn(
+        "salt", F.pmod(F.xxhash64("path", "fetched"), F.lit(SALTS)).cast("int"))
     listed = validity(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     met = asked.join(listed, ["pattern", "salt"]).where("fetched >= valid_from and fetched < valid_to")
-    found = met.groupBy("page_id").agg(F.array_sort(F.collect_set("category")).alias("categories"))
-    return parsed.join(found, "page_id", "left").select(
+    found = met.groupBy(*own).agg(F.array_sort(F.collect_set("category")).alias("categories"))
+    return parsed.join(found, own, "left").select(
         "page_id", "host", "fetched",
         F.array_join(F.coalesce("categories", F.array().cast("array<string>")), ",").alias("categories"),
         F.col("categories").isNotNull().alias("blocked"))

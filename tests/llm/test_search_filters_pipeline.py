@@ -123,6 +123,17 @@ def test_filters_on_nothing(spark):
     assert [r.blocked for r in uf.url_filters(captures, entries).collect()] == [True]
 
 
+def test_captures_of_one_page_are_judged_by_their_own_date(spark):
+    """An entry between two fetches blocks the later one only; a null key is judged as well."""
+    day = [D(2023, 1, 1), D(2023, 6, 1)]
+    captures = spark.createDataFrame(
+        [(1, "http://a.com/x", d, "", 0, "") for d in day] + [(None, "http://a.com/y", d, "", 0, "") for d in day] + [(1, "http://b.com", day[1], "", 0, "")], CAPTURES)
+    entries = spark.createDataFrame([("a.com", "p", "add", D(2023, 3, 1))], ENTRIES)
+    got = {(r.page_id, r.host, r.fetched): r.blocked for r in uf.url_filters(captures, entries).collect()}
+    assert got == {(1, "a.com", day[0]): False, (1, "a.com", day[1]): True, (None, "a.com", day[0]): False,
+                   (None, "a.com", day[1]): True, (1, "b.com", day[1]): False}
+
+
 def test_filter_plan_is_native(spark, folder):
     plan = queries.QUERIES["op5_url_filters"](spark, folder)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
@@ -166,8 +177,33 @@ def test_stage_odd_rows(spark, folder, number):
     assert stage(spark, spark.createDataFrame([], schema), folder).count() == 0
 
 
+@pytest.mark.parametrize("number", range(4))
+def test_stages_keep_columns_of_any_name(spark, folder, number):
+    """Names that the operators use themselves, other types, and no ``n_chars``."""
+    passage = "every word of this passage stands in two documents of the table "
+    docs = spark.createDataFrame(
+        [(1, passage + "first \ufffd text", 1.5), (2, "zwei \ufffdé " + passage, 2.5), (3, "something else entirely", None), (None, passage, 4.0)],
+        "doc_id long, text string, rate double").selectExpr(
+        "*", *[f"concat('{c}', doc_id) as {c}" for c in ("kept", "words", "f", "p", "n_tokens", "copies", "domains", "rest", "n_removed", "chunk", "c0", "slot", "_row_key")],
+        "timestamp'2024-01-02 03:04:05.678901' as at", "cast(rate as decimal(10, 3)) as d", "array(doc_id) as many", "binary('x') as raw")
+    got = corpus_pipeline.STAGES[number][1](spark, docs, folder)
+    assert got.columns == docs.columns and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
+    before = {r.doc_id: r for r in docs.collect()}
+    rows = got.collect()
+    assert {r.doc_id for r in rows} >= {1, 3}
+    for r in rows:
+        old, new = before[r.doc_id].asDict(), r.asDict()
+        text, was = new.pop("text"), old.pop("text")
+        assert new == old
+        if number != 2:
+            assert text == was
+    if number == 2:
+        texts = {r.doc_id: r.text for r in rows}
+        assert texts[1] == before[1].text and texts[2].startswith("zwei \ufffdé") and "passage" not in texts[2]
+
+
 def test_every_operator_is_registered():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names

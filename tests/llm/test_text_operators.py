@@ -87,7 +87,6 @@ def check_pieces(rows, texts, window):
     import public_tokenizers
 
     tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tool.encode_special_tokens = True
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -109,7 +108,7 @@ def check_pieces(rows, texts, window):
 
 
 def test_pack_round_trip(make):
-    rows = [*ODD, (13, "<|endoftext|> in a text"), (14, "日本語 😀 naïve"), (15, "a" * 3000)]
+    rows = [*ODD, (13, "<|endoftext|> in a <|endoftext|><|endoftext|>text <|endof"), (14, "日本語 😀 naïve"), (15, "a" * 3000)]
     got = packing.pack(make(rows), window=256).collect()
     check_pieces(got, dict(rows), 256)
 
@@ -336,3 +335,89 @@ def test_tokens_are_runs_of_non_blanks(make, no_labels):
 def test_mixing_plan_is_native(documents, spark, folder):
     plan = mixing.mix(documents, spark.read.parquet(f"{folder}/labels.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_posteriors_equal_plain_naive_bayes(make, spark):
+    """Probabilities worked out text by text, repeated rows and empty texts included."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choices(["Apple", "pear", "plum", "fig", "1", "x-y", "Öl"][i % 3:], k=rng.randint(0, 30)))) for i in range(60)]
+    rows += [rows[5], (70, None), (71, ""), (None, "pear plum"), (72, "!!"), (5, "another text")]
+    labels = spark.createDataFrame([(i, int(i % 2), int(i % 3 == 0)) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int")
+    docs = make(rows)
+    model = mixing.fit_domains(docs, labels)
+    got = {(r.doc_id, r.n_tokens, r.copies_of): list(r.p) for r in mixing.posteriors(docs, model).collect()}
+    frame = mixing.features(docs).collect()
+    slots = {r.word: r.slot for r in spark.createDataFrame([(w,) for r in frame for w in r.words], "word string").distinct().select(
+        "word", mixing.slot().alias("slot")).collect()}
+    copies = collections.Counter((i, t or "") for i, t in rows)
+    for r in frame:
+        text = r.text or ""
+        assert set(r.words) - {""} == {w for w in re.split(r"[^a-zäöüß]+", text.lower()) if w}
+        score = []
+        for d, size in enumerate(model.sizes):
+            v = np.log(size / sum(model.sizes))
+            for x, m, var in zip(r.f, model.means[d], np.maximum(model.variances[d], 1e-4)):
+                v -= 0.5 * np.log(var) + (x - m) ** 2 / (2 * var)
+            score.append(v + sum(model.odds[d][slots[w]] for w in r.words if w))
+        want = np.exp(np.array(score) - max(score))
+        n = len(re.findall("[^ \n\t\r]+", text))
+        assert np.allclose(got[r.doc_id, n, copies[r.doc_id, text]], want / want.sum(), atol=1e-9)
+
+
+def test_missed_targets_are_reported(make, spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = make([(1, "good words here"), (2, "low words there")])
+    with pytest.warns(UserWarning, match="reached"):
+        mixing.mix(docs, labels, keep={"good": 5.0, "low": 5.0}, cap=1.0)
+
+
+# -- what hashing and letters must tell apart ------------------------------------------
+
+def thue_morse(order, a="a", b="b"):
+    """Two texts that agree under every polynomial hash modulo a power of two."""
+    x, y = a, b
+    for _ in range(order):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_hashes_tell_thue_morse_strings_apart(make):
+    from lineup.llm import common
+    from lineup.llm.ngram_join import ngram_join
+
+    for order in (10, 13):
+        x, y = thue_morse(order)
+        for which in (0, 1):
+            h = [common.span_hash(common.prefix_hash(np.frombuffer(t.encode(), np.uint8), which), np.array([0]), np.array([len(t)]), which)[0] for t in (x, y)]
+            assert h[0] != h[1]
+    x, y = thue_morse(10)
+    got = {r.doc_id: r for r in qr.quality_rules(make([(1, x + "\n" + y), (2, x + "\n" + x)])).collect()}
+    assert [got[i].n_dup_lines for i in (1, 2)] == [0, 1]
+    parts = {r.doc_id: r.component_id for r in ngram_join(make([(1, x), (2, y), (4, y)])).collect()}
+    assert parts == {1: 1, 2: 2, 4: 2}
+
+
+def test_hashes_do_not_depend_on_the_place():
+    from lineup.llm import common
+
+    rng = np.random.default_rng(2)
+    word = rng.integers(0, 256, 40, dtype=np.uint8)
+    data = np.concatenate([rng.integers(0, 256, 1000, dtype=np.uint8), word, rng.integers(0, 256, 70, dtype=np.uint8), word])
+    prefix = common.prefix_hash(data)
+    a, b = common.span_hash(prefix, np.array([1000, 1110]), np.array([1040, 1150]))
+    windows = common.window_hash(prefix, 40)
+    assert a == b == windows[1000] == windows[1110] and len(set(windows.tolist())) == len(windows) - 1
+
+
+@pytest.mark.parametrize("text, letters", [
+    ("😀 !", ""), ("！？。、×÷", ""), ("١٢٣", ""), ("\u0301", ""), ("ⱥ", "ⱥ"), ("ⴀⴁ", "ⴀⴁ"), ("日本語 9", "日本語"), ("aªº1", "aªº"), ("Ж-ж", "Жж"), ("𐐀x", "𐐀x")])
+def test_letters_are_unicode_letters(text, letters):
+    data = np.frombuffer(text.encode(), np.uint8)
+    assert data[li.letter_bytes(data)].tobytes().decode() == letters
+
+
+def test_texts_without_letters_are_undetermined(make):
+    rows = [(i, "the cat sat on the mat" if i % 2 else "die Katze sitzt auf der Matte") for i in range(1, 40)]
+    odd = [(100, "😀"), (101, "！？。"), (102, "١٢٣"), (103, "ⴀⴁ"), (104, "×÷ 12"), (105, "\u0301")]
+    got = {r.doc_id: r.lang_pred for r in li.language_id(make(rows + odd)).collect()}
+    assert [got[i] for i in (100, 101, 102, 104, 105)] == ["und"] * 5 and got[103] != "und"
