@@ -141,9 +141,9 @@ def scenario_parts(file_name) -> list[Column]:
 
 # Input modes of a run name.
 INPUT_MODES = (
-    "expert_and_image_attn_adapter", "expert_and_image_attn",
-    "expert_and_image_concat", "expert_and_image_add", "expert_cross_attn",
-    "expert_qformer", "expert_only", "image_only",
+    "image_only", "expert_only", "expert_qformer", "expert_and_image_attn",
+    "expert_and_image_attn_adapter", "expert_and_image_concat", "expert_and_image_add",
+    "expert_cross_attn",
 )
 _RUN = (
     r"^[^_]+_[^_]+_(?:(.*?)_)?(Qwen[^_]*)_([^_]+)_([^_]+)(?:_(.+?))?_("
@@ -155,7 +155,7 @@ _BEST = r"connector_best_step_([0-9]+)\.pt$"
 
 
 def run_name_parts(checkpoint) -> list[Column]:
-    """Checkpoint path -> run settings; the longest input mode wins."""
+    """Checkpoint path -> run settings. The input mode is what stands before ``_lr_``."""
     path = _col(checkpoint)
     parts = F.split(path, "/")
     epoch = F.nullif(F.regexp_extract(path, _EPOCH, 1), F.lit(""))

@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import frames, pools
 from ..operators.cases import scenario_name
+from ..sources import readers
 from . import views
 from .registry import register
 
@@ -55,7 +56,39 @@ def result_names(spark, folder):
     return files.select("file", *N.scenario_parts("file"))
 
 
-_MODES = "['expert_and_image_attn_adapter', 'expert_and_image_attn', 'expert_and_image_concat', 'expert_and_image_add', 'expert_cross_attn', 'expert_qformer', 'expert_only', 'image_only']"
+@register("normalized_results", """
+WITH found AS (
+  SELECT DISTINCT corpus AS folder, concat('m', source_id % 3, '_result_', group_kind, '_', corpus, 'clothes_', camera, 'camera.csv') AS file FROM v_triples
+  UNION SELECT DISTINCT corpus, concat('predictions_m0_cropped_', corpus, 'clothes_', group_kind, '_', camera, 'camera.csv') FROM v_triples WHERE source_id % 2 = 0
+  UNION SELECT DISTINCT corpus, concat('m', source_id, '_result_', camera, '.csv') FROM v_triples
+  UNION SELECT DISTINCT corpus, concat('m', source_id, '_', camera, '.csv') FROM v_triples),
+parts AS (SELECT *, regexp_extract(file, '^(.*?)_result_(family|singleton)_(crossclothes|sameclothes)_(crosscamera|samecamera)[.]csv$', ['p', 'g', 'c', 's']) AS x FROM found),
+wanted AS (SELECT folder, file, CASE WHEN x.g <> '' THEN concat('predictions_', x.p, '_cropped_', x.c, '_', x.g, '_', x.s, '.csv') END AS target FROM parts)
+SELECT w.folder, w.file, w.target,
+       CASE WHEN NOT contains(w.file, '_result_') THEN 'no result in its name' WHEN w.target IS NULL THEN 'unexpected suffix'
+            WHEN h.file IS NOT NULL OR EXISTS (FROM wanted o WHERE o.folder = w.folder AND o.target = w.target AND o.file < w.file) THEN 'taken' ELSE 'renamed' END AS status,
+       CASE WHEN w.target IS NOT NULL THEN coalesce(h.file, (SELECT min(o.file) FROM wanted o WHERE o.folder = w.folder AND o.target = w.target AND o.file < w.file)) END AS rival
+FROM wanted w LEFT JOIN found h ON h.folder = w.folder AND h.file = w.target""")
+def normalized_results(spark, folder):
+    """Result files of every scenario, some already under their new name, some misnamed."""
+    t = pools.valid_triples(views.items(spark, folder))
+    source = lambda c: F.col(c).cast("string")
+    m, one = F.concat(F.lit("m"), source("source_id")), F.concat(F.lit("m"), (F.col("source_id") % 3).cast("string"))
+    clothes, camera = F.concat("corpus", F.lit("clothes")), F.concat("camera", F.lit("camera"))
+    names = [
+        (F.concat(F.concat_ws("_", F.concat(one, F.lit("_result")), "group_kind", clothes, camera), F.lit(".csv")), F.lit(True)),
+        (F.concat(F.concat_ws("_", F.lit("predictions_m0_cropped"), clothes, "group_kind", camera), F.lit(".csv")), F.col("source_id") % 2 == 0),
+        (F.concat(m, F.lit("_result_"), "camera", F.lit(".csv")), F.lit(True)),
+        (F.concat(m, F.lit("_"), "camera", F.lit(".csv")), F.lit(True)),
+    ]
+    found = None
+    for name, which in names:
+        part = t.filter(which).select(F.col("corpus").alias("folder"), name.alias("file"))
+        found = part if found is None else found.union(part)
+    return readers.normalize_results(found.distinct())
+
+
+_MODES = "[" + ", ".join(f"'{m}'" for m in N.INPUT_MODES) + "]"
 
 
 @register("run_names", f"""

@@ -140,11 +140,109 @@ def canonical_predictions(rows: DataFrame, *keep: str | Column) -> DataFrame:
     return rows.select(*columns, *keep)
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Prediction files of one header, with the scenario in their file name."""
-    rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
-    tagged = rows.withColumn("file", base_name("_metadata.file_path"))
-    return canonical_predictions(tagged, "file", *scenario_parts("file"))
+def csv_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, header``: the first line of every file that has one."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("_at"),
+        F.col("_metadata.file_block_start").alias("_block"),
+    )
+    # The first line of a file is the first of its first block.
+    return lines.filter("_block = 0").groupBy("file").agg(
+        F.regexp_replace(F.min_by("value", "_at"), "^\ufeff|\r$", "").alias("header"))
+
+
+def read_csv_by_header(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str], DataFrame]]:
+    """Files of each header as one table, in text columns with ``file``, the files' whole path.
+
+    Each variant is one scan of the CSV reader, so quoted commas and line breaks are
+    read. Names of files reach the driver, as those of any scan do.
+    """
+    by_header: dict[str, list[str]] = {}
+    for r in csv_headers(spark, path).orderBy("file").collect():
+        by_header.setdefault(r["header"], []).append(r["file"])
+    tables = []
+    for header, files in sorted(by_header.items()):
+        rows = spark.read.csv(
+            files, header=True, quote='"', escape='"', multiLine=True, mode="FAILFAST", enforceSchema=False)
+        names = list(rows.columns)
+        # The file's name goes first, under a name no header has.
+        tables.append((names, rows.select(F.col("_metadata.file_path").alias("_file"), *[F.col(f"`{c}`") for c in names])))
+    return tables
+
+
+def read_predictions(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Prediction files of any of the three headers, side by side in one folder.
+
+    ``idx, label, prediction, response, query``, the ``file``'s name, the scenario in
+    it, and ``header``, the header's columns. A file without an index or a
+    prediction column is an error that names it. A folder without files gives no rows.
+    """
+    parts = []
+    for names, rows in read_csv_by_header(spark, path):
+        missing = [c for c in ("idx", "prediction") if not set(_PREDICTION_COLUMNS[c]) & set(names)]
+        if missing:
+            raise ValueError(f"no column for {missing} in {rows.first()['_file'] if rows.count() else names}")
+        tagged = rows.withColumn("_name", base_name("_file"))
+        parts.append(canonical_predictions(
+            tagged, F.col("_name").alias("file"), *scenario_parts("_name"), F.lit(",".join(names)).alias("header")))
+    if not parts:
+        kinds = ["idx int", *[f"{c} string" for c in (*list(_PREDICTION_COLUMNS)[1:], "file", "prefix", "group_kind", "clothes", "camera", "scenario", "header")]]
+        return spark.createDataFrame([], ", ".join(kinds))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+#: How a result file is renamed: to the name of its scenario, or with a prefix.
+def _scenario_target(name: Column) -> tuple[Column, Column]:
+    prefix, group, clothes, camera, scenario = scenario_parts(name)
+    whole = F.when(group.isNotNull(), F.concat(
+        F.lit("predictions_"), F.coalesce(prefix, F.lit("")), F.lit("_"), scenario, F.lit(".csv")))
+    why = F.when(~F.contains(name, F.lit("_result_")), "no result in its name").when(group.isNull(), "unexpected suffix")
+    return whole, why
+
+
+def _prefix_target(name: Column) -> tuple[Column, Column]:
+    has = F.startswith(name, F.lit("predictions_"))
+    return F.when(~has, F.concat(F.lit("predictions_"), name)), F.when(has, "has the prefix")
+
+
+_TARGETS = {"scenario": _scenario_target, "prefix": _prefix_target}
+
+
+def normalize_results(files: DataFrame, rule: str = "scenario") -> DataFrame:
+    """What each result file of a folder is to be called, and what stands against it.
+
+    ``files`` has ``folder, file``. Result: ``folder, file, target, status, rival``.
+    ``status`` is ``renamed``, or why not: the file's name gives no target, or the
+    target is ``taken`` by ``rival``, a file of that name or the first, in name order, of
+    those that want it. Each (folder, file) counts once; files other than ``.csv`` are left out.
+    """
+    if rule not in _TARGETS:
+        raise ValueError(f"unknown rule {rule!r}: expected one of {sorted(_TARGETS)}")
+    once = files.select("folder", "file").filter(F.endswith(F.col("file"), F.lit(".csv"))).distinct()
+    target, why = _TARGETS[rule](F.col("file"))
+    wanted = once.select("folder", "file", target.alias("target"), why.alias("_why"))
+    holder = once.select("folder", F.col("file").alias("target"), F.col("file").alias("_holder"))
+    first = wanted.filter("target is not null").groupBy("folder", "target").agg(F.min("file").alias("_first"))
+    placed = wanted.join(holder, ["folder", "target"], "left").join(first, ["folder", "target"], "left")
+    rival = F.coalesce("_holder", F.when(F.col("_first") != F.col("file"), F.col("_first")))
+    status = F.coalesce("_why", F.when(rival.isNotNull(), "taken").otherwise("renamed"))
+    return placed.select("folder", "file", "target", status.alias("status"), F.when(F.col("_why").isNull(), rival).alias("rival"))
+
+
+def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Predictions of a result folder under repaired headers and names, and the files left out.
+
+    A file whose repaired name another one holds, or wants first, is left out with its
+    rival; one without a scenario in its name keeps its name.
+    """
+    rows = read_predictions(spark, path)
+    names = normalize_results(rows.select(F.lit(path).alias("folder"), "file").distinct())
+    rejects = names.filter("status = 'taken'")
+    kept = names.filter("status <> 'taken'").select("file", F.coalesce("target", "file").alias("result"))
+    return rows.join(kept, "file"), rejects
 
 
 def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
@@ -173,26 +271,16 @@ def read_event_mapping(spark: SparkSession, path: str) -> DataFrame:
     return latest_mapping(rows.withColumn("_order", order), F.col("_order"))
 
 
-def read_file_lists(spark: SparkSession, files: list[str]) -> DataFrame:
-    """The ``FILE_PATH`` column of the CSV files that have one, in one scan.
+def read_file_lists(spark: SparkSession, files: str | list[str]) -> DataFrame:
+    """The ``FILE_PATH`` column of the CSV files that have one; their headers may differ.
 
-    Each file's first line, its header, places the column, so files may differ.
-    Fields are plain or quoted without a comma or line break inside.
+    A line with other than its header's number of fields is an error.
     """
-    lines = spark.read.text(files).select(
-        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("_at"),
-        F.col("_metadata.file_block_start").alias("_block"),
-    )
-    cells = F.transform(F.split("value", ","), lambda x: F.trim(F.regexp_replace(x, r'^\s*"|"\s*$|\r$', "")))
-    rows = lines.withColumn("cells", cells)
-    # The first line of a file is the first of its first block.
-    heads = rows.filter("_block = 0").groupBy("file").agg(
-        F.min_by("cells", "_at").alias("head"), F.min("_at").alias("_first")
-    )
-    placed = rows.join(heads, "file").filter("_at <> _first and value <> ''")
-    return placed.withColumn("at", F.array_position("head", "FILE_PATH")).filter("at > 0").select(
-        F.try_element_at("cells", F.col("at").cast("int")).alias("FILE_PATH")
-    )
+    parts = [rows.select("FILE_PATH") for names, rows in read_csv_by_header(spark, files) if "FILE_PATH" in names]
+    out = spark.createDataFrame([], "FILE_PATH string")
+    for part in parts:
+        out = out.unionAll(part)
+    return out
 
 
 def parse_caption_line(line) -> list[Column]:

@@ -111,15 +111,15 @@ def write_decisions(decisions: DataFrame, folder: str, checkpoint: str):
     )
 
 
-def resumable_write(rows: DataFrame, key: str, folder: str) -> None:
-    """Append only the keys the folder does not hold yet.
+def resumable_write(rows: DataFrame, key: str, folder: str, buckets: int = 64) -> DataFrame:
+    """Write the keys the folder does not hold yet, bucket by bucket; returns all rows written.
 
-    Spark makes a job's files visible when the job commits, so an interrupted
-    run is started again and skips the keys of the runs that finished.
+    An interrupted run is started again and does the unfinished buckets only. Read the
+    rows through ``ledger.read_steps``, which leaves half-written buckets out.
     """
-    spark = rows.sparkSession
-    done = read_or_empty(spark, folder, rows.schema).select(key).distinct()
-    rows.join(done, key, "left_anti").write.mode("append").parquet(folder)
+    from .ledger import run_steps
+
+    return run_steps(rows, key, lambda part: part, folder, buckets)
 
 
 def append_results(results: DataFrame, folder: str, key: tuple[str, ...] = ("model", "scenario")) -> None:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lineup.operators import models
-from lineup.sources import readers, writers
+from lineup.sources import ledger, readers, writers
 
 
 def put(path, text):
@@ -134,9 +134,118 @@ def test_missing_state_reads_as_empty(spark, tmp_path):
 def test_resumable_write_appends_only_the_rest(spark, tmp_path):
     folder = str(tmp_path / "out")
     rows = spark.range(10).select(F.col("id").alias("group_id"))
-    writers.resumable_write(rows.filter("group_id < 4"), "group_id", folder)
-    writers.resumable_write(rows, "group_id", folder)
-    assert sorted(r.group_id for r in spark.read.parquet(folder).collect()) == list(range(10))
+    writers.resumable_write(rows.filter("group_id < 4"), "group_id", folder, 3)
+    got = writers.resumable_write(rows, "group_id", folder, 3)
+    assert sorted(r.group_id for r in got.collect()) == list(range(10))
+    assert ledger.read_steps(spark, folder, "group_id long").count() == 10
+    assert writers.resumable_write(rows, "group_id", folder, 3).count() == 10
+
+
+def test_an_interrupted_run_does_only_the_rest(spark, tmp_path):
+    """The third bucket fails while it is written; the next run computes it and those after it."""
+    folder, calls = str(tmp_path / "out"), []
+    rows = spark.range(200).select(F.expr("case when id = 7 then null else id % 40 end").alias("group_id"), "id")
+
+    def step(fail_at):
+        def run(part):
+            calls.append({r.group_id for r in part.select("group_id").distinct().collect()})
+            if len(calls) == fail_at:
+                return part.withColumn("x", F.raise_error(F.lit("interrupted")).cast("long"))
+            return part.withColumn("x", F.col("id") * 2)
+        return run
+
+    with pytest.raises(Exception, match="interrupted"):
+        ledger.run_steps(rows, "group_id", step(3), folder, 6)
+    assert len(ledger.finished(spark, folder)) == 2
+    before = ledger.read_steps(spark, folder, "group_id long, id long, x long")
+    assert {r.group_id for r in before.collect()} == calls[0] | calls[1]
+    done = calls[0] | calls[1]
+    calls.clear()
+    got = ledger.run_steps(rows, "group_id", step(99), folder, 6)
+    assert not done & set.union(*calls) and len(ledger.finished(spark, folder)) == 6
+    assert sorted((r.id, r.x) for r in got.collect()) == [(i, 2 * i) for i in range(200)]
+    calls.clear()
+    assert ledger.run_steps(rows, "group_id", step(99), folder, 6).count() == 200 and len(calls) == 1  # for the schema
+    again = spark.createDataFrame([(3,)], "group_id long")
+    twice = ledger.run_steps(rows, "group_id", step(99), folder, 6, again=again)
+    assert twice.count() == 205 and twice.filter("group_id = 3").count() == 10
+
+
+def test_cleaning_resumes_and_asks_failed_batches_again(spark, tmp_path):
+    rows = [(i, f"p{i}", "query" if i % 5 == 0 else "gallery", i % 4) for i in range(80)]
+    items = spark.createDataFrame(rows, "item_id long, path string, role string, group_id long")
+    log = tmp_path / "asked"
+    log.write_text("")
+
+    def verdict(paths, down):
+        with open(log, "a") as f:
+            f.write(" ".join(paths) + "\n")
+        if down and "p33" in paths:
+            raise ConnectionError("down")
+        return "\n".join("NO" if int(p[1:]) % 3 == 0 else "YES" for p in paths)
+
+    folder = str(tmp_path / "clean")
+    first = models.clean_items(items, lambda p: verdict(p, True), folder, buckets=3, attempts=2)
+    failed = models.failed_items(first).collect()
+    assert 33 in {r.item_id for r in failed} and 1 < len(failed) <= 8
+    assert {(r.failure, r.attempts, r.keep) for r in failed} == {("ConnectionError", 2, True)}
+    log.write_text("")
+    same = models.clean_items(items, lambda p: verdict(p, True), folder, buckets=3)
+    assert log.read_text() == "" and same.count() == 80
+    last = models.clean_items(items, lambda p: verdict(p, False), folder, retry=True, buckets=3)
+    got = {r.item_id: r for r in last.collect()}
+    assert set(log.read_text().split()) == {f"p{r.item_id}" for r in failed} and len(log.read_text().splitlines()) == 1
+    assert len(got) == 80 and all(r.failure is None for r in got.values())
+    assert {i for i, r in got.items() if not r.keep} == {i for i in range(80) if i % 3 == 0 and i % 5}
+
+
+def test_predictions_of_all_headers_in_one_folder(spark, tmp_path):
+    put(tmp_path / "m_result_family_sameclothes_samecamera.csv", 'idx,label,prediction,response,query\n1,B,B,"He said ""B"",\nthen left, and",q1\n2,C,,x,q2\n')
+    put(tmp_path / "m_result_family_sameclothes_crosscamera.csv", "query_id,label,answer,model_output\n1,B,C,y\n")
+    put(tmp_path / "n_result_singleton_crossclothes_samecamera.csv", '\ufeffidx,label,prediction,model_output,query_img\r\n7,A,A,"a, b",q7\r\n')
+    put(tmp_path / "o.csv", "query_id,label,answer,model_output\n9,D,D,z\n")
+    rows = {(r.file[0], r.idx, r.scenario): r for r in readers.read_predictions(spark, str(tmp_path)).collect()}
+    assert len(rows) == 5
+    assert rows["m", 1, "cropped_sameclothes_family_samecamera"].response == 'He said "B",\nthen left, and'
+    assert rows["m", 1, "cropped_sameclothes_family_crosscamera"].prediction == "C"
+    last = rows["n", 7, "cropped_crossclothes_singleton_samecamera"]
+    assert (last.response, last.query, last.header) == ("a, b", "q7", "idx,label,prediction,model_output,query_img")
+    assert rows["o", 9, None].label == "D"
+    put(tmp_path / "p.csv", "idx,label\n1,2\n")
+    with pytest.raises(ValueError, match="prediction.*p.csv"):
+        readers.read_predictions(spark, str(tmp_path))
+
+
+def test_colliding_result_names(spark, tmp_path):
+    head = "idx,label,prediction\n"
+    names = ["m_result_family_sameclothes_samecamera.csv", "predictions_m_cropped_sameclothes_family_samecamera.csv",
+             "k_result_family_sameclothes_samecamera.csv", "k_result_other.csv", "plain.csv"]
+    for i, name in enumerate(names):
+        put(tmp_path / name, head + f"{i},A,A\n")
+    files = spark.createDataFrame([("d", n) for n in names] + [("d", "notes.txt"), ("e", names[0])], "folder string, file string")
+    got = {(r.folder, r.file): (r.target, r.status, r.rival) for r in readers.normalize_results(files).collect()}
+    assert got == {
+        ("d", names[0]): (names[1], "taken", names[1]), ("e", names[0]): (names[1], "renamed", None),
+        ("d", names[1]): (None, "no result in its name", None),
+        ("d", names[2]): ("predictions_k_cropped_sameclothes_family_samecamera.csv", "renamed", None),
+        ("d", names[3]): (None, "unexpected suffix", None), ("d", names[4]): (None, "no result in its name", None)}
+    prefixed = {r.file: (r.target, r.status, r.rival) for r in readers.normalize_results(
+        spark.createDataFrame([("d", n) for n in ("a.csv", "predictions_a.csv", "b.csv")], "folder string, file string"), "prefix").collect()}
+    assert prefixed == {"a.csv": ("predictions_a.csv", "taken", "predictions_a.csv"), "predictions_a.csv": (None, "has the prefix", None),
+                        "b.csv": ("predictions_b.csv", "renamed", None)}
+    rows, rejects = readers.read_results(spark, str(tmp_path))
+    assert sorted(r.idx for r in rows.collect()) == [1, 2, 3, 4] and [r.file for r in rejects.collect()] == [names[0]]
+
+
+def test_file_lists_read_quoted_fields(spark, tmp_path):
+    put(tmp_path / "a.csv", 'ID,FILE_PATH\n"1,2","/x/a, b.mp4"\n3,"/x/c\n.mp4"\n')
+    put(tmp_path / "b.csv", "FILE_PATH\n/y/d.mp4\n")
+    put(tmp_path / "c.csv", "OTHER\nz\n")
+    got = readers.read_file_lists(spark, str(tmp_path))
+    assert sorted(r.FILE_PATH for r in got.collect()) == ["/x/a, b.mp4", "/x/c\n.mp4", "/y/d.mp4"]
+    put(tmp_path / "d.csv", "FILE_PATH,ID\n/y/e.mp4\n")
+    with pytest.raises(Exception):
+        readers.read_file_lists(spark, str(tmp_path)).collect()
 
 
 def test_embed_incremental_encodes_only_misses(spark, tmp_path):

@@ -311,9 +311,21 @@ def test_failing_verdict_keeps_items(spark, folder):
     rows = views.paths(spark, folder).limit(40).withColumn("group_id", F.lit(1))
 
     def broken(paths):
-        raise RuntimeError("no reply")
+        raise TimeoutError("no reply")
 
-    assert models.filter_by_verdict(rows, broken).filter("NOT keep").count() == 0
+    got = models.filter_by_verdict(rows, broken, report=True)
+    assert got.filter("NOT keep").count() == 0
+    assert {(r.failure, r.attempts) for r in got.filter("role = 'gallery'").collect()} == {("TimeoutError", 3)}
+
+
+def test_a_mistake_in_the_verdict_ends_the_job(spark, folder):
+    rows = views.paths(spark, folder).limit(40).withColumn("group_id", F.lit(1))
+
+    def wrong(paths):
+        return paths.no_such_thing
+
+    with pytest.raises(Exception, match="no_such_thing"):
+        models.filter_by_verdict(rows, wrong).collect()
 
 
 def test_hot_group_of_a_third(spark, folder):
