@@ -9,16 +9,19 @@ the driver; the rate of a document follows from its probabilities and the steps.
 
 DataFrame operations only. The classifier is a naive Bayes over a text's distinct
 words, hashed to a table of fixed size, and Gaussian shape features. Both are
-learned by combining aggregations of the labelled texts; a document's sum is taken
-where its row is read.
+learned by combining aggregations of a bounded sample of labelled texts. Every text
+is then read once: its words meet the table of log odds, whose rows are as many as
+the hash has slots, and are summed to one small row a document, which all later
+steps read.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import store
@@ -29,6 +32,8 @@ WEIGHTS = {"good": 0.80, "low": 0.15, "toxic": 0.05}
 STEPS = 12
 SLOTS = 1 << 15  # hashed words
 SURE = 2.0  # standard errors that the log odds of a word are drawn back by
+LEARN = 10_000  # labelled texts of each domain that are learned from, at most
+MISSED = 1e-3  # share of all wished tokens by which totals may miss their targets without a warning
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SIGNS = "0123456789#*$%&|<>!@/\\=_"
@@ -44,8 +49,8 @@ def let(value: Column, body) -> Column:
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the features ``f``, the last being the number of tokens (runs of
-    other than blanks), and ``words``, the slots of the distinct lower-cased runs of letters."""
+    """``docs`` with the shape features ``f``, the last being the number of tokens (runs of
+    other than blanks), and ``words``, the distinct lower-cased runs of letters."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     left = lambda signs: F.length(F.translate(body, signs, "")).cast("double")
     runs = F.regexp_count(body, F.lit(f"[^{_SPACES}]+")).cast("double")
@@ -58,69 +63,105 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
             F.log1p(n), share(n - F.get(c, F.lit(2)), solid), share(n - F.get(c, F.lit(3)), solid), share(n - solid, n),
             F.get(c, F.lit(4)))
 
-    words = F.array_distinct(F.transform(F.filter(F.split(F.lower(body), "[^\\p{L}]+"), lambda w: w != ""), lambda w: F.pmod(
-        F.xxhash64(w), F.lit(SLOTS)).cast("int")))
+    words = F.array_distinct(F.split(F.lower(body), "[^\\p{L}]+"))
     return docs.withColumns({"f": let(counts, shapes), "words": words})
 
 
-def fit_words(learned: DataFrame, totals: dict[str, int]) -> dict[str, list[float]]:
-    """Log odds of each slot in each domain's texts against all, drawn towards 0 by their standard error."""
-    names = list(totals)
-    # At most SLOTS rows, whatever the number of texts.
-    rows = learned.select("domain", F.explode("words").alias("slot")).groupBy("slot").agg(
-        *[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(names)]).collect()
-    counts = np.zeros((len(names), SLOTS))
-    for r in rows:
-        counts[:, r["slot"]] = [r[f"n{i}"] for i in range(len(names))]
-    size = np.array([totals[d] for d in names], float)
-    expected = counts.sum(0) * (size / size.sum())[:, None]
-    odds = np.log((counts + 0.5) / (expected + 0.5))
-    odds = np.sign(odds) * np.maximum(np.abs(odds) - SURE / np.sqrt(counts + 0.5), 0)
-    return {d: odds[i].tolist() for i, d in enumerate(names)}
+def slot(word: str = "word") -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
 
 
-def fit_domains(shapes: DataFrame, labels: DataFrame) -> tuple[Column, list[str]]:
-    """Probabilities of the labelled domains, in name order, as a column over ``f`` and ``words``.
+def sample_labels(labels: DataFrame, most: int = LEARN) -> DataFrame:
+    """``doc_id, domain`` of at most ``most`` labelled documents of each domain, by hash of the id.
 
-    Of rows that repeat a label's id, and of contradicting ones, the greatest
-    counts. Without labels there is one domain, ``all``, of probability 1.
+    Of rows that repeat a label's id, and of contradicting ones, the greatest counts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(DOMAIN).alias("domain")).where(
         "doc_id is not null and domain is not null").groupBy("doc_id").agg(F.max("domain").alias("domain"))
+    order = Window.partitionBy("domain").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id")
+    return known.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most).select("doc_id", "domain")
+
+
+class Domains:
+    """Names in order, and what each domain's texts are like: log odds of word slots
+    against all texts, and mean and variance of the shape features."""
+
+    def __init__(self, names: list[str], sizes: list[int], odds: np.ndarray, means: np.ndarray, variances: np.ndarray):
+        self.names, self.sizes, self.odds, self.means, self.variances = names, sizes, odds, means, variances
+
+    def shape_odds(self, f: Column) -> list[Column]:
+        """Log odds of each domain before any word."""
+        out = []
+        for size, mean, variance in zip(self.sizes, self.means, self.variances):
+            value = F.lit(math.log(size / sum(self.sizes)))
+            for i, (m, v) in enumerate(zip(mean, np.maximum(variance, 1e-4))):
+                away = F.get(f, F.lit(i)) - F.lit(float(m))
+                value = value - F.lit(0.5 * math.log(v)) - away * away / F.lit(2 * float(v))
+            out.append(value)
+        return out
+
+
+def fit_domains(docs: DataFrame, labels: DataFrame, most: int = LEARN) -> Domains | None:
+    """The labelled domains in name order, or None without labelled texts.
+
+    A word's log odds are drawn towards 0 by their standard error.
+    """
     size = 4
+    # At most ``most`` ids of each of three domains.
+    chosen = F.broadcast(sample_labels(labels, most))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
+    labelled = store(features(texts).select("domain", "f", "words"), "labelled")
     x = [F.get("f", F.lit(i)) for i in range(size)]
-    labelled = store(shapes.select("doc_id", "f", "words").join(known, "doc_id"), "labelled")
     learned = labelled.groupBy("domain").agg(
         F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)],
         *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(x)]).orderBy("domain").collect()
     if not learned:
-        return F.array(F.lit(1.0)), ["all"]
-    total = sum(r["n"] for r in learned)
-    odds = fit_words(labelled, {r["domain"]: r["n"] for r in learned})
-
-    # Literals in one piece, which the optimiser folds to arrays.
-    literal = lambda values: F.split(F.lit(",".join(f"{v:.3g}" for v in values)), ",").cast("array<float>")
-    says = literal(np.any(list(odds.values()), 0).astype(float))  # whether a slot's odds of any domain are other than 0
-
-    def added(table: Column):
-        return lambda so_far, slot: so_far + F.get(table, slot)
-
-    def log_odds(f: Column, telling: Column) -> Column:
-        scores = []
-        for r in learned:
-            value = F.lit(math.log(r["n"] / total)) + F.aggregate(telling, F.lit(0.0), added(literal(odds[r["domain"]])))
-            for i in range(size):
-                var = max(r[f"v{i}"], 1e-4)
-                away = F.get(f, F.lit(i)) - F.lit(r[f"m{i}"])
-                value = value - F.lit(0.5 * math.log(var)) - away * away / F.lit(2 * var)
-            scores.append(value)
-        return F.array(*scores)
+        return None
+    names = [r["domain"] for r in learned]
+    # At most SLOTS rows, whatever the number of texts.
+    rows = labelled.select("domain", F.explode("words").alias("word")).where("word <> ''").groupBy(slot().alias("slot")).agg(
+        *[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(names)]).collect()
+    counts = np.zeros((len(names), SLOTS))
+    for r in rows:
+        counts[:, r["slot"]] = [r[f"n{i}"] for i in range(len(names))]
+    sizes = np.array([r["n"] for r in learned], float)
+    expected = counts.sum(0) * (sizes / sizes.sum())[:, None]
+    odds = np.log((counts + 0.5) / (expected + 0.5))
+    odds = np.sign(odds) * np.maximum(np.abs(odds) - SURE / np.sqrt(counts + 0.5), 0)
+    table = lambda kind: np.array([[r[f"{kind}{i}"] for i in range(size)] for r in learned])
+    return Domains(names, [r["n"] for r in learned], odds, table("m"), table("v"))
+
+
+def row_key(text: str = "text") -> Column:
+    """What tells apart the texts of rows that share an id."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
+
+def posteriors(docs: DataFrame, domains: Domains | None) -> DataFrame:
+    """``doc_id, row_key, n_tokens, copies_of, p``: one row for each id and text, with
+    the number of rows that hold it and the probabilities of the domains."""
+    read = features(docs.select("doc_id", "text", row_key().alias("row_key"))).drop("text")
+    n_tokens = F.get("f", F.lit(4)).cast("long")
+    if domains is None:
+        return read.groupBy("doc_id", "row_key").agg(
+            F.max(n_tokens).alias("n_tokens"), F.count("*").alias("copies_of"), F.array(F.lit(1.0)).alias("p"))
+    k = range(len(domains.names))
+    telling = np.flatnonzero(domains.odds.any(0))
+    table = docs.sparkSession.createDataFrame(
+        [(int(s), *[float(domains.odds[d, s]) for d in k]) for s in telling], "slot int, " + ", ".join(f"o{d} double" for d in k))
+    shaped = read.select("doc_id", "row_key", n_tokens.alias("n_tokens"), *[c.alias(f"s{d}") for d, c in enumerate(domains.shape_odds(F.col("f")))],
+                         F.posexplode("words").alias("at", "word"))
+    # Every text splits into one word at least; an empty one has no slot. The table has SLOTS rows at most.
+    met = shaped.withColumn("slot", F.when(F.col("word") != "", slot())).join(F.broadcast(table), "slot", "left")
+    own = met.groupBy("doc_id", "row_key").agg(
+        F.max("n_tokens").alias("n_tokens"), F.count_if(F.col("at") == 0).alias("copies_of"),
+        *[F.max(f"s{d}").alias(f"s{d}") for d in k], *[F.coalesce(F.sum(f"o{d}"), F.lit(0.0)).alias(f"o{d}") for d in k])
+    # Rows that hold the same text each brought its words.
+    score = [F.col(f"s{d}") + F.col(f"o{d}") / F.col("copies_of") for d in k]
     # Probability of each: one over the sum of all odds against it.
-    against = lambda s: F.transform(s, lambda own: 1 / F.aggregate(
-        s, F.lit(0.0), lambda total, other: total + F.exp(F.least(other - own, F.lit(700.0)))))
-    telling = F.filter("words", lambda slot: F.get(says, slot) > 0)
-    return let(let(telling, lambda t: log_odds(F.col("f"), t)), against), [r["domain"] for r in learned]
+    against = lambda c: F.transform(c, lambda mine: 1 / F.aggregate(
+        c, F.lit(0.0), lambda total, other: total + F.exp(F.least(other - mine, F.lit(700.0)))))
+    return own.select("doc_id", "row_key", "n_tokens", "copies_of", let(F.array(*score), against).alias("p"))
 
 
 def rate_column(steps: list[list[float]], cap: float | None) -> Column:
@@ -139,6 +180,7 @@ def fit_rates(docs: DataFrame, targets: list[float], cap: float | None = None, m
 
     ``docs`` has ``p`` and ``n_tokens``. Each step follows the gradient of the
     squared errors, scaled by the Gram matrix of the documents not held at a bound.
+    The descent ends where the totals meet the targets, or after ``most`` steps.
     """
     k = len(targets)
     p = [F.get("p", F.lit(i)) for i in range(k)]
@@ -169,16 +211,17 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     the id: repeated rows share it.
 
     A null text has no tokens; like an empty one it gets a rate from its
-    probabilities, as do rows with a null id. An empty table gives no rows.
+    probabilities, as do rows with a null id. An empty table gives no rows. Totals
+    that miss their targets are reported by a warning.
     """
-    spare = [c for c in ("n_tokens", "f", "words", "p", "domains", "rate", "copies") if c in docs.columns]
-    docs = docs.drop(*spare)
-    shapes = store(features(docs.select("doc_id", "text")).select("doc_id", "f", "words"), "shapes")
-    p, domains = fit_domains(shapes, labels)
-    n_tokens = F.get("f", F.lit(4)).cast("long")
-    soft = store(shapes.select(n_tokens.alias("n_tokens"), p.alias("p")), "soft")
-    present = soft.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.get("p", F.lit(i))), F.lit(0.0)).alias(f"s{i}")
-                         for i in range(len(domains))]).first()
+    docs = docs.drop(*[c for c in ("n_tokens", "p", "domains", "rate", "copies") if c in docs.columns])
+    learned = fit_domains(docs, labels)
+    domains = learned.names if learned else ["all"]
+    soft = store(posteriors(docs, learned), "soft")
+    # Tokens of all rows, copies included.
+    weighed = soft.select((F.col("n_tokens") * F.col("copies_of")).alias("n_tokens"), "p")
+    present = weighed.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.get("p", F.lit(i))), F.lit(0.0)).alias(f"s{i}")
+                            for i in range(len(domains))]).first()
     if keep is not None:
         targets = [present[i] * keep.get(d, 1.0) for i, d in enumerate(domains)]
     else:
@@ -186,9 +229,16 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
         named = {d: weights.get(d, 0.0) for d in domains} if domains != ["all"] else {"all": 1.0}
         scale = sum(present) / (sum(named.values()) or 1.0)
         targets = [named[d] * scale for d in domains]
-    steps, _ = fit_rates(soft, targets, cap)
+    steps, reached = fit_rates(weighed, targets, cap)
+    missed = max(abs(a - b) for a, b in zip(reached, targets))
+    if missed > MISSED * max(1.0, sum(targets)):
+        # No rates within the bounds may reach them; the fitted ones come nearest.
+        warnings.warn(f"tokens of {domains}: wished {targets}, reached {reached}", stacklevel=2)
     chance = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # The rows themselves are read again, so that no text is shuffled.
-    named = features(docs).withColumns({"n_tokens": n_tokens, "p": p}).drop("f", "words")
-    return named.withColumns({"domains": F.lit(",".join(domains)), "rate": rate_column(steps, cap)}).withColumn(
-        "copies", F.floor(F.col("rate") + chance).cast("long"))
+    rated = soft.select(
+        F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "n_tokens", F.lit(",".join(domains)).alias("domains"), "p",
+        rate_column(steps, cap).alias("rate")).alias("rated")
+    mine = docs.withColumn("_row_key", row_key())
+    joined = mine.join(rated, mine["doc_id"].eqNullSafe(rated["_id"]) & (mine["_row_key"] == rated["_key"]))
+    return joined.drop("_id", "_key", "_row_key").withColumn("copies", F.floor(F.col("rate") + chance).cast("long")).select(
+        *docs.columns, "n_tokens", "domains", "p", "rate", "copies")
