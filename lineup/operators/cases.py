@@ -63,7 +63,13 @@ def numbered(df: DataFrame, count: str, name: str) -> DataFrame:
 
 
 def case_key(*parts) -> Column:
-    return F.concat_ws("|", *[F.col(p).cast("string") for p in parts])
+    """Parts joined by ``|``. A part's own ``|`` is escaped, so different parts never give
+    one key; a null part stands as ``\\N``."""
+    def escaped(part: str) -> Column:
+        text = F.replace(F.col(part).cast("string"), F.lit("\\"), F.lit("\\\\"))
+        return F.coalesce(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\\N"))
+
+    return F.concat_ws("|", *[escaped(p) for p in parts])
 
 
 def shuffle_gallery(slots: DataFrame) -> DataFrame:
@@ -79,6 +85,11 @@ def shuffle_gallery(slots: DataFrame) -> DataFrame:
     )
 
 
+def in_turn(cases: DataFrame, by: list[str]) -> DataFrame:
+    """``_turn``: the number of cases of ``by`` before this one, in hash order of their keys."""
+    return group_rank(cases, by, order_key("turn", "case_id"), "case_id", "_turn")
+
+
 def pick_queries(requests: DataFrame, queries: Layout, diverse: bool = False) -> DataFrame:
     """One query item on the requested (entity, source).
 
@@ -90,13 +101,12 @@ def pick_queries(requests: DataFrame, queries: Layout, diverse: bool = False) ->
     )
     drawn = requests.join(cell, [*ENTITY, "source_id"])
     if diverse:
-        turns = W.partitionBy(*ENTITY, "source_id").orderBy(
-            order_key("turn", "case_id"), "case_id"
-        )
-        index = F.pmod(F.row_number().over(turns) - 1, F.col("n_query"))
+        # Turns are counted by buckets of their order: one entity may be asked for often.
+        drawn = in_turn(drawn, [*ENTITY, "source_id"])
+        index = F.pmod(F.col("_turn"), F.col("n_query"))
     else:
         index = hash_int(F.lit(0), F.col("n_query") - 1, "query", "case_id")
-    placed = drawn.withColumn("q_index", index.cast("long")).withColumn(
+    placed = drawn.withColumn("q_index", index.cast("long")).drop("_turn").withColumn(
         "q_pos", F.col("q_off") + F.col("q_index")
     )
     found = queries.items.select(
@@ -139,18 +149,15 @@ def pick_members(
     free = F.when(same, F.col("n") - F.when(hole, 1).otherwise(0)).otherwise(
         F.col("n_entity") - F.col("n")
     )
+    # A case has one row per member, so this window is as large as one gallery.
+    least = F.min("free").over(W.partitionBy("case_id"))
+    drawn = pairs.withColumn("free", free).withColumn("_least", least).filter("_least > 0")
     if diverse:
-        turns = W.partitionBy("corpus", "member_id", "camera", "source_id").orderBy(
-            order_key("turn", "case_id"), "case_id"
-        )
-        index = F.pmod(F.row_number().over(turns) - 1, F.col("free"))
+        drawn = in_turn(drawn, ["corpus", "member_id", "camera", "source_id"])
+        index = F.pmod(F.col("_turn"), F.col("free"))
     else:
         index = hash_int(F.lit(0), F.col("free") - 1, "member", "case_id", "member_id")
-    # A case has one row per member, so this window is as large as one gallery.
-    least = F.min("free").over(W.partitionBy("case_id"))
-    drawn = pairs.withColumn("free", free).withColumn("_least", least).filter(
-        "_least > 0"
-    ).withColumn("i", index.cast("long"))
+    drawn = drawn.withColumn("i", index.cast("long"))
     on_source = F.col("off_entity") + skip(
         F.col("i"), F.when(hole, F.col("q_gallery") - F.col("off_entity")).otherwise(F.col("n")),
         F.when(hole, 1).otherwise(0),
@@ -328,18 +335,27 @@ def singleton_strangers(
 
 
 def family_parts(
-    requests: DataFrame, items: DataFrame, gallery: Layout,
+    requests: DataFrame, items: DataFrame, gallery: Layout, diverse: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Stranger cases awaiting negatives, and one slot per member."""
+    """Stranger cases awaiting negatives, and one slot per member.
+
+    ``diverse`` goes round each member's items, so none is shown twice before all
+    were shown once.
+    """
     members = gallery.entities
     sizes = members.groupBy("corpus", "group_id").agg(F.count("*").alias("natural"))
     drawn = cut(
         draw_strangers(requests, stranger_pool(items)).join(sizes, ["corpus", "group_id"])
     )
-    index = hash_int(F.lit(0), F.col("n_entity") - 1, "member", "case_id", "entity_id")
+    # One row per member by definition; a group that many cases ask for is spread out.
+    shown = skew_join(drawn.select(*CASE, "corpus", "group_id"), members, ["corpus", "group_id"])
+    if diverse:
+        shown = in_turn(shown, ENTITY)
+        index = F.pmod(F.col("_turn"), F.col("n_entity"))
+    else:
+        index = hash_int(F.lit(0), F.col("n_entity") - 1, "member", "case_id", "entity_id")
     one_each = (
-        drawn.select(*CASE, "corpus", "group_id").join(members, ["corpus", "group_id"])
-        .withColumn("pos_entity", index)
+        shown.withColumn("pos_entity", index)
         .join(gallery.items.select(*ENTITY, "pos_entity", "item_id"), [*ENTITY, "pos_entity"])
         .select(*CASE, "item_id", F.lit("member").alias("kind"))
     )
@@ -548,7 +564,7 @@ def training_set(
     ).scalar()
     wanted = cut(stratified_requests(_targets(merged), "train_stranger", total))
     family, family_members = family_parts(
-        wanted.filter("family_size > 1"), merged, numbering.gallery
+        wanted.filter("family_size > 1"), merged, numbering.gallery, diverse=True
     )
     negatives = pad_with_negatives(known.unionByName(family), pool, max_gallery)
     padded = shuffle_gallery(known_members.unionByName(family_members).unionByName(negatives))

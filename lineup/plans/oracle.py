@@ -280,8 +280,9 @@ SELECT case_id, item_id, 'resident' AS kind FROM (
     }
 
 
-def family(requests: str, max_gallery: int = 5, source: str = "v_items") -> dict[str, str]:
+def family(requests: str, max_gallery: int = 5, source: str = "v_items", diverse: bool = False) -> dict[str, str]:
     r = requests
+    index = "(turn - 1) % n" if diverse else hint("0", "n - 1", "member", "case_id", "entity_id")
     return {
         f"{r}_q": f"""
 SELECT q.*, m.natural_size FROM ({strangers(r, source)}) q
@@ -291,9 +292,10 @@ JOIN (SELECT corpus, group_id, count(DISTINCT entity_id) AS natural_size FROM {s
 SELECT case_id, item_id, 'member' AS kind FROM (
   SELECT q.case_id, g.entity_id, g.item_id,
          row_number() OVER (PARTITION BY q.case_id, g.entity_id ORDER BY {okey('source', 'g.source_id')}, g.source_id, {okey('item', 'g.item_id')}, g.item_id) - 1 AS idx,
-         count(*) OVER (PARTITION BY q.case_id, g.entity_id) AS n
+         count(*) OVER (PARTITION BY q.case_id, g.entity_id) AS n,
+         dense_rank() OVER (PARTITION BY g.corpus, g.entity_id ORDER BY {okey('turn', 'q.case_id')}, q.case_id) AS turn
   FROM {r}_q q JOIN {source} g ON g.corpus = q.corpus AND g.group_id = q.group_id AND g.role = 'gallery')
-WHERE idx = {hint('0', 'n - 1', 'member', 'case_id', 'entity_id')}""",
+WHERE idx = {index}""",
         **padding(r, "natural_size", max_gallery, "AND f.group_id <> w.group_id"),
     }
 

@@ -168,7 +168,7 @@ TABLES["v_wanted"] = stratified(
 TABLES["v_wanted_single"] = "SELECT * FROM v_wanted WHERE family_size = 1"
 TABLES["v_wanted_family"] = "SELECT * FROM v_wanted WHERE family_size > 1"
 TABLES.update(singleton("v_wanted_single", 6, "v_merged"))
-TABLES.update(family("v_wanted_family", 6, "v_merged"))
+TABLES.update(family("v_wanted_family", 6, "v_merged", diverse=True))
 TABLES["v_alone"] = f"""
 SELECT corpus, entity_id, group_id, source_id, camera, 1 AS family_size, 'synthetic' AS scenario, concat_ws('|', 'synthetic', corpus, entity_id) AS case_id
 FROM (SELECT p.*, row_number() OVER (PARTITION BY p.corpus, p.entity_id ORDER BY {okey('alone', 'p.corpus', 'p.entity_id', 'camera', 'source_id')}) AS r FROM (

@@ -307,6 +307,33 @@ def test_single_item_products_give_no_query(spark):
     assert queries == set(range(20)) - {5}
 
 
+def test_turns_go_round_when_one_entity_is_asked_often(spark):
+    """20,000 cases of one entity: its items are used equally often, in known and in stranger cases."""
+    rows = [(i, 1, 1 + i % 2, 7, "gallery", "same") for i in range(14)] + [(100 + i, 2 + i, 50 + i, 8, "query", "same") for i in range(5)]
+    items = spark.createDataFrame(rows, "item_id long, group_id long, entity_id long, source_id long, role string, corpus string")
+    numbering = K.roles(items.filter("role = 'gallery'"), merged=True)
+    asked = spark.range(20_000).select(
+        F.concat(F.lit("c"), "id").alias("case_id"), F.lit("s").alias("scenario"), F.lit("same").alias("corpus"),
+        F.lit(1).cast("long").alias("group_id"), F.lit(1).cast("long").alias("entity_id"), F.lit(7).cast("long").alias("source_id"),
+        F.lit("same").alias("camera"), F.lit(2).cast("long").alias("family_size"))
+    picked = K.pick_queries(asked, numbering.queries, diverse=True)
+    uses = [r["count"] for r in picked.groupBy("query_id").count().collect()]
+    assert len(uses) == 7 and max(uses) - min(uses) <= 1
+    plan = picked._jdf.queryExecution().toString()
+    assert "_bucket" in plan
+    _, members = K.family_parts(asked, items, numbering.gallery, diverse=True)
+    shown = {r.item_id: r["count"] for r in members.groupBy("item_id").count().collect()}
+    for entity in (0, 1):
+        own = [n for i, n in shown.items() if i % 2 == entity]
+        assert sum(own) == 20_000 and max(own) - min(own) <= 1
+
+
+def test_case_keys_tell_parts_apart(spark):
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a\\", "|b|c"), ("a", None), ("a", "\\N"), ("x", "y")], "p string, q string")
+    keys = [r.k for r in rows.select(K.case_key("p", "q").alias("k")).collect()]
+    assert len(set(keys)) == 6 and keys[-1] == "x|y"
+
+
 def test_failing_verdict_keeps_items(spark, folder):
     rows = views.paths(spark, folder).limit(40).withColumn("group_id", F.lit(1))
 
