@@ -20,7 +20,7 @@ from ..functions.vectors import dot
 from ..session import cut
 from .corpus import CELL, family_sizes, merge_roles, sample_rates, stranger_pool
 from .knn import (
-    most_similar_of_resident, nearest_groups, pick_hard_negatives, product_pool, sampled_pool,
+    distinct_draws, most_similar_of_resident, nearest_groups, pick_hard_negatives, product_pool, sampled_pool,
     threshold_negatives,
 )
 from .pools import (
@@ -645,8 +645,8 @@ def household_cases(items: DataFrame, draws: int = 1) -> DataFrame:
 
     Families take negatives from other members, on the query's source or off it;
     singletons from any other group of the corpus. A query needs more than one
-    positive and more than four negatives. The four negatives are an arithmetic
-    progression of pool indexes, so they are distinct without listing the pool.
+    positive and more than four negatives. The four negatives are different
+    positions of the pool, each uniform over those left, and the pool is not listed.
     """
     gallery = layout(items.filter(F.col("role") == "gallery"), by_source=True)
     queries = items.filter(F.col("role") == "query").select(
@@ -679,20 +679,13 @@ def household_cases(items: DataFrame, draws: int = 1) -> DataFrame:
         F.when(same, F.col("off_entity") + i).otherwise(skip(i, F.col("off_entity"), F.col("n"))),
     ).join(gallery.items.select(*ENTITY, "pos_entity", "item_id"), [*ENTITY, "pos_entity"])
 
-    start = hash_int(F.lit(0), F.col("negatives") - 1, "start", "case_id")
-    stride = hash_int(
-        F.lit(1), F.floor((F.col("negatives") - 1) / (N_NEGATIVES - 1)), "stride", "case_id"
-    )
-    steps = F.explode(F.sequence(F.lit(0), F.lit(N_NEGATIVES - 1))).alias("step")
     indexed = cases.select(
         *CASE, *CELL, "camera", "group_kind", "n", "off_source", "n_group",
-        start.alias("_start"), stride.alias("_stride"), "negatives", steps,
-    ).withColumn(
-        "i", F.pmod(F.col("_start") + F.col("step") * F.col("_stride"), F.col("negatives"))
-    ).drop("_start", "_stride", "step", "negatives")
+        F.explode(distinct_draws(F.col("negatives"), N_NEGATIVES, "negatives", "case_id")).alias("i"),
+    )
 
     negative = F.lit("negative").alias("kind")
-    chosen = _family_negatives(indexed.filter(~single), gallery, wanted).unionByName(
+    chosen = _family_negatives(indexed.filter(~single), gallery).unionByName(
         _outside_negatives(indexed.filter(single), gallery)
     )
     return shuffle_gallery(
@@ -701,45 +694,65 @@ def household_cases(items: DataFrame, draws: int = 1) -> DataFrame:
     )
 
 
-def _family_negatives(indexed: DataFrame, gallery: Layout, wanted: DataFrame) -> DataFrame:
+def _family_negatives(indexed: DataFrame, gallery: Layout) -> DataFrame:
     """Resolve an index among the group's other members.
 
-    The pool is the group's sources in hash order, each without the asking
-    entity's range. Per asking cell this is one segment per source.
+    On the source, the asking entity's own range is skipped. Off it, the group's items
+    are numbered once, by source; an index becomes a position there by stepping over
+    the asked source and over the ranges of the asking entity that begin before it.
     """
-    sources = gallery.cells.select(*GROUP_SOURCE, "n_source").distinct()
-    mine = gallery.cells.select(
-        *ENTITY, F.col("source_id").alias("pool_source"),
-        F.col("n").alias("own_n"), F.col("off_source").alias("own_off"),
-    )
-    segments = (
-        wanted.join(
-            sources.withColumnRenamed("source_id", "pool_source"), ["corpus", "group_id"]
-        )
-        .join(mine, [*ENTITY, "pool_source"], "left").na.fill(0, ["own_n", "own_off"])
-        .withColumn(
-            "camera",
-            F.when(F.col("pool_source") == F.col("source_id"), "same").otherwise("cross"),
-        )
-        .withColumn("length", F.col("n_source") - F.col("own_n"))
-    )
-    # One row per source of the group.
-    order = W.partitionBy(*CELL, "camera").orderBy(order_key("source", "pool_source"), "pool_source")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    segments = segments.withColumn("low", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    hits = skew_join(
-        indexed,
-        segments.select(*CELL, "camera", "pool_source", "own_n", "own_off", "low", "length"),
-        [*CELL, "camera"],
-    ).filter((F.col("i") >= F.col("low")) & (F.col("i") < F.col("low") + F.col("length")))
-    placed = hits.select(
-        *CASE, "corpus", "group_id", F.col("pool_source").alias("source_id"),
-        skip(F.col("i") - F.col("low"), F.col("own_off"), F.col("own_n")).alias("pos_source"),
-    )
-    return placed.join(
-        gallery.items.select(*GROUP_SOURCE, "pos_source", "item_id"),
-        [*GROUP_SOURCE, "pos_source"],
-    ).select(*CASE, "item_id")
+    same = indexed.filter("camera = 'same'").select(
+        *CASE, *GROUP_SOURCE, skip(F.col("i"), F.col("off_source"), F.col("n")).alias("pos_source")
+    ).join(gallery.items.select(*GROUP_SOURCE, "pos_source", "item_id"), [*GROUP_SOURCE, "pos_source"])
+
+    # The entity's ranges in the group's order. ``key`` is where a range stands among
+    # what is left without the entity, ``past`` what is stepped over from there on.
+    own = gallery.cells.select(*CELL, "n", "n_source", "off_group", (F.col("off_group") + F.col("off_source")).alias("at"))
+    # An entity without gallery items on the asked source has an empty range there.
+    sources = gallery.cells.select(*GROUP_SOURCE, "n_source", "off_group").distinct()
+    absent = indexed.filter("camera = 'cross'").select(*CELL).distinct().join(own, CELL, "left_anti").join(
+        sources, GROUP_SOURCE).select(*CELL, F.lit(0).cast("long").alias("n"), "n_source", "off_group", F.col("off_group").alias("at"))
+    own = own.unionByName(absent)
+    stepped = prefix_sum(own, ENTITY, order_key("source", "source_id"), "source_id", "n", "before")
+    ranges = stepped.select(
+        *CELL, "off_group", "n_source", "n", (F.col("at") - F.col("before")).alias("key"), "before",
+        (F.col("before") + F.col("n")).alias("past"))
+    asked = skew_join(
+        indexed.filter("camera = 'cross'").drop("n", "off_source"),
+        ranges.select(*CELL, (F.col("off_group") - F.col("before")).alias("_low"), (F.col("n_source") - F.col("n")).alias("_gap")),
+        CELL, "left",
+    ).na.fill(0, ["_low", "_gap"]).withColumn("f", F.col("i") + F.when(F.col("i") >= F.col("_low"), F.col("_gap")).otherwise(0))
+    past = _stepped_over(asked.select(*CASE, "corpus", "group_id", "entity_id", "f"), ranges.select(*ENTITY, "key", "past"))
+    cross = past.select(*CASE, "corpus", "group_id", (F.col("f") + F.col("past")).alias("pos_group")).join(
+        gallery.items.select("corpus", "group_id", "pos_group", "item_id"), ["corpus", "group_id", "pos_group"])
+    return same.select(*CASE, "item_id").unionByName(cross.select(*CASE, "item_id"))
+
+
+def _stepped_over(asked: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``asked`` with ``past`` of the last range of its entity whose ``key`` is at most ``f``, or 0.
+
+    ``f`` is cut into as many equal buckets as the entity has ranges, so a row meets
+    the ranges of its bucket instead of all. Each range is one row, and one more for
+    every bucket that it reaches into.
+    """
+    wide = asked.groupBy(*ENTITY).agg(F.max("f").alias("_most"))
+    parts = ranges.groupBy(*ENTITY).agg(F.count("*").alias("_ranges"))
+    width = wide.join(parts, ENTITY).select(
+        *ENTITY, "_most", F.greatest(F.ceil((F.col("_most") + 1) / F.col("_ranges")), F.lit(1)).cast("long").alias("_width"))
+    # Ranges of one key end where they begin; the one that steps over most counts.
+    firsts = ranges.groupBy(*ENTITY, "key").agg(F.max("past").alias("past"))
+    zero = width.select(*ENTITY, F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("past")).join(
+        firsts.filter("key = 0").select(*ENTITY), ENTITY, "left_anti")
+    order = W.partitionBy(*ENTITY).orderBy("key")  # one row a source of the entity
+    ends = firsts.unionByName(zero).withColumn("_next", F.lead("key").over(order))
+    listed = ends.join(width, ENTITY).filter("key <= _most").withColumn(
+        "_end", F.least(F.coalesce(F.col("_next") - 1, F.col("_most")), F.col("_most")))
+    bucket = lambda c: F.floor(F.col(c) / F.col("_width")).cast("long")
+    spread = listed.withColumn("_bucket", F.explode(F.sequence(bucket("key"), bucket("_end")))).select(
+        *ENTITY, "_bucket", "key", "_end", "past")
+    placed = skew_join(asked, width.select(*ENTITY, "_width"), ENTITY).withColumn("_bucket", bucket("f")).drop("_width")
+    met = placed.join(spread, [*ENTITY, "_bucket"])
+    return met.filter((F.col("f") >= F.col("key")) & (F.col("f") <= F.col("_end"))).drop("_bucket", "key", "_end")
 
 
 def _outside_negatives(indexed: DataFrame, gallery: Layout) -> DataFrame:

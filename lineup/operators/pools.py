@@ -25,8 +25,8 @@ GROUP_SOURCE = ["corpus", "group_id", "source_id"]
 class Layout:
     """Numbered items and the extents of their cells.
 
-    items: ``CELL, item_id, pos_entity`` and, numbered by source, ``pos_source``
-    cells: ``CELL, n, off_entity, n_entity`` and ``off_source, n_source``
+    items: ``CELL, item_id, pos_entity`` and, numbered by source, ``pos_source, pos_group``
+    cells: ``CELL, n, off_entity, n_entity`` and ``off_source, n_source, off_group``
     """
 
     items: DataFrame
@@ -40,7 +40,8 @@ class Layout:
 def layout(items: DataFrame, by_source: bool = False) -> Layout:
     """Number items by (source, item) in an entity.
 
-    ``by_source`` also numbers them by (entity, item) in a (group, source).
+    ``by_source`` also numbers them by (entity, item) in a (group, source), and by
+    (source, entity, item) in a group; ``off_group`` is where the source begins there.
     """
     cell = items.groupBy(*CELL).agg(F.count("*").alias("n"))
     extents = prefix_sum(
@@ -53,16 +54,22 @@ def layout(items: DataFrame, by_source: bool = False) -> Layout:
             extents, GROUP_SOURCE, order_key("entity", "entity_id"), "entity_id", "n",
             "off_source", total="n_source",
         )
+        sources = prefix_sum(
+            extents.select(*GROUP_SOURCE, "n_source").distinct(), ["corpus", "group_id"],
+            order_key("source", "source_id"), "source_id", "n_source", "off_group",
+        )
+        extents = extents.join(sources.select(*GROUP_SOURCE, "off_group"), GROUP_SOURCE)
         offsets.append("off_source")
     # Both tables are read several times by every builder.
     extents = cut(extents)
     placed = group_rank(
         items.select(*CELL, "item_id"), CELL, order_key("item", "item_id"), "item_id", "_in",
-        attach=extents.select(*CELL, *offsets),
+        attach=extents.select(*CELL, *offsets, *(["off_group"] if by_source else [])),
     )
+    in_group = [(F.col("off_group") + F.col("off_source") + F.col("_in")).alias("pos_group")] if by_source else []
     numbered = cut(placed.select(
         *CELL, "item_id",
-        *[(F.col(o) + F.col("_in")).alias(o.replace("off", "pos")) for o in offsets],
+        *[(F.col(o) + F.col("_in")).alias(o.replace("off", "pos")) for o in offsets], *in_group,
     ))
     return Layout(numbered, extents)
 

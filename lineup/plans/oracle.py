@@ -35,6 +35,19 @@ def pair_key(a: str, b: str) -> str:
     return f"(({mixed}::HUGEINT * {PAIR_FACTORS[1]} % 18446744073709551616)::UBIGINT >> 4)::BIGINT"
 
 
+def four_draws(rows: str, n: str, purpose: str, key: str, name: str) -> str:
+    """``rows`` four times, with different positions below ``n``: each draw is moved
+    past the earlier ones in ascending order."""
+    drawn = ", ".join(f"{hint('0', f'{n} - 1 - {j}', purpose, key, str(j))} AS d{j}" for j in range(4))
+    moved = "list_reduce(list_sort([{}]), lambda x, t: x + (x >= t)::BIGINT, {})"
+    return f"""
+WITH d AS (SELECT *, {drawn} FROM {rows}),
+two AS (SELECT *, d0 AS x0, d1 + (d1 >= d0)::BIGINT AS x1 FROM d),
+three AS (SELECT *, {moved.format('x0, x1', 'd2')} AS x2 FROM two),
+four AS (SELECT *, {moved.format('x0, x1, x2', 'd3')} AS x3 FROM three)
+SELECT * EXCLUDE (d0, d1, d2, d3, x0, x1, x2, x3), unnest([x0, x1, x2, x3]) AS {name} FROM four"""
+
+
 def query(final: str) -> str:
     """``final`` preceded by every fragment it needs."""
     needed: list[str] = []

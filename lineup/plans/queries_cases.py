@@ -9,7 +9,7 @@ from ..operators.ranking import top_n
 from ..session import cut
 from . import views
 from .oracle import (
-    SLOT, TABLES, family, hint, known, okey, shuffled, singleton, stratified, variant,
+    SLOT, TABLES, family, four_draws, hint, known, okey, shuffled, singleton, stratified, variant,
 )
 from .queries_neighbors import pool
 from .registry import register
@@ -243,13 +243,10 @@ WHERE a.n > 1 AND CASE WHEN p.group_kind = 'family' THEN b.n ELSE c.n_corpus - c
 
 def _household(draws: int) -> dict[str, str]:
     q = f"v_hh{draws}_q"
-    start = hint("0", "negatives - 1", "start", "case_id")
-    stride = hint("1", "(negatives - 1) // 3", "stride", "case_id")
     return {
         q: f"""
 SELECT *, concat_ws('|', scenario, query_id, draw) AS case_id FROM v_hh_sizes, range(1, {draws + 1}) t(draw)""",
-        f"v_hh{draws}_i": f"""
-SELECT *, ({start} + step * {stride}) % negatives AS i FROM {q}, range(0, 4) u(step)""",
+        f"v_hh{draws}_i": four_draws(q, "negatives", "negatives", "case_id", "i"),
         f"v_hh{draws}_s": shuffled(f"""
 SELECT q.case_id, p.item_id, 'own' AS kind FROM {q} q JOIN v_hh_pos p ON p.query_id = q.query_id AND p.camera = q.camera
  AND p.idx = {hint('0', 'q.positives - 1', 'positive', 'q.case_id')}

@@ -6,7 +6,7 @@ from ..operators import cases as K
 from ..operators import knn
 from ..session import cut
 from . import views
-from .oracle import TABLES, hbits, hint, okey, pair_key, shuffled
+from .oracle import TABLES, four_draws, hbits, hint, okey, pair_key, shuffled
 from .registry import register
 
 THRESHOLD = 0.15
@@ -130,15 +130,8 @@ SELECT q.item_id AS query_id, g.item_id, s.sim,
        count(*) OVER (PARTITION BY q.item_id) AS n
 FROM v_products q JOIN v_sims s ON s.a = q.owner_id * 12 AND s.sim > {THRESHOLD}
 JOIN v_products g ON g.owner_id * 12 = s.b AND g.owner_id <> q.owner_id"""
-# Four different positions: each draw is moved past the earlier ones in ascending order.
-_DRAWS = ", ".join(f"{hint('0', f'n - 1 - {j}', 'product_pool', 'query_id', str(j))} AS d{j}" for j in range(4))
-TABLES["v_product_draws"] = f"""
-WITH d AS (SELECT query_id, {_DRAWS} FROM (SELECT DISTINCT query_id, n FROM v_product_pool WHERE n >= 4)),
-two AS (SELECT *, d0 AS x0, d1 + (d1 >= d0)::BIGINT AS x1 FROM d),
-three AS (SELECT *, list_reduce(list_sort([x0, x1]), lambda x, t: x + (x >= t)::BIGINT, d2) AS x2 FROM two),
-four AS (SELECT *, list_reduce(list_sort([x0, x1, x2]), lambda x, t: x + (x >= t)::BIGINT, d3) AS x3 FROM three)
-SELECT query_id, unnest([x0, x1, x2, x3]) AS spot FROM four"""
-TABLES["v_product_negatives"] = "SELECT query_id, item_id, sim FROM v_product_pool JOIN v_product_draws USING (query_id, spot)"
+TABLES["v_product_draws"] = four_draws("(SELECT DISTINCT query_id, n FROM v_product_pool WHERE n >= 4)", "n", "product_pool", "query_id", "spot")
+TABLES["v_product_negatives"] = "SELECT query_id, item_id, sim FROM v_product_pool JOIN v_product_draws USING (query_id, n, spot)"
 
 TABLES["v_product_order"] = TABLES["v_own_order"].replace("v_owned", "v_products")
 TABLES["v_product_positive"] = TABLES["v_positive"].replace("v_own_order", "v_product_order")

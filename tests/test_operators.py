@@ -307,6 +307,64 @@ def test_single_item_products_give_no_query(spark):
     assert queries == set(range(20)) - {5}
 
 
+def test_household_negatives_in_a_group_of_many_sources(spark):
+    """2,000 sources: negatives are other members' items under the camera rule, each position equally likely."""
+    rng = np.random.default_rng(12)
+    rows, i = [], 0
+    for source in range(2000):
+        for entity in range(3):
+            for _ in range(int(rng.integers(0, 3))):
+                rows.append((i, 1, entity, source, "query" if rng.random() < 0.05 else "gallery", "same"))
+                i += 1
+    items = spark.createDataFrame(rows, "item_id long, group_id long, entity_id long, source_id long, role string, corpus string")
+    of = {r[0]: r for r in rows}
+    slots = K.household_cases(items, draws=2).collect()
+    cases = {}
+    for s in slots:
+        cases.setdefault(s.case_id, []).append(s)
+    assert len(cases) > 300
+    for case in cases.values():
+        query = of[case[0].query_id]
+        own = [of[s.item_id] for s in case if s.kind == "own"]
+        negatives = [of[s.item_id] for s in case if s.kind == "negative"]
+        cross = "crosscamera" in case[0].scenario
+        assert len(own) == 1 and len({n[0] for n in negatives}) == 4 and all(n[4] == "gallery" for n in negatives)
+        assert own[0][2] == query[2] and all(n[2] != query[2] for n in negatives)
+        assert all((n[3] != query[3]) == cross for n in (*own, *negatives))
+    uses = [of[s.item_id][3] for s in slots if s.kind == "negative"]
+    halves = sum(u < 1000 for u in uses) / len(uses)
+    assert 0.4 < halves < 0.6
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_interval_lookup_equals_a_scan(spark, seed):
+    rng = np.random.default_rng(seed)
+    ranges, want, asked = [], {}, []
+    for entity in range(6):
+        keys = np.sort(rng.integers(0, [5, 50, 5000][seed], [1, 3, 40, 200, 7, 12][entity]))
+        past = np.cumsum(rng.integers(1, 9, len(keys)))
+        ranges += [("c", entity, int(k), int(p)) for k, p in zip(keys, past)]
+        for n in range(50):
+            f = int(rng.integers(0, keys.max() + 20))
+            asked.append((f"{entity}-{n}", "s", 0, "c", 1, entity, f))
+            want[f"{entity}-{n}"] = max([int(p) for k, p in zip(keys, past) if k <= f], default=0)
+    got = K._stepped_over(
+        spark.createDataFrame(asked, "case_id string, scenario string, query_id int, corpus string, group_id int, entity_id int, f long"),
+        spark.createDataFrame(ranges, "corpus string, entity_id int, key long, past long"))
+    assert {r.case_id: r.past for r in got.collect()} == want and got.count() == len(asked)
+
+
+def test_distinct_draws_are_uniform(spark):
+    rows = spark.range(6000).select(F.col("id"), knn.distinct_draws(F.lit(6).cast("long"), 4, "t", "id").alias("d"))
+    lists = [r.d for r in rows.collect()]
+    assert all(len(set(d)) == 4 and min(d) >= 0 and max(d) < 6 for d in lists)
+    for place in range(4):
+        counts = np.bincount([d[place] for d in lists], minlength=6)
+        assert abs(counts - 1000).max() < 150
+    assert spark.range(1).select(knn.distinct_draws(F.lit(2).cast("long"), 4, "t", "id").alias("d")).first().d in ([0, 1], [1, 0])
+    assert spark.range(1).select(knn.distinct_draws(F.lit(0).cast("long"), 4, "t", "id").alias("d")).first().d == []
+
+
 def test_turns_go_round_when_one_entity_is_asked_often(spark):
     """20,000 cases of one entity: its items are used equally often, in known and in stranger cases."""
     rows = [(i, 1, 1 + i % 2, 7, "gallery", "same") for i in range(14)] + [(100 + i, 2 + i, 50 + i, 8, "query", "same") for i in range(5)]
