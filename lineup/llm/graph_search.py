@@ -7,9 +7,11 @@ chosen get edges back, pruned by the same rule where they exceed the degree. The
 index is a table of nodes with their edges. A search walks a beam over every
 shard's graph, measures what it found exactly, and merges the shards' answers.
 
-Equal vectors of a shard are one node with all their ids, so copies neither crowd
-a neighbourhood nor get lost. Nodes that no walk from the medoid reaches become
-entries of their own.
+Vectors much closer to each other than vectors usually are form a bundle. The graph
+links one vector of each, its lead, so that a dense group neither fills all
+places of a beam nor all edges of a node; a search measures the members of every bundle
+that its lead's distance and its radius let among the nearest. Nodes that no walk from
+the medoid reaches become entries of their own.
 """
 
 from __future__ import annotations
@@ -32,7 +34,10 @@ RELAX = 1.2  # an edge stays unless a kept node is this many times closer to its
 PATH = 16  # first nodes of a walk that are candidates for edges as well
 BATCH = 1024  # points that enter the graph, or queries that walk it, together
 WIDTH = 4  # nodes of each beam that are expanded in one step
-INDEX = "dims int, shard int, node int, entry boolean, ids array<long>, v array<double>, edges array<int>"
+BUNDLE = 0.2  # radius of a bundle, as a share of the median distance of two vectors
+SAMPLE = 512  # vectors of a shard that the median is taken over
+PAIRS = 1 << 17  # distances computed at once
+INDEX = "dims int, shard int, node int, lead boolean, entry boolean, ids array<long>, v array<double>, edges array<int>"
 
 
 def sound(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -185,6 +190,36 @@ def build(points: np.ndarray, order: np.ndarray, degree: int = DEGREE) -> Graph:
     return graph
 
 
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * a @ b.T, 0)
+
+
+def bundles(points: np.ndarray, order: np.ndarray, share: float = BUNDLE) -> np.ndarray:
+    """The lead of each point: the point itself, or the nearest or first lead before it in ``order`` within the radius."""
+    sample = points[order[:SAMPLE]]
+    gaps = _squares(sample, sample)[np.triu_indices(len(sample), 1)]
+    reach = share**2 * (np.median(gaps) if len(gaps) else 0.0)
+    lead, leads = np.full(len(points), -1), []
+    for a in range(0, len(order), BATCH):
+        batch = order[a : a + BATCH]
+        if leads:
+            away = _squares(points[batch], points[leads])
+            nearest = away.argmin(1)
+            near = away[np.arange(len(batch)), nearest] <= reach
+            lead[batch[near]] = np.array(leads)[nearest[near]]
+            batch = batch[~near]
+        away = _squares(points[batch], points[batch])
+        free = np.ones(len(batch), bool)
+        for i, point in enumerate(batch):
+            if free[i]:
+                near = free & (away[i] <= reach)
+                near[i] = True
+                lead[batch[near]] = point
+                free &= ~near
+                leads.append(point)
+    return lead
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return flat.astype(np.float64).reshape(len(column), -1)
@@ -199,33 +234,45 @@ def _index_shard(degree: int):
         ids = shard.column("vec_id").to_numpy()
         by_id = np.argsort(ids)
         ids, vectors = ids[by_id], _matrix(shard.column("v"))[by_id] + 0.0
-        points, node = np.unique(vectors, axis=0, return_inverse=True)
-        node = node.reshape(-1)
-        of_node = np.lexsort((ids, node))
-        counts = np.bincount(node, minlength=len(points))
-        smallest = ids[of_node][np.cumsum(counts) - counts]
-        graph = build(points, np.lexsort((smallest, mix(smallest.view(np.uint64)))), degree)
-        n, entry = len(points), np.zeros(len(points), bool)
-        entry[graph.entries] = True
+        points, which = np.unique(vectors, axis=0, return_inverse=True)
+        which = which.reshape(-1)
+        of_point = np.lexsort((ids, which))
+        counts = np.bincount(which, minlength=len(points))
+        smallest = ids[of_point][np.cumsum(counts) - counts]
+        order = np.lexsort((smallest, mix(smallest.view(np.uint64))))
+        leads, node = np.unique(bundles(points, order), return_inverse=True)
+        place = np.full(len(points), -1)
+        place[leads] = np.arange(len(leads))
+        graph = build(points[leads], place[order][place[order] >= 0], degree)
+        n, lead, entry = len(points), place >= 0, np.zeros(len(points), bool)
+        entry[leads[graph.entries]] = True
         real = graph.edges >= 0
+        sizes = np.zeros(n, np.int64)
+        sizes[leads] = real.sum(1)
         same = lambda name: pa.array(np.repeat(shard.column(name)[0].as_py(), n), pa.int32())
         return pa.table({
-            "dims": same("dims"), "shard": same("shard"), "node": pa.array(np.arange(n), pa.int32()), "entry": pa.array(entry),
-            "ids": _lists(counts, ids[of_node]), "v": _lists(np.full(n, points.shape[1]), points.reshape(-1)),
-            "edges": _lists(real.sum(1), graph.edges[real])})
+            "dims": same("dims"), "shard": same("shard"), "node": pa.array(node.reshape(-1), pa.int32()), "lead": pa.array(lead),
+            "entry": pa.array(entry), "ids": _lists(counts, ids[of_point]),
+            "v": _lists(np.full(n, points.shape[1]), points.reshape(-1)), "edges": _lists(sizes, graph.edges[real])})
 
     return rows
 
 
 def build_index(vectors: DataFrame, shard: int = SHARD, degree: int = DEGREE) -> DataFrame:
-    """The graphs of ``vectors`` (``vec_id, v``, see ``sound``) as a stored table with one row per node:
-    ``dims, shard, node, entry, ids, v, edges``. Every vector is in it; vectors of
+    """The graphs of ``vectors`` (``vec_id, v``, see ``sound``) as a stored table with one row per
+    different vector: ``dims, shard, node, lead, entry, ids, v, edges``. ``node`` numbers the
+    bundles of a shard, whose lead holds the edges. Every vector is in it; vectors of
     different lengths are in different graphs."""
     shards = max(1, math.ceil(vectors.count() / shard))
     dealt = vectors.select("vec_id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
     return store(dealt.groupBy("dims", "shard").applyInArrow(_index_shard(degree), INDEX), "graphs")
 
 
+def _distances(points: np.ndarray, targets: np.ndarray, point: np.ndarray, target: np.ndarray) -> np.ndarray:
+    parts = [np.sqrt(((points[point[a : a + PAIRS]] - targets[target[a : a + PAIRS]]) ** 2).sum(1)) for a in range(0, len(point), PAIRS)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def _search_shard(k: int, beam: int):
     names = ["query_id", "vec_id", "score"]
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -233,13 +280,17 @@ def _search_shard(k: int, beam: int):
     def rows(queries: pa.Table, index: pa.Table) -> pa.Table:
         if not queries.num_rows or not index.num_rows:
             return schema.empty_table()
-        index = index.sort_by("node")
-        points = _matrix(index.column("v"))
+        index = index.sort_by([("node", "ascending"), ("lead", "descending")])
+        points, lead = _matrix(index.column("v")), index.column("lead").to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(lead)
+        size = np.diff(np.append(first, len(points)))
+        radius = np.sqrt(np.maximum.reduceat(((points - np.repeat(points[first], size, axis=0)) ** 2).sum(1), first))
         edge_lists, id_lists = index.column("edges").combine_chunks(), index.column("ids").combine_chunks()
-        count = np.diff(edge_lists.offsets.to_numpy())
-        edges = np.full((len(points), max(1, count.max(initial=0))), -1, np.int32)
-        edges[np.repeat(np.arange(len(points)), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)] = edge_lists.flatten().to_numpy()
-        graph = Graph(points, edges, np.flatnonzero(index.column("entry").to_numpy(zero_copy_only=False)).astype(np.int32))
+        count = np.diff(edge_lists.offsets.to_numpy())[first]
+        edges = np.full((len(first), max(1, count.max(initial=0))), -1, np.int32)
+        edges[np.repeat(np.arange(len(first)), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)] = edge_lists.flatten().to_numpy()
+        entries = np.flatnonzero(index.column("entry").to_numpy(zero_copy_only=False)[first])
+        graph = Graph(points[first], edges, entries.astype(np.int32))
         starts, ids = id_lists.offsets.to_numpy(), id_lists.flatten().to_numpy()
         starts = starts - starts[0]
         query_ids, targets, out = queries.column("vec_id").to_numpy(), _matrix(queries.column("v")), []
@@ -247,7 +298,19 @@ def _search_shard(k: int, beam: int):
             found, _ = graph.walk(targets[a : a + BATCH], max(beam, k + 1))
             row, column = np.nonzero(found >= 0)
             node = found[row, column]
-            score = np.sqrt(((points[node] - targets[a + row]) ** 2).sum(1))
+            # The k + 1 nearest leads bound what a member must reach.
+            away = _distances(points, targets, first[node], a + row)
+            by_row = np.lexsort((away, row))
+            ends = np.cumsum(np.bincount(row, minlength=len(found)))
+            begin = np.concatenate([[0], ends[:-1]])
+            last = np.minimum(begin + k, ends - 1)
+            bound = away[by_row][np.maximum(last, 0)]
+            worth = away - radius[node] <= bound[row] * (1 + 1e-9)
+            row, node = row[worth], node[worth]
+            each = np.repeat(np.arange(len(node)), size[node])
+            point = first[node][each] + np.arange(len(each)) - np.repeat(np.cumsum(size[node]) - size[node], size[node])
+            row, node = row[each], point
+            score = _distances(points, targets, node, a + row)
             # Of equal vectors only the k + 1 smallest ids can be among the nearest.
             copies = np.minimum(starts[node + 1] - starts[node], k + 1)
             each = np.repeat(np.arange(len(node)), copies)

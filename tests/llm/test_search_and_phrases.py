@@ -180,7 +180,8 @@ def test_graph_index_holds_and_reaches_every_row(spark):
     zero = {i for i, v in rows if not np.any(v)}
     assert sorted(i for r in index for i in r["ids"]) == [i for i, _ in rows if i not in zero]
     for shard in {r["shard"] for r in index}:
-        nodes = {r["node"]: r for r in index if r["shard"] == shard}
+        nodes = {r["node"]: r for r in index if r["shard"] == shard and r["lead"]}
+        assert {r["node"] for r in index if r["shard"] == shard} == set(nodes)
         assert all(len(r["edges"]) <= G.DEGREE and r["node"] not in r["edges"] for r in nodes.values())
         seen, front = set(), [n for n, r in nodes.items() if r["entry"]]
         while front:
@@ -189,6 +190,22 @@ def test_graph_index_holds_and_reaches_every_row(spark):
         assert seen == set(nodes)
 
 
+def test_a_dense_group_does_not_hide_the_rest(spark):
+    """A third of all rows in one tight group that is nearer than most: the few nearer rows are found."""
+    rng = np.random.default_rng(21)
+    spread = rng.normal(size=(2000, 48))
+    spread /= np.linalg.norm(spread, axis=1, keepdims=True)
+    tight = spread[0] + 0.015 * rng.normal(size=(1000, 48))
+    rows = [(i, v) for i, v in enumerate(np.concatenate([spread, tight]))]
+    table = G.sound(frame(spark, [(i, v.astype(np.float32)) for i, v in rows]))
+    index = G.build_index(table, shard=4000)
+    got = answers(G.search_index(index, table.where("vec_id % 40 = 0"), 10))
+    kept = [(r["vec_id"], r["v"]) for r in table.collect()]
+    want = plain_nearest(kept, [r for r in kept if r[0] % 40 == 0], 10)
+    assert recall(got, want) >= 0.98 and min(recall({q: got[q]}, {q: want[q]}) for q in want) >= 0.7
+    assert index.where("lead").count() < 2100
+
+
 def test_pruning_keeps_diverse_edges():
     points = np.array([[0.0, 0], [1, 0], [1.1, 0], [0, 2], [0, -3]])
     kept = G.Graph(points, degree=3).prune(np.array([0]), np.array([[1, 2, 3, 4, 1, -1, 0]]))
