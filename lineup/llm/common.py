@@ -129,14 +129,22 @@ P = np.uint64((1 << 31) - 1)
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODES = _RNG.integers(1, int(P), size=(2, 2, 256), dtype=np.uint64)
 BASES = _RNG.integers(1 << 20, int(P), size=(2, 2), dtype=np.uint64)
+ROLLING_CODES = _RNG.integers(1, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
 _POWERS: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
 
+def _halve(x: np.ndarray) -> np.ndarray:
+    """``x`` below 2**62 as an equal value modulo P below 2**32; works in place."""
+    high = x >> np.uint64(31)
+    x &= P
+    x += high
+    return x
+
+
 def _fold(x: np.ndarray) -> np.ndarray:
-    """``x`` modulo P, for ``x`` below 2**62."""
-    x = (x & P) + (x >> np.uint64(31))
-    x = (x & P) + (x >> np.uint64(31))
-    return np.where(x >= P, x - P, x)
+    """``x`` modulo P, for ``x`` below 2**62; works in place."""
+    x = _halve(_halve(x))
+    return np.subtract(x, P, out=x, where=x >= P)
 
 
 def _series(base: int, n: int) -> np.ndarray:
@@ -160,37 +168,54 @@ def _powers(which: int, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return have
 
 
-def prefix_hash(data: np.ndarray, which: int = 0) -> np.ndarray:
-    """Running polynomial hashes, one entry more than there are bytes; for ``span_hash`` and ``window_hash``."""
+def prefix_hash(data: np.ndarray, which: int = 0, lanes: int = 2) -> np.ndarray:
+    """Running polynomial hashes, one entry more than there are bytes; for ``span_hash``.
+
+    One lane gives 31 bits, two give 62.
+    """
     n = len(data)
-    out = np.zeros((2, n + 1), np.uint32)
-    for lane, (up, _) in enumerate(_powers(which, n + 1)):
-        terms = BYTE_CODES[which][lane][data] * up[:n]
+    out = np.zeros((lanes, n + 1), np.uint32)
+    for lane, (up, _) in enumerate(_powers(which, n + 1)[:lanes]):
+        terms = BYTE_CODES[which][lane][data]
+        terms *= up[:n]
         # The sum of fewer than 2**30 terms below 2**32.
-        terms = (terms & P) + (terms >> np.uint64(31))
-        out[lane, 1:] = _fold(np.cumsum(terms, out=terms))
+        out[lane, 1:] = _halve(np.cumsum(_halve(terms), out=terms))
     return out
 
 
-def _between(prefix: np.ndarray, start, end, which: int) -> np.ndarray:
-    parts = []
-    for lane, (_, down) in enumerate(_powers(which, prefix.shape[1])):
-        gap = prefix[lane][end].astype(np.uint64) + P - prefix[lane][start]
-        parts.append(_fold(_fold(gap) * down[start]))
-    return mix((parts[0] << np.uint64(31)) | parts[1])
-
-
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """Hash of the bytes from ``start`` to ``end``, wherever they stand."""
-    return _between(prefix, start, end, which)
+    whole = None
+    for row, (_, down) in zip(prefix, _powers(which, prefix.shape[1])):
+        gap = row[end].astype(np.uint64)
+        gap += np.uint64(3) * P  # more than any entry
+        gap -= row[start]
+        part = _halve(gap)
+        part = _fold(np.multiply(_fold(part), down[start], out=part))
+        whole = part if whole is None else (whole << np.uint64(31)) | part
+    return mix(whole)
 
 
-def window_hash(prefix: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """Hash of every window of ``size`` bytes, by its start."""
-    n = prefix.shape[1] - size
+def rolling_hash(data: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every window of ``size`` bytes, by its start, modulo 2**64.
+
+    Equal windows have equal hashes; different ones may share them, some always do.
+    """
+    n = len(data) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    return _between(prefix, slice(0, n), slice(size, size + n), which)
+    # Windows of powers of two, put together for the size's binary digits.
+    part, width, out, have, base = ROLLING_CODES[data], 1, None, 0, 0x9E3779B97F4A7C15
+    while size:
+        scale = np.uint64(pow(base, width, 1 << 64))
+        if size & 1:
+            out = part if out is None else out[: len(part) - have] * scale + part[have:]
+            have += width
+        size >>= 1
+        if size:
+            part = part[:-width] * scale + part[width:]
+            width *= 2
+    return mix(out[:n])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

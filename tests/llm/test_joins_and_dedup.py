@@ -168,7 +168,7 @@ def test_hashes_do_not_depend_on_the_place():
     p = common.prefix_hash(data)
     h = common.span_hash(p, np.array([0, 8, 16]), np.array([7, 15, 23]))
     assert len(set(h.tolist())) == 1
-    assert collections.Counter(common.window_hash(p, 7).tolist()).most_common(1)[0][1] == 3
+    assert collections.Counter(common.rolling_hash(data, 7).tolist()).most_common(1)[0][1] == 3
 
 
 def test_cut_of_small_chunks(spark):

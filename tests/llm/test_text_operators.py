@@ -405,8 +405,29 @@ def test_hashes_do_not_depend_on_the_place():
     data = np.concatenate([rng.integers(0, 256, 1000, dtype=np.uint8), word, rng.integers(0, 256, 70, dtype=np.uint8), word])
     prefix = common.prefix_hash(data)
     a, b = common.span_hash(prefix, np.array([1000, 1110]), np.array([1040, 1150]))
-    windows = common.window_hash(prefix, 40)
-    assert a == b == windows[1000] == windows[1110] and len(set(windows.tolist())) == len(windows) - 1
+    assert a == b
+    for size in (1, 2, 12, 24, 40):
+        windows = common.rolling_hash(data, size)
+        assert len(windows) == len(data) - size + 1 and windows[1000] == windows[1110]
+        plain = [sum(int(common.ROLLING_CODES[x]) * pow(0x9E3779B97F4A7C15, size - 1 - j, 1 << 64) for j, x in enumerate(data[i : i + size])) % (1 << 64) for i in (0, 500)]
+        assert common.mix(np.array(plain, np.uint64)).tolist() == windows[[0, 500]].tolist()
+    assert len(set(windows.tolist())) == len(windows) - 1
+
+
+def test_span_hashes_are_polynomials_over_the_field():
+    from lineup.llm import common
+
+    data = np.random.default_rng(3).integers(0, 256, 5000, dtype=np.uint8)
+    data[1000:4000] = 255
+    start, end = np.array([0, 10, 999, 4999, 700, 3]), np.array([0, 4000, 4001, 5000, 701, 5000])
+    for which, lanes in ((0, 2), (1, 2), (1, 1)):
+        got = common.span_hash(common.prefix_hash(data, which, lanes), start, end, which)
+        for a, b, h in zip(start, end, got):
+            whole = 0
+            for lane in range(lanes):
+                base, p = int(common.BASES[which][lane]), int(common.P)
+                whole = whole << 31 | sum(int(common.BYTE_CODES[which][lane][x]) * pow(base, j, p) for j, x in enumerate(data[a:b])) % p
+            assert common.mix(np.array([whole], np.uint64))[0] == h
 
 
 @pytest.mark.parametrize("text, letters", [
