@@ -29,18 +29,18 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 TRIGGER = 12  # bytes that a trigger looks at
 SPACING = 128  # bytes between triggers, on average
-CHUNK = 2 << 20  # bytes of text in a row that tasks exchange, or one longer text
+CHUNK = 1 << 20  # bytes of text in a row that tasks exchange, or one longer text
 
-_CHUNK = "chunk long, ids binary, offsets binary, data binary"
+_CHUNK = "chunk long, ids binary, offsets binary, data binary, rest array<string>"
 _ZSTD = "zstd"
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, rest string"
 
 
 def _cut(batches):
@@ -50,21 +50,24 @@ def _cut(batches):
         ids = np.concatenate([x[0] for x in parts])
         size = np.concatenate([x[1] for x in parts])
         data = np.concatenate([x[2] for x in parts])
+        rest = pa.concat_arrays([x[3] for x in parts])
         start = np.cumsum(size) - size
         order = np.argsort(ids)  # so that an earlier place means a smaller id
         new = np.concatenate([[0], np.cumsum(size[order])])
         at = np.repeat(start[order] - new[:-1], size[order]) + np.arange(new[-1])
+        kept = rest.take(pa.array(order))
         return pa.RecordBatch.from_arrays(
             [pa.array([int(ids[order[0]])]), *(pa.array([x], pa.binary()) for x in (
-                ids[order].tobytes(), new.tobytes(), _shrink(data[at])))],
-            ["chunk", "ids", "offsets", "data"])
+                ids[order].tobytes(), new.tobytes(), _shrink(data[at]))), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept)],
+            ["chunk", "ids", "offsets", "data", "rest"])
 
     parts, held = [], 0
     for batch, a, b, data, offsets in common.text_slices(batches, size=CHUNK // 4):
         if parts and held + len(data) > CHUNK:
             yield row(parts)
             parts, held = [], 0
-        parts.append((common.column(batch, "doc_id", a, b), np.diff(offsets), data.copy()))
+        rest = batch.column(batch.schema.get_field_index("rest")).slice(a, b - a).cast(pa.string())
+        parts.append((common.column(batch, "doc_id", a, b), np.diff(offsets), data.copy(), rest))
         held += len(data)
     if parts:
         yield row(parts)
@@ -85,14 +88,14 @@ class _Parse:
         self.ids, self.offsets, self.length = ids, offsets, length
         n = len(data)
         self.data = data
-        self.prefix = [common.prefix_hash(data, 0), common.prefix_hash(data, 1)]
+        self.prefix = [common.prefix_hash(data, 0), common.prefix_hash(data, 1, 1)]
         self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(offsets))
         # Strings start at these places.
         self.valid = np.ones(n, bool)
         for a, b in zip(offsets[:-1], offsets[1:]):
             self.valid[max(a, b - length + 1) : b] = False
         cut = np.zeros(n + 1, bool)
-        hashed = common.window_hash(self.prefix[0], TRIGGER)
+        hashed = common.rolling_hash(data, TRIGGER)
         cut[: len(hashed)] = hashed % np.uint64(SPACING) == 0
         del hashed
         cut[offsets] = True
@@ -116,7 +119,7 @@ class _Parse:
         """
         gram = min(24, self.length)
         width = self.length - gram + 1
-        hashed = common.window_hash(self.prefix[0], gram)
+        hashed = common.rolling_hash(self.data, gram)
         if len(hashed) < width:  # fewer bytes than one string
             nothing = np.zeros(0, np.uint64)
             return nothing, nothing, np.full(len(self.data), -1, np.int32)
@@ -187,7 +190,7 @@ def _ask(n_buckets: int, length: int):
             full = np.flatnonzero((np.diff(e) > 0) | (np.diff(me) > 0))
             part = lambda x, ends: [x[ends[j] : ends[j + 1]].tobytes() for j in full]
             out.append(pd.DataFrame({
-                "bucket": full, "chunk": chunk, "h1": part(h1, e), "h2": part(h2, e), "doc": part(doc, e),
+                "bucket": full, "chunk": chunk, "h1": part(h1, e), "h2": part(h2, e), "doc": [_rising(doc[e[j] : e[j + 1]]) for j in full],
                 "prints": part(prints, me), "names": part(names, me)}))
         return pd.concat(out)
 
@@ -206,6 +209,8 @@ def _wide(keys, size: int) -> np.ndarray:
 
 
 def _parses(chunks: pd.DataFrame, length: int):
+    # Reused workers give back what earlier groups and stages held.
+    pa.default_memory_pool().release_unused()
     for r in chunks.itertuples():
         offsets = np.frombuffer(r.offsets, np.int64)
         yield int(r.chunk), _Parse(np.frombuffer(r.ids, np.int64), offsets, _grow(r.data, int(offsets[-1])), length)
@@ -215,6 +220,15 @@ def _joined(rows: pd.Series, kind) -> np.ndarray:
     return np.frombuffer(b"".join(rows), kind)
 
 
+def _rising(ids: np.ndarray) -> bytes:
+    """Ascending ids as steps, whose zeros the exchange's compression takes out."""
+    return np.diff(ids, prepend=np.int64(0)).tobytes()
+
+
+def _risen(rows: pd.Series) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(np.cumsum(np.frombuffer(x, np.int64)) for x in rows)])
+
+
 def _smallest(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each entry the smallest document among entries with both keys equal."""
     order = np.lexsort((doc, h2, h1))
@@ -231,7 +245,7 @@ _ANSWER = "chunk long, bucket int, least binary, shared binary, n long, seen bin
 
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """The smallest document of each phrase, and whether a minimizer belongs to several phrases."""
-    least = _smallest(_joined(rows["h1"], np.uint64), _joined(rows["h2"], np.uint32), _joined(rows["doc"], np.int64))
+    least = _smallest(_joined(rows["h1"], np.uint64), _joined(rows["h2"], np.uint32), _risen(rows["doc"]))
     kinds, index = np.unique(_joined(rows["prints"], np.uint32), return_inverse=True)
     name = _wide(_joined(rows["names"], np.uint8), 5)
     one = np.zeros(len(kinds), np.uint64)
@@ -253,8 +267,9 @@ def _bits(packed, sizes) -> np.ndarray:
         np.unpackbits(np.frombuffer(x, np.uint8), count=int(n)) for x, n in zip(packed, sizes))]).astype(bool)
 
 
-def _digest(ids, offsets, data, starts, length: int, keep_bytes: bool) -> pd.DataFrame:
-    """What stays of each document once the strings at ``starts`` are gone."""
+def _digest(ids, offsets, data, starts, length: int, keep_bytes: bool | str) -> pd.DataFrame:
+    """What stays of each document once the strings at ``starts`` are gone; ``"characters"``
+    leaves those out that a cut splits."""
     edge = np.zeros(len(data) + 1, np.int32)
     at = np.flatnonzero(starts)
     edge[at] += 1
@@ -266,9 +281,10 @@ def _digest(ids, offsets, data, starts, length: int, keep_bytes: bool) -> pd.Dat
     run[inner] = gone[inner]
     total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offsets])
     kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+    sound = [x.decode("utf-8", "ignore").encode() for x in kept] if keep_bytes == "characters" else kept
     return pd.DataFrame({
         "doc_id": ids, "n_bytes": np.diff(offsets), "n_removed": total(gone), "n_spans": total(run),
-        "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept], "kept": kept if keep_bytes else None})
+        "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept], "kept": sound if keep_bytes else None})
 
 
 class _Open:
@@ -314,7 +330,8 @@ def _ask_strings(n_buckets: int, length: int):
             left = _Open(parse, answers, n_buckets)
             full, h2 = np.flatnonzero(np.diff(left.ends)), _short(left.h2, 2)
             part = lambda x: [x[left.ends[j] : left.ends[j + 1]].tobytes() for j in full]
-            out.append(pd.DataFrame({"chunk": chunk, "bucket": full, "h1": part(left.h1), "h2": part(h2), "doc": part(left.doc)}))
+            doc = [_rising(left.doc[left.ends[j] : left.ends[j + 1]]) for j in full]
+            out.append(pd.DataFrame({"chunk": chunk, "bucket": full, "h1": part(left.h1), "h2": part(h2), "doc": doc}))
         return pd.concat(out)
 
     return rows
@@ -329,23 +346,24 @@ def _first_of(slot: np.ndarray) -> np.ndarray:
 
 def _sorted_suffixes(rows: pd.DataFrame) -> pd.DataFrame:
     """Whether each string of a bucket also starts in a smaller document than the asking one."""
-    doc = _joined(rows["doc"], np.int64)
+    doc = _risen(rows["doc"])
     seen = _smallest(_joined(rows["h1"], np.uint64), _joined(rows["h2"], np.uint16), doc) < doc
     sizes = [len(x) // 8 for x in rows["h1"]]
     return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "least": None, "shared": None, "n": sizes,
                          "seen": [np.packbits(x).tobytes() for x in np.split(seen, np.cumsum(sizes)[:-1])]})
 
 
-def _finish(n_buckets: int, length: int, keep_bytes: bool):
+def _finish(n_buckets: int, length: int, keep_bytes: bool | str):
     def rows(key, chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         late = answers["seen"].notna()
         strings = answers[late].sort_values("bucket")
         seen = _bits(strings["seen"], strings["n"])
         out = []
-        for _, parse in _parses(chunks, length):
+        for (_, parse), rest in zip(_parses(chunks, length), chunks["rest"]):
             left = _Open(parse, answers[~late], n_buckets)
             left.gone[left.places] |= seen[left.slots]
-            out.append(_digest(parse.ids, parse.offsets, parse.data, left.gone, length, keep_bytes))
+            digest = _digest(parse.ids, parse.offsets, parse.data, left.gone, length, keep_bytes)
+            out.append(digest.assign(rest=list(rest)))
         return pd.concat(out)
 
     return rows
@@ -366,7 +384,11 @@ def suffix_dedup(docs: DataFrame, length: int = 50, keep_bytes: bool = False) ->
     """
     if length < 16:
         raise ValueError("length must be at least 16")
-    docs = common.one_row_per_id(docs)
+    return _deduplicated(common.one_row_per_id(docs).withColumn("rest", F.lit(None).cast("string")), length, keep_bytes).drop("rest")
+
+
+def _deduplicated(docs: DataFrame, length: int, keep_bytes: bool | str) -> DataFrame:
+    """``suffix_dedup`` of rows with different ids, with their text ``rest`` beside the result."""
     n_buckets = common.buckets_for(common.text_bytes(docs) / 12)
     chunks = docs.mapInArrow(_cut, _CHUNK)
     asked = chunks.groupBy("chunk").applyInPandas(_ask(n_buckets, length), (
@@ -377,3 +399,37 @@ def suffix_dedup(docs: DataFrame, length: int = 50, keep_bytes: bool = False) ->
         "bucket").applyInPandas(_sorted_suffixes, _ANSWER)
     return chunks.groupBy("chunk").cogroup(answers.union(strings).groupBy("chunk")).applyInPandas(
         _finish(n_buckets, length, keep_bytes), _RESULT)
+
+
+def without_repeats(docs: DataFrame, length: int = 50, flag: str | None = None) -> DataFrame:
+    """``docs`` with only what ``suffix_dedup`` keeps of each text; a text that is cut down to white space goes.
+
+    All columns return as they are, whatever their names; they travel with the texts, so
+    nothing is joined. Of rows that repeat an id, the one with the greatest text stays.
+    Rows without an id stay whole. Characters that a cut splits go as well. ``flag`` names a
+    further column that tells whether the text was cut.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(c for c in docs.columns if c not in ("doc_id", "text"))}
+    whole = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.struct(F.col("text").isNull().alias("none"), *[F.col(c).alias(n) for c, n in names.items()]).alias("rest"))
+    common.small_batches(docs.sparkSession)
+    known = whole.where("doc_id is not null")
+    # JSON carries every type; the formats keep all digits of a time.
+    formats = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    known = known.withColumn("rest", F.to_json("rest", formats))
+    if common.repeats(docs):
+        known = common.store(known.groupBy("doc_id").agg(F.max(F.struct("text", "rest")).alias("r")).select("doc_id", "r.*"), "single")
+    done = _deduplicated(known, length, "characters").withColumn("rest", F.from_json("rest", whole.schema["rest"].dataType, formats))
+    text = F.when(F.col("rest.none"), F.lit(None)).otherwise(F.col("kept").cast("string"))
+    blank = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\r\x0b\x0c", "     ")) == ""
+    some = done.where((F.col("n_removed") == 0) | ~blank)
+    kinds = {c: docs.schema[c].dataType for c in ("doc_id", "text")}
+
+    def back(df: DataFrame, text: Column, was_cut: Column) -> DataFrame:
+        own = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"rest.{n}") for c, n in names.items()}
+        columns = [own[c].cast(kinds[c]).alias(c) if c in kinds else own[c].alias(c) for c in docs.columns]
+        return df.select(*columns, *([was_cut.alias(flag)] if flag else []))
+
+    whole_rows = whole.where("doc_id is null")
+    return back(some, text, F.col("n_removed") > 0).union(back(whole_rows, F.col("text"), F.lit(False)))
