@@ -10,7 +10,7 @@ from lineup.llm import common, toxicity
 from lineup.llm.mixing import mix
 from lineup.llm.ngram_join import ngram_join
 from lineup.llm.packing import pack
-from lineup.llm.suffix_dedup import suffix_dedup
+from lineup.llm.suffix_dedup import without_repeats
 
 #: Part of its expected tokens that each labelled domain keeps; texts of the good one stay whole.
 KEEP = {"good": 1.0, "low": 0.5, "toxic": 0.5}
@@ -30,28 +30,36 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     if common.repeats(docs):
         whole = docs.where("doc_id is not null").groupBy("doc_id").agg(
-            F.max(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
-        docs = whole.select("doc_id", "r.*").select(docs.columns).union(docs.where("doc_id is null"))
+            F.max(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_r"))
+        docs = whole.select("doc_id", "_r.*").select(docs.columns).union(docs.where("doc_id is null"))
     gone = common.store(ngram_join(docs).where("component_id <> doc_id").select("doc_id"), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
-def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def repeats_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that a smaller document holds too; what is cut empty goes.
 
     Characters that a cut splits go as well. Rows without an id stay as they are.
+    ``n_chars``, where there is one, follows the text that was cut.
     """
-    cut = common.store(suffix_dedup(docs, keep_bytes=True).where("n_removed > 0").select("doc_id", "kept"), "cut")
-    left = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
-    joined = docs.join(cut, "doc_id", "left").withColumn("text", F.when(F.col("kept").isNull(), F.col("text")).otherwise(left))
-    some = joined.where(F.col("kept").isNull() | (F.trim(F.translate("text", "\t\n\r\x0b\x0c", "     ")) != ""))
-    return some.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(
-        F.length("text").cast("long"))).select(docs.columns)
+    if "n_chars" not in docs.columns:
+        return without_repeats(docs)
+    flag = "_was_cut"
+    while flag in docs.columns:
+        flag += "_"
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    kept = without_repeats(docs, flag=flag)
+    return kept.withColumn("n_chars", F.when(F.col(flag), length).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at the rates that bring the labelled domains to ``KEEP``."""
-    return mix(docs, common.table(spark, sf_dir, "labels"), keep=KEEP, cap=1.0).where("copies >= 1").select(docs.columns)
+    """Documents drawn at the rates that bring the labelled domains to ``KEEP``.
+
+    Columns named like those that the operator adds keep their own values.
+    """
+    wide = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    mixed = mix(wide, common.table(spark, sf_dir, "labels"), keep=KEEP, cap=1.0)
+    return mixed.where("copies >= 1").select("_row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +70,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", reject_toxic),
     ("ngram_join", one_of_each_group),
-    ("suffix_dedup", without_repeats),
+    ("suffix_dedup", repeats_removed),
     ("mixing", to_target_weights),
     ("packing", packed),
 ]
