@@ -5,6 +5,7 @@ import math
 import pytest
 
 import __spark_entry__ as entry
+from lineup.plans import queries_cases, queries_eval, queries_text
 
 # The smallest tables have so few groups that every one is a test group.
 MAY_BE_EMPTY = {"complement_split", "training_by_split"}
@@ -21,6 +22,17 @@ def rows(records, order):
     return sorted(tuple(str(plain(r[i])) for i in order) for r in records)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_suite(spark, folder):
+    """Queries that read the suite share one build here; ``scenario_suite`` checks it."""
+    built = queries_cases.suite(spark, folder).persist()
+    with pytest.MonkeyPatch.context() as patch:
+        for module in (queries_cases, queries_eval, queries_text):
+            patch.setattr(module, "suite", lambda *_: built)
+        yield
+    built.unpersist()
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, duck, folder, name):
     frame = QUERIES[name](spark, folder)
