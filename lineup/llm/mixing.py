@@ -54,14 +54,12 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     left = lambda signs: F.length(F.translate(body, signs, "")).cast("double")
     runs = F.regexp_count(body, F.lit(f"[^{_SPACES}]+")).cast("double")
-    counts = F.array(F.length(body).cast("double"), left(_SPACES), left(_UPPER), left(_SIGNS), runs)
+    counts = F.array(F.length(body).cast("double"), runs, left(_UPPER), left(_SIGNS))
 
     def shapes(c: Column) -> Column:
-        n, solid = F.get(c, F.lit(0)), F.get(c, F.lit(1))
-        share = lambda taken, base: F.sqrt(taken / F.greatest(base, F.lit(1.0)))
-        return F.array(
-            F.log1p(n), share(n - F.get(c, F.lit(2)), solid), share(n - F.get(c, F.lit(3)), solid), share(n - solid, n),
-            F.get(c, F.lit(4)))
+        n, tokens = F.get(c, F.lit(0)), F.get(c, F.lit(1))
+        share = lambda part: F.sqrt(part / F.greatest(n, F.lit(1.0)))
+        return F.array(F.log1p(n), share(n - F.get(c, F.lit(2))), share(n - F.get(c, F.lit(3))), share(tokens), tokens)
 
     words = F.array_distinct(F.split(F.lower(body), "[^\\p{L}]+"))
     return docs.withColumns({"f": let(counts, shapes), "words": words})
