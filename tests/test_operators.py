@@ -1,6 +1,8 @@
 """Ranking, neighbour search, cases and models against plain computations."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +159,74 @@ def test_nearest_groups_equal_brute_force(spark, layout):
         assert sorted(got[f"i{i:03d}"]) == want
 
 
+def _clustered(rng, n):
+    """Clusters with exact copies, and unit vectors that lie alone."""
+    centers = rng.normal(size=(24, 16))
+    m = np.concatenate([centers[rng.integers(0, 24, n // 2)] + 0.05 * rng.normal(size=(n // 2, 16)), rng.normal(size=(n - n // 2, 16))])
+    m[: n // 8] = m[n // 8 : 2 * (n // 8)]
+    return (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _block(m, groups):
+    vec = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
+    return pa.table({"item_id": pa.array(np.arange(len(m))), "group_id": pa.array(groups), "vec": vec})
+
+
+@pytest.mark.parametrize("wide", [0.0, 0.25, 1.0])
+def test_leaves_leave_out_no_neighbour(monkeypatch, wide):
+    """A block in leaves gives the rows of the whole block; few products are looked at."""
+    rng = np.random.default_rng(12)
+    m = _clustered(rng, 3000)
+    block = _block(m, rng.integers(0, 300, len(m)))
+    seen = []
+    look = knn._Products.look
+    monkeypatch.setattr(knn._Products, "look", lambda self, *at: (seen.append(look(self, *at).size), look(self, *at))[1])
+    for kernel in (knn._best_items(5, 1 << 20), knn._best_groups(5, 1 << 20)):
+        with monkeypatch.context() as patch:
+            patch.setattr(knn, "LEAF", 1 << 30)
+            want = kernel(block, block)
+        for name, value in (("LEAF", 32), ("ASKED", 500), ("PENDING", 700), ("WIDE", wide)):
+            monkeypatch.setattr(knn, name, value)
+        key = [("query_id", "ascending"), ("rank", "ascending")]
+        assert kernel(block, block).sort_by(key).equals(want.sort_by(key))
+        floors = want.filter(pc.equal(want.column("rank"), 5)).sort_by("query_id")
+        asked = block.append_column("floor", pa.array(-floors.column("neg").to_numpy()))
+        assert kernel(asked, block).sort_by(key).equals(want.sort_by(key))
+    # The clustered half has floors that exclude most leaves.
+    near = _block(m[:1500], np.zeros(1500, np.int64)).append_column("floor", pa.array(np.full(1500, 0.9)))
+    monkeypatch.setattr(knn, "WIDE", 0.25)
+    seen.clear()
+    knn._best_items(5, 1 << 20)(near, block)
+    assert sum(seen) < 1500 * 3000 / 3
+
+
+def test_few_queries_do_not_shuffle_the_corpus(spark):
+    """Ten queries against many blocks: the corpus is read where it lies, with the same neighbours."""
+    rng = np.random.default_rng(13)
+    m = _clustered(rng, 600)
+    frame = spark.createDataFrame([(i, i % 50, [float(x) for x in v]) for i, v in enumerate(m)], "item_id long, group_id long, vec array<float>").repartition(3)
+    few = frame.filter("item_id % 60 = 7")
+    found = knn.nearest_groups(few, frame, 6, budget=4096)
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().toString()
+    want = knn.nearest_groups(few, frame, 6, layout=(1, 1))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() == 60
+
+
+def test_pools_keep_single_precision(monkeypatch):
+    """A block's vectors stand in memory once, and keys are made for similar pairs only."""
+    m = _clustered(np.random.default_rng(14), 400)
+    block = _block(m, np.zeros(400, np.int64))
+    held = knn._Products(knn._matrix(block, dtype=None), knn._matrix(block, dtype=None))
+    assert held.block.dtype == np.float32 and np.shares_memory(held.block, held._c)
+    near = np.zeros((3, 400), bool)
+    near[0, :50], near[2, 7] = True, True
+    made = []
+    keys = knn.pair_keys
+    monkeypatch.setattr(knn, "pair_keys", lambda a, b: (made.append(np.broadcast(a, b).size), keys(a, b))[1])
+    rows, cols = knn._smallest_keys(near, np.arange(3), np.arange(400), 4)
+    assert sum(made) <= 51 and (rows == 0).sum() == 4 and cols[rows == 2].tolist() == [7] and not (rows == 1).any()
+
+
 def test_a_large_own_group_takes_no_candidates(spark):
     """300 items of the query's group are nearer than any other; the case pads in full."""
     near = [(i, 1, [1.0, i * 1e-6]) for i in range(300)]
