@@ -200,6 +200,29 @@ def test_leaves_leave_out_no_neighbour(monkeypatch, wide):
     assert sum(seen) < 1500 * 3000 / 3
 
 
+def test_cells_leave_out_no_neighbour(spark, monkeypatch):
+    """Blocks of cells give the neighbours of one block, whatever the lengths; near copies visit one block."""
+    monkeypatch.setattr(knn, "CELL_ROWS", 8)
+    rng = np.random.default_rng(21)
+    m = np.concatenate([_clustered(rng, 400), np.zeros((2, _clustered(rng, 4).shape[1]))])
+    m = np.concatenate([m, m[:150], np.repeat(m[:1], 120, axis=0)])  # copies, and one cell larger than a block
+    m[::7] *= rng.uniform(0.01, 30, size=(len(m[::7]), 1))
+    rows = [(i, i % 61, [float(x) for x in v]) for i, v in enumerate(m)]
+    frame = spark.createDataFrame(rows, "item_id long, group_id int, vec array<double>")
+    for search, k in ((knn.knn_topk, 6), (knn.nearest_groups, 5)):
+        some = frame.filter("item_id % 3 = 0")
+        want, got = (sorted(map(tuple, search(some, frame, k, layout=layout).collect())) for layout in ((1, 1), (2, 7)))
+        assert got == want
+    # Copies have floors that exclude every cell but their own, and nothing travels for them again.
+    unit = m[:400] / np.linalg.norm(m[:400], axis=1, keepdims=True)
+    same = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(np.tile(unit, (6, 1)))], "item_id long, vec array<double>")
+    placed, cells, blocks = knn._placed(same, 8, 1 << 20)
+    assert len(blocks) > 4 and placed.count() == 2400
+    visits, units = knn._counted(same.withColumn("floor", F.lit(1.0)), cells, False)
+    assert visits.sum() < 2400 / 4 and units.sum() < len(cells.block) / 2
+    assert knn._counted(same, cells, True)[0].sum() == 2400
+
+
 def test_few_queries_do_not_shuffle_the_corpus(spark):
     """Ten queries against many blocks: the corpus is read where it lies, with the same neighbours."""
     rng = np.random.default_rng(13)
