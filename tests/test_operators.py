@@ -223,6 +223,45 @@ def test_cells_leave_out_no_neighbour(spark, monkeypatch):
     assert knn._counted(same, cells, True)[0].sum() == 2400
 
 
+def test_candidates_store_no_vectors_again(spark, monkeypatch):
+    """A store with groups is searched as it is, with the candidates of the joined tables; items without id take no part."""
+    m = _clustered(np.random.default_rng(5), 60)
+    rows = [(i if i % 50 else None, i % 9 if i % 11 else None, [float(x) for x in v]) for i, v in enumerate(m)]
+    owned = spark.createDataFrame([*rows, rows[3]], "item_id long, group_id long, vec array<double>")
+    queries = owned.filter("item_id % 4 = 1").select(F.col("item_id").alias("query_id"))
+    meta, kept, keep = owned.select("item_id", "group_id"), [], K.cut
+    monkeypatch.setattr(K, "cut", lambda df: (kept.append(df.columns), keep(df))[1])
+    want = K.candidates_for(queries, K.Pool(meta, owned.select("item_id", "vec")), 4)
+    assert sum("vec" in columns for columns in kept) == 1
+    got = K.candidates_for(queries, K.Pool(meta, owned.select("item_id", "vec"), owned=owned), 4)
+    assert sum("vec" in columns for columns in kept) == 1
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() > 0
+
+
+def test_visited_blocks_are_those_of_the_marks(spark, monkeypatch):
+    """Few and many marks give the blocks of the reached units, a query's own left out, and are found once a search."""
+    m = _clustered(np.random.default_rng(31), 500)
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "item_id long, vec array<double>")
+    monkeypatch.setattr(knn, "CELL_ROWS", 8)
+    _, cells, _ = knn._placed(frame, 9, 1 << 20)
+    own = cells.block[cells.first[cells.cell(m)]]
+    for share in (0.99, 0.3, -1.0):
+        floor = share * (m**2).sum(1)
+        marked = np.concatenate([x for _, _, x in cells.reached(m, floor)])
+        want = [sorted(set(cells.block[np.flatnonzero(row)]) - {mine}) for row, mine in zip(marked, own)]
+        for many in (1, 1 << 40):
+            monkeypatch.setattr(knn, "MANY", many)
+            parts = list(knn._asked(m, floor, cells))
+            assert [sorted(np.flatnonzero(row)) for _, _, visited, _ in parts for row in visited] == want
+            needed = {u for row, mine in zip(marked, own) for u in np.flatnonzero(row) if cells.block[u] != mine}
+            assert needed <= {u for *_, units in parts for u in units}
+    made, make = [], knn._addressed
+    monkeypatch.setattr(knn, "_addressed", lambda *a: (made.append(1), make(*a))[1])
+    knn.knn_topk(frame, frame, 3, layout=(2, 9)).count()
+    assert len(made) == 1
+
+
 def test_few_queries_do_not_shuffle_the_corpus(spark):
     """Ten queries against many blocks: the corpus is read where it lies, with the same neighbours."""
     rng = np.random.default_rng(13)
