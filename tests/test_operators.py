@@ -1,5 +1,8 @@
 """Ranking, neighbour search, cases and models against plain computations."""
 
+import hashlib
+import threading
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,8 +12,9 @@ from pyspark.sql import functions as F
 from lineup.functions.hashing import PAIR_FACTORS, hash_int, order_key
 from lineup.operators import cases as K
 from lineup.operators import corpus as C
-from lineup.operators import knn, models, ranking, scoring
+from lineup.operators import knn, models, pools, ranking, scoring
 from lineup.plans import queries_neighbors, views
+from lineup.session import together
 
 
 @pytest.fixture(scope="module")
@@ -555,3 +559,46 @@ def test_hot_group_of_a_third(spark, folder):
     slots = K.exhaustive_strangers(items, pool, "singleton").collect()
     assert slots and all(s.label == -1 for s in slots)
     assert C.filter_split(items, items.select("group_id").distinct().withColumn("split", F.lit("a")), "a").count() == 1000
+
+
+@pytest.mark.parametrize("whole", [0, 3, 50_000])
+def test_only_large_groups_are_cut_into_buckets(spark, monkeypatch, whole):
+    rows = [("big", i) for i in range(40)] + [("small", i) for i in range(3)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "k string, id long")
+    monkeypatch.setattr(ranking, "WHOLE", whole)
+    got = ranking.group_rank(df, ["k"], order_key("t", "id"), "id", total="n").collect()
+    want = {}
+    for k in ("big", "small"):
+        ids = sorted((i for key, i in rows if key == k), key=lambda i: hashlib.md5(f"42|t|{i}".encode()).hexdigest())
+        want |= {(k, i): (at, len(ids)) for at, i in enumerate(ids)}
+    assert {(r.k, r.id): (r["rank"], r.n) for r in got} == want and len(got) == len(want)
+
+
+def test_a_group_of_few_rows_has_one_bucket(spark):
+    df = spark.range(300).selectExpr("id % 3 AS k", "id")
+    keyed = df.withColumns({"_order": order_key("t", "id"), "_bucket": order_key("t", "id"), "_value": F.lit(1)})
+    running, starts = ranking._by_size(keyed, ["k"], None)
+    assert starts.count() == 3 and running.select("_bucket").distinct().count() == 1
+
+
+def test_strangers_numbered_once_are_drawn_alike(spark):
+    pool = spark.range(60).selectExpr("'same' AS corpus", "id % 7 AS group_id", "id AS item_id")
+    asked = spark.range(20).selectExpr("concat('c', id) AS case_id", "id % 8 AS group_id")
+    numbered = pools.strangers(pool, stored=True)
+    draw = lambda p: sorted(pools.draw_strangers(asked, p).collect())
+    assert draw(numbered) == draw(pool) and len(draw(pool)) == 20
+
+
+@pytest.mark.parametrize("dim", [1, 3, 64, 300])
+def test_products_of_directions_are_exact_in_single_precision(dim):
+    grid = knn._grid(np.random.default_rng(dim).normal(size=(50, dim)))
+    whole = grid.astype(np.int64)
+    assert grid.dtype == np.float32 and (np.abs(grid).max(1) > 0).all()
+    assert (grid @ grid.T == whole @ whole.T).all()
+
+
+def test_steps_run_together_and_raise(spark):
+    met = threading.Barrier(2, timeout=30)
+    assert together(spark, lambda: met.wait() >= 0, lambda: met.wait() >= 0) == [True, True]
+    with pytest.raises(ZeroDivisionError):
+        together(spark, lambda: 1 // 0, lambda: 1)
