@@ -12,6 +12,11 @@ from .names import parent_dir
 ARTICLES = ("A", "The", "a", "the")
 DEMONSTRATIVES = ("this", "that", "This", "That")
 NOUNS = ("man", "woman", "child", "boy", "girl", "lady", "male", "female", "person")
+# The words between them, one character a step: Java's matcher calls itself for every
+# round of a group of changing length, and a line of some thousand words ended the executor.
+_PLAIN = r"[\w\s]*?"
+# A hyphen joins two words, once, and white space follows them.
+_HYPHENATED = r"(?:(?!-(?:(?<=\s-)|(?!\w++\s)))[\w\s-])*?"
 
 
 def tag_caption(text) -> Column:
@@ -24,14 +29,18 @@ def tag_caption(text) -> Column:
     source = _col(text)
     # Rewrites only add brackets, so a word that the source lacks never comes up.
     openers = F.array(*[
-        F.struct(F.lit(word).alias("word"), F.lit(adjective).alias("adjective"))
-        for words, adjective in ((ARTICLES, r"\w+"), (DEMONSTRATIVES, r"\w+(?:-\w+)?")) for word in words
+        F.struct(F.lit(word).alias("word"), F.lit(adjectives).alias("adjectives"))
+        for words, adjectives in ((ARTICLES, _PLAIN), (DEMONSTRATIVES, _HYPHENATED)) for word in words
     ])
     opening = F.filter(openers, lambda o: F.contains(source, F.concat(o["word"], F.lit(" "))))
     nouns = F.filter(F.array(*[F.lit(n) for n in NOUNS]), lambda n: F.contains(source, n))
 
     def bracket(x: Column, o: Column, noun: Column) -> Column:
-        phrase = F.concat(F.lit(r"(?U)\b"), o["word"], F.lit(" ((?:"), o["adjective"], F.lit(r"\s+)*?)"), noun, F.lit(r"\b"))
+        # The literals come first, and what stands before them is looked at afterwards.
+        phrase = F.concat(
+            F.lit("(?U)"), o["word"], F.lit(r" (?<=\b"), o["word"], F.lit(r" )((?!\s)"), o["adjectives"], F.lit(")"),
+            noun, F.lit(r"(?<=\s"), noun, F.lit(r")\b"),
+        )
         return F.regexp_replace(x, phrase, F.concat(F.lit("["), o["word"], F.lit(" $1"), noun, F.lit("]")))
 
     out = F.aggregate(opening, source, lambda x, o: F.aggregate(nouns, x, lambda y, n: bracket(y, o, n)))

@@ -104,6 +104,23 @@ def test_tag_caption(spark, text, want):
     assert one(spark, X.tag_caption(F.lit(text)).alias("t")).t == want
 
 
+@pytest.mark.parametrize("opening, word", [("a", "word "), ("this", "well-known word ")])
+def test_tag_caption_of_a_long_line(spark, opening, word):
+    text = f"{opening} {word * 20_000}man. {opening} {word * 20_000}end. The man"
+    want = f"[{opening} {word * 20_000}man]. {opening} {word * 20_000}end. [The man]"
+    assert one(spark, X.tag_caption(F.lit(text)).alias("t")).t == "[Person]. " + want
+
+
+@pytest.mark.parametrize("text, want", [
+    ("this man-eater man", "[this man]-eater man"),
+    ("this -tall man", "[Person]. this -tall man"), ("this a--b man", "[Person]. this a--b man"),
+    ("this a-b-c man", "[Person]. this a-b-c man"), ("this a-b c-d man", "[this a-b c-d man]"),
+    ("the a-b man", "[Person]. the a-b man"), ("a  man", "[Person]. a  man"), ("a big\t man", "[a big\t man]"),
+])
+def test_tag_caption_words_between(spark, text, want):
+    assert one(spark, X.tag_caption(F.lit(text)).alias("t")).t == want
+
+
 def test_retag_caption(spark):
     row = one(
         spark, X.retag_caption(F.lit("[A] and [b c]"), F.lit("Pet"), F.lit(2)).alias("two"),
